@@ -18,6 +18,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score_language
+
+    good = _table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    return score_language(_table(spark, sf_dir, "documents"), good)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -45,9 +45,10 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
+def release(spark: SparkSession) -> None:
     """Let go of plans nobody holds, so that Spark can remove their shuffle files early."""
     gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ascii_lower(col: Column) -> Column:

@@ -61,6 +61,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import grades_of, score_toxicity, train
 

@@ -150,3 +150,12 @@ def rolling(h: np.ndarray, width: int, base: int = _WBASE) -> np.ndarray:
     sums[0] = 0
     np.cumsum(h * _table(base, len(h)), out=sums[1:])
     return mix((sums[width:] - sums[:-width]) * _table(inverse, n))
+
+
+def windows(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``width`` words inside documents, and the document of each."""
+    h = rolling(w.hash, width)
+    room = np.maximum(w.counts - width + 1, 0)
+    before = np.concatenate(([0], np.cumsum(room)[:-1]))
+    at = np.repeat(w.bounds[:-1] - before, room) + np.arange(int(room.sum()))
+    return h[at], np.repeat(np.arange(len(room)), room)

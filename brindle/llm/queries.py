@@ -33,6 +33,12 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_language(_table(spark, sf_dir, "documents"), good)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=2)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

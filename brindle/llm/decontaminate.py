@@ -181,3 +181,22 @@ def contamination(
         F.coalesce("items", none).alias("items"),
         F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
     )
+
+
+def _keep_clean(batches: Iterator[pa.RecordBatch], block: Block, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+        for lo, hi in slices(texts):
+            clean = np.ones(hi - lo, bool)
+            for d, _, share, _ in _match(Words(texts[lo:hi], ALNUM), block):
+                clean[d] &= share < threshold
+            yield batch.slice(lo, hi - lo).filter(pa.array(clean))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_text_col: str = "text", item_id_col: str = "item_id", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (column ``text``) that no benchmark item contaminates, with all their columns."""
+    sc = docs.sparkSession.sparkContext
+    for b in _blocks(benchmark, item_text_col, item_id_col):
+        held = sc.broadcast(b)
+        docs = docs.mapInArrow(lambda it, held=held: _keep_clean(it, held.value, threshold), docs.schema)
+    return docs

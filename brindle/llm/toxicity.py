@@ -113,6 +113,13 @@ def train(
     return fit_ordinal(words, np.asarray(rows.column("grade"), np.int64), max_features)
 
 
+def _flags(model: OrdinalModel) -> np.ndarray:
+    """Which upper hash bits the known words have: most other words are passed over by one look."""
+    flags = np.zeros(1 << 20, bool)
+    flags[(model.keys >> U64(44)).astype(np.int64)] = True
+    return flags
+
+
 def word_scores(w: Words, model: OrdinalModel, flags: np.ndarray) -> np.ndarray:
     """Sum of the weights of each document's distinct known words."""
     n = len(w.counts)
@@ -127,8 +134,7 @@ def word_scores(w: Words, model: OrdinalModel, flags: np.ndarray) -> np.ndarray:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
-    flags = np.zeros(1 << 20, bool)
-    flags[(model.keys >> U64(44)).astype(np.int64)] = True
+    flags = _flags(model)
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
         for lo, hi in slices(texts):
@@ -159,3 +165,18 @@ def grades_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Severity grades of the labels table: 0, 1 (toxic), 2 (toxic and of low quality)."""
     grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).when(F.col("toxic") == 0, 0)
     return labels.select(id_col, grade.alias("grade"))
+
+
+def _keep_mild(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[pa.RecordBatch]:
+    flags = _flags(model)
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+        for lo, hi in slices(texts):
+            p = model.above(word_scores(Words(texts[lo:hi], ALNUM), model, flags))
+            yield batch.slice(lo, hi - lo).filter(pa.array(p[:, 0] < 0.5))
+
+
+def reject_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """The rows of ``docs`` (column ``text``) that are not rejected, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _keep_mild(it, held.value), docs.schema)

@@ -26,6 +26,10 @@ from ._common import pick
 from ._words import ALNUM, U64, Words, slices
 
 
+#: Most texts of grade 0 stay far below, so one telling word in a long text is enough.
+REJECT_AT = 0.3
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     keys: np.ndarray  # sorted word hashes
@@ -50,7 +54,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"grade": grades.slice(lo, hi - lo), "words": pa.array(rows, pa.list_(pa.int64()))})
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, max_features: int = 2000, steps: int = 250, l2: float = 2e-4) -> OrdinalModel:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, max_features: int = 2000, steps: int = 500, l2: float = 1e-5) -> OrdinalModel:
     """Fit weights and ordered thresholds by full-batch Adam on the cumulative-link likelihood."""
     k = int(grades.max()) if len(grades) else 0
     n = len(grades)
@@ -96,7 +100,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, max_features: int =
 
 def train(
     docs: DataFrame, grades: DataFrame, text_col: str = "text", id_col: str = "doc_id", grade_col: str = "grade",
-    max_rows: int = 6000, max_features: int = 2000,
+    max_rows: int = 12_000, max_features: int = 2000,
 ) -> OrdinalModel:
     """Fit on at most ``max_rows`` rows of ``grades`` (id, grade from 0) and their texts in ``docs``."""
     labelled = pick(grades, id=id_col, grade=grade_col).where("id is not null and grade is not null")
@@ -144,13 +148,13 @@ def _score(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterator[p
                     "id": ids.slice(lo, hi - lo),
                     "p_toxic": pa.array(np.round(p[:, 0], 9), pa.float64()),
                     "severity": pa.array(np.round(p.sum(axis=1), 9), pa.float64()),
-                    "rejected": pa.array(p[:, 0] >= 0.5, pa.bool_()),
+                    "rejected": pa.array(p[:, 0] >= REJECT_AT, pa.bool_()),
                 }
             )
 
 
 def score_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, P(grade >= 1), expected severity and whether the document is rejected (P(grade >= 1) of 0.5 or more)."""
+    """id, P(grade >= 1), expected severity and whether the document is rejected (P(grade >= 1) of ``REJECT_AT`` or more)."""
     base = pick(docs, id=id_col, text=text_col)
     kind = dict(base.dtypes)["id"]
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -173,7 +177,7 @@ def _keep_mild(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterat
         texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
         for lo, hi in slices(texts):
             p = model.above(word_scores(Words(texts[lo:hi], ALNUM), model, flags))
-            yield batch.slice(lo, hi - lo).filter(pa.array(p[:, 0] < 0.5))
+            yield batch.slice(lo, hi - lo).filter(pa.array(p[:, 0] < REJECT_AT))
 
 
 def reject_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:

@@ -31,3 +31,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def _load() -> None:
+    from . import graph_queries, text_queries, evaluation_queries  # noqa: F401

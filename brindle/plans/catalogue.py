@@ -35,3 +35,24 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from . import graph_queries, text_queries, evaluation_queries  # noqa: F401
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of every card's keywords and their rules, capped and within a token budget."""
+    from pyspark.sql import functions as F
+
+    from ..operators import evidence as E
+    from .binding import Tables
+    from .graph_queries import keyword_subtrees
+
+    t = Tables(spark, sf_dir)
+    rules = F.broadcast(keyword_subtrees(t, t.card_keywords()))
+    rows = t.card_keywords().join(rules, "keyword").withColumn("row_no", F.xxhash64("keyword")).withColumnRenamed("card_id", "question_id")
+    emits = [
+        {"kind": "keyword", "key": "keyword", "text": "keyword", "path": "concat(number, '/', keyword)"},
+        {"kind": "rule", "key": "number", "text": "first_sub", "path": "number", "distance": 1},
+    ]
+    return E.budget(E.cap(E.emit(rows, "card_keyword_rules", emits)), 6000).select("question_id", "arrival", "kind", "key", "path", "distance", "tokens")
+
+
+_load()

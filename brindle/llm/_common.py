@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +46,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of plans nobody holds, so that Spark can remove their shuffle files early."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Let go of plans nobody holds, so that Spark removes their shuffle files now and not at some later collection.
+
+    Python tells the JVM of dropped objects in the background; ``wait`` (seconds) lets that happen between two collections.
+    """
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        time.sleep(wait)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def ascii_lower(col: Column) -> Column:

@@ -253,12 +253,12 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     # Step 1 needs no text by group: a group's parts in several tasks are several senders, whose hits come back together.
     sent = own.groupBy("grp").applyInArrow(lambda t: _probe(t, block, buckets), "bucket long, grp long, probes binary, blocks binary, many binary")
     hits = written(sent.groupBy("bucket").applyInArrow(_meet, "grp long, bucket long, hits binary"))
-    release(docs.sparkSession)
+    release(docs.sparkSession, wait=1.0)
     more = own.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(
         lambda d, h: _extend(d, h, width, block, buckets), "bucket long, grp long, keys binary, many binary"
     )
     repeats = written(more.groupBy("bucket").applyInArrow(_repeated, "grp long, keys binary"))
-    release(docs.sparkSession)
+    release(docs.sparkSession, wait=1.0)
 
     def final(d: pa.Table, r: pa.Table) -> pa.Table:
         t = _remove(d, r, width)

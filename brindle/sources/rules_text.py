@@ -14,13 +14,13 @@ RULE = r"^([0-9]{3}\.[0-9]+[a-z]?)\.? (\S.*)$"
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(doc, pos, line) of whole files: byte order mark and carriage returns removed, lines in order."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("doc"), F.col("value"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), F.col("value"))
     text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r\n?", "\n")
     return whole.select("doc", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
-def with_bounds(lines: DataFrame) -> DataFrame:
-    """Lines with ``body``, ``glossary`` and ``credits``: where the parts begin.  A document without them fails.
+def with_parts(lines: DataFrame) -> DataFrame:
+    """Lines with ``part``: ``rules``, ``glossary`` or null.  A document without rules, glossary or credits fails.
 
     The table of contents repeats headings, so the body begins at the last section heading before the first rule.
     """
@@ -31,8 +31,13 @@ def with_bounds(lines: DataFrame) -> DataFrame:
     df = df.withColumn("body", F.max(at(line.rlike(SECTION) & (F.col("pos") < F.col("_rule")))).over(w))
     df = df.withColumn("glossary", F.max(at(line == "Glossary")).over(w)).withColumn("credits", F.max(at(line == "Credits")).over(w))
     whole = F.col("body").isNotNull() & F.col("glossary").isNotNull() & F.col("credits").isNotNull()
-    body = F.when(whole, F.col("body")).otherwise(F.raise_error(F.lit("no rules, glossary or credits found")).cast("int"))
-    return df.withColumn("body", body).drop("_rule")
+    pos = F.col("pos")
+    part = (
+        F.when(~whole, F.raise_error(F.lit("no rules, glossary or credits found")).cast("string"))
+        .when((pos >= F.col("body")) & (pos < F.col("glossary")), "rules")
+        .when((pos > F.col("glossary")) & (pos < F.col("credits")), "glossary")
+    )
+    return df.select("doc", "pos", "line", part.alias("part"))
 
 
 def parse_rules(lines: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def parse_rules(lines: DataFrame) -> DataFrame:
 
     Each line belongs to the last rule above it; a section heading ends that.  Examples are kept apart, other lines are joined to the text.
     """
-    df = with_bounds(lines).where("pos >= body and pos < glossary").withColumn("line", F.trim(F.translate("line", " ", " "))).where("line <> ''")
+    df = with_parts(lines).where("part = 'rules'").withColumn("line", F.trim(F.translate("line", " ", " "))).where("line <> ''")
     section, rule, chapter = (F.col("line").rlike(r) for r in (SECTION, RULE, CHAPTER))
     number = F.when(section, F.lit("")).when(rule, F.regexp_extract("line", RULE, 1)).when(chapter, F.regexp_extract("line", CHAPTER, 1))
     title = F.when(rule, F.regexp_extract("line", RULE, 2)).when(chapter, F.regexp_extract("line", CHAPTER, 2)).otherwise(F.col("line"))
@@ -61,7 +66,7 @@ def parse_rules(lines: DataFrame) -> DataFrame:
 
 def parse_glossary(lines: DataFrame) -> DataFrame:
     """(doc, pos, term, definition): blocks between blank lines; the first line is the term, one without more is dropped."""
-    df = with_bounds(lines).where("pos > glossary and pos < credits").withColumn("line", F.trim(F.translate("line", " ", " ")))
+    df = with_parts(lines).where("part = 'glossary'").withColumn("line", F.trim(F.translate("line", " ", " ")))
     w = Window.partitionBy("doc").orderBy("pos")
     df = df.withColumn("block", F.sum(F.when(F.col("line") == "", 1).otherwise(0)).over(w)).where("line <> ''")
     out = df.groupBy("doc", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("l"))

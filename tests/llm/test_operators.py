@@ -1,0 +1,599 @@
+"""Each operator on edge cases, on empty tables, and against a brute-force version."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.llm import decontaminate, fingerprint, lm_score, near_dup, packing, pii, substring_dedup, token_counts, toxicity, url_filter
+from brindle.llm._words import ALNUM, FOLDED, PLAIN, U64, Words, rolling, word_hashes
+
+tokens = pytest.importorskip("tokenizers")
+public = pytest.importorskip("public_tokenizers")
+BYTE, WORD = public.path("byte_bpe_50k.json"), public.path("word_bpe_49k.json")
+SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def collected(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def key(r):
+    return tuple((v is not None, str(v)) for v in r)
+
+
+# --- word hashing ---------------------------------------------------------------------------------------------------
+
+
+def test_words_are_the_same_wherever_they_stand():
+    w = Words([b"The cat", None, b"", b" \n the  cat sat"], FOLDED)
+    assert w.counts.tolist() == [2, 0, 0, 3]
+    assert (w.hash[:2] == w.hash[2:4]).all() and w.hash[0] != w.hash[1]
+    assert Words([b"The cat"], PLAIN).hash[0] != Words([b"the cat"], PLAIN).hash[0]
+    assert (Words(["a-b, c!".encode()], ALNUM).hash == Words([b"a b c"], ALNUM).hash).all()
+
+
+def test_long_data_goes_piece_by_piece():
+    data = b"x" * 3_000_000 + b" " + b"ab cd " * 400_000
+    h, s, e = word_hashes(data, PLAIN)
+    assert len(h) == 800_001 and (h[1::2] == h[1]).all() and e[0] - s[0] == 3_000_000
+    assert (rolling(h[1:], 4)[::2] == rolling(h[1:], 4)[0]).all()
+
+
+# --- 1 --------------------------------------------------------------------------------------------------------------
+
+
+def naive_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and pii.luhn(d):
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(4)
+    parts = ["a", "@", "@", ".", ".", "1", "22", "255", "300", " ", "-", "+", "(", ")", "4111 1111 1111 1111", "é", "\n", "_", "0008"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 16)))
+        assert pii.base_spans(t) == naive_spans(t), t
+
+
+def test_base_spans_of_long_runs():
+    for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "+1" + " " * 200_000, "a@" * 50_000):
+        pii.base_spans(t)
+
+
+def test_tagger_on_held_out_spans():
+    examples = pii.labelled_examples(300, 99)
+    got = pii.add_spans([t for t, _ in examples], [[] for _ in examples], pii.default_tagger())
+    gold = sum(len(s) for _, s in examples)
+    hit = sum(len({tuple(x) for x in s} & set(g)) for (_, s), g in zip(examples, got, strict=True))
+    assert hit / gold > 0.8 and hit / sum(map(len, got)) > 0.95
+
+
+def test_tagger_gradients():
+    """The hand-written backward passes agree with finite differences."""
+    m = pii.new_tagger(4, 1)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    x = np.array([[3, 30, 31, 5, 0, 0]])
+    y = np.array([[0, 1, 2, 2, 0, 0]])
+    e = pii.emissions(m, x)[0].astype(np.float64)
+    loss, de, dt, _ = pii._crf_grad(e, y, m.p["t"], m.p["s"])
+    for at in [(0, 0, 1), (2, 0, 2), (5, 0, 0)]:
+        up = e.copy()
+        up[at] += 1e-4
+        assert abs((pii._crf_grad(up, y, m.p["t"], m.p["s"])[0] - loss) / 1e-4 - de[at]) < 1e-2
+    t = m.p["t"].copy()
+    t[1, 2] += 1e-4
+    assert abs((pii._crf_grad(e, y, t, m.p["s"])[0] - loss) / 1e-4 - dt[1, 2]) < 1e-2
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    e, trans, start = rng.normal(size=(4, 1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    best = max(itertools.product(range(3), repeat=4), key=lambda p: start[p[0]] + sum(e[i, 0, t] for i, t in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:], strict=False)))
+    assert tuple(pii.viterbi(e, trans, start)[0]) == best
+
+
+def test_pii(spark, edge, edge_rows, empty):
+    got = collected(pii.find_pii(edge))
+    assert len(got) == len(edge_rows)
+    for r in got:
+        if r["doc_id"] == 14:
+            assert (r["n_email"], r["n_phone"]) == (1, 1) and r["spans"].startswith("email:5:") and r["base"] == pii.joined(naive_spans(edge_rows[14][1]))
+        elif r["doc_id"] in (0, 1, 2, 9, 11):
+            assert r["spans"] == "" and r["n_added"] == 0
+    assert pii.find_pii(empty).count() == 0
+    clean = pii.redact_pii(edge)
+    assert clean.columns == edge.columns and clean.count() == len(edge_rows)
+    assert [r["text"] for r in clean.where("doc_id = 14").collect()] == ["mail [EMAIL] and [PHONE]"]
+
+
+# --- 2 --------------------------------------------------------------------------------------------------------------
+
+
+def test_url_rules(spark):
+    cases = [
+        ("http://X.Example.NET/en/1", "x.example.net", "/en/1", "example.net/en/", "allow"),
+        ("https://a.net/x?y#z", "a.net", "/x", "net/", "block"),
+        ("http://net/", "net", "/", "net/", "block"),
+        ("http://anet/", "anet", "/", None, None),
+        ("http://example.com/de/", "example.com", "/de/", "example.com/de/", "block"),
+        ("http://w.org/fr/a", "w.org", "/fr/a", "org/fr/", "allow"),
+        ("http://a.net", "a.net", "", None, None),
+        ("http://a.net?/en/", "a.net", "", None, None),
+        ("no scheme", "", "", None, None),
+        ("", "", "", None, None),
+        (None, "", "", None, None),
+        ("a://b://c/d", "b:", "//c/d", None, None),
+        ("http://ÄB.Org/fr/\nx", "Äb.org", "/fr/\nx", "org/fr/", "allow"),
+    ]
+    df = spark.createDataFrame([(i, c[0], "clash", "clash") for i, c in enumerate(cases)], "page_id long, url string, host string, score string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
+    for i, (_, host, path, rule, verdict) in enumerate(cases):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] == verdict if verdict else got[i]["verdict"] in ("allow", "block")
+    none = url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"))
+    assert none.count() == 0
+    bare = collected(url_filter.filter_urls(spark.createDataFrame([(1, "http://x.y/z")], "page_id long, url string")))
+    assert bare[0]["verdict"] == "allow" and bare[0]["score"] == 0.0
+
+
+def brute_url_scores(texts):
+    """Scores from plain dictionaries: the same interpolation, character by character."""
+    size = len(url_filter.ALPHABET)
+    models = []
+    for label in ("acc", "rej"):
+        tri = Counter(t[i : i + 3] for t, l in texts if l == label for i in range(len(t) - 2))
+        models.append(tri)
+
+    def prob(tri, g):
+        p = 1 / size
+        for cut in (2, 1, 0):
+            cells = Counter()
+            for k, n in tri.items():
+                cells[k[cut:]] += n
+            same = {k: n for k, n in cells.items() if k[:-1] == g[cut:-1]}
+            total, types = sum(same.values()), len(same)
+            if total:
+                p = (same.get(g[cut:], 0) + types * p) / (total + types)
+        return p
+
+    out = {}
+    for t, _ in texts:
+        gs = [t[i : i + 3] for i in range(len(t) - 2)]
+        out[t] = sum(np.log(prob(models[0], g)) - np.log(prob(models[1], g)) for g in gs) / len(gs) if gs else 0.0
+    return out
+
+
+def test_url_scores_against_brute_force(spark):
+    rng = random.Random(2)
+    urls = [f"http://{rng.choice('ab')}{rng.choice('cd')}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['fr', 'de', 'x'])}/{rng.randint(0, 99)}" for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
+    label = lambda r: {"allow": "acc", "block": "rej"}.get(r["verdict"]) if r["rule"] else None
+    fold = lambda u: "^^" + re.sub("[^a-z0./\\-_?=&%#:+]", "*", re.sub("[0-9]+", "0", u.lower())) + "$"
+    texts = [(fold(u), label(got[i])) for i, u in enumerate(urls)]
+    want = brute_url_scores(texts)
+    for i, u in enumerate(urls):
+        assert abs(got[i]["score"] - want[fold(u)]) < 1e-6
+        if not got[i]["rule"]:
+            assert (got[i]["verdict"] == "allow") == (got[i]["score"] >= got[i]["threshold"])
+
+
+# --- 3 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_scores(rows, targets, mu=lm_score.MU):
+    toks = [SPLIT.findall((t or "").translate(LOWER)) for _, t in rows]
+    vocab = {w for ws in toks for w in ws}
+    size = len(vocab) + 2
+    models = []
+    for pick in (lambda i: rows[i][0] in targets, lambda i: True):
+        uni, bi, n = Counter(), Counter(), 0
+        for i, ws in enumerate(toks):
+            if pick(i):
+                uni.update(ws)
+                n += len(ws)
+                prev = "<s>"
+                for w in ws:
+                    bi[prev, w] += 1
+                    prev = w
+                if ws:
+                    uni["<s>"] += 1
+        models.append((uni, bi, n))
+    out = []
+    for ws in toks:
+        loss = []
+        for uni, bi, n in models:
+            prev, total = "<s>", 0.0
+            for w in ws:
+                p1 = (uni[w] + 1) / (n + size - 1)
+                total -= np.log((bi[prev, w] + mu * p1) / (uni[prev] + mu))
+                prev = w
+            loss.append(total / len(ws) if ws else 0.0)
+        out.append((len(ws), *loss, loss[0] - loss[1]))
+    return out
+
+
+def test_language_scores_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    targets = {i for i, _ in rows if i % 3 == 0}
+    got = {r["doc_id"]: r for r in lm_score.score_language(docs, spark.createDataFrame([(i,) for i in targets] * 2, "doc_id long")).collect()}
+    for (i, _), (n, t, b, s) in zip(rows, brute_scores(rows, targets), strict=True):
+        assert got[i]["n_tokens"] == n
+        assert np.allclose([got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]], [t, b, s], atol=1e-5)
+
+
+def test_language_scores_of_edge_cases(spark, edge, edge_rows, empty):
+    none = spark.createDataFrame([], "doc_id long")
+    got = collected(lm_score.score_language(edge, none))
+    assert len(got) == len(edge_rows) and all(r["score"] == 0 for r in got)
+    assert all(r["n_tokens"] == 0 and r["target_loss"] == 0 for r in got if r["doc_id"] in (0, 1, 2))
+    assert lm_score.score_language(empty, none).count() == 0
+
+
+# --- 4 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_components(rows, width, percent=80):
+    sets = []
+    for _, t in rows:
+        w = SPLIT.findall((t or "").translate(LOWER))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            root[find(i)] = find(j)
+    out = []
+    for i, (d, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None] if sets[i] else [d]
+        c = min((x for x in ids if x is not None), default=None)
+        out.append((d, len(sets[i]), c, d == c))
+    return sorted(out, key=key)
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates_against_brute_force(docs, width):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = near_dup.near_duplicates(docs, width=width).collect()
+    assert sorted(map(tuple, got), key=key) == brute_components(rows, width)
+
+
+def test_near_duplicates_of_edge_cases(edge, edge_rows, empty):
+    got = sorted(map(tuple, near_dup.near_duplicates(edge, width=2).collect()), key=key)
+    assert got == brute_components([(r[0], r[1]) for r in edge_rows], 2)
+    assert near_dup.near_duplicates(empty).count() == 0
+
+
+def test_large_clusters_are_split_into_blocks(spark, monkeypatch):
+    """A cluster over many blocks gives what one block gives."""
+    rng = random.Random(8)
+    base = [str(rng.random()) for _ in range(60)]
+    rows = []
+    for i in range(80):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(60)] = str(rng.random())
+        rows.append((i, " ".join(copy)))
+    monkeypatch.setattr(near_dup, "BLOCK_NODES", 16)
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    assert sorted(map(tuple, got.collect()), key=key) == brute_components(rows, 2)
+
+
+def test_super_min_hash_estimates_similarity():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.int64).astype(U64)
+    for share in (0.2, 0.5, 0.8):
+        a, b = pool[:1000], np.concatenate((pool[: int(2000 * share / (1 + share))], pool[1000 : 1000 + 1000 - int(2000 * share / (1 + share))]))
+        sig = near_dup.super_min_hash(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), 500)
+        truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        assert abs((sig[0] == sig[1]).mean() - truth) < 0.08
+
+
+def test_super_min_hash_is_a_permutation_of_registers():
+    """One shingle fills every register once, each in its own round."""
+    sig = near_dup.super_min_hash(np.array([12345], U64), np.array([0, 1]), 40)[0]
+    assert sorted((sig >> U64(32)).tolist()) == list(range(40))
+
+
+def test_intersections():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(U64) for _ in range(40)]
+    got = near_dup.intersections(sets)
+    for i, j in itertools.combinations(range(40), 2):
+        assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_components(spark):
+    edges = [(b"%03d" % i, b"%03d" % (i + 1)) for i in range(0, 40) if i != 20] + [(b"900", b"901"), (b"901", b"901")]
+    got = {bytes(r["node"]): bytes(r["label"]) for r in near_dup.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert got[b"020"] == b"000" and got[b"021"] == b"021" and got[b"040"] == b"021" and got[b"901"] == b"900"
+
+
+# --- 5 --------------------------------------------------------------------------------------------------------------
+
+
+def test_pieces_are_encoded_as_in_their_text():
+    t = token_counts.tokenizer(BYTE)
+    rng = random.Random(3)
+    parts = [" ", " ", "\n", "a", "b's", "'ll", "1", "é", "\u00a0", "\x1c", "<|endoftext|>", "  ", "\t", "ß", "中", ".", "\u2028", "\u0301", "😀", "don't"]
+    for _ in range(5000):
+        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        p = token_counts.pieces(s)
+        cut = [p[0], *(" " + x for x in p[1:])] if p else []
+        assert "".join(cut) == s
+        assert [i for x in cut for i in t.encode(x, add_special_tokens=False).ids] == t.encode(s, add_special_tokens=False).ids, s
+
+
+def test_token_counts(edge, edge_rows, empty, docs):
+    t = token_counts.tokenizer(BYTE)
+    for df, rows in ((edge, [(r[0], r[1]) for r in edge_rows]), (docs, [(r["doc_id"], r["text"]) for r in docs.collect()])):
+        want = []
+        for d, s in rows:
+            n = len(t.encode(s or "", add_special_tokens=False).ids)
+            want.append((d, len((s or "").encode()), n, n > 512))
+        got = token_counts.count_tokens(df, BYTE, table_size=50, per_task=20).collect()
+        assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert token_counts.count_tokens(empty, BYTE).count() == 0
+
+
+# --- 6 --------------------------------------------------------------------------------------------------------------
+
+
+def naive_phrases(t):
+    seen, out, w = set(), [], ""
+    for c in t:
+        w += c
+        if w not in seen:
+            seen.add(w)
+            out.append(w)
+            w = ""
+    return out + [w] if w else out
+
+
+def test_phrases_are_those_of_lempel_and_ziv():
+    rng = random.Random(1)
+    for _ in range(2000):
+        t = "".join(rng.choice("ab é") for _ in range(rng.randint(0, 60)))
+        ends, _ = fingerprint._parse(t, {""})
+        assert [t[a:b] for a, b in zip([0, *ends], ends, strict=False)] == naive_phrases(t)
+        tail = "".join(rng.choice("ab é") for _ in range(len(t) // 4))
+        own, edited, s = fingerprint._with_edit(t, tail)
+        assert s == t[: len(t) - len(t) // 4] + tail
+        assert (own == fingerprint.fingerprint(t)).all() and (edited == fingerprint.fingerprint(s)).all()
+
+
+def test_likeness():
+    a, b = fingerprint.fingerprint("abcabcabc " * 50), fingerprint.fingerprint("")
+    assert fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, b) == 0 and fingerprint.likeness(b, b) == 1
+    x, y = np.arange(0, 40), np.arange(20, 60)
+    assert fingerprint.likeness(x, y) == 20 / 60
+
+
+def check_fingerprints(got, rows):
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for i, (d, t) in enumerate(rows):
+        nxt = rows[(i + 1) % len(rows)][1]
+        q = len(t) // 4
+        s = t[: len(t) - q] + nxt[:q]
+        own, edited = fingerprint.fingerprint(t), fingerprint.fingerprint(s)
+        want.append((d, len(t), hashlib.sha256(s.encode()).hexdigest(), fingerprint.to_text(own), fingerprint.to_text(edited), fingerprint.likeness(own, edited), fingerprint.likeness(own, fingerprint.fingerprint(nxt))))
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_fingerprints_against_brute_force(spark, docs, edge, edge_rows, empty):
+    check_fingerprints(fingerprint.edited_fingerprints(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+    check_fingerprints(fingerprint.edited_fingerprints(edge).collect(), [(r[0], r[1]) for r in edge_rows])
+    check_fingerprints(fingerprint.edited_fingerprints(edge.where("doc_id = 6").limit(1)).collect(), [(6, edge_rows[6][1])])
+    assert fingerprint.edited_fingerprints(empty).count() == 0
+
+
+# --- 7 --------------------------------------------------------------------------------------------------------------
+
+
+def naive_tiles(a, b, shortest):
+    ma, mb, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not ma[i + n] and not mb[j + n]:
+                    n += 1
+                best = max(best, (n, -i, -j))
+        n, i, j = best[0], -best[1], -best[2]
+        if n < shortest:
+            return out
+        for k in range(n):
+            ma[i + k] = mb[j + k] = True
+        out.append((i, j, n))
+
+
+def test_tiling_against_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        a, b = rng.integers(0, 4, rng.integers(3, 25)), rng.integers(0, 4, rng.integers(3, 20))
+        pairs = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if (a[i : i + 3] == b[j : j + 3]).all()]
+        got, want = decontaminate.tile(a, b, pairs, 3), naive_tiles(a.tolist(), b.tolist(), 3)
+        assert [n for *_, n in got][:1] == [n for *_, n in want][:1]  # the longest; later ones may differ on ties
+        assert not want or got
+        covered = sorted(x for _, y, n in got for x in range(y, y + n))
+        assert len(covered) == len(set(covered))
+        for i, j, n in got:
+            assert (a[i : i + n] == b[j : j + n]).all()
+
+
+def test_contamination(spark, edge, edge_rows, empty):
+    rng = random.Random(6)
+    item = [f"w{i}" for i in range(30)]
+    rest = [f"z{rng.randint(0, 999)}" for _ in range(100)]
+    texts = [
+        " ".join(rest[:50] + item + rest[50:]), " ".join(item[15:] + rest + item[:15]), ", ".join(x.upper() for x in item), " ".join(rest),
+        " ".join(item[:8] + rest), " ".join(x for p in zip(item, rest, strict=False) for x in p), None, "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, None), (7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(df, bench).collect()}
+    assert [got[i]["contaminated"] for i in range(8)] == [True, True, True, False, False, False, False, False]
+    assert got[1]["coverage"] == 1.0 and got[0]["items"] == [7, 7] and 0 < got[4]["coverage"] < 0.5
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()) == [3, 4, 5, 6, 7]
+    assert decontaminate.contamination(edge, bench).where("contaminated").count() == 0
+    assert decontaminate.contamination(edge, bench.limit(0)).count() == len(edge_rows)
+    assert decontaminate.contamination(empty, bench).count() == 0
+
+
+def test_contamination_in_blocks(spark, docs, monkeypatch):
+    bench = docs.where("length(text) > 200").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 200).alias("text"))
+    once = sorted(map(tuple, ((r["doc_id"], r["coverage"], tuple(sorted(r["items"])), r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect())))
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 500)
+    again = sorted(map(tuple, ((r["doc_id"], r["coverage"], tuple(sorted(r["items"])), r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect())))
+    assert once == again and any(x[3] for x in once)
+
+
+# --- 8 --------------------------------------------------------------------------------------------------------------
+
+
+def check_packing(got, rows, capacity):
+    t = token_counts.tokenizer(WORD)
+    want = []
+    for d, s in rows:
+        ids = t.encode(s or "", add_special_tokens=False).ids + [1]
+        want += [(d, k, a, len(ids[a : a + capacity]), zlib.crc32(np.array(ids[a : a + capacity], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), capacity))]
+    assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got), key=key) == sorted(want, key=key)
+    seqs = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in seqs.values():
+        at = 0
+        for off, n in sorted(parts):
+            assert off == at
+            at += n
+        assert at <= capacity
+    total = sum(r["length"] for r in got)
+    return len(seqs), -(-total // capacity)
+
+
+@pytest.mark.parametrize("capacity", [256, 4096])
+def test_packing(edge, edge_rows, empty, docs, capacity):
+    check_packing(packing.pack(edge, WORD, capacity=capacity).collect(), [(r[0], r[1]) for r in edge_rows], capacity)
+    n, least = check_packing(packing.pack(docs, WORD, capacity=capacity).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], capacity)
+    assert n <= 1.15 * least + 2
+    assert packing.pack(empty, WORD).count() == 0
+
+
+def test_packing_ids_of_odd_texts(spark):
+    rng = random.Random(9)
+    parts = ["Thé", "er,", "ON", "x'y", "n't", "'s", "12", "ß", "İ", "Σς", "é", "\u00a0", "\u3000", "\x1c", "<|endoftext|>", "中文", "!?", "a%%%", "ﬁ", "\u0301"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " ", "\n", " \t"]) for _ in range(rng.randint(0, 12)))) for i in range(1500)]
+    check_packing(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORD).collect(), rows, 4096)
+
+
+def test_local_search_raises_squared_fill():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        lengths = rng.integers(20, 90, 60)
+        bins = packing.best_fit_decreasing(lengths, 128)
+        square = lambda bs: sum(int(lengths[b].sum()) ** 2 for b in bs)  # noqa: B023, E731
+        before, n = square(bins), len(bins)
+        after = packing.local_search(lengths, [list(b) for b in bins], 128)
+        assert square(after) >= before and len(after) <= n
+        assert sorted(i for b in after for i in b) == list(range(60)) and all(lengths[b].sum() <= 128 for b in after)
+
+
+# --- 9 --------------------------------------------------------------------------------------------------------------
+
+
+def brute_dedup(rows, width):
+    ws = [SPLIT.findall(t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + width]) for w in ws for i in range(len(w) - width + 1))
+    out = []
+    for (d, _), w in zip(rows, ws, strict=True):
+        gone = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone[i : i + width] = [True] * width
+        out.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out, key=key)
+
+
+@pytest.mark.parametrize(("width", "group"), [(35, 6 << 20), (8, 3000), (7, 20_000)])
+def test_substring_dedup_against_brute_force(docs, width, group):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = substring_dedup.dedup_substrings(docs, width=width, group_bytes=group).collect()
+    assert sorted(map(tuple, got), key=key) == brute_dedup(rows, width)
+
+
+def test_substring_dedup_of_edge_cases(edge, edge_rows, empty):
+    got = substring_dedup.dedup_substrings(edge, width=10).collect()
+    assert sorted(map(tuple, got), key=key) == brute_dedup([(r[0], r[1]) for r in edge_rows], 10)
+    assert substring_dedup.dedup_substrings(empty).count() == 0
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 1000):
+        v = np.unique(rng.integers(0, 1 << 40, n, dtype=np.int64)).astype(U64)
+        assert (substring_dedup.unpack(substring_dedup.pack(v)) == v).all()
+    v = np.array([0, (1 << 32) - 2, (1 << 32) - 1, 1 << 33, (1 << 40) - 1], U64)
+    assert (substring_dedup.unpack(substring_dedup.pack(v)) == v).all()
+
+
+# --- 10 -------------------------------------------------------------------------------------------------------------
+
+
+def toxic_rows(n=400, seed=1):
+    rng = random.Random(seed)
+    bad, worse = ["idiot", "moron", "scum"], ["vermin", "filth"]
+    out = []
+    for i in range(n):
+        text = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(20, 80))]
+        grade = rng.choice([0, 0, 0, 1, 2])
+        for w in ([], bad, worse)[grade]:
+            text[rng.randrange(len(text))] = w
+        out.append((i, " ".join(text), grade))
+    return out
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, held = toxic_rows(), toxic_rows(200, 2)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, g) for i, _, g in rows] + [(0, None), (None, 1)], "doc_id long, grade int"))
+    assert (np.diff(model.thresholds) > 0).all()
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(spark.createDataFrame([(i, t) for i, t, _ in held], "doc_id long, text string"), model).collect()}
+    assert all(got[i]["rejected"] == (g > 0) for i, _, g in held)
+    mean = lambda k: np.mean([got[i]["severity"] for i, _, g in held if g == k])
+    assert mean(0) < mean(1) < mean(2)
+    kept = toxicity.reject_toxic(spark.createDataFrame(held, "doc_id long, text string, g int"), model)
+    assert {r["g"] for r in kept.collect()} == {0} and kept.columns == ["doc_id", "text", "g"]
+
+
+def test_toxicity_without_labels(spark, edge, edge_rows, empty):
+    model = toxicity.train(edge, spark.createDataFrame([], "doc_id long, grade int"))
+    got = collected(toxicity.score_toxicity(edge, model))
+    assert len(got) == len(edge_rows) and not any(r["rejected"] for r in got) and all(r["severity"] == 0 for r in got)
+    assert toxicity.score_toxicity(empty, model).count() == 0
+    one = toxicity.train(edge, spark.createDataFrame([(6, 1), (7, 1)], "doc_id long, grade int"))
+    assert toxicity.score_toxicity(edge, one).where("rejected").count() == 0
+    assert [r["grade"] for r in toxicity.grades_of(spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 0, 0), (4, None, None)], "doc_id long, quality int, toxic int")).orderBy("doc_id").collect()] == [2, 1, 0, None]

@@ -16,7 +16,9 @@ text and equal rows by an ordinal, so each row is packed; an empty table gives n
 
 from __future__ import annotations
 
+import gc
 import math
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -30,7 +32,10 @@ from pyspark.sql import functions as F
 from ._common import pick, written
 from .token_counts import _STATE, LONG, tokenizer
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 1_000_000
+WORD_ENTRIES = 600_000
+#: Letters that the tokenizer lower-cases one for one and leaves composed, then ASCII marks: two of its pre-tokens at most.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: The suffix of the vocabulary's word-final tokens.
 WORD_END = "</w>"
 PIECES = "start long, length long, piece int, ids_crc32 long"
@@ -45,50 +50,60 @@ class _Ids(dict):
     def __init__(self, path: str):
         super().__init__()
         self.path = path
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
         vocab = tokenizer(path).get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a pre-token
         self.last[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
 
-    def _encode(self, items: list[str]) -> list[bytes]:
+    def _encode(self, items: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
         for i in range(0, len(items), 4096):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch_fast(items[i : i + 4096], add_special_tokens=False)]
+            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch_fast([c.decode("utf-8") for c in items[i : i + 4096]], add_special_tokens=False)]
         return out
 
-    def _encode_words(self, words: list[str]) -> None:
-        """Lower-case ASCII words, each one pre-token: encoded as one text and parted after each word-final token."""
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Lower-case words, each one pre-token: encoded as one text and parted after each word-final token."""
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            e = tokenizer(self.path).encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            e = tokenizer(self.path).encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0]
             ids = np.array(e.ids, "<u4")
             cuts = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
             data = ids.tobytes()
             self.words.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
-        plain: list[tuple[bytes, str, str]] = []
+        plain: list[tuple[bytes, bytes, bytes]] = []
         other: list[bytes] = []
         for c in chunks:
-            word, end = (c[:-1], c[-1:]) if c[-1:] in (b".", b",") else (c, b"")
-            if word.isalpha() and word.isascii():
-                plain.append((c, word.lower().decode(), end.decode()))
+            word = c.lower()
+            if word.isalpha():  # ASCII letters only
+                plain.append((c, word, b""))
+            elif word[:-1].isalpha() and word[-1:] in b".,;:!?":
+                plain.append((c, word[:-1], word[-1:]))
+            elif m := _PLAIN(c.decode("utf-8")):
+                plain.append((c, m[1].lower().encode(), m[2].encode()))
             else:
                 other.append(c)
-        words = {w for _, w, _ in plain} | {e for _, _, e in plain if e}
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        new = [w for w in words if w not in self.words and w not in ".,"]
-        self._encode_words(new)
-        marks = [e for e in (".", ",") if e not in self.words]
-        self.words.update(zip(marks, self._encode(marks), strict=True))
         ids = self.words
-        self.update((c, ids[w] + ids[e] if e else ids[w]) for c, w, e in plain)
-        self.update(zip(other, self._encode([c.decode("utf-8") for c in other]), strict=True))
+        if len(ids) > WORD_ENTRIES:
+            ids.clear()
+        self._encode_words(list({w for _, w, _ in plain if w not in ids}))
+        marks = list({m for _, _, m in plain if m and m not in ids})
+        ids.update(zip(marks, self._encode(marks), strict=True))
+        self.update([(c, ids[w] + ids[m] if m else ids[w]) for c, w, m in plain])
+        self.update(zip(other, self._encode(other), strict=True))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    cache = _STATE.setdefault(("ids", path), _Ids(path))
+    cache = _STATE.get(("ids", path)) or _STATE.setdefault(("ids", path), _Ids(path))
+    gc.disable()  # millions of small objects and no cycles among them
+    try:
+        yield from _cut_batches(batches, cache, capacity, end_id)
+    finally:
+        gc.enable()
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], cache: _Ids, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     end = np.array([end_id], "<u4").tobytes()
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
@@ -96,13 +111,21 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: in
             part = [(t or b"").split() for t in texts[lo : lo + 256]]
             if len(cache) > CACHE_ENTRIES:
                 cache.clear()
-            new = {c for chunks in part for c in chunks if c not in cache}
+            found = [list(map(cache.get, chunks)) for chunks in part]
+            gaps: list[tuple[list, list, int]] = []
+            for chunks, data in zip(part, found, strict=True):
+                at = -1
+                for _ in range(data.count(None)):
+                    at = data.index(None, at + 1)
+                    gaps.append((chunks, data, at))
+            new = {chunks[at] for chunks, _, at in gaps}
             if new:
                 cache.learn(new)
-            get = cache.__getitem__
+                for chunks, data, at in gaps:
+                    data[at] = cache[chunks[at]]
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for i, chunks in enumerate(part):
-                data = b"".join(map(get, chunks)) + end
+            for i, ids_of in enumerate(found):
+                data = b"".join(ids_of) + end
                 for k, s in enumerate(range(0, len(data), 4 * capacity)):
                     piece = data[s : s + 4 * capacity]
                     for out, x in zip(rows, (i, s // 4, len(piece) // 4, k, zlib.crc32(piece)), strict=True):

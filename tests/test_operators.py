@@ -239,3 +239,42 @@ def test_guard_refuses(spark, query, reason):
 def test_guard_limits(spark):
     assert guard.validated(spark, "select id as key, 'drop; --' as text from range(500) limit 900").count() == 200
     assert guard.validated(spark, "select id as key, 'x' as text from range(500);").count() == 50
+
+
+# --- migration, annotations -----------------------------------------------------------------------------------------
+
+
+def test_migration_verdicts(spark):
+    from brindle.operators import migration
+
+    old = [("100.1", "the same words as ever stand here"), ("100.2", "these words will be changed a little bit"), ("100.3", "a rule that moves to the next chapter"), ("100.4", "gone for good without any trace at all")]
+    new = [("100.1", old[0][1]), ("100.2", old[1][1] + "!"), ("100.3", "something else entirely now"), ("101.7", old[2][1]), ("109.1", old[3][1])]
+    to = lambda rows: spark.createDataFrame(rows, "number string, text string")
+    got = {r["number"]: (r["verdict"], r["target"]) for r in migration.judge(to(old), to(new)).collect()}
+    assert got == {"100.1": ("unchanged", "100.1"), "100.2": ("edited", "100.2"), "100.3": ("relocated", "101.7"), "100.4": ("orphaned", None)}
+    cites = spark.createDataFrame([(1, "100.3"), (2, "100.1"), (3, "9.9")], "r int, rule_number string")
+    moved = migration.apply_moves(cites, migration.judge(to(old), to(new)))
+    assert rows(moved, "r", "rule_number", "verdict") == [(1, "101.7", "relocated"), (2, "100.1", "unchanged"), (3, "9.9", "unknown")]
+    assert migration.word_diff("a b c", "a x c") == "a [-b-] {+x+} c"
+
+
+def test_annotations(spark):
+    from brindle.operators import annotations as A
+
+    known = spark.createDataFrame([("1.1",)], "number string")
+    df = spark.createDataFrame([("a", ["1.0"], True), ("b", None, False)], "k string, cites array<string>, verified boolean")
+    assert [r["cites"] for r in A.add_citation(df, "k", "a", "cites", "1.1", known).orderBy("k").collect()] == [["1.0", "1.1"], None]
+    with pytest.raises(ValueError, match="no known rule"):
+        A.add_citation(df, "k", "a", "cites", "9", known)
+    with pytest.raises(ValueError, match="no cites yet"):
+        A.require_done(df, "cites")
+    assert [r["k"] for r in A.publishable(df, F.lit(True), "k").collect()] == ["a"]
+    with pytest.raises(ValueError, match="not valid"):
+        A.publishable(df, F.col("cites").isNull(), "k")
+    assert A.blind(df, "cites").where("cites is not null").count() == 0
+    tagged = spark.createDataFrame([("a", None)], "k string, tag string")
+    more = A.load_tagged(tagged, spark.createDataFrame([("z",)], "k string"), "k", "t1")
+    assert rows(A.teardown(more, "t1"), "k") == [("a",)]
+    with pytest.raises(ValueError, match="taken"):
+        A.load_tagged(more, spark.createDataFrame([("a",)], "k string"), "k", "t1")
+    assert [r[0] for r in df.select(A.canonical(F.array(F.lit("1.1."), F.lit(" 1.1")))).collect()] == [["1.1"], ["1.1"]]

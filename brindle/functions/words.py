@@ -1,16 +1,26 @@
-"""Characters that are replaced, words that searches leave out, the citation marker."""
+"""Characters that are replaced, words that searches leave out, the citation marker.
 
-LIGATURES = (("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe"), ("ß", "ss"), ("Ø", "O"), ("ø", "o"))
-TYPOGRAPHY = (("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("−", "-"))
+Results depend on these exact values; they are stated as such and not derived.
+"""
 
-#: Function words without weight in a search.
-STOPWORDS = tuple(
-    "the and for with that this from are was were has have had not but its you your can may any all each one two if is it in of to a an on at by be as or "
-    "into than then when who whom which while would could should will shall does did done being been there their they them his her our out only other such"
-    .split()
+# Characters without a canonical decomposition, and typographic marks.
+LIGATURES = (("Æ", "AE"), ("æ", "ae"), ("Œ", "OE"), ("œ", "oe"), ("Ø", "O"), ("ø", "o"), ("ß", "ss"))
+TYPOGRAPHY = (("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("−", "-"))
+
+# Words too common in rules text to weigh in a search.
+STOPWORDS = (
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "as", "if", "then", "that", "this", "these", "those", "is", "are", "be", "it", "its", "it's",
+    "they", "them", "their", "there", "when", "while", "any", "all", "each", "no", "not", "only", "also", "may", "can", "will", "would", "could", "must", "has", "have",
+    "had", "do", "does", "can't", "by", "at", "up", "out", "from", "onto", "into", "one", "two", "number", "put", "rule", "rules", "see", "player", "players", "card",
+    "cards", "permanent", "permanents", "object", "objects", "creature", "creatures", "spell", "spells", "ability", "abilities", "effect", "effects", "game", "turn",
+    "control", "controls", "controlled", "battlefield",
 )
 
-#: Interrogatives and pronouns of questions.
-QUESTION_WORDS = tuple("what which who whom whose when where why how can could do does did is are was were will would should may might i me my we our you your it its the a an".split())
+# Words that questions add and rules never hold.
+QUESTION_WORDS = (
+    "what", "why", "how", "when", "where", "which", "who", "whom", "whose", "does", "do", "did", "is", "are", "was", "were", "can", "could", "should", "would", "will",
+    "happens", "happen", "work", "works", "mean", "means", "explain", "tell", "me", "my", "i", "you", "your", "please", "about", "still", "instead", "anything",
+    "something", "someone", "everything", "it", "its", "they", "them", "their", "he", "she", "him", "her", "this", "that", "these", "those", "there",
+)
 
 CITATION_BODY = r"\[([a-z_]+:[^\]]+)\]"

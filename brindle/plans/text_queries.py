@@ -21,7 +21,7 @@ def _fold_sql(c: str) -> str:
     return f"translate({c}, '{T.ACCENTED}', '{T.PLAIN}')"
 
 
-_IN = lambda words: ", ".join("'" + w + "'" for w in words)
+_IN = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
 @register("normalize_name", f"SELECT item_id, trim(regexp_replace(lower({_fold_sql('text')}), '\\s+', ' ', 'g')) AS name FROM benchmark")

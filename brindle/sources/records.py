@@ -17,7 +17,7 @@ GOLDEN = (
     "id string, source string, stratum string, hops int, question string, answer string, gold_entities array<string>, gold_cr_rules array<string>, gold_path string, "
     "vector_should string, vector_should_reason string, rulesguru_url string, snapshot_sha256 string, verified boolean"
 )
-#: Layouts that are no playable cards.
+# Layouts that are no playable cards, and statuses.
 SKIPPED_LAYOUTS = ("token", "double_faced_token", "emblem", "art_series", "vanguard", "scheme", "planar")
 STATUSES = ("legal", "not_legal", "banned", "restricted")
 

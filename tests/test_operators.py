@@ -150,8 +150,8 @@ def test_gate_reasons(spark):
 
 
 def test_search(spark):
-    corpus = spark.createDataFrame([(1, "flying creatures attack"), (2, "creatures block"), (3, "draw cards")], "k int, text string")
-    q = spark.createDataFrame([(1, "Do flying creatures block?"), (2, "zzz"), (3, "")], "question_id int, question string")
+    corpus = spark.createDataFrame([(1, "flying dragons attack"), (2, "dragons block"), (3, "draw pages")], "k int, text string")
+    q = spark.createDataFrame([(1, "Do flying dragons block?"), (2, "zzz"), (3, "")], "question_id int, question string")
     hits = search.search(corpus, "k", "text", q, 2)
     assert rows(hits, "question_id", "k", "rank") == [(1, 1, 1), (1, 2, 2)]
     assert search.significant(hits, 0.99).count() <= 2

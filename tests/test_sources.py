@@ -10,7 +10,7 @@ from brindle.sources import rules_text as X
 from brindle.streaming import ingest
 
 CARDS = [
-    {"oracle_id": "1", "name": "Fire // Ice", "layout": "split", "cmc": 2.0, "type_line": "Instant", "legalities": {"modern": "legal", "vintage": "banned"}, "card_faces": [{"name": "Fire"}, {"name": "Ice"}]},
+    {"oracle_id": "1", "name": "Wind // Rain", "layout": "split", "cmc": 2.0, "type_line": "Instant", "legalities": {"modern": "legal", "vintage": "banned"}, "card_faces": [{"name": "Wind"}, {"name": "Rain"}]},
     {"oracle_id": "2", "name": "Goblin", "layout": "token", "cmc": 0.0, "type_line": "Token Creature", "legalities": {"modern": "not_legal"}},
 ]
 
@@ -57,7 +57,7 @@ def test_json_forms(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text("")
     got = {n: sorted(r["name"] for r in R.read_json(spark, str(tmp_path / n), R.CARD).collect()) for n in (*forms, "d.jsonl.gz", "e.jsonl")}
     assert got.pop("e.jsonl") == []
-    assert set(map(tuple, got.values())) == {("Fire // Ice", "Goblin")}
+    assert set(map(tuple, got.values())) == {("Wind // Rain", "Goblin")}
     assert R.resolve(spark, str(tmp_path), "d").endswith("d.jsonl.gz")
 
 

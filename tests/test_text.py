@@ -12,12 +12,12 @@ def values(spark, rows, f):
 
 
 def test_names(spark):
-    assert values(spark, ["  Æther   Vial ", "Lim-Dûl’s Vault", "Straße"], T.normalize_name) == ["aether vial", "lim-dul's vault", "strasse"]
-    assert values(spark, ["Lim-Dûl’s Vault", "A+ B"], T.loose_name) == ["limduls vault", "a b"]
+    assert values(spark, ["  Ærn   Hall ", "Mar-Tûn’s Gate", "Straße"], T.normalize_name) == ["aern hall", "mar-tun's gate", "strasse"]
+    assert values(spark, ["Mar-Tûn’s Gate", "A+ B"], T.loose_name) == ["martuns gate", "a b"]
 
 
 def test_faces(spark):
-    assert values(spark, ["Fire // Ice", "Solo", "//"], T.split_faces) == [["Fire", "Ice"], ["Solo"], ["//"]]
+    assert values(spark, ["Wind // Rain", "Solo", "//"], T.split_faces) == [["Wind", "Rain"], ["Solo"], ["//"]]
 
 
 def test_symbols(spark):
@@ -40,8 +40,8 @@ def test_references(spark):
 
 
 def test_terms(spark):
-    assert values(spark, ["The abilities of creatures, boxes and glass", None], T.terms) == [["ability", "creature", "box", "glass"], []]
-    assert values(spark, ["What is the stack?", "Who?"], T.question_terms) == ["stack", "Who?"]
+    assert values(spark, ["The studies of dragons, boxes and glass", None], T.terms) == [["study", "dragon", "box", "glass"], []]
+    assert values(spark, ["What is the stack?", "Who?"], T.question_terms) == ["the stack", "Who?"]
 
 
 def test_sentences_and_markers(spark):

@@ -66,6 +66,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows, unless the session asks for another number than Spark's default of 10,000.
+
+    Rows are whole texts here: a batch, with its copies in the JVM and in Python, should stay at some megabytes.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named columns, under the operator's own names: what else ``df`` holds can't clash."""
+    text_batches(df.sparkSession)
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in cols.items()])

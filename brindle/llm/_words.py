@@ -7,9 +7,11 @@ taken from prefix sums modulo 2**64 and mixed, so no Python loop runs over bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U64 = np.uint64
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -152,6 +154,15 @@ def rolling(h: np.ndarray, width: int, base: int = _WBASE) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * _table(inverse, n))
 
 
+def trim_memory() -> None:
+    """Give freed memory back to the system: workers live on between tasks, and an executor's memory is shared by all of them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def windows(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of ``width`` words inside documents, and the document of each."""
     h = rolling(w.hash, width)

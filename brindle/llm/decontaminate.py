@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick, written
+from ._common import pick, text_batches, written
 from ._words import ALNUM, U64, Words, rolling, slices
 
 SEED = 5
@@ -195,6 +195,7 @@ def _keep_clean(batches: Iterator[pa.RecordBatch], block: Block, threshold: floa
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_text_col: str = "text", item_id_col: str = "item_id", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` (column ``text``) that no benchmark item contaminates, with all their columns."""
+    text_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     for b in _blocks(benchmark, item_text_col, item_id_col):
         held = sc.broadcast(b)

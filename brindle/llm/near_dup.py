@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import pick, release, written
-from ._words import FOLDED, U64, Words, mix, rolling, slices, windows
+from ._words import FOLDED, U64, Words, mix, rolling, slices, trim_memory, windows
 
 GUARD = 0.55
-BLOCK_SHINGLES = 400_000
-BLOCK_NODES = 1_200
+BLOCK_SHINGLES = 250_000
+BLOCK_NODES = 800
 BROADCAST_ROWS = 2_000_000
 
 
@@ -114,6 +114,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows:
                     "sig": pa.array([x.tobytes() for x in marks], pa.binary()),
                 }
             )
+    trim_memory()
 
 
 def union_find(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,17 +174,24 @@ def _verify(table: pa.Table, percent: int) -> pa.Table:
     for rows in by.values():
         if len(rows) < 2:
             continue
-        sizes = np.array([len(sets[i]) for i in rows], np.float64)
-        shared = intersections([sets[i] for i in rows]).astype(np.float64)
-        linked = shared * (100 + percent) >= percent * (sizes[:, None] + sizes[None, :])
-        s = side[rows]
-        if s.min() != s.max():  # two blocks: pairs inside either one meet elsewhere
-            linked &= s[:, None] != s[None, :]
-        a, b = np.nonzero(np.triu(linked, 1))
-        root = union_find(len(rows), a, b)
+        sizes = np.array([len(sets[i]) for i in rows], np.int64)
+        shared, s = intersections([sets[i] for i in rows]), side[rows]
+        two = s.min() != s.max()
+        found = []
+        for lo in range(0, len(rows), 128):  # a few rows at a time: no matrix of the whole block beside the counts
+            hi = min(lo + 128, len(rows))
+            linked = shared[lo:hi].astype(np.int64) * (100 + percent) >= percent * (sizes[lo:hi, None] + sizes[None, :])
+            linked &= np.arange(lo, hi)[:, None] < np.arange(len(rows))[None, :]
+            if two:  # pairs inside either block meet elsewhere
+                linked &= s[lo:hi, None] != s[None, :]
+            a, b = np.nonzero(linked)
+            found.append((a + lo, b))
+        root = union_find(len(rows), *(np.concatenate(x) for x in zip(*found, strict=True)))
         for i in np.flatnonzero(root != np.arange(len(rows))).tolist():
             left.append(nodes[rows[i]])
             right.append(nodes[rows[root[i]]])
+    del sets, by
+    trim_memory()
     return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
 
@@ -194,6 +202,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             h, bounds = shingle_sets(texts[lo:hi], width)
             data = [h[a:z].astype("<u8").tobytes() for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.record_batch({"node": pa.array(set_keys(h, bounds), pa.binary()), "shingles": pa.array(data, pa.binary())})
+    trim_memory()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,7 +273,8 @@ def near_duplicates(
     found = components(written(links))
 
     named = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    tops = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Written before it is joined: a label with very many nodes is then one side's large partition, which Spark can split.
+    tops = written(named.groupBy("label").agg(F.min("least").alias("component_id")))
     answer = named.join(tops, "label").select("node", "component_id")
     out = signed.select("id", "n", "node").join(answer, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick
+from ._common import pick, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 128, 64
@@ -445,5 +445,6 @@ def _redact(batches: Iterator[pa.RecordBatch], m: Tagger) -> Iterator[pa.RecordB
 
 def redact_pii(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """``docs`` with the personal data of its column ``text`` replaced; all rows and columns stay."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(tagger or default_tagger())
     return docs.mapInArrow(lambda it: _redact(it, held.value), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick
+from ._common import pick, text_batches
 from ._words import ALNUM, U64, Words, slices
 
 
@@ -182,5 +182,6 @@ def _keep_mild(batches: Iterator[pa.RecordBatch], model: OrdinalModel) -> Iterat
 
 def reject_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of ``docs`` (column ``text``) that are not rejected, with all their columns."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(lambda it: _keep_mild(it, held.value), docs.schema)

@@ -158,3 +158,24 @@ def parse_indices(c: Column) -> Column:
     ends = lambda p: F.split(p, "-")
     parts = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda p: p != "")
     return F.flatten(F.transform(parts, lambda p: F.sequence(ends(p)[0].cast("int"), F.element_at(ends(p), -1).cast("int"))))
+
+
+def price_for_model(model: Column, prices: list[tuple[str, float, float]]) -> Column:
+    """(input, output) price of the first prefix that a model's name begins with; the dearest for others."""
+    pair = lambda p: F.struct(F.lit(p[1]).alias("input"), F.lit(p[2]).alias("output"))
+    out = F.when(F.lit(False), pair(prices[0]))
+    for p in prices:
+        out = out.when(model.startswith(p[0]), pair(p))
+    return out.otherwise(pair(max(prices, key=lambda p: (p[1], p[2]))))
+
+
+def json_block(c: Column) -> Column:
+    """The outermost object or array in a reply, or null."""
+    found = F.regexp_extract(c, r"(?s)(\{.*\}|\[.*\])", 1)
+    return F.when(found != "", found)
+
+
+def locate_quote(text: Column, quote: Column) -> Column:
+    """(start, end) of a quote's first place in a text; null where it isn't there verbatim."""
+    at = F.position(quote, text)
+    return F.when(at > 0, F.struct((at - 1).cast("int").alias("start"), (at - 1 + F.length(quote)).cast("int").alias("end")))

@@ -56,3 +56,12 @@ def test_small_ones(spark):
     assert values(spark, ["0,2,5", "0-3"], T.parse_indices) == [[0, 2, 5], [0, 1, 2, 3]]
     assert values(spark, ["What does Bolt do", "what now"], T.carries_capitalization) == [True, False]
     assert values(spark, ["'Bolt'", "x"], T.surface_variants) == [["'Bolt'", "Bolt"], ["x"]]
+
+
+def test_replies(spark):
+    assert values(spark, ['Sure: {"a": [1]} ok', "none"], T.json_block) == ['{"a": [1]}', None]
+    got = values(spark, ["see rule 1 here", "no"], lambda c: T.locate_quote(c, F.lit("rule 1")))
+    assert got[0]["start"] == 4 and got[0]["end"] == 10 and got[1] is None
+    prices = [("small-mini", 0.1, 0.2), ("small", 1.0, 2.0), ("large", 9.0, 9.5)]
+    got = values(spark, ["small-mini-2", "small-3", "other"], lambda c: T.price_for_model(c, prices))
+    assert [tuple(r) for r in got] == [(0.1, 0.2), (1.0, 2.0), (9.0, 9.5)]

@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import pick, written
+from ._words import trim_memory
 from .token_counts import _STATE, LONG, tokenizer
 
-CACHE_ENTRIES = 1_000_000
-WORD_ENTRIES = 600_000
+CACHE_ENTRIES = 700_000
+WORD_ENTRIES = 500_000
 #: Letters that the tokenizer lower-cases one for one and leaves composed, then ASCII marks: two of its pre-tokens at most.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
 #: The suffix of the vocabulary's word-final tokens.
@@ -72,25 +73,32 @@ class _Ids(dict):
             self.words.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
 
     def learn(self, chunks: set[bytes]) -> None:
-        plain: list[tuple[bytes, bytes, bytes]] = []
-        other: list[bytes] = []
-        for c in chunks:
-            word = c.lower()
-            if word.isalpha():  # ASCII letters only
-                plain.append((c, word, b""))
-            elif word[:-1].isalpha() and word[-1:] in b".,;:!?":
-                plain.append((c, word[:-1], word[-1:]))
-            elif m := _PLAIN(c.decode("utf-8")):
-                plain.append((c, m[1].lower().encode(), m[2].encode()))
-            else:
-                other.append(c)
         ids = self.words
         if len(ids) > WORD_ENTRIES:
             ids.clear()
-        self._encode_words(list({w for _, w, _ in plain if w not in ids}))
-        marks = list({m for _, _, m in plain if m and m not in ids})
+        ids[b""] = b""
+        known = ids.get
+        new: list[tuple[bytes, bytes, bytes]] = []
+        other: list[bytes] = []
+        for c in chunks:
+            word, mark = c.lower(), b""
+            if not word.isalpha():  # ASCII letters only
+                if word[:-1].isalpha() and word[-1:] in b".,;:!?":
+                    word, mark = word[:-1], word[-1:]
+                elif m := _PLAIN(c.decode("utf-8")):
+                    word, mark = m[1].lower().encode(), m[2].encode()
+                else:
+                    other.append(c)
+                    continue
+            a, b = known(word), known(mark)
+            if a is None or b is None:
+                new.append((c, word, mark))
+            else:
+                self[c] = a + b
+        self._encode_words(list({w for _, w, _ in new if w not in ids}))
+        marks = list({m for _, _, m in new if m not in ids})
         ids.update(zip(marks, self._encode(marks), strict=True))
-        self.update([(c, ids[w] + ids[m] if m else ids[w]) for c, w, m in plain])
+        self.update([(c, ids[w] + ids[m]) for c, w, m in new])
         self.update(zip(other, self._encode(other), strict=True))
 
 
@@ -101,6 +109,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: in
         yield from _cut_batches(batches, cache, capacity, end_id)
     finally:
         gc.enable()
+        trim_memory()
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], cache: _Ids, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:

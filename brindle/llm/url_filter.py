@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower, pick
+from ._common import ascii_lower, pick, written
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_?=&%#:+*^$"
 _PLAIN = ALPHABET[:-3]
@@ -179,7 +179,8 @@ def filter_urls(
 
     # URLs that fold to one string score alike: score distinct strings, which also takes repeated URLs together.
     texts = base.groupBy("s").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
-    scores = (
+    # Written before it is joined: a string of very many URLs is then one large partition of its side, which Spark can split.
+    scores = written(
         _grams(texts.where(F.length("s") >= 3).withColumn("t", F.col("s")), ["t"])
         .join(F.broadcast(model), "g", "left")
         .groupBy("t")

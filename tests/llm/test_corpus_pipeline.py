@@ -24,7 +24,7 @@ def staged(spark):
 
 
 def test_stages(staged):
-    from test_operators import brute_components
+    from test_training_operators import brute_components
 
     docs, mild, single, clean, private, packed = staged
     names = docs.columns

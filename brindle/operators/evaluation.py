@@ -6,6 +6,7 @@ Random draws are ranks of MD5 digests of a seed and an id: the same on every eng
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,10 +84,17 @@ def allocate(counts: DataFrame, stratum: str, n: int) -> DataFrame:
     return c.select(stratum, F.when(F.lit(n) >= F.col("_t"), F.col("n_rows")).otherwise(F.col("_base") + extra).alias("quota"))
 
 
-def stratified_draw(rows: DataFrame, quotas: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
-    """The first ``quota`` rows of each stratum by a seeded digest."""
-    w = Window.partitionBy(stratum).orderBy(draw(seed, key), key)
-    return rows.withColumn("_n", F.row_number().over(w)).join(F.broadcast(quotas), stratum).where("_n <= quota").drop("_n", "quota")
+def stratified_draw(rows: DataFrame, quotas: DataFrame, stratum: str, key: str, seed: int, salts: int = 64) -> DataFrame:
+    """The first ``quota`` rows of each stratum by a seeded digest.
+
+    Each salted part of a stratum is ranked first and sends on no more than the quota, so a stratum of very many rows isn't sorted in one task.
+    """
+    order = [draw(seed, key), F.col(key)]
+    part = F.pmod(F.xxhash64(key), F.lit(salts))
+    held = rows.join(F.broadcast(quotas), stratum).withColumn("_part", part)
+    for keys in ([stratum, "_part"], [stratum]):
+        held = held.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n <= quota").drop("_n")
+    return held.drop("_part", "quota")
 
 
 def derangement(rows: DataFrame, group: str, key: str, value: str, seed: int) -> DataFrame:
@@ -101,6 +109,7 @@ def bootstrap_ratio(clusters: DataFrame, num: str, den: str, resamples: int = 20
     """(point, low, high): percentile interval of sum(num) / sum(den) over resampled clusters.
 
     A draw is a digest modulo the number of clusters; each cluster is its (num, den) sums, so the draws join a small table.
+    Draw -1 holds each cluster once: its ratio is the point.
     """
     spark = clusters.sparkSession
     n = clusters.count()
@@ -108,11 +117,12 @@ def bootstrap_ratio(clusters: DataFrame, num: str, den: str, resamples: int = 20
     numbered = clusters.select((F.row_number().over(w) - 1).cast("long").alias("at"), F.col(num).alias("x"), F.col(den).alias("y"))
     draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i"))
     at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "i")), 1, 8), 16, 10).cast("long") % max(n, 1)
-    sums = draws.select("b", at.alias("at")).join(numbered, "at").groupBy("b").agg((F.sum("x") / F.sum("y")).alias("v"))
+    every = draws.select("b", at.alias("at")).unionByName(spark.range(n).select(F.lit(-1).cast("long").alias("b"), F.col("id").alias("at")))
+    sums = every.join(numbered, "at").groupBy("b").agg((F.sum("x") / F.sum("y")).alias("v"))
     lo, hi = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))
-    ordered = sums.agg(F.sort_array(F.collect_list("v")).alias("v"))
-    point = clusters.agg(F.round(F.sum(num) / F.sum(den), 6).alias("point"))
-    return point.crossJoin(ordered.select(F.round(F.get("v", F.lit(lo)), 6).alias("low"), F.round(F.get("v", F.lit(hi)), 6).alias("high")))
+    drawn = F.sort_array(F.collect_list(F.when(F.col("b") >= 0, F.col("v"))))  # at most ``resamples`` values
+    out = sums.agg(F.max(F.when(F.col("b") < 0, F.col("v"))).alias("point"), drawn.alias("v"))
+    return out.select(F.round("point", 6).alias("point"), F.round(F.get("v", F.lit(lo)), 6).alias("low"), F.round(F.get("v", F.lit(hi)), 6).alias("high"))
 
 
 def frequency_table(df: DataFrame, col: str, top: int) -> DataFrame:
@@ -122,13 +132,49 @@ def frequency_table(df: DataFrame, col: str, top: int) -> DataFrame:
     return counts.join(F.broadcast(total)).select("value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share")).orderBy(F.desc("n"), "value").limit(top)
 
 
-def order_statistic(c: Column, q: float) -> Column:
-    """The element at min(n - 1, int(q n)) of the sorted values."""
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.least(F.size(values) - 1, F.floor(F.size(values) * q)).cast("int"))
+def quantile_at(q: float) -> Callable[[Column], Column]:
+    """Position min(n - 1, int(q n)) of n sorted values."""
+    return lambda n: F.least(n - 1, F.floor(n * q))
+
+
+def order_statistics(rows: DataFrame, by: str, value: str, places: dict[str, Callable[[Column], Column]], bins: int = 4096) -> DataFrame:
+    """(by, n, and for each name the element at its place, from 0, of the group's sorted non-null values), exactly.
+
+    Values are counted into ``bins`` equal ranges of their group; only the ranges that hold a wanted place are ranked, each on its own,
+    so no task sorts or holds a whole group.
+    """
+    key, v = F.col(by).alias("_g"), F.col(value).alias("_v")
+    base = rows.select(key, v).where("_v is not null")
+    ends = base.groupBy(F.col("_g").alias("_e")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_total"))
+    width = F.col("_hi").cast("double") - F.col("_lo")
+    at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v").cast("double") - F.col("_lo")) / width * bins))).otherwise(F.lit(0)).cast("int")
+    binned = base.join(ends, F.col("_g").eqNullSafe(F.col("_e"))).select("_g", "_v", "_total", at.alias("_bin"))
+    counts = binned.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total"))
+    w = Window.partitionBy("_g").orderBy("_bin")
+    upto = counts.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("_total")).cast("long").alias("place")) for k, f in places.items()])
+    hit = upto.withColumn("_w", F.explode(wanted)).where("_w.place >= _before and _w.place < _before + _n")
+    hit = hit.groupBy(F.col("_g").alias("_hg"), F.col("_bin").alias("_hb")).agg(F.first("_before").alias("_before"), F.collect_list("_w").alias("_w"))
+    near = binned.join(hit, F.col("_g").eqNullSafe(F.col("_hg")) & (F.col("_bin") == F.col("_hb")))
+    ranked = near.withColumn("_at", F.row_number().over(Window.partitionBy("_g", "_bin").orderBy("_v")) - 1 + F.col("_before"))
+    found = ranked.select("_g", "_v", "_at", "_total", F.explode("_w").alias("_w")).where("_w.place = _at")
+    return found.groupBy(F.col("_g").alias(by)).agg(F.first("_total").alias("n"), *[F.max(F.when(F.col("_w.name") == k, F.col("_v"))).alias(k) for k in places])
 
 
 def set_hash(key: Column, value: Column) -> Column:
-    """SHA-256 of ``key|value`` lines in order of the key: the same whatever the rows' order."""
+    """SHA-256 of ``key|value`` lines in order of the key, the same whatever the rows' order: for manifests and label sets; see ``tree_hash``."""
     lines = F.array_sort(F.collect_list(F.concat_ws("|", key.cast("string"), value.cast("string"))))
     return F.sha2(F.array_join(lines, "\n"), 256)
+
+
+def tree_hash(rows: DataFrame, by: str, key: str, value: str, digits: int = 3) -> DataFrame:
+    """(by, sha256): a set's hash in two levels, for sets too large to be put in order in one place.
+
+    Lines are dealt by the first ``digits`` hexadecimal digits of their own digests; a part's digest is over its lines' sorted digests and
+    the set's over its parts' in order.
+    """
+    own = F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.col(value).cast("string")), 256)
+    lines = rows.select(by, own.alias("_d")).withColumn("_p", F.substring("_d", 1, digits))
+    over = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
+    parts = lines.groupBy(by, "_p").agg(over("_d").alias("_h")).select(by, F.concat_ws(":", "_p", "_h").alias("_h"))
+    return parts.groupBy(by).agg(over("_h").alias("sha256"))

@@ -70,12 +70,6 @@ def ball(seeds: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def upper_median(c: Column) -> Column:
-    """The element at position n // 2 of the sorted values."""
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
-
-
 # --- upserts: built-in file sources have no merge, so each returns the next snapshot ------------------------------------
 
 

@@ -88,12 +88,12 @@ def recall_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "mcnemar",
-    "WITH n AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b FROM labels WHERE doc_id % 9 = 0), "
+    "WITH n AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b FROM labels), "
     "k AS (SELECT only_a, only_b, unnest(range(0, least(only_a, only_b) + 1)) AS k FROM n), t AS (SELECT only_a, only_b, sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1) + (only_a + only_b) * ln(0.5))) AS tail FROM k GROUP BY 1, 2) "
     "SELECT only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1, 2 * tail) END, 6) AS p_value FROM t",
 )
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = Tables(spark, sf_dir).t("labels").where("doc_id % 9 = 0").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
+    pairs = Tables(spark, sf_dir).t("labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
     return V.mcnemar(pairs, "a", "b")
 
 
@@ -154,13 +154,17 @@ def freq_table_with_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, (SELECT round(median(value), 6) FROM events e WHERE e.event_type = r.event_type) AS median, round(max(CASE WHEN rn = least(n - 1, CAST(floor(n * 0.95) AS BIGINT)) THEN value END), 6) AS p95 FROM r GROUP BY 1",
 )
 def median_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Tables(spark, sf_dir).t("events")
-    return e.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.round(V.order_statistic(F.col("value"), 0.95), 6).alias("p95"))
+    places = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2), "p95": V.quantile_at(0.95)}
+    out = V.order_statistics(Tables(spark, sf_dir).t("events"), "event_type", "value", places)
+    return out.select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
-@register("snapshot_hash", "SELECT lang, sha256(string_agg(doc_id || '|' || source, chr(10) ORDER BY doc_id || '|' || source)) AS sha256 FROM documents GROUP BY 1")
+@register(
+    "snapshot_hash",
+    "WITH l AS (SELECT lang, sha256(doc_id || '|' || source) AS d FROM documents), p AS (SELECT lang, substr(d, 1, 3) || ':' || sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM l GROUP BY lang, substr(d, 1, 3)) SELECT lang, sha256(string_agg(h, chr(10) ORDER BY h)) AS sha256 FROM p GROUP BY 1",
+)
 def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).t("documents").groupBy("lang").agg(V.set_hash(F.col("doc_id"), F.col("source")).alias("sha256"))
+    return V.tree_hash(Tables(spark, sf_dir).t("documents"), "lang", "doc_id", "source")
 
 
 @register(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as V
 from ..operators import graph as G
 from .binding import Tables, sql
 from .catalogue import register
@@ -17,12 +18,14 @@ def card_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_subtrees(t: Tables, keywords: DataFrame) -> DataFrame:
-    """(keyword, number, subrules): the rule that defines a keyword, with its descendants in order."""
-    rules = t.rules()
-    tree = G.descendants(rules, 2).join(rules.select("number", "text"), "number")
-    sub = tree.groupBy(F.col("root").alias("number")).agg(G.collect_structs("number", "text").alias("subs"))
+    """(keyword, number, n_sub, first_sub): the rule that defines a keyword, how many descendants it has and the first of them.
+
+    A rule may have very many descendants, so they are counted before the shuffle and not put into arrays.
+    """
+    tree = G.descendants(t.rules(), 2)
+    sub = tree.groupBy(F.col("root").alias("number")).agg(F.count_distinct("number").alias("n_sub"), F.min("number").alias("first_sub"))
     out = keywords.select("keyword").distinct().join(t.defined_by(), "keyword").join(sub, "number", "left")
-    return out.select("keyword", "number", F.coalesce(F.size("subs"), F.lit(0)).cast("long").alias("n_sub"), F.coalesce(F.get("subs", F.lit(0))["number"], F.lit("")).alias("first_sub"))
+    return out.select("keyword", "number", F.coalesce("n_sub", F.lit(0)).cast("long").alias("n_sub"), F.coalesce("first_sub", F.lit("")).alias("first_sub"))
 
 
 _TREE = "tree AS (SELECT parent AS root, number, 1 AS distance FROM rules WHERE parent IS NOT NULL UNION ALL SELECT tree.root, rules.number, distance + 1 FROM tree JOIN rules ON rules.parent = tree.number WHERE distance < {d})"
@@ -35,10 +38,10 @@ def keyword_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_subtrees(t, t.card_keywords())
 
 
-@register("card_legality", sql("cards legal", "SELECT card_id, name, format, status FROM cards JOIN legal USING (card_id) WHERE card_id % 10 = 3"))
+@register("card_legality", sql("cards legal", "SELECT card_id, name, format, status FROM cards JOIN legal USING (card_id)"))
 def card_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return t.cards().where("card_id % 10 = 3").join(t.legalities(), "card_id").select("card_id", "name", "format", "status")
+    return t.cards().join(t.legalities(), "card_id").select("card_id", "name", "format", "status")
 
 
 @register("deck_legality_violations", sql("cards legal", "SELECT card_id, name, status FROM cards JOIN legal USING (card_id) WHERE format = 'R' AND status <> 'legal'"))
@@ -110,12 +113,10 @@ def rule_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     refs = t.references()
-    out = refs.groupBy(F.col("src").alias("number")).agg(F.sort_array(F.collect_set("dst")).alias("o"))
-    into = refs.groupBy(F.col("dst").alias("number")).agg(F.sort_array(F.collect_set("src")).alias("i"))
-    both = t.rules().where("level = 2").join(out, "number", "left").join(into, "number", "left")
-    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
-    return both.select("number", n("o").alias("n_out"), n("i").alias("n_in"), first("o").alias("first_out"), first("i").alias("first_in"))
+    side = lambda key, other, tag: refs.groupBy(F.col(key).alias("number")).agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.min(other).alias(f"first_{tag}"))
+    both = t.rules().where("level = 2").join(side("src", "dst", "out"), "number", "left").join(side("dst", "src", "in"), "number", "left")
+    n, first = (lambda c: F.coalesce(c, F.lit(0)).alias(c)), (lambda c: F.coalesce(c, F.lit("")).alias(c))
+    return both.select("number", n("n_out"), n("n_in"), first("first_out"), first("first_in"))
 
 
 def _ball_sql(k: int) -> str:
@@ -147,7 +148,9 @@ for _k in (1, 2, 3):
 def reachability_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = rule_ball(spark, sf_dir, 2).groupBy("seed").agg(F.count(F.lit(1)).alias("size"))
     rows = size.withColumn("stratum", F.split_part("seed", F.lit("."), F.lit(1)))
-    return rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_seeds"), F.count_if(F.col("size") >= 10).alias("n_wide"), G.upper_median(F.col("size")).alias("median_size"))
+    wide = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_seeds"), F.count_if(F.col("size") >= 10).alias("n_wide"))
+    middle = V.order_statistics(rows, "stratum", "size", {"median_size": lambda n: F.floor(n / 2)}).select("stratum", "median_size")
+    return wide.join(middle, "stratum").select("stratum", "n_seeds", "n_wide", "median_size")
 
 
 @register(

@@ -153,7 +153,7 @@ def mention_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CAND = (
     "cand AS (SELECT l_orderkey * 10 + l_linenumber AS ord, CAST(l_orderkey AS VARCHAR) AS source_key, CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE CAST(l_partkey + CASE WHEN l_suppkey % 7 = 0 THEN 100000000 ELSE 0 END AS VARCHAR) END AS target_key, "
-    "round(1.0 - l_discount * 4, 2) AS confidence, l_linenumber % 5 AS k FROM lineitem WHERE l_quantity < 6)"
+    "round(1.0 - l_discount * 4, 2) AS confidence, l_linenumber % 5 AS k FROM lineitem)"
 )
 _JUDGED = (
     f"{_CAND}, src AS (SELECT CAST(o_orderkey AS VARCHAR) AS source_key, o_orderpriority AS text FROM orders WHERE o_orderkey % 13 <> 0), j AS (SELECT c.*, CASE WHEN k = 4 THEN 'schema_invalid' WHEN s.source_key IS NULL THEN 'source_not_in_graph' WHEN k = 3 THEN 'span_not_verbatim' "
@@ -165,7 +165,7 @@ _JUDGED = (
 def _gated(spark: SparkSession, sf_dir: str) -> gating.GatedFrame:
     t = Tables(spark, sf_dir)
     orders = t.t("orders").select(F.col("o_orderkey").cast("string").alias("source_key"), F.col("o_orderpriority").alias("text"))
-    line = t.t("lineitem").where("l_quantity < 6").withColumn("source_key", F.col("l_orderkey").cast("string")).join(orders, "source_key", "left")
+    line = t.t("lineitem").withColumn("source_key", F.col("l_orderkey").cast("string")).join(orders, "source_key", "left")
     target = F.col("l_partkey") + F.when(F.col("l_suppkey") % 7 == 0, 100_000_000).otherwise(0)
     k = F.col("l_linenumber") % 5
     candidates = line.select(

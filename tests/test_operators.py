@@ -200,6 +200,35 @@ def test_bootstrap_brackets_the_point(spark):
     assert r["low"] <= r["point"] <= r["high"]
 
 
+def test_order_statistics(spark):
+    rng = random.Random(5)
+    data = [(g, v) for g in ("a", "b", None) for v in [rng.gauss(0, 1) ** 3 for _ in range(501)] + [0.25] * 200] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double")
+    places = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2), "p95": V.quantile_at(0.95), "first": lambda n: n * 0}
+    for bins in (1, 7, 4096):
+        got = {r["g"]: tuple(r)[1:] for r in V.order_statistics(df, "g", "v", places, bins).collect()}
+        for g in ("a", "b", None, "one"):
+            v = sorted(x for k, x in data if k == g)
+            n = len(v)
+            assert got[g] == (n, v[(n - 1) // 2], v[n // 2], v[min(n - 1, int(n * 0.95))], v[0])
+        assert len(got) == 4
+    assert V.order_statistics(df.where("false"), "g", "v", places).count() == 0
+
+
+def test_hashes_of_sets(spark):
+    df = spark.createDataFrame([("s", i, "x" if i % 2 else None) for i in range(50)], "g string, k int, v string")
+    turned = df.orderBy(F.desc("k"))
+    for of in (lambda d: d.groupBy("g").agg(V.set_hash(F.col("k"), F.col("v")).alias("sha256")), lambda d: V.tree_hash(d, "g", "k", "v")):
+        assert rows(of(df), "sha256") == rows(of(turned), "sha256") != rows(of(df.where("k > 0")), "sha256")
+
+
+def test_stratified_draw_by_parts(spark):
+    df = spark.range(500).select(F.when(F.col("id") < 400, "hot").otherwise("cold").alias("s"), "id")
+    quotas = spark.createDataFrame([("hot", 7), ("cold", 200), ("gone", 1)], "s string, quota long")
+    few, one = (V.stratified_draw(df, quotas, "s", "id", 3, salts) for salts in (8, 1))
+    assert rows(few, "s", "id") == rows(one, "s", "id") and few.count() == 107
+
+
 # --- router, guard --------------------------------------------------------------------------------------------------
 
 

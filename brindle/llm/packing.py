@@ -264,7 +264,7 @@ def pack(
     cut = written(cut.withColumn("key", F.xxhash64("id", "piece", "start", "ids_crc32")).withColumn("nth", F.monotonically_increasing_id()))
     n = cut.where(F.col("length") < capacity).count()
     full = cut.where(F.col("length") == capacity).select(
-        "*", F.concat_ws("-", F.lit("f"), "key", "nth").alias("seq"), F.lit(0).cast("long").alias("offset")
+        "*", (F.col("nth") * 4).alias("seq"), F.lit(0).cast("long").alias("offset")
     )
     schema = f"id {kind}, {PIECES}, key long, nth long, grp long, bin long, offset long, fill long"
 
@@ -278,11 +278,12 @@ def pack(
     rest = first.where(low).drop("grp", "bin", "offset", "fill")
     m = first.where(low).count()
     second = packed(rest, max(1, math.ceil(m / group_pieces)), 2) if m else first.limit(0)
-    seq = lambda tag: F.concat_ws("-", F.lit(tag), "grp", "bin").alias("seq")
+    # Numbers that can't meet: full pieces have multiples of 4, each round its own remainder; a group has far fewer than 2**24 bins.
+    seq = lambda tag: ((F.col("grp") * (1 << 24) + F.col("bin")) * 4 + tag).alias("seq")
     cols = ["id", "piece", "start", "length", "ids_crc32", "seq", "offset"]
     out = full.select(*cols)
-    for part, tag in ((first.where(~low), "a"), (second, "b")):
+    for part, tag in ((first.where(~low), 1), (second, 2)):
         out = out.unionByName(part.select("*", seq(tag)).select(*cols))
     return out.select(
-        F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.xxhash64("seq").alias("sequence_id"), "offset"
+        F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset"
     )

@@ -1,18 +1,19 @@
 """Language-model scoring by cross-entropy difference.
 
 A target model (texts with a label ``quality = 1``) and a background model (all texts) are word bigram models over one
-shared vocabulary, smoothed alike: P(w | p) = (n(p, w) + MU * P(w)) / (n(p) + MU), P(w) = (n(w) + 1) / (n + V + 1); words outside the
-vocabulary are one unknown word, and each text begins after a start mark.  A token's loss is -ln P; a document's score is
+shared vocabulary, smoothed alike: P(w | p) = (n(p, w) + MU * P(w)) / (n(p) + MU), P(w) = (n(w) + 1) / (n + V + 1); the vocabulary
+is every word of all texts, and each text begins after a start mark.  A token's loss is -ln P; a document's score is
 the mean over its tokens of target loss minus background loss, so lower is closer to the target.
 
-All counts are over all texts.  Each task counts its words (then its bigrams) and sends sorted blocks of distinct keys
-with counts, dealt by key hash into shards that are summed apart, so a frequent word is one entry for each task, not one row
-for each use.  The models are bounded: the ``vocabulary`` most frequent words and the ``bigrams`` most frequent bigrams (dealt evenly
-over the shards), so what reaches the driver and is broadcast has a fixed size.
+Every word and every bigram counts, however rare, and no model is gathered or broadcast.  Texts are dealt into chunks of some
+megabytes.  A chunk counts its distinct words and bigrams and sends them to shards, which are ranges of the keys' hashes; a shard sums
+what it gets and answers each chunk with the whole table's counts of the keys it asked for; the chunk's texts meet the answers and
+are scored.  A frequent word is one entry for each chunk, so no shard is larger than others, and the number of shards follows the
+input.  Only four totals and the number of distinct words reach the driver.
 
 Defined results: null and empty texts have 0 tokens, losses and score 0; without target texts both models are
 the background, so scores are 0; a document with several labels is a target if one of them says so; repeated rows count and are
-scored as often as they come; other columns are ignored.
+scored as often as they come; other columns are ignored.  Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,224 +22,236 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parallelism, pick, written
-from ._words import FOLDED, U64, Words, mix, slices
+from ._common import parallelism, pick, release, written
+from ._words import FOLDED, U64, Words, mix, trim_memory
 
 MU = 20.0
 #: Target ids are broadcast up to this many rows of 8 bytes; beyond it texts and labels meet in a shuffle.
 BROADCAST_ROWS = 2_000_000
-_FLUSH = 2_000_000
+#: Bytes of text in a chunk (a longer text stands alone), and of the whole input for each shard.
+CHUNK_BYTES = 8 << 20
+SHARD_BYTES = 8 << 20
+_START = U64(0x5851F42D4C957F2D)
+_ODD = U64(0xD1342543DE82EF95)
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    words: np.ndarray  # sorted 64-bit hashes; id = position + 1, 0 is unknown, len + 1 the start
-    flags: np.ndarray
-
-    def ids(self, h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(h), np.int64)
-        at = np.flatnonzero(self.flags[(h >> U64(42)).astype(np.int64)])
-        if len(at):
-            k = np.minimum(np.searchsorted(self.words, h[at]), len(self.words) - 1)
-            ok = self.words[k] == h[at]
-            out[at[ok]] = k[ok] + 1
-        return out
-
-
-def vocabulary_of(words: np.ndarray) -> Vocabulary:
-    words = np.sort(words)
-    flags = np.zeros(1 << 22, bool)
-    flags[(words >> U64(42)).astype(np.int64)] = True
-    return Vocabulary(words, flags)
-
-
-class _Sums:
-    """Counts by key for target and background, summed whenever many wait."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.waiting = 0
-
-    def add(self, keys: np.ndarray, target: np.ndarray, back: np.ndarray) -> None:
-        self.parts.append((keys, target, back))
-        self.waiting += len(keys)
-        if self.waiting > 2 * _FLUSH:
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.parts) != 1:
-            keys, t, b = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.empty(0, U64), np.empty(0), np.empty(0))
-            order = np.argsort(keys, kind="stable")
-            keys, t, b = keys[order], t[order], b[order]
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-            self.parts = [(keys[first], np.add.reduceat(t, first) if len(first) else t, np.add.reduceat(b, first) if len(first) else b)]
-        self.waiting = len(self.parts[0][0])
-        return self.parts[0]
-
-
-def _blocks(keys: np.ndarray, t: np.ndarray, b: np.ndarray, shards: int) -> pa.RecordBatch:
-    """Sorted keys with counts, dealt into shards by a hash of the key."""
-    shard = (mix(keys) % U64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows = [order[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
-    used = [i for i, r in enumerate(rows) if len(r)]
-    pack = lambda x, dtype: pa.array([x[rows[i]].astype(dtype).tobytes() for i in used], pa.binary())
-    big = len(b) and b.max() >= 1 << 32
-    kind = "<u8" if big else "<u4"
-    return pa.record_batch(
-        {"shard": pa.array(used, pa.int64()), "wide": pa.array([bool(big)] * len(used), pa.bool_()), "keys": pack(keys, "<u8"), "t": pack(t, kind), "b": pack(b, kind)}
-    )
+class _Chunk:
+    """Distinct words and bigrams of several texts, sorted, and which of them each token is."""
 
+    def __init__(self, texts: list[bytes | None]):
+        self.words = w = Words(texts, FOLDED)
+        before = np.empty_like(w.hash)
+        before[1:] = w.hash[:-1]
+        self.starts = w.bounds[:-1][w.counts > 0]
+        before[self.starts] = _START
+        self.word_keys, self.word = np.unique(w.hash, return_inverse=True)
+        self.bigram_keys, self.bigram = np.unique(mix(before * _ODD + w.hash), return_inverse=True)
 
-_BLOCK = "shard long, wide boolean, keys binary, t binary, b binary"
 
+def _packed(x: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers with their bytes in planes, the low ones first, compressed: of small numbers most planes are zeros."""
+    data = x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _planes(data: bytes, kind: str) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _unpacked(data: bytes, kind: str = "<u4") -> np.ndarray:
+    return _planes(data, kind).astype(np.int64)
+
+
+def _steps(words: np.ndarray, bigrams: np.ndarray) -> bytes:
+    """Two sorted runs of keys as the steps between neighbours (modulo 2**64), which are smaller."""
+    both = np.concatenate((words, bigrams))
+    return _packed(np.diff(both, prepend=U64(0)), "<u8")
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_planes(data, "<u8"), dtype=U64)
+
+
+def _rows(schema: pa.Schema, n: int, /, **cols) -> pa.RecordBatch:
+    return pa.record_batch([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _asked(texts: list[bytes | None], target: np.ndarray, chunk: int, bits: int, schema: pa.Schema) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Tokens of each text, and a row for each shard: its words' keys, its bigrams' keys, and the counts of both."""
+    c = _Chunk(texts)
+    one = np.repeat(target.astype(np.float64), c.words.counts)
+    edges = np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
+    sides = []
+    for keys, inv in ((c.word_keys, c.word), (c.bigram_keys, c.bigram)):
+        t, b = np.bincount(inv, weights=one, minlength=len(keys)), np.bincount(inv, minlength=len(keys))
+        sides.append((keys, t, b, np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))))
+    (wk, wt, wb, wc), (bk, bt, bb, bc) = sides
+    used = [i for i in range(1 << bits) if wc[i] < wc[i + 1] or bc[i] < bc[i + 1]]
+    joined = lambda x, y, i: np.concatenate((x[wc[i] : wc[i + 1]], y[bc[i] : bc[i + 1]]))
+    rows = _rows(
+        schema,
+        len(used),
+        chunk=pa.array([chunk] * len(used), pa.int64()),
+        shard=pa.array(used, pa.int64()),
+        words=pa.array([int(wc[i + 1] - wc[i]) for i in used], pa.int64()),
+        keys=pa.array([_steps(wk[wc[i] : wc[i + 1]], bk[bc[i] : bc[i + 1]]) for i in used], pa.binary()),
+        t=pa.array([_packed(joined(wt, bt, i)) for i in used], pa.binary()),
+        b=pa.array([_packed(joined(wb, bb, i)) for i in used], pa.binary()),
+    )
+    return c.words.counts, rows
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Each text with its chunk, and each chunk's rows for the shards."""
+    number = TaskContext.get().partitionId() << 33
+    waiting, size, schema = [], 0, None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        docs = pa.Table.from_batches(waiting).combine_chunks()
+        texts, target = docs.column(1).to_pylist(), docs.column(2).to_numpy()
+        counts, rows = _asked(texts, target, number, bits, schema)
+        n = len(texts)
+        for lo in range(0, n, 1000):
+            part = docs.slice(lo, 1000).combine_chunks()
+            whole = lambda c: pa.concat_arrays(c.chunks)
+            yield _rows(
+                schema, len(part), chunk=pa.array([number] * len(part), pa.int64()), n=pa.array(counts[lo : lo + 1000], pa.int64()),
+                id=whole(part.column(0)), text=whole(part.column(1)), target=whole(part.column(2)),
+            )
+        yield rows
 
-def _count_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    sums = _Sums()
-    for batch in batches:
-        texts, target = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi in slices(texts):
-            w = Words(texts[lo:hi], FOLDED)
-            one = np.repeat(target[lo:hi].astype(np.int64), w.counts)
-            keys, inv, n = np.unique(w.hash, return_inverse=True, return_counts=True)
-            sums.add(keys, np.bincount(inv, weights=one, minlength=len(keys)).astype(np.int64), n)
-        if sums.waiting > _FLUSH and len(sums.merge()[0]) > _FLUSH:
-            yield _blocks(*sums.merge(), shards)
-            sums = _Sums()
-    yield _blocks(*sums.merge(), shards)
-
-
-def _bigram_keys(w: Words, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the words, and keys of each word with the one before it (or the start)."""
-    ids = vocab.ids(w.hash)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[w.bounds[:-1][w.counts > 0]] = len(vocab.words) + 1
-    return ids, before * (len(vocab.words) + 2) + ids
-
-
-def _count_bigrams(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, shards: int) -> Iterator[pa.RecordBatch]:
-    sums = _Sums()
     for batch in batches:
-        texts, target = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi in slices(texts):
-            w = Words(texts[lo:hi], FOLDED)
-            _, keys = _bigram_keys(w, vocab)
-            one = np.repeat(target[lo:hi].astype(np.int64), w.counts)
-            keys, inv, n = np.unique(keys.astype(U64), return_inverse=True, return_counts=True)
-            sums.add(keys, np.bincount(inv, weights=one, minlength=len(keys)).astype(np.int64), n)
-        if sums.waiting > _FLUSH and len(sums.merge()[0]) > _FLUSH:
-            yield _blocks(*sums.merge(), shards)
-            sums = _Sums()
-    yield _blocks(*sums.merge(), shards)
-
-
-def _top(block: pd.DataFrame, most: int) -> pd.DataFrame:
-    """The most frequent keys of a shard, and a row of what all its keys sum to."""
-    sums = _Sums()
-    for wide, k, t, b in zip(block["wide"], block["keys"], block["t"], block["b"], strict=True):
-        kind = "<u8" if wide else "<u4"
-        sums.add(np.frombuffer(k, "<u8"), np.frombuffer(t, kind).astype(np.int64), np.frombuffer(b, kind).astype(np.int64))
-    keys, t, b = sums.merge()
-    best = np.lexsort((keys, -b))[:most]
-    return pd.DataFrame(
+        if schema is None:
+            id_type = batch.schema.field(0).type
+            schema = pa.schema(
+                [("chunk", pa.int64()), ("id", id_type), ("text", pa.binary()), ("target", pa.bool_()), ("n", pa.int64()), ("shard", pa.int64())]
+                + [("words", pa.int64()), ("keys", pa.binary()), ("t", pa.binary()), ("b", pa.binary())]
+            )
+        ends = np.cumsum(np.array([len(x or b"") + 1 for x in batch.column(1).to_pylist()], np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            past = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + (not waiting), int(np.searchsorted(ends, past + most - size, side="right")))
+            if hi > lo:
+                waiting.append(batch.slice(lo, hi - lo))
+                size += int(ends[hi - 1]) - past
+            if hi < batch.num_rows:
+                yield from done()
+                waiting, size, number = [], 0, number + 1
+            lo = hi
+    if waiting:
+        yield from done()
+    trim_memory()
+
+
+def _answered(rows: pa.Table) -> pa.Table:
+    """A shard's answers: each chunk's keys counted over all chunks; and a row with the number of distinct words."""
+    words = rows.column("words").to_numpy()
+    keys = [_keys(k) for k in rows.column("keys").to_pylist()]
+    t, b = ([_unpacked(x) for x in rows.column(c).to_pylist()] for c in ("t", "b"))
+    size = np.array([len(k) for k in keys])
+    first = np.concatenate(([0], np.cumsum(size)))
+    is_word = np.arange(first[-1]) - np.repeat(first[:-1], size) < np.repeat(words, size)
+    keys, t, b = np.concatenate(keys), np.concatenate(t), np.concatenate(b)
+    all_t, all_b, distinct = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), 0
+    for kind in (True, False):
+        at = np.flatnonzero(is_word == kind)
+        own, inv = np.unique(keys[at], return_inverse=True)
+        for x, out in ((t, all_t), (b, all_b)):
+            out[at] = np.bincount(inv, weights=x[at], minlength=len(own)).astype(np.int64)[inv]
+        if kind:
+            distinct = len(own)
+    wide = bool(all_b.max() >= 1 << 32)
+    cuts = list(zip(first[:-1], first[1:], strict=True))
+    pack = lambda x: pa.array([_packed(x[lo:hi], "<u8" if wide else "<u4") for lo, hi in cuts] + [None], pa.binary())
+    shard = rows.column("shard").to_pylist()
+    return pa.table(
         {
-            "key": np.append(keys[best].view(np.int64), 0),
-            "t": np.append(t[best], t.sum()),
-            "b": np.append(b[best], b.sum()),
-            "total": np.append(np.zeros(len(best), bool), True),
+            "chunk": pa.array(rows.column("chunk").to_pylist() + [None], pa.int64()),
+            "shard": pa.array(shard + shard[:1], pa.int64()),
+            "words": pa.array(words.tolist() + [distinct], pa.int64()),
+            "wide": pa.array([wide] * (len(cuts) + 1), pa.bool_()),
+            "t": pack(all_t),
+            "b": pack(all_b),
         }
     )
 
 
-def _summed(blocks: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Keys and counts of at most ``most`` keys for each shard, and the totals."""
-    got = blocks.groupBy("shard").applyInPandas(lambda block: _top(block, most), "key long, t long, b long, total boolean").toArrow()
-    key, t, b, total = (np.asarray(got.column(c)) for c in ("key", "t", "b", "total"))
-    own = ~total.astype(bool)
-    order = np.argsort(key[own].view(U64), kind="stable")
-    return key[own].view(U64)[order], t[own][order], b[own][order], int(t[~own].sum()), int(b[~own].sum())
+_ANSWER = "chunk long, shard long, words long, wide boolean, t binary, b binary"
 
 
 @dataclass(frozen=True)
-class PairedModels:
-    vocab: Vocabulary
-    keys: np.ndarray  # sorted bigram keys
-    counts: tuple[np.ndarray, np.ndarray]  # of the bigrams, target and background
-    unigram: tuple[np.ndarray, np.ndarray]  # P(w) by id
-    context: tuple[np.ndarray, np.ndarray]  # n(p) by id
-
-    def losses(self, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        before = keys // (len(self.vocab.words) + 2)
-        if len(self.keys):
-            k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            seen = self.keys[k] == keys
-        out = []
-        for c, u, n in zip(self.counts, self.unigram, self.context, strict=True):
-            p = MU * u[ids]
-            if len(self.keys):
-                p = p + np.where(seen, c[k], 0.0)
-            out.append(-np.log(p / (n[before] + MU)))
-        return out[0], out[1]
-
-
-def train(texts: DataFrame, vocabulary: int = 65_536, bigrams: int = 1 << 20) -> PairedModels:
-    """Count ``texts`` (text binary, target boolean) twice: words for the vocabulary, then bigrams over it."""
-    shards = max(64, parallelism(texts.sparkSession))
-    words, t, b, all_t, all_b = _summed(texts.mapInArrow(lambda it: _count_words(it, shards), _BLOCK), -(-vocabulary // shards))
-    vocab = vocabulary_of(words)
-    size = len(words) + 2
-    uni, ctx = [], []
-    for n, total in ((t, all_t), (b, all_b)):
-        by_id = np.concatenate(([total - n.sum()], n, [0.0])).astype(float)
-        uni.append((by_id + 1) / (total + size - 1))
-        ctx.append(by_id)
-    held = texts.sparkSession.sparkContext.broadcast(vocab)
-    keys, bt, bb, _, _ = _summed(texts.mapInArrow(lambda it: _count_bigrams(it, held.value, shards), _BLOCK), -(-bigrams // shards))
-    start = (keys // U64(size)).astype(np.int64) == size - 1
-    ctx[0][-1], ctx[1][-1] = bt[start].sum(), bb[start].sum()
-    if all_t == 0:
-        bt, uni[0], ctx[0] = bb, uni[1], ctx[1]
-    return PairedModels(vocab, keys.astype(np.int64), (bt.astype(np.float32), bb.astype(np.float32)), tuple(uni), tuple(ctx))
-
-
-def _score(batches: Iterator[pa.RecordBatch], model: PairedModels) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key, texts = batch.column(0), batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
-            w = Words(texts[lo:hi], FOLDED)
-            ids, keys = _bigram_keys(w, model.vocab)
-            lt, lb = model.losses(ids, keys)
-            doc, n = w.doc_of(), w.counts
-            mean = lambda x: np.round(np.bincount(doc, weights=x, minlength=len(n)) / np.maximum(n, 1), 9)  # noqa: B023, E731
-            yield pa.record_batch(
-                {
-                    "id": key.slice(lo, hi - lo),
-                    "n_tokens": pa.array(n, pa.int64()),
-                    "target_loss": pa.array(mean(lt), pa.float64()),
-                    "background_loss": pa.array(mean(lb), pa.float64()),
-                    "score": pa.array(mean(lt - lb), pa.float64()),
-                }
-            )
+class Totals:
+    """Over the whole table: distinct words, tokens and non-empty texts, the last two for target and background."""
+
+    words: int
+    tokens: tuple[int, int]
+    starts: tuple[int, int]
+
+
+def _scored(docs: pa.Table, answers: pa.Table, totals: Totals) -> pa.Table:
+    texts = docs.column("text").to_pylist()
+    c = _Chunk(texts)
+    n = c.words.counts
+    answers = answers.sort_by("shard")
+    words, wide = answers.column("words").to_pylist(), answers.column("wide").to_pylist()
+    losses = []
+    for col, tokens, starts in zip(("t", "b"), totals.tokens, totals.starts, strict=True):
+        if col == "t" and tokens == 0:
+            continue
+        got = [_unpacked(x, "<u8" if big else "<u4") for x, big in zip(answers.column(col).to_pylist(), wide, strict=True)]
+        none = [np.empty(0, np.int64)]
+        word = np.concatenate([g[:k] for g, k in zip(got, words, strict=True)] + none)[c.word].astype(float)
+        bigram = np.concatenate([g[k:] for g, k in zip(got, words, strict=True)] + none)[c.bigram]
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[c.starts] = starts
+        losses.append(-np.log((bigram + MU * (word + 1) / (tokens + totals.words + 1)) / (before + MU)))
+    lt, lb = losses[0], losses[-1]
+    doc = c.words.doc_of()
+    mean = lambda x: np.round(np.bincount(doc, weights=x, minlength=len(n)) / np.maximum(n, 1), 9)
+    return pa.table(
+        {
+            "id": docs.column("id"),
+            "n_tokens": pa.array(n, pa.int64()),
+            "target_loss": pa.array(mean(lt), pa.float64()),
+            "background_loss": pa.array(mean(lb), pa.float64()),
+            "score": pa.array(mean(lt - lb), pa.float64()),
+        }
+    )
 
 
-def score_language(
-    docs: DataFrame, targets: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocabulary: int = 65_536, bigrams: int = 1 << 20
-) -> DataFrame:
+def score_language(docs: DataFrame, targets: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id, tokens, mean losses and their difference for each row; ``targets`` holds the ids of target documents."""
     spark = docs.sparkSession
     base = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("binary").alias("text"))
     ids = written(pick(targets, id=id_col).where("id is not null").distinct().withColumn("target", F.lit(True)))
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
-    texts = base.join(ids, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    held = spark.sparkContext.broadcast(train(texts, vocabulary, bigrams))
+    texts = base.join(ids, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     kind = dict(base.dtypes)["id"]
-    schema = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return base.mapInArrow(lambda it: _score(it, held.value), schema).withColumnRenamed("id", id_col)
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most, bits = CHUNK_BYTES, max(6, (size // SHARD_BYTES).bit_length())
+    schema = f"chunk long, id {kind}, text binary, target boolean, n long, shard long, words long, keys binary, t binary, b binary"
+    # Written once: texts and what was asked for them must come from the same dealing.
+    dealt = written(texts.mapInArrow(lambda it: _dealt(it, bits, most), schema))
+    held = dealt.where("shard is null")
+    s = held.agg(F.sum("n"), F.sum(F.expr("if(target, n, 0)")), F.count_if(F.expr("n > 0")), F.count_if(F.expr("target and n > 0")), F.count_distinct("chunk")).first()
+    parts = lambda groups: max(parallelism(spark), groups // 4)
+    asked = dealt.where("shard is not null").select("chunk", "shard", "words", "keys", "t", "b").repartition(parts(1 << bits), "shard")
+    answers = written(asked.groupBy("shard").applyInArrow(_answered, _ANSWER))
+    del asked
+    release(spark, 0.5)
+    words = answers.where("chunk is null").agg(F.sum("words")).first()[0] or 0
+    totals = Totals(words, (s[1] or 0, s[0] or 0), (s[3], s[2]))
+    n = parts(s[4])
+    left = held.select("chunk", "id", "text").repartition(n, "chunk").groupBy("chunk")
+    right = answers.where("chunk is not null").repartition(n, "chunk").groupBy("chunk")
+    out = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    return left.cogroup(right).applyInArrow(lambda d, a: _scored(d, a, totals), out).withColumnRenamed("id", id_col)

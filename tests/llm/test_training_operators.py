@@ -238,6 +238,23 @@ def test_language_scores_against_brute_force(spark, docs):
         assert np.allclose([got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]], [t, b, s], atol=1e-5)
 
 
+def test_language_scores_keep_rare_words(spark):
+    """More distinct words and bigrams than any fixed table of 65,536 words holds, each with its own counts."""
+    rng = random.Random(4)
+    rows = [(i, " ".join([f"w{i * 400 + k}" for k in range(400)] + [f"w{rng.randrange(80_000)}" for _ in range(20)])) for i in range(200)]
+    targets = {i for i, _ in rows if i % 4 == 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_score.score_language(docs, spark.createDataFrame([(i,) for i in targets], "doc_id long")).collect()}
+    for (i, _), (n, t, b, s) in zip(rows, brute_scores(rows, targets), strict=True):
+        assert got[i]["n_tokens"] == n
+        assert np.allclose([got[i]["target_loss"], got[i]["background_loss"], got[i]["score"]], [t, b, s], atol=1e-6)
+
+
+def test_language_scores_of_many_chunks(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 3000)
+    test_language_scores_against_brute_force(spark, docs)
+
+
 def test_language_scores_of_edge_cases(spark, edge, edge_rows, empty):
     none = spark.createDataFrame([], "doc_id long")
     got = collected(lm_score.score_language(edge, none))

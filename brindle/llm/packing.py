@@ -174,59 +174,92 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, rounds: int = 3) -> list[list[int]]:
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Increase the sum of squared fills by moves, one-for-one and two-for-one exchanges; empty bins go.
 
-    Underfull bins are taken from the emptiest: what it holds is offered to fuller bins.  A bin with room r takes a piece
+    Underfull bins are taken from the emptiest: what it holds is offered to all bins no emptier.  A bin with room r takes a piece
     p outright if p <= r, else gives back one piece q (or two) with p - r <= q < p: its fill grows, the donor's
-    shrinks, and as the donor was no fuller the sum of squares grows.  So the search ends; ``rounds`` bounds its passes.
+    shrinks, and as the donor was no fuller the sum of squares grows.  So the search ends, when no such step is left.
+
+    Pieces stand in order of size, so those that may come back are one range; sums of two pieces are counted for each bin.
     """
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        if len(under) < 2:
-            break
+    order = np.argsort(lengths, kind="stable")
+    size = np.asarray(lengths, np.int64)[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    held = [set(place[b].tolist()) for b in bins]
+    home = np.empty(len(order), np.int64)
+    for b, own in enumerate(held):
+        home[list(own)] = b
+    room = capacity - np.bincount(home, weights=size, minlength=len(bins)).astype(np.int64)
+    # For each bin and length, how many sums of two of its pieces are less; made anew for changed bins where it is needed.
+    sums = np.zeros((len(bins), capacity + 2), np.int16 if capacity < 1 << 15 else np.int32)
+    stale = set(range(len(bins)))
+
+    def pair_sums(b: int) -> None:
+        own, n = np.unique(size[list(held[b])], return_counts=True)
+        seen = np.zeros(capacity + 1, bool)
+        i, j = np.triu_indices(len(own), 1)
+        seen[own[i] + own[j]] = True
+        seen[2 * own[n > 1]] = True
+        np.cumsum(seen, out=sums[b, 1:], dtype=sums.dtype)
+
+    def pair(b: int, least: int, below: int) -> list[int]:
+        small = sorted(held[b])
+        for x, q in enumerate(small):
+            k = bisect_left(small, least - size[q], lo=x + 1, key=lambda i: size[i])
+            if k < len(small) and size[q] + size[small[k]] < below:
+                return [q, small[k]]
+        raise AssertionError("a counted pair must be there")
+
+    def step(donor: int) -> bool:
+        free = room[donor]
+        taker = np.flatnonzero((room > 0) & (room <= free))
+        taker = taker[taker != donor]
+        if not len(taker):
+            return False
+        mine = sorted(held[donor], reverse=True)
+        for p in mine:
+            n, fits = size[p], taker[room[taker] >= size[p]]
+            if len(fits):
+                return swap(donor, int(fits[room[fits].argmin()]), p, [])
+            lo, hi = np.searchsorted(size, (n - free, n))
+            left = room[home[lo:hi]]
+            at = np.flatnonzero((left <= free) & (left + size[lo:hi] >= n) & (home[lo:hi] != donor))
+            if len(at):
+                more = n - size[lo + at]
+                q = int(lo + at[(more * (free - left[at] + more)).argmax()])
+                return swap(donor, int(home[q]), p, [q])
+        for b in [b for b in stale if 0 < room[b] < capacity]:
+            pair_sums(b)
+            stale.discard(b)
+        for p in mine:
+            n = size[p]
+            fits = taker[sums[taker, n] > sums[taker, n - room[taker]]]
+            if len(fits):
+                r = int(fits[room[fits].argmax()])
+                return swap(donor, r, p, pair(r, int(n - room[r]), int(n)))
+        return False
+
+    def swap(donor: int, r: int, p: int, give: list[int]) -> bool:
+        held[donor].remove(p)
+        held[donor].update(give)
+        held[r].difference_update(give)
+        held[r].add(p)
+        home[p], home[give] = r, donor
+        more = size[p] - size[give].sum()
+        room[donor] += more
+        room[r] -= more
+        stale.update((donor, r))
+        return True
+
+    changed = True
+    while changed:
         changed = False
-        for pos, donor in enumerate(under):
-            # Receivers by room, fullest first among those no emptier than the donor.
-            receivers = sorted((b for b in under[pos + 1 :] if fill[b] >= fill[donor] and fill[b] < capacity), key=lambda b: -fill[b])[:64]
-            for p in sorted(bins[donor], key=lambda i: -size[i]):
-                for r in receivers:
-                    if fill[r] < fill[donor] or fill[r] == capacity:
-                        continue
-                    room, give = capacity - fill[r], None
-                    if size[p] <= room:
-                        give = []
-                    else:
-                        need = size[p] - room
-                        one = [q for q in bins[r] if need <= size[q] < size[p]]
-                        if one:
-                            give = [min(one, key=lambda i: size[i])]
-                        elif len(bins[r]) <= 48:
-                            small = sorted((q for q in bins[r] if size[q] < size[p]), key=lambda i: size[i])
-                            best = None
-                            for x, q in enumerate(small):  # the least pair sum in [need, size[p])
-                                k = bisect_left(small, need - size[q], lo=x + 1, key=lambda i: size[i])
-                                if k < len(small) and size[q] + size[small[k]] < size[p]:
-                                    total = size[q] + size[small[k]]
-                                    best = min(best, (total, q, small[k])) if best else (total, q, small[k])
-                            give = list(best[1:]) if best else None
-                    if give is None:
-                        continue
-                    back = sum(size[q] for q in give)
-                    bins[donor].remove(p)
-                    for q in give:
-                        bins[r].remove(q)
-                    bins[donor] += give
-                    bins[r].append(p)
-                    fill[donor] += back - size[p]
-                    fill[r] += size[p] - back
-                    changed = True
-                    break
-        if not changed:
-            break
-    return [b for b in bins if b]
+        for donor in np.argsort(-room, kind="stable").tolist():
+            while 0 < room[donor] < capacity and step(donor):
+                changed = True
+    return [sorted(order[list(own)].tolist()) for own in held if own]
 
 
 def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:

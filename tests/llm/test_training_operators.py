@@ -539,6 +539,15 @@ def test_local_search_raises_squared_fill():
         assert sorted(i for b in after for i in b) == list(range(60)) and all(lengths[b].sum() <= 128 for b in after)
 
 
+def test_local_search_empties_bins():
+    """Pieces of a quarter to a half of the capacity: many bins of the same fill, of which a good part can be emptied."""
+    lengths = np.random.default_rng(7).integers(900, 2048, 1024)
+    bins = packing.best_fit_decreasing(lengths, 4096)
+    after = packing.local_search(lengths, [list(b) for b in bins], 4096)
+    assert len(after) <= 0.99 * len(bins)
+    assert sorted(i for b in after for i in b) == list(range(1024)) and all(lengths[b].sum() <= 4096 for b in after)
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 
 

@@ -16,12 +16,12 @@ text and equal rows by an ordinal, so each row is packed; an empty table gives n
 
 from __future__ import annotations
 
-import gc
 import math
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -29,129 +29,108 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bpe import WordEnds, encoded, shared, special_strings
 from ._common import pick, written
+from ._pieces import Pieces, buffers, uncollected
 from ._words import trim_memory
-from .token_counts import _STATE, LONG, tokenizer
-
-CACHE_ENTRIES = 700_000
-WORD_ENTRIES = 500_000
-#: Letters that the tokenizer lower-cases one for one and leaves composed, then ASCII marks: two of its pre-tokens at most.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
-#: The suffix of the vocabulary's word-final tokens.
-WORD_END = "</w>"
-PIECES = "start long, length long, piece int, ids_crc32 long"
 
+CACHE_ENTRIES = 400_000
+PIECES = "start long, length long, piece int, ids_crc32 long"
 
-class _Ids(dict):
-    """White-space-delimited chunks (UTF-8) to their ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins what it parts, so chunks between ASCII spaces stand alone.
-    """
+class _Known:
+    """A worker's cache: hashes of pieces to numbers, and the ids of the numbered pieces one after another in one array."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.path = path
-        self.words: dict[bytes, bytes] = {}
-        vocab = tokenizer(path).get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a pre-token
-        self.last[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
-
-    def _encode(self, items: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(items), 4096):
-            out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer(self.path).encode_batch_fast([c.decode("utf-8") for c in items[i : i + 4096]], add_special_tokens=False)]
-        return out
-
-    def _encode_words(self, words: list[bytes]) -> None:
-        """Lower-case words, each one pre-token: encoded as one text and parted after each word-final token."""
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            e = tokenizer(self.path).encode_batch_fast([b" ".join(part).decode("utf-8")], add_special_tokens=False)[0]
-            ids = np.array(e.ids, "<u4")
-            cuts = [0, *((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()]
-            data = ids.tobytes()
-            self.words.update((w, data[a:b]) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-
-    def learn(self, chunks: set[bytes]) -> None:
-        ids = self.words
-        if len(ids) > WORD_ENTRIES:
-            ids.clear()
-        ids[b""] = b""
-        known = ids.get
-        new: list[tuple[bytes, bytes, bytes]] = []
-        other: list[bytes] = []
-        for c in chunks:
-            word, mark = c.lower(), b""
-            if not word.isalpha():  # ASCII letters only
-                if word[:-1].isalpha() and word[-1:] in b".,;:!?":
-                    word, mark = word[:-1], word[-1:]
-                elif m := _PLAIN(c.decode("utf-8")):
-                    word, mark = m[1].lower().encode(), m[2].encode()
-                else:
-                    other.append(c)
-                    continue
-            a, b = known(word), known(mark)
-            if a is None or b is None:
-                new.append((c, word, mark))
-            else:
-                self[c] = a + b
-        self._encode_words(list({w for _, w, _ in new if w not in ids}))
-        marks = list({m for _, _, m in new if m not in ids})
-        ids.update(zip(marks, self._encode(marks), strict=True))
-        self.update([(c, ids[w] + ids[m]) for c, w, m in new])
-        self.update(zip(other, self._encode(other), strict=True))
+        self.path, self.encoder, self.special = path, shared(WordEnds, path), special_strings(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[int, int] = {}
+        self.ids, self.bounds = np.empty(1 << 20, "<u4"), np.zeros(1 << 18, np.int64)
+
+    def places(self, p: Pieces, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Numbers of the distinct ``hashes`` of ``p``, which begin at ``first``; new ones are encoded and kept."""
+        if len(self.at) > CACHE_ENTRIES:
+            self.clear()
+        found = np.array(list(map(self.at.get, hashes.tolist(), repeat(-1))), np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            order, size, ids = self.encoder.ids(p.texts(first[new]))
+            new, n = new[order], len(self.at)
+            used = int(self.bounds[n])
+            if used + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids[:used], np.empty(used + len(ids), "<u4")))
+            if n + len(new) >= len(self.bounds):
+                self.bounds = np.concatenate((self.bounds[: n + 1], np.empty(n + len(new), np.int64)))
+            self.ids[used : used + len(ids)] = ids
+            self.bounds[n + 1 : n + 1 + len(new)] = used + np.cumsum(size)
+            found[new] = np.arange(n, n + len(new))
+            self.at.update(zip(hashes[new].tolist(), range(n, n + len(new)), strict=True))
+        return found
+
+
+def token_ids(texts: list[bytes | None], known: _Known) -> Iterator[tuple[int, np.ndarray]]:
+    """Each text's number and its ids, in parts one after another for long texts."""
+    texts = [t or b"" for t in texts]
+    whole = [i for i, t in enumerate(texts) if not known.encoder.cuts or any(s in t for s in known.special)]
+    for i, ids in zip(whole, encoded(known.path, [texts[i].decode("utf-8", "replace") for i in whole]), strict=True):
+        texts[i] = None
+        yield i, np.array(ids, "<u4")
+    cut = [i for i, t in enumerate(texts) if t is not None]
+    for owner, p in buffers([texts[i] for i in cut], words=True):
+        u, first, inv = np.unique(p.hash, return_index=True, return_inverse=True)
+        at = known.places(p, u, first)
+        begin, size = known.bounds[at], known.bounds[at + 1] - known.bounds[at]
+        bounds = np.append(p.first, len(inv))
+        for a, z in spans(bounds, size[inv]):
+            part = inv[bounds[a] : bounds[z]]
+            n = size[part]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = known.ids[np.repeat(begin[part] - (ends - n), n) + np.arange(total)]
+            edge = np.concatenate(([0], ends))[bounds[a : z + 1] - bounds[a]].tolist()
+            for i in range(a, z):
+                yield cut[owner[i]], ids[edge[i - a] : edge[i - a + 1]]
+
+
+def spans(bounds: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` ids each (a longer text stands alone), so that ids of a buffer stay few at a time."""
+    total = np.concatenate(([0], np.cumsum(size)))[bounds]
+    a, n = 0, len(bounds) - 1
+    while a < n:
+        z = max(a + 1, int(np.searchsorted(total, total[a] + most, side="right")) - 1)
+        yield a, min(z, n)
+        a = min(z, n)
+
+
+_KNOWN: dict[str, _Known] = {}
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    cache = _STATE.get(("ids", path)) or _STATE.setdefault(("ids", path), _Ids(path))
-    gc.disable()  # millions of small objects and no cycles among them
-    try:
-        yield from _cut_batches(batches, cache, capacity, end_id)
-    finally:
-        gc.enable()
-        trim_memory()
-
-
-def _cut_batches(batches: Iterator[pa.RecordBatch], cache: _Ids, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    end = np.array([end_id], "<u4").tobytes()
+    if path not in _KNOWN:  # a worker keeps its cache from task to task
+        _KNOWN[path] = _Known(path)
+    end = np.array([end_id], "<u4")
     for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        for lo in range(0, len(texts), 256):
-            part = [(t or b"").split() for t in texts[lo : lo + 256]]
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            found = [list(map(cache.get, chunks)) for chunks in part]
-            gaps: list[tuple[list, list, int]] = []
-            for chunks, data in zip(part, found, strict=True):
-                at = -1
-                for _ in range(data.count(None)):
-                    at = data.index(None, at + 1)
-                    gaps.append((chunks, data, at))
-            new = {chunks[at] for chunks, _, at in gaps}
-            if new:
-                cache.learn(new)
-                for chunks, data, at in gaps:
-                    data[at] = cache[chunks[at]]
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for i, ids_of in enumerate(found):
-                data = b"".join(ids_of) + end
-                for k, s in enumerate(range(0, len(data), 4 * capacity)):
-                    piece = data[s : s + 4 * capacity]
-                    for out, x in zip(rows, (i, s // 4, len(piece) // 4, k, zlib.crc32(piece)), strict=True):
+        rows: tuple[list, ...] = ([], [], [], [], [])
+        with uncollected():
+            for i, found in groupby(token_ids(b.column(1).to_pylist(), _KNOWN[path]), key=itemgetter(0)):
+                ids = np.concatenate([*(x for _, x in found), end])
+                for k, s in enumerate(range(0, len(ids), capacity)):
+                    piece = ids[s : s + capacity]
+                    for out, x in zip(rows, (i, s, len(piece), k, zlib.crc32(piece)), strict=True):
                         out.append(x)
-            for c in new:
-                if len(c) > LONG:
-                    cache.pop(c, None)
-            at, start, length, piece, crc = rows
-            yield pa.record_batch(
-                {
-                    "id": ids.slice(lo, len(part)).take(pa.array(at, pa.int64())),
-                    "start": pa.array(start, pa.int64()),
-                    "length": pa.array(length, pa.int64()),
-                    "piece": pa.array(piece, pa.int32()),
-                    "ids_crc32": pa.array(crc, pa.int64()),
-                }
-            )
+        at, start, length, piece, crc = rows
+        yield pa.record_batch(
+            {
+                "id": b.column(0).take(pa.array(at, pa.int64())),
+                "start": pa.array(start, pa.int64()),
+                "length": pa.array(length, pa.int64()),
+                "piece": pa.array(piece, pa.int32()),
+                "ids_crc32": pa.array(crc, pa.int64()),
+            }
+        )
+    trim_memory()
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -1,139 +1,134 @@
 """Token counts by a map-side two-tier lookup over a byte-level BPE.
 
-A text is cut into pieces at single spaces that stand between two non-space characters.  The
-tokenizer's own pre-token pattern always begins a new pre-token at such a space, so a piece with its
-leading space is encoded alone as within its text.  Tier one is a broadcast table of the most frequent pieces'
-token counts; tier two is a bounded cache in each worker, and what both miss is encoded by the tokenizer in batches.
+Texts are cut into pieces at places where the tokenizer's pre-token pattern certainly begins a new pre-token: before and after white
+space, and between letters, digits and marks, as far as a byte's class is known (``_pieces.CLASSES``); nothing is cut beside characters of
+unknown class, so a piece is one pre-token as a rule, sometimes several, and is encoded alone as within its text.  Pieces are hashed
+from a buffer of about 1 MB of texts at once.  Tier one is a broadcast table of the most frequent pieces' token counts, two
+sorted arrays; tier two is a bounded cache in each worker; what both miss is encoded, each distinct piece of a buffer once.
 
 The table holds at most ``table_size`` entries (a stated bound, whatever the input).  It is found from all rows: each
-task counts its pieces and sends its ``per_task`` most frequent, and only those few rows are summed;
+task counts its pieces in bounded memory and sends its ``per_task`` most frequent, and only those few rows are summed;
 pieces themselves are never shuffled.  What the table holds affects speed alone, never a count.
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows stay repeated; other columns are ignored.
+Defined results: null and empty texts have 0 bytes and 0 tokens; repeated rows stay repeated; an empty table gives no rows; other columns are
+ignored; texts with a special string of the tokenizer, and all texts under a tokenizer of another kind, are encoded whole.  Pieces are told
+apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bpe import ByteLevel, encoded, shared, special_strings
 from ._common import pick
-
-#: A space that does not stand alone between two other characters; Python's classes cover all the tokenizer's spaces.
-_ODD = re.compile(r"(?: \s|\s )")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES = 200_000
-#: Longer pieces are rare and never stay in a cache.
-LONG = 64
-_STATE: dict = {}
-
-
-def tokenizer(path: str):
-    """The tokenizer of a file, once in each process."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _STATE:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _STATE[path] = t
-    return _STATE[path]
-
-
-def pieces(text: str) -> list[str]:
-    """Pieces of a text; all but the first stand for themselves with a space before them."""
-    if _ODD.search(text):
-        return _SAFE.split(text)
-    return text.split(" ") if text else []
-
-
-def _encode_lengths(path: str, items: list[str]) -> list[int]:
-    out: list[int] = []
-    for i in range(0, len(items), 4096):
-        out += [len(e.ids) for e in tokenizer(path).encode_batch_fast(items[i : i + 4096], add_special_tokens=False)]
-    return out
-
-
-class _Counts(dict):
-    """The worker's tier: pieces (with their space left out) to token counts."""
-
-    def __init__(self, path: str, base: dict[str, int]):
-        super().__init__(base)
-        self.path, self.base = path, base
-
-    def __missing__(self, piece: str) -> int:
-        return _encode_lengths(self.path, [" " + piece])[0]
-
-
-def _frequent(batches: Iterator[pa.RecordBatch], per_task: int) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            if text:
-                seen.update(pieces(text)[1:])
-                if len(seen) > CACHE_ENTRIES * 2:  # bounded memory: only the frequent half goes on
-                    seen = Counter(dict(seen.most_common(CACHE_ENTRIES)))
-    top = seen.most_common(per_task)
-    yield pa.record_batch({"piece": pa.array([k for k, _ in top], pa.string()), "n": pa.array([v for _, v in top], pa.int64())})
+from ._pieces import buffers, uncollected
+from ._words import U64, trim_memory
+
+CACHE_ENTRIES = 400_000
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], path: str, per_task: int) -> Iterator[pa.RecordBatch]:
+    encoder = shared(ByteLevel, path)
+    seen: dict[int, int] = {}
+    text: dict[int, bytes] = {}
+    for b in batches if encoder.cuts else ():
+        for _, p in buffers([t or b"" for t in b.column(0).to_pylist()]):
+            u, first, n = np.unique(p.hash, return_index=True, return_counts=True)
+            keys = u.tolist()
+            fresh = [i for i, k in enumerate(keys) if k not in text]
+            text.update(zip([keys[i] for i in fresh], p.texts(first[fresh]), strict=True))
+            for k, x in zip(keys, n.tolist(), strict=True):
+                seen[k] = seen.get(k, 0) + x
+            if len(seen) > CACHE_ENTRIES:  # bounded memory: only the frequent half goes on
+                top = sorted(seen, key=seen.get, reverse=True)[: CACHE_ENTRIES // 2]
+                seen, text = {k: seen[k] for k in top}, {k: text[k] for k in top}
+    top = sorted(seen, key=lambda k: (-seen[k], k))[:per_task]
+    tokens = encoder.lengths([text[k] for k in top])
+    yield pa.record_batch(
+        {"piece": pa.array(np.array(top, U64).view(np.int64)), "n": pa.array([seen[k] for k in top], pa.int64()), "tokens": pa.array(tokens, pa.int64())}
+    )
+    trim_memory()
 
 
-def frequent_table(docs: DataFrame, path: str, table_size: int, per_task: int) -> dict[str, int]:
-    """Token counts of the most frequent pieces: at most ``table_size`` entries reach the driver."""
+def frequent_table(docs: DataFrame, path: str, table_size: int, per_task: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and token counts of the most frequent pieces: at most ``table_size`` entries reach the driver."""
     rows = (
         docs.select("text")
-        .mapInArrow(lambda it: _frequent(it, per_task), "piece string, n long")
-        .where(F.length("piece") <= LONG)
+        .mapInArrow(lambda it: _frequent(it, path, per_task), "piece long, n long, tokens long")
         .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"), F.max("tokens").alias("tokens"))
         .orderBy(F.desc("n"), "piece")
         .limit(table_size)
-        .collect()
+        .select("piece", "tokens")
+        .toArrow()
     )
-    keys = [r["piece"] for r in rows]
-    return dict(zip(keys, _encode_lengths(path, [" " + k for k in keys]), strict=True))
+    keys = rows.column("piece").to_numpy().view(U64)
+    order = np.argsort(keys)
+    return keys[order], rows.column("tokens").to_numpy()[order]
+
+
+def _counted(texts: list[bytes], encoder: ByteLevel, table: tuple[np.ndarray, np.ndarray], cache: dict[int, int]) -> np.ndarray:
+    """Tokens of each text, through the table, then the cache, then the encoder."""
+    keys, tokens = table
+    out = np.zeros(len(texts), np.int64)
+    for owner, p in buffers(texts):
+        u, first, inv = np.unique(p.hash, return_index=True, return_inverse=True)
+        n = np.zeros(len(u), np.int64)
+        miss = np.arange(len(u))
+        if len(keys):
+            k = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+            hit = keys[k] == u
+            n[hit] = tokens[k[hit]]
+            miss = np.flatnonzero(~hit)
+        found = list(map(cache.get, u[miss].tolist()))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            at = miss[new]
+            fresh = encoder.lengths(p.texts(first[at]))
+            if len(cache) > CACHE_ENTRIES:
+                cache.clear()
+            cache.update(zip(u[at].tolist(), fresh, strict=True))
+            for i, x in zip(new, fresh, strict=True):
+                found[i] = x
+        n[miss] = found
+        total = np.concatenate(([0], np.cumsum(n[inv])))
+        np.add.at(out, owner, total[p.behind] - total[p.first])
+    return out
+
+
+_CACHES: dict[str, tuple[object, dict[int, int]]] = {}
 
 
 def _count(batches: Iterator[pa.RecordBatch], table: Broadcast, path: str, limit: int) -> Iterator[pa.RecordBatch]:
-    base, key = table.value, ("counts", path)
-    if key not in _STATE or _STATE[key].base is not base:  # a worker keeps its cache from task to task
-        _STATE[key] = _Counts(path, base)
-    cache = _STATE[key]
-    bound = len(base) + CACHE_ENTRIES
+    encoder, special, known = shared(ByteLevel, path), special_strings(path), table.value
+    if path not in _CACHES or _CACHES[path][0] is not known:  # a worker keeps its cache from task to task
+        _CACHES[path] = (known, {})
+    cache = _CACHES[path][1]
     for b in batches:
-        ids, texts = b.column(0), b.column(1).to_pylist()
-        for lo in range(0, max(len(texts), 1), 256):
-            part = [t or "" for t in texts[lo : lo + 256]]
-            cut = [pieces(t) for t in part]
-            missing = list({p for c in cut for p in c[1:] if p not in cache})
-            if missing:
-                if len(cache) + len(missing) > bound:
-                    cache.clear()
-                    cache.update(base)
-                    missing = list({p for c in cut for p in c[1:] if p not in cache})
-                cache.update(zip(missing, _encode_lengths(path, [" " + p for p in missing]), strict=True))
-            heads = _encode_lengths(path, [c[0] if c else "" for c in cut])
-            get = cache.__getitem__
-            n = [h + sum(map(get, c[1:])) for h, c in zip(heads, cut, strict=True)]
-            for p in missing:
-                if len(p) > LONG:
-                    cache.pop(p, None)
-            yield pa.record_batch(
-                {
-                    "id": ids.slice(lo, len(part)),
-                    "n_bytes": pa.array([len(t.encode()) for t in part], pa.int64()),
-                    "n_tokens": pa.array(n, pa.int64()),
-                    "over_limit": pa.array([x > limit for x in n], pa.bool_()),
-                }
-            )
+        texts = [t or b"" for t in b.column(1).to_pylist()]
+        whole = [i for i, t in enumerate(texts) if not encoder.cuts or any(s in t for s in special)]
+        cut = list(texts)
+        for i in whole:
+            cut[i] = b""
+        with uncollected():
+            n = _counted(cut, encoder, known, cache)
+        for i, ids in zip(whole, encoded(path, [texts[i].decode("utf-8", "replace") for i in whole]), strict=True):
+            n[i] = len(ids)
+        yield pa.record_batch(
+            {
+                "id": b.column(0),
+                "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+                "n_tokens": pa.array(n, pa.int64()),
+                "over_limit": pa.array(n > limit, pa.bool_()),
+            }
+        )
+    trim_memory()
 
 
 def count_tokens(
@@ -151,9 +146,9 @@ def count_tokens(
     strings within texts are handled as the tokenizer does by default.
     """
     base = pick(docs, id=id_col, text=text_col)
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(frequent_table(base, path, table_size, per_task))
     kind = dict(base.dtypes)["id"]
+    base = base.select("id", F.col("text").cast("binary").alias("text"))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_table(base, path, table_size, per_task))
     out = base.mapInArrow(
         lambda it: _count(it, table, path, limit), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean"
     )

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, fingerprint, lm_score, near_dup, packing, pii, substring_dedup, token_counts, toxicity, url_filter
+from brindle.llm import _bpe, _pieces, decontaminate, fingerprint, lm_score, near_dup, packing, pii, substring_dedup, token_counts, toxicity, url_filter
 from brindle.llm._words import ALNUM, FOLDED, PLAIN, U64, Words, rolling, word_hashes
 
 tokens = pytest.importorskip("tokenizers")
@@ -351,20 +351,45 @@ def test_components(spark):
 # --- 5 --------------------------------------------------------------------------------------------------------------
 
 
+ODD = [" ", " ", "\n", "a", "b's", "'ll", "1", "é", "\u00a0", "\x1c", "  ", "\t", "ß", "中", ".", "\u2028", "\u0301", "😀", "don't", "İ", "“", "…", "×", "Ж", "'", "I'D", "\x00", "\r\n"]
+
+
 def test_pieces_are_encoded_as_in_their_text():
-    t = token_counts.tokenizer(BYTE)
-    rng = random.Random(3)
-    parts = [" ", " ", "\n", "a", "b's", "'ll", "1", "é", "\u00a0", "\x1c", "<|endoftext|>", "  ", "\t", "ß", "中", ".", "\u2028", "\u0301", "😀", "don't"]
-    for _ in range(5000):
-        s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        p = token_counts.pieces(s)
-        cut = [p[0], *(" " + x for x in p[1:])] if p else []
-        assert "".join(cut) == s
-        assert [i for x in cut for i in t.encode(x, add_special_tokens=False).ids] == t.encode(s, add_special_tokens=False).ids, s
+    t, rng = _bpe.tokenizer(BYTE), random.Random(3)
+    texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    encoder, none = _bpe.shared(_bpe.ByteLevel, BYTE), (np.empty(0, U64), np.empty(0, np.int64))
+    got = token_counts._counted([x.encode() for x in texts], encoder, none, {})
+    assert got.tolist() == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
+    for owner, p in _pieces.buffers([x.encode() for x in texts]):
+        assert b"".join(p.texts(np.arange(p.first[0], p.behind[0]))) == texts[owner[0]].encode()
+
+
+def test_both_libraries_merge_alike():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzàâçéèêëîïôûùüÿñæßåøABÉÀ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 16))) for _ in range(5000)] + ["a" * i for i in range(1, 300)]
+    w, b = _bpe.shared(_bpe.WordEnds, WORD), _bpe.shared(_bpe.ByteLevel, BYTE)
+    assert w.fast and b.fast
+    order, size, ids = w.ids([x.encode() for x in words])
+    got = dict(zip(order, (x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])), strict=True))
+    assert [got[i] for i in range(len(words))] == list(_bpe.encoded(WORD, words))
+    assert b.lengths([f" {x}".encode() for x in words]) == [len(x) for x in _bpe.encoded(BYTE, [f" {x}" for x in words])]
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    monkeypatch.setattr(_pieces, "SLICE_BYTES", 200)
+    text = " ".join("".join(random.Random(i).choices("abcé.'1\n", k=9)) for i in range(400)).encode()
+    assert len(_pieces.parts(text)) > 3 and b"".join(_pieces.parts(text)) == text
+    none = (np.empty(0, U64), np.empty(0, np.int64))
+    n = token_counts._counted([b"a", text], _bpe.shared(_bpe.ByteLevel, BYTE), none, {})
+    assert n.tolist() == [1, len(_bpe.tokenizer(BYTE).encode(text.decode(), add_special_tokens=False).ids)]
+    known = packing._Known(WORD)
+    got = np.concatenate([ids for i, ids in packing.token_ids([b"a", text], known) if i == 1])
+    assert got.tolist() == _bpe.tokenizer(WORD).encode(text.decode(), add_special_tokens=False).ids
 
 
 def test_token_counts(edge, edge_rows, empty, docs):
-    t = token_counts.tokenizer(BYTE)
+    t = _bpe.tokenizer(BYTE)
     for df, rows in ((edge, [(r[0], r[1]) for r in edge_rows]), (docs, [(r["doc_id"], r["text"]) for r in docs.collect()])):
         want = []
         for d, s in rows:
@@ -493,7 +518,7 @@ def test_contamination_in_blocks(spark, docs, monkeypatch):
 
 
 def check_packing(got, rows, capacity):
-    t = token_counts.tokenizer(WORD)
+    t = _bpe.tokenizer(WORD)
     want = []
     for d, s in rows:
         ids = t.encode(s or "", add_special_tokens=False).ids + [1]

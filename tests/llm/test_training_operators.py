@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -475,16 +476,35 @@ def naive_tiles(a, b, shortest):
 
 def test_tiling_against_brute_force():
     rng = np.random.default_rng(3)
-    for _ in range(150):
-        a, b = rng.integers(0, 4, rng.integers(3, 25)), rng.integers(0, 4, rng.integers(3, 20))
-        pairs = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if (a[i : i + 3] == b[j : j + 3]).all()]
-        got, want = decontaminate.tile(a, b, pairs, 3), naive_tiles(a.tolist(), b.tolist(), 3)
-        assert [n for *_, n in got][:1] == [n for *_, n in want][:1]  # the longest; later ones may differ on ties
-        assert not want or got
-        covered = sorted(x for _, y, n in got for x in range(y, y + n))
-        assert len(covered) == len(set(covered))
-        for i, j, n in got:
-            assert (a[i : i + n] == b[j : j + n]).all()
+    for i in range(400):
+        a, b = rng.integers(0, 2 + i % 4, rng.integers(3, 25)).astype(U64), rng.integers(0, 2 + i % 4, rng.integers(3, 20)).astype(U64)
+        assert decontaminate.tile(a, b, 3) == naive_tiles(a.tolist(), b.tolist(), 3)
+
+
+def test_coverage_against_brute_force(spark):
+    rng, n = random.Random(12), 3
+    items = [" ".join(rng.choice("abcd"[: 2 + i % 3]) for _ in range(rng.randint(1, 30))) for i in range(25)] + ["b a", "", None, "a"]
+    texts = [" ".join(rng.choice("abcd"[: 2 + i % 3]) for _ in range(rng.randint(0, 40))) for i in range(60)] + ["c " * 30, None, ""]
+
+    def share(text, item):
+        a, b = (text or "").split(), item.split()
+        if len(b) < 5:
+            return float(any(a[i : i + len(b)] == b for i in range(len(a) - len(b) + 1)))
+        return sum(n for *_, n in naive_tiles(a, b, 5)) / len(b)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for r in decontaminate.contamination(df, bench, threshold=0.6).collect():
+        want = {i: share(texts[r["doc_id"]], t) for i, t in enumerate(items) if t}
+        assert r["coverage"] == round(max(want.values()), 9) and r["items"] == sorted(i for i, x in want.items() if x >= 0.6), (r, n)
+
+
+def test_repetitive_texts_are_tiled_in_time(spark):
+    for text, item in ((b"x " * 20_000, b"x " * 1000), (b"x y z " * 7000, b"z x y z x q " * 160), (b"a b c d e " * 4000, b" ".join(b"a b c d e q%d" % i for i in range(160)))):
+        began = time.perf_counter()
+        block = decontaminate.make_block([0], [item])
+        got = decontaminate._match(Words([text], ALNUM), block, 0.5)
+        assert time.perf_counter() - began < 2 and got[0][2] > 0.6
 
 
 def test_contamination(spark, edge, edge_rows, empty):
@@ -509,7 +529,7 @@ def test_contamination(spark, edge, edge_rows, empty):
 def test_contamination_in_blocks(spark, docs, monkeypatch):
     bench = docs.where("length(text) > 200").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 200).alias("text"))
     once = sorted(map(tuple, ((r["doc_id"], r["coverage"], tuple(sorted(r["items"])), r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect())))
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
     again = sorted(map(tuple, ((r["doc_id"], r["coverage"], tuple(sorted(r["items"])), r["contaminated"]) for r in decontaminate.contamination(docs, bench).collect())))
     assert once == again and any(x[3] for x in once)
 

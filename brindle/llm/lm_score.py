@@ -6,9 +6,9 @@ is every word of all texts, and each text begins after a start mark.  A token's
 the mean over its tokens of target loss minus background loss, so lower is closer to the target.
 
 Every word and every bigram counts, however rare, and no model is gathered or broadcast.  Texts are dealt into chunks of some
-megabytes.  A chunk counts its distinct words and bigrams and sends them to shards, which are ranges of the keys' hashes; a shard sums
+megabytes, written once as compressed rows.  A chunk counts its distinct words and bigrams and sends them to shards, which are ranges of the keys' hashes; a shard sums
 what it gets and answers each chunk with the whole table's counts of the keys it asked for; the chunk's texts meet the answers and
-are scored.  A frequent word is one entry for each chunk, so no shard is larger than others, and the number of shards follows the
+are scored.  Sums are exact, so scores don't depend on the number of partitions.  A frequent word is one entry for each chunk, so no shard is larger than others, and the number of shards follows the
 input.  Only four totals and the number of distinct words reach the driver.
 
 Defined results: null and empty texts have 0 tokens, losses and score 0; without target texts both models are
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,61 +79,23 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(_planes(data, "<u8"), dtype=U64)
 
 
-def _rows(schema: pa.Schema, n: int, /, **cols) -> pa.RecordBatch:
-    return pa.record_batch([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+_TOTALS = ("tokens", "target_tokens", "starts", "target_starts")
+_CHUNK = "chunk long, docs binary"
+_ASKED = "chunk long, shard long, words long, keys binary, t binary, b binary, " + ", ".join(f"{c} long" for c in _TOTALS)
 
 
-def _asked(texts: list[bytes | None], target: np.ndarray, chunk: int, bits: int, schema: pa.Schema) -> tuple[np.ndarray, pa.RecordBatch]:
-    """Tokens of each text, and a row for each shard: its words' keys, its bigrams' keys, and the counts of both."""
-    c = _Chunk(texts)
-    one = np.repeat(target.astype(np.float64), c.words.counts)
-    edges = np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
-    sides = []
-    for keys, inv in ((c.word_keys, c.word), (c.bigram_keys, c.bigram)):
-        t, b = np.bincount(inv, weights=one, minlength=len(keys)), np.bincount(inv, minlength=len(keys))
-        sides.append((keys, t, b, np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))))
-    (wk, wt, wb, wc), (bk, bt, bb, bc) = sides
-    used = [i for i in range(1 << bits) if wc[i] < wc[i + 1] or bc[i] < bc[i + 1]]
-    joined = lambda x, y, i: np.concatenate((x[wc[i] : wc[i + 1]], y[bc[i] : bc[i + 1]]))
-    rows = _rows(
-        schema,
-        len(used),
-        chunk=pa.array([chunk] * len(used), pa.int64()),
-        shard=pa.array(used, pa.int64()),
-        words=pa.array([int(wc[i + 1] - wc[i]) for i in used], pa.int64()),
-        keys=pa.array([_steps(wk[wc[i] : wc[i + 1]], bk[bc[i] : bc[i + 1]]) for i in used], pa.binary()),
-        t=pa.array([_packed(joined(wt, bt, i)) for i in used], pa.binary()),
-        b=pa.array([_packed(joined(wb, bb, i)) for i in used], pa.binary()),
-    )
-    return c.words.counts, rows
-
-
-def _dealt(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Each text with its chunk, and each chunk's rows for the shards."""
+def _dealt(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Texts in chunks of about ``most`` bytes: a row for each, with its ids, texts and target marks as a compressed Arrow stream."""
     number = TaskContext.get().partitionId() << 33
-    waiting, size, schema = [], 0, None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        docs = pa.Table.from_batches(waiting).combine_chunks()
-        texts, target = docs.column(1).to_pylist(), docs.column(2).to_numpy()
-        counts, rows = _asked(texts, target, number, bits, schema)
-        n = len(texts)
-        for lo in range(0, n, 1000):
-            part = docs.slice(lo, 1000).combine_chunks()
-            whole = lambda c: pa.concat_arrays(c.chunks)
-            yield _rows(
-                schema, len(part), chunk=pa.array([number] * len(part), pa.int64()), n=pa.array(counts[lo : lo + 1000], pa.int64()),
-                id=whole(part.column(0)), text=whole(part.column(1)), target=whole(part.column(2)),
-            )
-        yield rows
+    waiting, size = [], 0
+
+    def done() -> pa.RecordBatch:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(pa.Table.from_batches(waiting).combine_chunks())
+        return pa.record_batch({"chunk": pa.array([number], pa.int64()), "docs": pa.array([out.getvalue().to_pybytes()], pa.binary())})
 
     for batch in batches:
-        if schema is None:
-            id_type = batch.schema.field(0).type
-            schema = pa.schema(
-                [("chunk", pa.int64()), ("id", id_type), ("text", pa.binary()), ("target", pa.bool_()), ("n", pa.int64()), ("shard", pa.int64())]
-                + [("words", pa.int64()), ("keys", pa.binary()), ("t", pa.binary()), ("b", pa.binary())]
-            )
         ends = np.cumsum(np.array([len(x or b"") + 1 for x in batch.column(1).to_pylist()], np.int64))
         lo = 0
         while lo < batch.num_rows:
@@ -142,16 +105,55 @@ def _dealt(batches: Iterator[pa.RecordBatch], bits: int, most: int) -> Iterator[
                 waiting.append(batch.slice(lo, hi - lo))
                 size += int(ends[hi - 1]) - past
             if hi < batch.num_rows:
-                yield from done()
+                yield done()
                 waiting, size, number = [], 0, number + 1
             lo = hi
     if waiting:
-        yield from done()
+        yield done()
+    trim_memory()
+
+
+def _opened(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _asked(chunk: int, docs: pa.Table, bits: int) -> pa.RecordBatch:
+    """A row for each shard: the chunk's word and bigram keys there and the counts of both; the first row has the chunk's totals."""
+    texts, target = docs.column(1).to_pylist(), docs.column(2).to_numpy()
+    c = _Chunk(texts)
+    n = c.words.counts
+    one = np.repeat(target.astype(np.float64), n)
+    edges = np.arange(1, 1 << bits, dtype=U64) << U64(64 - bits)
+    sides = []
+    for keys, inv in ((c.word_keys, c.word), (c.bigram_keys, c.bigram)):
+        t, b = np.bincount(inv, weights=one, minlength=len(keys)), np.bincount(inv, minlength=len(keys))
+        sides.append((keys, t, b, np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))))
+    (wk, wt, wb, wc), (bk, bt, bb, bc) = sides
+    used = np.flatnonzero((wc[:-1] < wc[1:]) | (bc[:-1] < bc[1:])).tolist()
+    joined = lambda x, y, i: np.concatenate((x[wc[i] : wc[i + 1]], y[bc[i] : bc[i + 1]]))
+    totals = (n.sum(), n[target].sum(), (n > 0).sum(), (n[target] > 0).sum())
+    return pa.record_batch(
+        {
+            "chunk": pa.array([chunk] * len(used), pa.int64()),
+            "shard": pa.array(used, pa.int64()),
+            "words": pa.array([int(wc[i + 1] - wc[i]) for i in used], pa.int64()),
+            "keys": pa.array([_steps(wk[wc[i] : wc[i + 1]], bk[bc[i] : bc[i + 1]]) for i in used], pa.binary()),
+            "t": pa.array([_packed(joined(wt, bt, i)) for i in used], pa.binary()),
+            "b": pa.array([_packed(joined(wb, bb, i)) for i in used], pa.binary()),
+            **{k: pa.array([int(x)][: len(used)] + [0] * (len(used) - 1), pa.int64()) for k, x in zip(_TOTALS, totals, strict=True)},
+        }
+    )
+
+
+def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield _asked(chunk, _opened(data.as_buffer()), bits)
     trim_memory()
 
 
 def _answered(rows: pa.Table) -> pa.Table:
-    """A shard's answers: each chunk's keys counted over all chunks; and a row with the number of distinct words."""
+    """A shard's answers: each chunk's keys counted over all chunks; and a row with the number of distinct words and the totals of chunks."""
     words = rows.column("words").to_numpy()
     keys = [_keys(k) for k in rows.column("keys").to_pylist()]
     t, b = ([_unpacked(x) for x in rows.column(c).to_pylist()] for c in ("t", "b"))
@@ -170,6 +172,7 @@ def _answered(rows: pa.Table) -> pa.Table:
     wide = bool(all_b.max() >= 1 << 32)
     cuts = list(zip(first[:-1], first[1:], strict=True))
     pack = lambda x: pa.array([_packed(x[lo:hi], "<u8" if wide else "<u4") for lo, hi in cuts] + [None], pa.binary())
+    none = pa.nulls(len(cuts), pa.int64()).to_pylist()
     shard = rows.column("shard").to_pylist()
     return pa.table(
         {
@@ -179,11 +182,12 @@ def _answered(rows: pa.Table) -> pa.Table:
             "wide": pa.array([wide] * (len(cuts) + 1), pa.bool_()),
             "t": pack(all_t),
             "b": pack(all_b),
+            **{k: pa.array(none + [pc.sum(rows.column(k)).as_py()], pa.int64()) for k in _TOTALS},
         }
     )
 
 
-_ANSWER = "chunk long, shard long, words long, wide boolean, t binary, b binary"
+_ANSWER = "chunk long, shard long, words long, wide boolean, t binary, b binary, " + ", ".join(f"{c} long" for c in _TOTALS)
 
 
 @dataclass(frozen=True)
@@ -195,7 +199,8 @@ class Totals:
     starts: tuple[int, int]
 
 
-def _scored(docs: pa.Table, answers: pa.Table, totals: Totals) -> pa.Table:
+def _scored(held: pa.Table, answers: pa.Table, totals: Totals) -> pa.Table:
+    docs = _opened(held.column("docs").chunk(0)[0].as_buffer())
     texts = docs.column("text").to_pylist()
     c = _Chunk(texts)
     n = c.words.counts
@@ -238,20 +243,18 @@ def score_language(docs: DataFrame, targets: DataFrame, text_col: str = "text",
     kind = dict(base.dtypes)["id"]
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     most, bits = CHUNK_BYTES, max(6, (size // SHARD_BYTES).bit_length())
-    schema = f"chunk long, id {kind}, text binary, target boolean, n long, shard long, words long, keys binary, t binary, b binary"
-    # Written once: texts and what was asked for them must come from the same dealing.
-    dealt = written(texts.mapInArrow(lambda it: _dealt(it, bits, most), schema))
-    held = dealt.where("shard is null")
-    s = held.agg(F.sum("n"), F.sum(F.expr("if(target, n, 0)")), F.count_if(F.expr("n > 0")), F.count_if(F.expr("target and n > 0")), F.count_distinct("chunk")).first()
+    # Written once: what was asked for a chunk and its texts must come from the same dealing.
+    held = written(texts.mapInArrow(lambda it: _dealt(it, most), _CHUNK))
     parts = lambda groups: max(parallelism(spark), groups // 4)
-    asked = dealt.where("shard is not null").select("chunk", "shard", "words", "keys", "t", "b").repartition(parts(1 << bits), "shard")
+    asked = held.mapInArrow(lambda it: _ask(it, bits), _ASKED).repartition(parts(1 << bits), "shard")
     answers = written(asked.groupBy("shard").applyInArrow(_answered, _ANSWER))
     del asked
     release(spark, 0.5)
-    words = answers.where("chunk is null").agg(F.sum("words")).first()[0] or 0
-    totals = Totals(words, (s[1] or 0, s[0] or 0), (s[3], s[2]))
-    n = parts(s[4])
-    left = held.select("chunk", "id", "text").repartition(n, "chunk").groupBy("chunk")
-    right = answers.where("chunk is not null").repartition(n, "chunk").groupBy("chunk")
+    s = answers.where("chunk is null").agg(F.sum("words"), *[F.sum(c) for c in _TOTALS]).first()
+    words, tokens, target_tokens, starts, target_starts = (x or 0 for x in s)
+    totals = Totals(words, (target_tokens, tokens), (target_starts, starts))
+    n = parts(held.count())
+    left = held.repartition(n, "chunk").groupBy("chunk")
+    right = answers.where("chunk is not null").select("chunk", "shard", "words", "wide", "t", "b").repartition(n, "chunk").groupBy("chunk")
     out = f"id {kind}, n_tokens long, target_loss double, background_loss double, score double"
     return left.cogroup(right).applyInArrow(lambda d, a: _scored(d, a, totals), out).withColumnRenamed("id", id_col)

@@ -256,6 +256,18 @@ def test_language_scores_of_many_chunks(spark, docs, monkeypatch):
     test_language_scores_against_brute_force(spark, docs)
 
 
+def test_language_scores_do_not_depend_on_partitions(spark, docs):
+    was, out = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "300"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = lm_score.score_language(docs.repartition(int(n) % 7 + 1), docs.where("doc_id % 3 = 0")).collect()
+            out.append(sorted(map(tuple, got), key=key))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert out[0] == out[1] and len({x[-1] for x in out[0]}) > 5
+
+
 def test_language_scores_of_edge_cases(spark, edge, edge_rows, empty):
     none = spark.createDataFrame([], "doc_id long")
     got = collected(lm_score.score_language(edge, none))

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
+#: A side is broadcast up to this size (bytes of the table as written, and rows); beyond either the sides meet in a shuffle.
+BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else the warehouse.
 
-    Only where the session names none (as in tests) a folder of this machine is set.
+    Only on a local master, where there are no other machines, an unset one is a new temporary folder.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -26,36 +30,71 @@ def shared_dir(spark: SparkSession) -> str:
     if not root and not current.isEmpty():
         root = current.get()
     if not root:
-        root = tempfile.mkdtemp(prefix="brindle-checkpoint-")
+        root = tempfile.mkdtemp(prefix="brindle-checkpoint-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
     if current.isEmpty():
         sc.setCheckpointDir(root)
     return root
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a job in this block are removed on all executors when the job ends; a lost one is then made anew from its input."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it again: a lineage cut with column pruning."""
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"brindle-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_TABLES: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession, wait: float = 0.0) -> None:
-    """Let go of plans nobody holds, so that Spark removes their shuffle files now and not at some later collection.
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_TABLES.items()):
+        with suppress(Exception):  # the session's JVM may have gone before
+            _delete(spark, path)
+    _TABLES.clear()
 
-    Python tells the JVM of dropped objects in the background; ``wait`` (seconds) lets that happen between two collections.
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it again: a lineage cut with column pruning.
+
+    The table is removed by ``discard``, or when the driver process ends.
     """
-    for _ in range(2 if wait else 1):
-        gc.collect()
-        time.sleep(wait)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(wait)
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), f"brindle-{uuid.uuid4().hex}")
+    _TABLES[path] = spark
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._brindle_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that no result reads any more."""
+    for t in tables:
+        path = t._brindle_path
+        _delete(t.sparkSession, path)
+        _TABLES.pop(path, None)
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A table that ``written`` made, marked for broadcast if its rows and bytes are within the bounds."""
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(table._brindle_path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    if size <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS:
+        return F.broadcast(table)
+    return table
 
 
 def ascii_lower(col: Column) -> Column:

@@ -21,13 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import parallelism, pick
 from ._words import U64, _table, mix
 
 SIZE = 64
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 4096
 _BASE = 0xD6E8FEB86659FD93 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -162,14 +164,23 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
         f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
     )
-    n = parallelism(spark)
+    # Ranges of about RANGE_BYTES, whatever the cluster; beyond MOST_RANGES they grow, and their sort spills.
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MOST_RANGES, 1 + size // RANGE_BYTES)
     keys = base.select("id")
     # Ends of the ranges: a bounded number of quantiles reaches the driver.
     cuts = sorted(set(keys.where("id is not null").approxQuantile("id", [i / n for i in range(1, n)], 1 / (20 * n)))) if n > 1 else []
     grp = F.lit(0)
     if cuts:
-        bounds = F.array(*[F.lit(float(c)) for c in cuts])
-        grp = F.coalesce(F.size(F.filter(bounds, lambda c: F.col("id").cast("double") >= c)), F.lit(0))
+        # A bisection over the sorted bounds, unrolled: a dozen comparisons a row.
+        def place(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(key < F.lit(float(cuts[mid])), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+        key = F.col("id").cast("double")
+        grp = F.when(F.col("id").isNull(), F.lit(0)).otherwise(place(0, len(cuts)))
     dealt = base.withColumn("grp", grp.cast("int"))
     groups = sorted(r["grp"] for r in dealt.select("grp").distinct().collect())
     if not groups:
@@ -183,7 +194,7 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
     heads = heads.select(F.col("m.id").alias("id"), F.col("m.text").alias("text"), to, F.lit(True).alias("head"))
     both = dealt.withColumn("head", F.lit(False)).unionByName(heads)
     return (
-        both.repartition(n, "grp")
+        both.repartition(max(n, parallelism(spark)), "grp")
         .sortWithinPartitions("grp", "head", F.col("id").asc_nulls_first(), "text")
         .select("grp", "id", "head", "text")
         .mapInArrow(_pairs, schema)

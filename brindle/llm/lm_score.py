@@ -28,12 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parallelism, pick, release, written
+from ._common import parallelism, pick, small, written
 from ._words import FOLDED, U64, Words, mix, trim_memory
 
 MU = 20.0
-#: Target ids are broadcast up to this many rows of 8 bytes; beyond it texts and labels meet in a shuffle.
-BROADCAST_ROWS = 2_000_000
 #: Bytes of text in a chunk (a longer text stands alone), and of the whole input for each shard.
 CHUNK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
@@ -237,9 +235,7 @@ def score_language(docs: DataFrame, targets: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     base = pick(docs, id=id_col, text=text_col).select("id", F.col("text").cast("binary").alias("text"))
     ids = written(pick(targets, id=id_col).where("id is not null").distinct().withColumn("target", F.lit(True)))
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    texts = base.join(ids, "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    texts = base.join(small(ids), "id", "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     kind = dict(base.dtypes)["id"]
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     most, bits = CHUNK_BYTES, max(6, (size // SHARD_BYTES).bit_length())
@@ -248,8 +244,6 @@ def score_language(docs: DataFrame, targets: DataFrame, text_col: str = "text",
     parts = lambda groups: max(parallelism(spark), groups // 4)
     asked = held.mapInArrow(lambda it: _ask(it, bits), _ASKED).repartition(parts(1 << bits), "shard")
     answers = written(asked.groupBy("shard").applyInArrow(_answered, _ANSWER))
-    del asked
-    release(spark, 0.5)
     s = answers.where("chunk is null").agg(F.sum("words"), *[F.sum(c) for c in _TOTALS]).first()
     words, tokens, target_tokens, starts, target_starts = (x or 0 for x in s)
     totals = Totals(words, (target_tokens, tokens), (target_starts, starts))

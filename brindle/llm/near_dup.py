@@ -28,13 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick, release, written
+from ._common import discard, pick, small, written
 from ._words import FOLDED, U64, Words, mix, rolling, slices, trim_memory, windows
 
 GUARD = 0.55
 BLOCK_SHINGLES = 250_000
 BLOCK_NODES = 800
-BROADCAST_ROWS = 2_000_000
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -211,18 +210,18 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the least label among the neighbours (a minimum that is combined before the shuffle), then the
     label's own label; rounds grow with the logarithm of a path's length and each is written to the shared folder.
     """
-    spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    labels = table = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         top = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = written(hooked.join(top, "label", "left").select("node", "old", F.least("label", "up").alias("label")))
         moved = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        release(spark)
+        discard(table)
+        table, labels = new, new.select("node", "label")
         if not moved:
+            discard(both)
             return labels
 
 
@@ -253,9 +252,7 @@ def near_duplicates(
     member = written(member.join(sizes.select("cluster", cut.alias("blocks")), "cluster"))
     total = member.where("blocks = 1").agg(F.sum("n")).first()[0] or 0
     common = max(1, math.ceil(total / BLOCK_SHINGLES))
-    wanted = member.select(F.col("least").alias("id")).distinct()
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = small(written(member.select(F.col("least").alias("id")).distinct()))
     texts = base.join(wanted.withColumnRenamed("id", "want"), F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text")
     sets = texts.mapInArrow(lambda it: _sets(it, width), "node binary, shingles binary")
     # Ids may repeat, so sets are matched by their own hash; equal ones are one row.

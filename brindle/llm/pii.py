@@ -3,9 +3,8 @@
 Base spans (e-mail, IP, card, phone) come from fixed patterns and are never dropped.  The tagger, written and trained in
 numpy from labelled spans, finds forms that the patterns miss (phones without a plus, spaced or bracketed at signs, cards parted by
 dots).  Texts are cut into windows of ``WINDOW`` characters every ``STRIDE``; windows with no digit and no at sign can't
-hold any of the four kinds and are not decoded.  Each window is decoded by Viterbi over the CRF; a character that two
-windows cover takes the tag of the one where it is nearer the middle, and spans are read from the whole
-text's tags.  A span that overlaps no base span and passes its kind's check (digits, Luhn, parts) is added.
+hold any of the four kinds and are not decoded.  Windows that overlap are reconciled into one stretch: a character that two
+windows cover takes its emissions from the one where it is nearer the middle, and the whole stretch is decoded by one Viterbi path over the CRF.  A span that overlaps no base span and passes its kind's check (digits, Luhn, parts) is added.
 
 Defined results: a null text counts as empty; without spans the strings are empty (and the digest is that of the empty string); repeated rows
 stay repeated; an empty table gives no rows; other columns are ignored.  Offsets count code points; ends are exclusive.
@@ -15,8 +14,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -156,14 +157,14 @@ def _lstm(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bo
 def _lstm_back(x, wh, saved, dout):
     t, n, k = dout.shape
     dwx, dwh, db = np.zeros((N_CODES, 4 * k), np.float32), np.zeros_like(wh), np.zeros(4 * k, np.float32)
-    dh, dc = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+    dh, dc, one = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), np.eye(N_CODES, dtype=np.float32)
     for i in range(t - 1, -1, -1):
         gates, g, was_h, was_c, tc = saved[i]
         a, f, o = gates[:, :k], gates[:, k : 2 * k], gates[:, 2 * k : 3 * k]
         dh = dh + dout[i]
         dc = dc + dh * o * (1 - tc * tc)
         dz = np.concatenate((dc * g * a * (1 - a), dc * was_c * f * (1 - f), dh * tc * o * (1 - o), dc * a * (1 - g * g)), axis=1)
-        np.add.at(dwx, x[:, i], dz)
+        dwx += one[x[:, i]].T @ dz
         dwh += was_h.T @ dz
         db += dz.sum(axis=0)
         dh, dc = dz @ wh.T, dc * f
@@ -208,14 +209,17 @@ def _crf_grad(e: np.ndarray, y: np.ndarray, trans: np.ndarray, start: np.ndarray
     return float((logz - gold).sum()), de, dt, ds
 
 
-def viterbi(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Best tag rows (n, t) for emissions (t, n, tags)."""
-    t, n, _ = e.shape
-    score, back = start + e[0], np.empty((t, n, e.shape[2]), np.int8)
+def viterbi(e: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+    """Best tag rows (n, t) for emissions (t, n, tags); of rows with ``lengths``, which descend, what lies behind is no part of the path."""
+    t, n, k = e.shape
+    live = np.full(t, n) if lengths is None else n - np.searchsorted(lengths[::-1], np.arange(t), side="right")
+    score, back = start + e[0], np.empty((t, n, k), np.int8)
     for i in range(1, t):
-        step = score[:, :, None] + trans
-        back[i] = step.argmax(axis=1)
-        score = step.max(axis=1) + e[i]
+        m = int(live[i])
+        step = score[:m, :, None] + trans
+        back[i, :m], back[i, m:] = step.argmax(axis=1), np.arange(k)
+        best = step.max(axis=1) + e[i, :m]
+        score[:m] = best - best.max(axis=1, keepdims=True)  # long texts don't outgrow the precision
     out, rows = np.empty((n, t), np.int8), np.arange(n)
     out[:, -1] = score.argmax(axis=1)
     for i in range(t - 1, 0, -1):
@@ -223,20 +227,24 @@ def viterbi(e: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(examples: list[tuple[str, list[Span]]], epochs: int = 8, size: int = 32, rate: float = 0.015, hidden: int = 16, seed: int = 11) -> Tagger:
+def fit(examples: list[tuple[str, list[Span]]], epochs: int = 8, size: int = 64, rate: float = 0.02, hidden: int = 16, seed: int = 11) -> Tagger:
     """Train on texts of at most ``WINDOW`` characters with their labelled spans, by Adam."""
-    x, y = np.zeros((len(examples), WINDOW), np.int64), np.zeros((len(examples), WINDOW), np.int64)
+    codes, tags = np.zeros((len(examples), WINDOW), np.int64), np.zeros((len(examples), WINDOW), np.int64)
+    lengths = np.array([len(text) for text, _ in examples])
     for i, (text, spans) in enumerate(examples):
-        x[i, : len(text)] = encode(text)
+        codes[i, : len(text)] = encode(text)
         for a, k, b in spans:
-            y[i, a] = 1 + 2 * k
-            y[i, a + 1 : b] = 2 + 2 * k
+            tags[i, a] = 1 + 2 * k
+            tags[i, a + 1 : b] = 2 + 2 * k
     m, rng = new_tagger(hidden, seed), np.random.default_rng(seed)
     mean, var, step = {k: np.zeros_like(v) for k, v in m.p.items()}, {k: np.zeros_like(v) for k, v in m.p.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(examples))
-        for lo in range(0, len(order), size):
+        order = order[np.argsort(lengths[order] // 32, kind="stable")]  # texts of like length go together, so little is padding
+        for lo in rng.permutation(np.arange(0, len(order), size)).tolist():
             rows = order[lo : lo + size]
+            most = int(lengths[rows].max())
+            x, y = codes[:, :most], tags[:, :most]
             e, both, sf, sb = emissions(m, x[rows], keep=True)
             _, de, dt, ds = _crf_grad(e, y[rows], m.p["t"], m.p["s"])
             de = (de / len(rows)).astype(np.float32)
@@ -337,25 +345,58 @@ def window_starts(text: str) -> list[int]:
     return [k * STRIDE for k in sorted(set(out))]
 
 
-def _reconciled(starts: list[int], tags: np.ndarray, n: int) -> list[Span]:
-    """Spans from the tags of a text's windows: each character's from the window where it is nearest the middle."""
-    best = np.full(n, WINDOW, np.int64)
-    whole = np.zeros(n, np.int64)
-    off = np.abs(2 * np.arange(WINDOW) - (WINDOW - 1))
-    for s, row in zip(starts, tags, strict=True):
+def stretches(starts: list[int]) -> list[tuple[int, int]]:
+    """Index ranges of windows that overlap one another in a row."""
+    cuts = [0, *(i for i in range(1, len(starts)) if starts[i] - starts[i - 1] >= WINDOW), len(starts)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True)) if starts else []
+
+
+_FAR_OFF = np.abs(2 * np.arange(WINDOW) - (WINDOW - 1))
+
+
+def stitched(starts: list[int], rows: np.ndarray, n: int) -> np.ndarray:
+    """Emissions of the characters from the first window's start on: each from the window where it is nearest the middle."""
+    base, end = starts[0], min(starts[-1] + WINDOW, n)
+    best, out = np.full(end - base, 2 * WINDOW, np.int64), np.empty((end - base, rows.shape[2]), rows.dtype)
+    for s, row in zip(starts, rows, strict=True):
         m = min(WINDOW, n - s)
-        near = off[:m] < best[s : s + m]
-        best[s : s + m][near] = off[:m][near]
-        whole[s : s + m][near] = row[:m][near]
-    spans, at = [], np.flatnonzero(whole)
-    i = 0
+        at = np.arange(s - base, s - base + m)
+        near = _FAR_OFF[:m] < best[at]
+        best[at[near]] = _FAR_OFF[:m][near]
+        out[at[near]] = row[:m][near]
+    return out
+
+
+def decoded(parts: list[np.ndarray], m: Tagger, most: int = 1 << 16) -> list[np.ndarray]:
+    """The best tags of each stretch by one Viterbi path over all of it; stretches of like length go together."""
+    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(parts)
+    order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+    lo = 0
+    while lo < len(order):
+        t = len(parts[order[lo]])
+        own = order[lo : lo + max(1, most // t)]
+        e = np.zeros((t, len(own), TAGS), np.float32)
+        for k, i in enumerate(own):
+            e[: len(parts[i]), k] = parts[i]
+        lengths = np.array([len(parts[i]) for i in own])
+        for i, tags in zip(own, viterbi(e, m.p["t"], m.p["s"], lengths), strict=True):
+            out[i] = tags[: len(parts[i])]
+        lo += len(own)
+    return out
+
+
+def tagged(tags: np.ndarray, base: int) -> list[Span]:
+    """Spans of a row of tags: from a begin (or a stray inside) on, as long as its kind goes on."""
+    spans, at, i = [], np.flatnonzero(tags), 0
+    ends = np.append(np.flatnonzero(np.diff(tags)) + 1, len(tags))  # of the runs of one tag
     while i < len(at):
         a = int(at[i])
-        kind = (int(whole[a]) - 1) // 2
-        b = a + 1
-        while b < n and whole[b] == 2 + 2 * kind:
-            b += 1
-        spans.append((a, kind, b))
+        kind = (int(tags[a]) - 1) // 2
+        inside = 2 + 2 * kind
+        b = a if tags[a] == inside else a + 1
+        if b < len(tags) and tags[b] == inside:
+            b = int(ends[np.searchsorted(ends, b, side="right")])
+        spans.append((base + a, kind, base + b))
         i = int(np.searchsorted(at, b))
     return spans
 
@@ -363,29 +404,46 @@ def _reconciled(starts: list[int], tags: np.ndarray, n: int) -> list[Span]:
 def add_spans(texts: list[str], base: list[list[Span]], m: Tagger, windows: int = 512) -> list[list[Span]]:
     """What the tagger adds to the base spans of each text."""
     out: list[list[Span]] = [[] for _ in texts]
-    places = [(i, s) for i, t in enumerate(texts) for s in window_starts(t)]
-    codes = {i: encode(texts[i]) for i in {i for i, _ in places}}
-    rows: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-    for lo in range(0, len(places), windows):
-        part = places[lo : lo + windows]
-        x = np.zeros((len(part), WINDOW), np.int64)
-        for r, (i, s) in enumerate(part):
-            piece = codes[i][s : s + WINDOW]
-            x[r, : len(piece)] = piece
-        for (i, s), row in zip(part, viterbi(emissions(m, x)[0], m.p["t"], m.p["s"]), strict=True):
-            starts, tags = rows.setdefault(i, ([], []))
-            starts.append(s)
-            tags.append(row)
-    for i, (starts, tags) in rows.items():
-        taken = sorted((a, b) for a, _, b in base[i])
-        text = texts[i]
-        for a, kind, b in _reconciled(starts, np.array(tags), len(text)):
-            while b > a and text[b - 1] in " \n.,;:":
-                b -= 1
-            while a < b and text[a] in " \n.,;:":
-                a += 1
-            if not any(x < b and a < y for x, y in taken) and _valid(kind, text[a:b]):
-                out[i].append((a, kind, b))
+    places = [(i, window_starts(t)) for i, t in enumerate(texts)]
+    runs = [(i, starts[a:b]) for i, starts in places for a, b in stretches(starts)]
+    codes = {i: encode(texts[i]) for i in {i for i, _ in runs}}
+    lo = 0
+    while lo < len(runs):  # about ``windows`` windows at a time
+        hi, n = lo + 1, len(runs[lo][1])
+        while hi < len(runs) and n + len(runs[hi][1]) <= windows:
+            n += len(runs[hi][1])
+            hi += 1
+        group = runs[lo:hi]
+        flat = [(i, s) for i, starts in group for s in starts]
+        rows = np.empty((len(flat), WINDOW, TAGS), np.float32)
+        for a in range(0, len(flat), windows):
+            part = flat[a : a + windows]
+            x = np.zeros((len(part), WINDOW), np.int64)
+            for r, (i, s) in enumerate(part):
+                piece = codes[i][s : s + WINDOW]
+                x[r, : len(piece)] = piece
+            rows[a : a + len(part)] = emissions(m, x)[0].transpose(1, 0, 2)
+        cuts = np.cumsum([0, *(len(starts) for _, starts in group)]).tolist()
+        parts = [stitched(starts, rows[a:b], len(texts[i])) for (i, starts), a, b in zip(group, cuts[:-1], cuts[1:], strict=True)]
+        for (i, starts), tags in zip(group, decoded(parts, m), strict=True):
+            out[i] += _accepted(texts[i], tagged(tags, starts[0]), base[i])
+        lo = hi
+    return out
+
+
+def _accepted(text: str, found: list[Span], base: list[Span]) -> list[Span]:
+    """Found spans, stripped of marks around, that pass their kind's check and overlap no base span."""
+    taken = sorted((a, b) for a, _, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    out = []
+    for a, kind, b in found:
+        while b > a and text[b - 1] in " \n.,;:":
+            b -= 1
+        while a < b and text[a] in " \n.,;:":
+            a += 1
+        k = bisect_left(starts, b)  # base spans that begin before the end, and how far they reach
+        if a < b and not (k and reach[k - 1] > a) and _valid(kind, text[a:b]):
+            out.append((a, kind, b))
     return out
 
 

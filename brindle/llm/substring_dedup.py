@@ -15,8 +15,8 @@ million copies is one hash for each group, never a group of copies in one place.
 for equal only costs candidates; step 2 decides.
 
 Defined results: null and empty texts have no words, nothing removed and the digest of the empty string; documents shorter than a window keep all
-words; repeated rows count as two places each; rows equal in id and text share a group; an empty table gives no rows; other columns
-are ignored.
+words; repeated rows count as two places each; an empty table gives no rows; other columns are ignored.  Words and windows are told
+apart by hashes of 64 and 96 bits.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick, release, written
+from ._common import pick, written
 from ._words import PLAIN, U64, Words, mix, rolling, slices
 
 BUCKET_WORDS = 1 << 20
@@ -249,16 +249,15 @@ def dedup_substrings(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, math.ceil(size / group_bytes))
     buckets = 1 << max(0, math.ceil(math.log2(max(1, size / 6 / BUCKET_WORDS))) + 1)
-    own = base.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)))
+    # Written once: the number that deals a row must stay the same in all three steps, and rows equal in id and text must part.
+    own = written(base.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))))
     # Step 1 needs no text by group: a group's parts in several tasks are several senders, whose hits come back together.
     sent = own.groupBy("grp").applyInArrow(lambda t: _probe(t, block, buckets), "bucket long, grp long, probes binary, blocks binary, many binary")
     hits = written(sent.groupBy("bucket").applyInArrow(_meet, "grp long, bucket long, hits binary"))
-    release(docs.sparkSession, wait=1.0)
     more = own.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(
         lambda d, h: _extend(d, h, width, block, buckets), "bucket long, grp long, keys binary, many binary"
     )
     repeats = written(more.groupBy("bucket").applyInArrow(_repeated, "grp long, keys binary"))
-    release(docs.sparkSession, wait=1.0)
 
     def final(d: pa.Table, r: pa.Table) -> pa.Table:
         t = _remove(d, r, width)

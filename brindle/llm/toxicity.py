@@ -2,14 +2,14 @@
 
 P(grade >= k) = sigmoid(w . x - theta_k): all thresholds share the weights w, and theta_1 < theta_2 < ... by
 construction.  x says which words a text holds (A-Z lower-cased runs of letters and digits, as 64-bit hashes).  The model is
-fitted in numpy on at most ``max_rows`` labelled rows (a stated bound, drawn by a hash of the id), of whose words the
-``max_features`` most telling are kept; so what is broadcast has a fixed size.  Scoring reads every text whole.
+fitted in numpy on at most ``max_rows`` labelled rows (a stated bound, drawn by a hash of the id; one row for each id); features
+are the words whose share differs between grade 0 and the rest by ``least_z`` standard errors or more, however many, so what is broadcast follows that bound.  Scoring reads every text whole.
 
 The driver's labels are two flags, so grades are: 0 not toxic, 1 toxic, 2 toxic and of low quality.
 
 Defined results: a null or empty text has no words, so the bare thresholds' severity; without labelled rows of two grades
-every severity is 0 and nothing is rejected; a null grade is no label; of several labels of one id the highest counts;
-repeated rows stay repeated; other columns are ignored.
+every severity is 0 and nothing is rejected; a null grade is no label; of several labels of one id the highest counts; of several
+rows of a drawn id the one with the least text hash is fitted; repeated rows stay repeated and are scored alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,7 +54,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"grade": grades.slice(lo, hi - lo), "words": pa.array(rows, pa.list_(pa.int64()))})
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, max_features: int = 2000, steps: int = 500, l2: float = 1e-5) -> OrdinalModel:
+def parameters(params: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, and thresholds that ascend by construction: the first, then what lies between them as soft-plus steps."""
+    return params[:m], params[m] + np.concatenate(([0.0], np.cumsum(np.logaddexp(0, params[m + 1 :]))))
+
+
+def loss_and_gradient(params: np.ndarray, row: np.ndarray, col: np.ndarray, grades: np.ndarray, m: int, l2: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with shrinkage, and its gradient; ``row`` and ``col`` say which row holds which word."""
+    n, k = len(grades), len(params) - m
+    w, theta = parameters(params, m)
+    s = np.bincount(row, weights=w[col], minlength=n)
+    cum = np.column_stack((np.ones(n), _sigmoid(s[:, None] - theta[None, :]), np.zeros(n)))
+    at = np.arange(n)
+    like = np.maximum(cum[at, grades] - cum[at, grades + 1], 1e-12)
+    slope = cum * (1 - cum)  # of each cumulative probability; none at either end
+    up, down = slope[at, grades] / like, slope[at, grades + 1] / like
+    g_w = -np.bincount(col, weights=(up - down)[row], minlength=m) / n + l2 * w
+    g_theta = np.array([((grades == j) * up).sum() - ((grades == j - 1) * down).sum() for j in range(1, k + 1)]) / n
+    tail = np.cumsum(g_theta[::-1])[::-1]
+    return -np.log(like).mean() + l2 / 2 * (w @ w), np.concatenate((g_w, tail[:1], tail[1:] * _sigmoid(params[m + 1 :])))
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, steps: int = 500, l2: float = 1e-5, least_z: float = 3.5) -> OrdinalModel:
     """Fit weights and ordered thresholds by full-batch Adam on the cumulative-link likelihood."""
     k = int(grades.max()) if len(grades) else 0
     n = len(grades)
@@ -62,59 +83,41 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, max_features: int =
         return OrdinalModel(np.empty(0, U64), np.empty(0), np.full(max(k, 1), np.inf))
     row = np.repeat(np.arange(n), [len(r) for r in rows])
     words, col = np.unique(np.concatenate(rows).astype(U64), return_inverse=True)
-    # Two-proportion z of each word between grade 0 and the rest.
-    hit = np.bincount(col, weights=(grades[row] > 0), minlength=len(words))
-    df = np.bincount(col, minlength=len(words))
+    hit, df = np.bincount(col, weights=grades[row] > 0, minlength=len(words)), np.bincount(col, minlength=len(words))
     n1 = int((grades > 0).sum())
-    n0 = n - n1
     p = (df + 1) / (n + 2)
-    z = (hit / n1 - (df - hit) / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    keep = np.argsort(-np.abs(z), kind="stable")[:max_features]
-    keep = np.sort(keep[(np.abs(z[keep]) >= 3.5) & (df[keep] >= 5)])
-    at = np.full(len(words), -1)
-    at[keep] = np.arange(len(keep))
-    used = at[col] >= 0
-    row, col, m = row[used], at[col[used]], len(keep)
+    z = (hit / n1 - (df - hit) / (n - n1)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
+    words, used = words[np.abs(z) >= least_z], np.abs(z)[col] >= least_z
+    row, col, m = row[used], (np.cumsum(np.abs(z) >= least_z) - 1)[col[used]], len(words)
     base = np.array([np.clip((grades >= j).mean(), 1e-4, 1 - 1e-4) for j in range(1, k + 1)])
     theta = np.log((1 - base) / base)
-    gaps = np.log(np.expm1(np.maximum(np.diff(theta), 1e-2)))
-    params = np.concatenate((np.zeros(m), theta[:1], gaps))
+    params = np.concatenate((np.zeros(m), theta[:1], np.log(np.expm1(np.maximum(np.diff(theta), 1e-2)))))
     mean, var = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, steps + 1):
-        w, steps_up = params[:m], np.log1p(np.exp(params[m + 1 :]))
-        th = params[m] + np.concatenate(([0.0], np.cumsum(steps_up)))
-        s = np.bincount(row, weights=w[col], minlength=n)
-        cum = np.column_stack((np.ones(n), _sigmoid(s[:, None] - th[None, :]), np.zeros(n)))
-        like = np.maximum(cum[np.arange(n), grades] - cum[np.arange(n), grades + 1], 1e-12)
-        slope = cum * (1 - cum)  # of each cumulative probability; none at either end
-        up, down = slope[np.arange(n), grades] / like, slope[np.arange(n), grades + 1] / like
-        g_w = -np.bincount(col, weights=(up - down)[row], minlength=m) / n + l2 * w
-        g_th = np.array([((grades == j) * up).sum() - ((grades == j - 1) * down).sum() for j in range(1, k + 1)]) / n
-        tail = np.cumsum(g_th[::-1])[::-1]
-        grad = np.concatenate((g_w, tail[:1], tail[1:] * _sigmoid(params[m + 1 :])))
+        _, grad = loss_and_gradient(params, row, col, grades, m, l2)
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad**2
         params = params - 0.1 * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-8)
-    th = params[m] + np.concatenate(([0.0], np.cumsum(np.log1p(np.exp(params[m + 1 :])))))
-    return OrdinalModel(words[keep], params[:m], th)
+    return OrdinalModel(words, *parameters(params, m))
 
 
 def train(
     docs: DataFrame, grades: DataFrame, text_col: str = "text", id_col: str = "doc_id", grade_col: str = "grade",
-    max_rows: int = 12_000, max_features: int = 2000,
+    max_rows: int = 12_000,
 ) -> OrdinalModel:
     """Fit on at most ``max_rows`` rows of ``grades`` (id, grade from 0) and their texts in ``docs``."""
     labelled = pick(grades, id=id_col, grade=grade_col).where("id is not null and grade is not null")
     labelled = labelled.groupBy("id").agg(F.max("grade").cast("int").alias("grade"))
     drawn = labelled.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # its size is bounded: broadcast
-    texts = pick(docs, id=id_col, text=text_col)
+    texts = pick(docs, id=id_col, text=text_col).join(F.broadcast(drawn), "id")
+    # One row for each id, however many there are: taken together before the shuffle.
+    texts = texts.groupBy("id").agg(F.min_by(F.struct("text", "grade"), F.struct(F.xxhash64("text"), "text")).alias("r")).select("r.text", "r.grade")
     rows = (
-        texts.join(F.broadcast(drawn), "id")
-        .select(F.col("text").cast("binary").alias("text"), "grade")
+        texts.select(F.col("text").cast("binary").alias("text"), "grade")
         .mapInArrow(_features, "grade int, words array<long>")
         .toArrow()
     )
     words = [np.asarray(x.values, np.int64) if x.values is not None else np.empty(0, np.int64) for x in rows.column("words")]
-    return fit_ordinal(words, np.asarray(rows.column("grade"), np.int64), max_features)
+    return fit_ordinal(words, np.asarray(rows.column("grade"), np.int64))
 
 
 def _flags(model: OrdinalModel) -> np.ndarray:

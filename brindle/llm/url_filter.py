@@ -1,15 +1,18 @@
 """URL filter by a ratio of character Markov models, after explicit host and path rules.  Native: no Python on executors.
 
-Two smoothed variable-order models (orders 0 to 2) are counted from URLs with a label: accepted
-URLs fit an ``allow`` rule; rejected ones fit a ``block`` rule, or no rule and a word of ``seeds`` in
-the host.  Characters are folded to ``ALPHABET`` (other characters become ``*``, digits ``0``), so a
-dense trigram table has exactly ``len(ALPHABET) ** 3`` rows: that is the proven bound under which it
-is broadcast.  A URL's score is the mean over its characters of log P(accepted) - log P(rejected);
-the threshold maximises balanced accuracy over the labelled URLs' score histogram.
-
-Defined results: a null URL or one without ``://`` has empty host and path, no rule and the score of its
-characters (a null or empty one scores 0); without labelled URLs of both kinds every score is 0 and
-the verdict is ``allow``; repeated rows and repeated ids stay repeated; other columns are ignored.
+Two smoothed variable-order models (orders 0 to ``ORDER``, interpolated as Witten and Bell do, so a context never seen leaves the
+word to the shorter one) are counted from labelled URLs: accepted ones fit an ``allow`` rule; rejected ones fit a ``block`` rule, or no
+rule and a word of ``seeds`` in the host.  What made a rule fit, the host's suffix and the path's prefix, is left out of a labelled URL's text, so the
+models learn from the rest of it and not the rules once more.  Characters are folded to ``ALPHABET`` (digits to ``0``, others to ``*``): a model
+is a dense table of exactly ``len(ALPHABET) ** (ORDER + 1)`` rows of 12 bytes, whatever the input: the proven bound under which it is broadcast.
+
+A URL's score is the mean over its characters (without the scheme) of log P(accepted) - log P(rejected); repeated texts are scored once.  Every fifth labelled text,
+by its hash, is held out of the counts; the threshold is the highest one at which at most ``loss`` of the held-out accepted URLs are blocked.
+
+Defined results: a null URL or one without ``://`` has empty host and path, no rule and the score of all its
+characters (a null or empty one scores 0); without labelled URLs of both kinds, or none held out, every verdict without a rule is
+``allow``; of equally long rules the first wins; a score at the threshold is allowed; repeated rows and ids stay repeated; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,9 +24,12 @@ from pyspark.sql import functions as F
 
 from ._common import ascii_lower, pick, written
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_?=&%#:+*^$"
-_PLAIN = ALPHABET[:-3]
-BINS = 400
+#: Letters, any digit, three marks, any other character, start and end.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-*^$"
+ORDER = 3
+SIZE = len(ALPHABET)
+BINS = 4000
+HELD_OUT = 5
 
 
 @dataclass(frozen=True)
@@ -47,11 +53,15 @@ DEFAULT_RULES = (
 DEFAULT_SEEDS = ("casino", "pills", "bets", "poker", "viagra", "porn", "xxx")
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty for null or without it."""
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a URL; both empty for null or without ``://``."""
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
+    rest = after_scheme(url)
     host = F.regexp_extract(rest, r"(?s)^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return ascii_lower(host), path
@@ -66,83 +76,75 @@ def rule_index(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return F.lit(-1) if out is None else out.otherwise(F.lit(-1))
 
 
-def _folded(url: Column) -> Column:
-    low = ascii_lower(F.coalesce(url, F.lit("")))
-    digits = F.regexp_replace(low, "[0-9]+", "0")
-    plain = F.regexp_replace(digits, "(?s)[^a-z0./\\-_?=&%#:+]", "*")
-    return F.when(plain == "", plain).otherwise(F.concat(F.lit("^^"), plain, F.lit("$")))
+def _folded(text: Column) -> Column:
+    """Folded to the alphabet, after ``ORDER`` start marks and before an end mark; empty for an empty text."""
+    plain = F.regexp_replace(F.regexp_replace(ascii_lower(text), "[0-9]", "0"), "(?s)[^a-z0./\\-]", "*")
+    return F.when(plain == "", plain).otherwise(F.concat(F.lit("^" * ORDER), plain, F.lit("$")))
 
 
-def _grams(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each character of ``s``, with the two before it: ``g`` of three characters."""
-    n = F.length("s")
-    at = F.when(n >= 3, F.sequence(F.lit(1), n - 2)).otherwise(F.array().cast("array<int>"))
-    return df.select(*keep, "s", F.explode(at).alias("at")).select(*keep, F.expr("substring(s, at, 3)").alias("g"))
+def _codes(folded: Column) -> Column:
+    """Places in the alphabet of the characters of a folded text."""
+    table = F.array(*[F.lit(max(ALPHABET.find(chr(i)), 0)) for i in range(128)])
+    return F.transform(F.slice(F.split(folded, ""), F.lit(1), F.length(folded)), lambda c: F.get(table, F.ascii(c)))
 
 
-def _model(counts: DataFrame, spark) -> DataFrame:
-    """Dense table (g, ratio): interpolated Witten-Bell of orders 2, 1, 0 over a uniform base, for both labels."""
-    letters = F.array(*[F.lit(c) for c in ALPHABET])
-    size = len(ALPHABET)
-    grid = spark.range(1).select(F.explode(letters).alias("a"))
-    grid = grid.select("a", F.explode(letters).alias("b"))
-    grid = grid.select("a", "b", F.explode(letters).alias("c"))
-    n = counts.select(
-        F.substring("g", 1, 1).alias("a"), F.substring("g", 2, 1).alias("b"), F.substring("g", 3, 1).alias("c"), "acc", "rej"
-    )
+def _grams(codes: Column) -> Column:
+    """Numbers of the runs of ``ORDER + 1`` characters."""
+    n = F.greatest(F.size(codes) - ORDER, F.lit(0))
+    out = F.slice(codes, F.lit(1), n)
+    for k in range(1, ORDER + 1):  # neighbours side by side: no look-up by place within a lambda, which would make the array anew each time
+        out = F.zip_with(out, F.slice(codes, F.lit(k + 1), n), lambda a, b: a * SIZE + b)
+    return out
+
+
+def _ratios(counts: DataFrame) -> DataFrame:
+    """The dense table of log ratios: a row (g, ratio) for each of ``SIZE ** (ORDER + 1)`` runs of characters."""
+    out = counts.sparkSession.range(SIZE ** (ORDER + 1)).select(F.col("id").cast("int").alias("g"))
+    for k in range(ORDER + 1):  # of the last k + 1 characters
+        key, ctx = (F.col("g") % SIZE ** (k + 1)).alias(f"g{k}"), F.floor((F.col("g") % SIZE ** (k + 1)) / SIZE).cast("int").alias(f"c{k}")
+        cells = counts.groupBy(key).agg(F.sum("acc").alias(f"acc{k}"), F.sum("rej").alias(f"rej{k}"))
+        sums = [f(F.col(f"{x}{k}")).alias(f"{x}{k}_{tag}") for x in ("acc", "rej") for tag, f in (("n", F.sum), ("t", lambda c: F.count_if(c > 0)))]
+        totals = cells.groupBy(F.floor(F.col(f"g{k}") / SIZE).cast("int").alias(f"c{k}")).agg(*sums)
+        # Both have at most one row for each number of the table.
+        out = out.withColumns({f"g{k}": key, f"c{k}": ctx}).join(F.broadcast(cells), f"g{k}", "left").join(F.broadcast(totals), f"c{k}", "left")
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    logs = {}
+    for x in ("acc", "rej"):
+        p = F.lit(1.0 / SIZE)
+        for k in range(ORDER + 1):
+            den = zero(f"{x}{k}_n") + zero(f"{x}{k}_t")
+            p = F.when(den > 0, (zero(f"{x}{k}") + zero(f"{x}{k}_t") * p) / den).otherwise(p)
+        logs[x] = F.log(p)
+    both = (zero("acc0_n") > 0) & (zero("rej0_n") > 0)
+    return out.select("g", F.round(F.when(both, logs["acc"] - logs["rej"]).otherwise(F.lit(0.0)), 9).alias("ratio"))
+
 
-    def level(keys: list[str], ctx: list[str], tag: str) -> DataFrame:
-        cells = n.groupBy(*keys).agg(F.sum("acc").alias(f"acc{tag}"), F.sum("rej").alias(f"rej{tag}"))
-        parts = [
-            f(f"{k}{tag}")
-            for k in ("acc", "rej")
-            for f in (
-                lambda x: F.sum(x).alias(f"{x}_n"),
-                lambda x: F.sum(F.when(F.col(x) > 0, 1).otherwise(0)).alias(f"{x}_t"),
-            )
-        ]
-        totals = cells.groupBy(*ctx).agg(*parts) if ctx else cells.agg(*parts)
-        return cells, totals
-
-    out = grid
-    for tag, keys, ctx in (("3", ["a", "b", "c"], ["a", "b"]), ("2", ["b", "c"], ["b"])):
-        cells, totals = level(keys, ctx, tag)
-        out = out.join(cells, keys, "left").join(totals, ctx, "left")
-    cells, totals = level(["c"], [], "1")
-    tot = totals.withColumn("one", F.lit(1))
-    out = out.join(cells, "c", "left").withColumn("one", F.lit(1)).join(F.broadcast(tot), "one", "left")
-    z = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    ps = {}
-    for k in ("acc", "rej"):
-        p = F.lit(1.0 / size)
-        for tag in ("1", "2", "3"):
-            x = f"{k}{tag}"
-            den = z(f"{x}_n") + z(f"{x}_t")
-            p = F.when(den > 0, (z(x) + z(f"{x}_t") * p) / den).otherwise(p)
-        ps[k] = p
-    both = (z("acc1_n") > 0) & (z("rej1_n") > 0)
-    ratio = F.when(both, F.log(ps["acc"]) - F.log(ps["rej"])).otherwise(F.lit(0.0))
-    return out.select(F.concat("a", "b", "c").alias("g"), F.round(ratio, 9).alias("ratio"))
-
-
-def _threshold(labelled: DataFrame) -> float:
-    """The cut of the score histogram (at most ``BINS`` rows reach the driver) with the best balanced accuracy."""
+def _scores(texts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(key, score) of folded texts ``s``: a row of a few bytes for each character, taken together again within the task that made it."""
+    rows = texts.select(_key(F.col("s")).alias("key"), F.explode(_grams(_codes(F.col("s")))).alias("g"))
+    total = F.sum(F.col("ratio").cast("decimal(28,9)")).cast("double")
+    return rows.join(F.broadcast(ratios), "g").groupBy("key").agg(F.round(total / F.count(F.lit(1)), 9).alias("score"))
+
+
+def _key(s: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"))
+
+
+def _threshold(held_out: DataFrame, loss: float) -> float | None:
+    """The highest cut at which at most ``loss`` of the accepted URLs score lower; at most ``BINS`` rows reach the driver."""
     lo, hi = -4.0, 4.0
-    b = F.floor((F.greatest(F.lit(lo), F.least(F.lit(hi - 1e-9), F.col("score"))) - lo) / (hi - lo) * BINS)
-    rows = labelled.groupBy(b.alias("bin")).agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")).collect()
-    acc, rej = {r["bin"]: r["acc"] for r in rows}, {r["bin"]: r["rej"] for r in rows}
-    n_acc, n_rej = sum(acc.values()), sum(rej.values())
-    if not n_acc or not n_rej:
-        return lo
-    best, cut, below_rej, below_acc = -1.0, lo, 0, 0
-    for i in range(BINS + 1):
-        value = below_rej / n_rej + (n_acc - below_acc) / n_acc
-        edge = lo + (hi - lo) * i / BINS
-        if value > best + 1e-12 or (abs(value - best) <= 1e-12 and abs(edge) < abs(cut)):
-            best, cut = value, edge
-        below_rej += rej.get(i, 0)
-        below_acc += acc.get(i, 0)
-    return cut
+    width = (hi - lo) / BINS
+    b = F.floor((F.greatest(F.lit(lo), F.least(F.lit(hi - width / 2), F.col("score"))) - lo) / width).cast("int")
+    rows = held_out.groupBy(b.alias("bin")).agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")).orderBy("bin").collect()
+    accepted, below = sum(r["acc"] for r in rows), 0
+    if not accepted or not sum(r["rej"] for r in rows):
+        return None
+    for r in rows:
+        below += r["acc"]
+        if below > loss * accepted:
+            return lo + width * r["bin"]
+    raise AssertionError("accepted URLs must be found")
 
 
 def filter_urls(
@@ -151,46 +153,42 @@ def filter_urls(
     id_col: str = "page_id",
     rules: tuple[Rule, ...] = DEFAULT_RULES,
     seeds: tuple[str, ...] = DEFAULT_SEEDS,
+    loss: float = 0.02,
 ) -> DataFrame:
-    """One row per row of ``pages``: id, host, path, rule, verdict, score and the threshold used."""
-    spark = pages.sparkSession
+    """One row per row of ``pages``: id, host, path, rule, verdict, score and the threshold used (null without one)."""
     base = pick(pages, id=id_col, url=url_col)
     host, path = split_url(F.col("url"))
     base = base.select("id", "url", host.alias("host"), path.alias("path"))
-    base = base.withColumn("k", rule_index(F.col("host"), F.col("path"), rules)).withColumn("s", _folded(F.col("url")))
-    names = F.array(*[F.lit(r.name) for r in rules]) if rules else F.array(F.lit(""))
-    verdicts = F.array(*[F.lit(r.verdict) for r in rules]) if rules else F.array(F.lit("allow"))
-    by_rule = F.when(F.col("k") >= 0, F.get(verdicts, F.col("k")))
+    base = base.withColumn("k", rule_index(F.col("host"), F.col("path"), rules))
+    named = lambda values: F.when(F.col("k") >= 0, F.get(F.array(*[F.lit(v) for v in values]), F.col("k"))) if values else F.lit(None)
+    base = base.withColumns({"rule": named([r.name for r in rules]).cast("string"), "ruled": named([r.verdict for r in rules]).cast("string")})
     seeded = F.lit(False)
     for w in seeds:
         seeded = seeded | F.col("host").contains(w)
-    acc = F.when(by_rule == "allow", 1).otherwise(0)
-    rej = F.when(by_rule == "block", 1).when((F.col("k") < 0) & seeded, 1).otherwise(0)
-    base = base.withColumns({"acc": acc, "rej": rej, "rule": F.when(F.col("k") >= 0, F.get(names, F.col("k"))), "ruled": by_rule})
-
+    label = F.when(F.col("ruled") == "allow", "acc").when((F.col("ruled") == "block") | (F.col("k") < 0) & seeded, "rej")
+    rest = after_scheme(F.col("url"))
+    cut_host = F.coalesce(named([len(r.host) for r in rules]), F.lit(0))
+    cut_path = F.coalesce(named([len(r.path) for r in rules]), F.lit(0))
+    masked = F.concat(
+        F.substring("host", F.lit(1), F.length("host") - cut_host), F.lit("/"), F.substring(rest, F.length("host") + cut_path + 1, F.length(rest))
+    )
+    labelled = base.where(label.isNotNull()).select((label == "acc").cast("int").alias("acc"), (label == "rej").cast("int").alias("rej"), _folded(masked).alias("s"))
+    # A row for each distinct text: hot texts are counted before the shuffle.
+    labelled = written(labelled.groupBy("s").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")))
+    held_out = F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0
     counts = (
-        _grams(base.where("acc + rej > 0").select("s", "acc", "rej"), ["acc", "rej"])
-        .groupBy("g")
+        labelled.where(~held_out).select("acc", "rej", F.explode(_grams(_codes(F.col("s")))).alias("g")).groupBy("g")
         .agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
     )
-    # At most len(ALPHABET) ** 3 rows whatever the input: materialised once, used twice.
-    model = _model(counts, spark).cache()
-    keyed = base.withColumn("n", F.greatest(F.length("s") - 2, F.lit(0)))
-
-    # URLs that fold to one string score alike: score distinct strings, which also takes repeated URLs together.
-    texts = base.groupBy("s").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
-    # Written before it is joined: a string of very many URLs is then one large partition of its side, which Spark can split.
-    scores = written(
-        _grams(texts.where(F.length("s") >= 3).withColumn("t", F.col("s")), ["t"])
-        .join(F.broadcast(model), "g", "left")
-        .groupBy("t")
-        .agg(F.round(F.sum(F.coalesce("ratio", F.lit(0.0)).cast("decimal(28,9)")).cast("double") / F.count(F.lit(1)), 9).alias("score"))
-    )
-    labelled = texts.where("acc + rej > 0").join(scores, F.col("s") == F.col("t")).select("acc", "rej", "score")
-    cut = _threshold(labelled)
-    out = keyed.join(scores, F.col("s") == F.col("t"), "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    method = F.when(F.col("score") >= cut, "allow").otherwise("block")
+    ratios = written(_ratios(written(counts)))
+    whole = F.when(F.instr("url", "://") > 0, rest).otherwise(F.coalesce("url", F.lit("")))
+    base = base.withColumn("s", _folded(whole))
+    texts = base.select("s").union(labelled.where(held_out).select("s")).where("s <> ''").distinct()
+    # Written before it is joined: a text of very many URLs is then one large partition of its side, which Spark can split.
+    scores = written(_scores(texts, ratios))
+    cut = _threshold(labelled.where(held_out).select("acc", "rej", _key(F.col("s")).alias("key")).join(scores, "key"), loss)
+    out = base.withColumn("key", _key(F.col("s"))).join(scores, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    method = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, "allow").otherwise("block")
     return out.select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"),
-        "score", F.lit(cut).alias("threshold"),
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score", F.lit(cut).cast("double").alias("threshold")
     )

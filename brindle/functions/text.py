@@ -87,6 +87,37 @@ def explicit_citations(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\b([0-9]{3}\.[0-9]+[a-z]?)\b"), F.lit(1))
 
 
+def located(c: Column, pattern: str, width: int = 60) -> Column:
+    """(number, start, end, context) of each match of a pattern with one group around all of it; context reaches ``width`` characters to both sides.
+
+    Matches and what stands between them add up to offsets, so the text is passed over a fixed number of times.
+    """
+    found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.split(c, pattern)
+    pairs = F.zip_with(gaps, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("number")))
+    none = F.array().cast("array<struct<number:string,start:int,end:int>>")
+    add = lambda s, p: F.struct(
+        (s["at"] + p["gap"] + F.length(p["number"])).cast("int").alias("at"),
+        F.concat(s["out"], F.array(F.struct(p["number"].alias("number"), (s["at"] + p["gap"]).cast("int").alias("start"), (s["at"] + p["gap"] + F.length(p["number"])).cast("int").alias("end")))).alias("out"),
+    )
+    spans = F.aggregate(F.filter(pairs, lambda p: p["number"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    lead = lambda m: F.greatest(m["start"] - width, F.lit(0))
+    around = lambda m: collapse_spaces(F.substring(c, lead(m) + 1, m["end"] + width - lead(m)))
+    return F.transform(spans, lambda m: F.struct(m["number"].alias("number"), m["start"].alias("start"), m["end"].alias("end"), around(m).alias("context")))
+
+
+def located_citations(c: Column) -> Column:
+    """Dotted rule numbers with their offsets and the text around them."""
+    return located(c, r"\b([0-9]{3}\.[0-9]+[a-z]?)\b")
+
+
+def stated_rules(c: Column) -> Column:
+    """Rule numbers that a question states, in order of place: dotted ones, and chapters after a cue word; a stated span isn't taken twice.
+
+    A chapter's three digits must not go on into a dotted number, so no dotted number is overlapped.
+    """
+    return located(c, r"((?:\b[0-9]{3}\.[0-9]+[a-z]?\b)|(?:(?i)(?<=\brule\s|\bcr\s|\bcomprehensive rules?\s)[0-9]{3}\b(?!\.[0-9])))")
+
+
 def fold_term(t: Column) -> Column:
     """A light plural stem."""
     n = F.length(t)

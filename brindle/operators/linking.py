@@ -1,63 +1,225 @@
-"""Dictionary linking: n-gram lookup for one length, and the greedy longest match over a lexicon."""
+"""Dictionary linking over DataFrames: a lexicon of name forms, n-gram candidates by joins, and greedy longest matches without overlaps.
 
-from __future__ import annotations
+A text's words are numbered; runs of words that begin with a known first word are looked up by a hash join, so neither the lexicon nor the texts
+are held in one place.  Only hits are sent on, and one fold over a text's few hits keeps the greedy ones.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse_spaces
+from ..functions.text import carries_capitalization, collapse_spaces, loose_name, normalize_name, split_faces, stated_rules
+
+MAX_NAME_WORDS = 12
+MAX_QUERY_WORDS = 8
+#: Layouts that are no rules entities (fixed values of the card data).
+NON_RULES_LAYOUTS = ("art_series", "token", "double_faced_token", "emblem")
+
+
+def rules_entities(cards: DataFrame, layout: str = "layout") -> DataFrame:
+    """Cards that a question can be about; an unknown layout is kept."""
+    return cards.where(~F.coalesce(F.col(layout).isin(*NON_RULES_LAYOUTS), F.lit(False)))
+
+
+def lexicon(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(kind, key, id, words, face) from names (name, id): the whole name and each face, by exact, loose and single-word forms.
+
+    Names of one word are only in ``single``; aliases (alias, id) only in ``loose``, as they are never an exact match.  ``face`` says that the form
+    is a part of a longer name.
+    """
+    forms = names.select("id", "name", F.explode(F.array_union(F.array("name"), split_faces(F.col("name")))).alias("form"))
+    forms = forms.select("id", normalize_name(F.col("form")).alias("norm"), loose_name(F.col("form")).alias("loose"), (F.col("form") != F.col("name")).alias("face"))
+    words = F.size(F.split("norm", " "))
+    single = forms.where((words == 1) & (F.col("norm") != "")).select(F.lit("single").alias("kind"), F.col("norm").alias("key"), "id", "face")
+    longer = forms.where(words > 1)
+    out = single.unionByName(longer.select(F.lit("exact").alias("kind"), F.col("norm").alias("key"), "id", "face"))
+    out = out.unionByName(longer.select(F.lit("loose").alias("kind"), F.col("loose").alias("key"), "id", "face"))
+    if aliases is not None:
+        out = out.unionByName(aliases.select(F.lit("loose").alias("kind"), loose_name(F.col("alias")).alias("key"), "id", F.lit(False).alias("face")))
+    out = out.where("key <> ''").groupBy("kind", "key", "id").agg(F.min("face").alias("face"))
+    return out.withColumn("words", F.size(F.split("key", " ")))
+
+
+def words_of(c: Column) -> Column:
+    """Words as they stand, parted by white space."""
+    return F.filter(F.split(collapse_spaces(c), " "), lambda w: w != "")
+
+
+def trimmed(c: Column) -> Column:
+    """A surface without the punctuation that ends a clause."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^[,.;:!?]+", ""), r"[,.;:!?]+$", ""))
+
+
+def windows(docs: DataFrame, doc: str, text: str, firsts: DataFrame, longest: int) -> DataFrame:
+    """(doc, at, width, surface): runs of words whose first word, folded and bare of marks, begins a name; no longer than its longest name.
+
+    Words are exploded with the few that follow, not with the whole text.
+    """
+    w = docs.select(doc, words_of(F.col(text)).alias("_w"))
+    around = F.transform("_w", lambda x, i: F.slice(F.col("_w"), i + 1, longest)) if longest > 1 else F.transform("_w", lambda x: F.array(x))
+    near = w.select(doc, F.posexplode(around).alias("at", "_next"))
+    first = F.regexp_replace(normalize_name(F.get("_next", F.lit(0))), "[^a-z0-9]", "")
+    near = near.withColumn("first", first).join(firsts, "first")
+    widths = F.sequence(F.lit(1), F.least("longest", F.size("_next")))
+    return near.select(doc, "at", F.explode(widths).alias("width"), "_next").select(doc, "at", "width", F.array_join(F.slice("_next", F.lit(1), F.col("width")), " ").alias("surface"))
+
+
+def first_words(lex: DataFrame, longest: int) -> DataFrame:
+    """(first, longest): how many words the longest name has that begins with a word."""
+    first = F.regexp_replace(F.split_part("key", F.lit(" "), F.lit(1)), "[^a-z0-9]", "")
+    return lex.groupBy(first.alias("first")).agg(F.least(F.max("words"), F.lit(longest)).alias("longest")).where("first <> ''")
+
+
+def without_overlaps(hits: DataFrame, doc: str, *cols: str) -> DataFrame:
+    """Greedy longest matches: from the left, at each place the widest hit, whose words are then used up.
+
+    ``hits`` (doc, at, width, ...) has one row for each place and width.  One fold over a document's sorted hits.
+    """
+    entry = F.struct("at", (-F.col("width")).alias("_w"), "width", *cols)
+    hits = hits.groupBy(doc).agg(F.array_sort(F.collect_list(entry)).alias("_h"))
+    kept = F.aggregate(
+        "_h", F.struct(F.lit(0).alias("free"), F.slice("_h", 1, 0).alias("kept")),
+        lambda s, h: F.when(h["at"] >= s["free"], F.struct((h["at"] + h["width"]).alias("free"), F.concat(s["kept"], F.array(h)).alias("kept"))).otherwise(s),
+        lambda s: s["kept"],
+    )
+    return hits.select(doc, F.explode(kept).alias("_k")).select(doc, "_k.at", "_k.width", *[F.col(f"_k.{c}") for c in cols])
+
+
+def _looked_up(found: DataFrame, lex: DataFrame, doc: str, host: DataFrame | None) -> DataFrame:
+    """(doc, at, width, surface, method, ids, whole): targets of each run, exact before loose before single, the host's own left out."""
+    keys = found.select(doc, "at", "width", "surface", F.explode(F.array(
+        F.struct(F.lit(1).alias("rank"), F.lit("exact").alias("kind"), normalize_name(F.col("surface")).alias("key")),
+        F.struct(F.lit(2).alias("rank"), F.lit("loose").alias("kind"), loose_name(F.col("surface")).alias("key")),
+        F.struct(F.lit(3).alias("rank"), F.lit("single").alias("kind"), normalize_name(F.col("surface")).alias("key")),
+    )).alias("k")).select(doc, "at", "width", "surface", "k.*")
+    hits = keys.join(lex.drop("words"), ["kind", "key"])
+    ids, whole = F.sort_array(F.collect_set("id")), F.sort_array(F.collect_set(F.when(~F.col("face"), F.col("id"))))
+    by_kind = hits.groupBy(doc, "at", "width", "surface", "rank", "kind").agg(ids.alias("ids"), whole.alias("whole"))
+    best = by_kind.groupBy(doc, "at", "width", "surface").agg(F.min_by(F.struct("kind", "ids", "whole"), "rank").alias("b")).select(doc, "at", "width", "surface", F.col("b.kind").alias("method"), "b.ids", "b.whole")
+    if host is None:
+        return best
+    drop = lambda c: F.when(F.col("host").isNull(), F.col(c)).otherwise(F.filter(F.col(c), lambda x: x != F.col("host")))
+    return best.join(host, doc, "left").withColumns({"ids": drop("ids"), "whole": drop("whole")}).drop("host")
+
 
-BROADCAST_NAMES = 500_000
+def capitalised(c: Column) -> Column:
+    return F.exists(F.split(c, " "), lambda w: w.rlike(r"^\W*\p{Lu}"))
+
+
+def link_mentions(docs: DataFrame, lex: DataFrame, doc: str, text: str = "text", host: DataFrame | None = None, longest: int = MAX_NAME_WORDS) -> DataFrame:
+    """(doc, at, width, surface, method, id, candidates): names that texts mention, by greedy longest match.
+
+    A name of several words needs a capital in it and exactly one target, or else a shorter run is tried; a single word needs a capital and stays
+    pending (null id) with its candidates.  ``host`` (doc, host) is the card that a text belongs to: it is never its own mention, and a
+    match within the host's name as the text has it is none either (give ``host_names`` to :func:`not_within_host`).
+    """
+    found = windows(docs, doc, text, first_words(lex, longest), longest)
+    hits = _looked_up(found.where(capitalised(F.col("surface"))), lex, doc, host)
+    one = (F.col("width") > 1) & F.col("method").isin("exact", "loose") & (F.size("ids") == 1)
+    pending = (F.col("width") == 1) & (F.col("method") == "single") & (F.size("ids") > 0)
+    hits = hits.where(one | pending).withColumns({"id": F.when(one, F.get("ids", F.lit(0))), "candidates": F.when(one, F.slice("ids", 1, 0)).otherwise(F.col("ids"))})
+    return without_overlaps(hits, doc, "surface", "method", "id", "candidates")
+
+
+def not_within_host(mentions: DataFrame, docs: DataFrame, names: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """Mentions but those strictly inside an occurrence of a face of the host's name; ``names`` is (doc, name) of the hosts."""
+    faces = names.select(doc, F.explode(split_faces(F.col("name"))).alias("_face"))
+    faces = faces.select(doc, F.split(normalize_name(F.col("_face")), " ").alias("_f"))
+    words = docs.select(doc, F.transform(words_of(F.col(text)), normalize_name).alias("_w"))
+    spans = words.join(faces, doc).select(doc, F.size("_f").alias("_n"), F.explode(F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size("_w") - F.size("_f"), F.lit(0))), lambda i: F.array_join(F.slice("_w", i + 1, F.size("_f")), " ") == F.array_join("_f", " ")
+    )).alias("_from"))
+    inside = (F.col("at") >= F.col("_from")) & (F.col("at") + F.col("width") <= F.col("_from") + F.col("_n")) & (F.col("width") < F.col("_n"))
+    lost = mentions.join(spans, doc).where(inside).select(doc, "at").distinct()
+    return mentions.join(lost, [doc, "at"], "left_anti")
+
+
+def link_vocabulary(docs: DataFrame, names: DataFrame, doc: str, text: str, kind: str, longest: int) -> DataFrame:
+    """(doc, at, width, kind, key) for a closed vocabulary (name): greedy longest match, as written or without a clause's punctuation."""
+    lex = names.select(normalize_name(F.col("name")).alias("key"), F.col("name").alias("id")).where("key <> ''").groupBy("key").agg(F.min("id").alias("id"))
+    firsts = first_words(lex.withColumn("words", F.size(F.split("key", " "))), longest)
+    found = windows(docs, doc, text, firsts, longest)
+    keys = found.select(doc, "at", "width", F.explode(F.array_distinct(F.array(normalize_name(F.col("surface")), normalize_name(trimmed(F.col("surface")))))).alias("key"))
+    hits = keys.join(lex, "key").groupBy(doc, "at", "width").agg(F.min("id").alias("key"))
+    return without_overlaps(hits, doc, "key").select(doc, "at", "width", F.lit(kind).alias("kind"), "key")
+
+
+def free_of(hits: DataFrame, claimed: DataFrame, doc: str) -> DataFrame:
+    """Hits that share no word with claimed spans (doc, at, width)."""
+    cover = lambda df: F.explode(F.sequence(df["at"], df["at"] + df["width"] - 1)).alias("_word")
+    taken = claimed.select(doc, cover(claimed)).distinct()
+    lost = hits.select(doc, "at", "width", cover(hits)).join(taken, [doc, "_word"]).select(doc, "at", "width").distinct()
+    return hits.join(lost, [doc, "at", "width"], "left_anti")
+
+
+def link_cards(questions: DataFrame, lex: DataFrame, claimed: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, at, width, key, method, candidates): cards that questions name, where nothing else is claimed.
+
+    Where a question uses capitals a name of several words needs one; where it uses none, nothing is asserted and all matches are ambiguous.  A
+    whole name outranks a face; a single word that is only a face doesn't count.  Several targets are ambiguous: no key, but candidates.
+    """
+    found = free_of(windows(questions, doc, text, first_words(lex, MAX_QUERY_WORDS), MAX_QUERY_WORDS), claimed, doc)
+    gate = questions.select(doc, carries_capitalization(F.col(text)).alias("gate"))
+    tries = found.select(doc, "at", "width", F.explode(F.array_distinct(F.array(F.col("surface"), trimmed(F.col("surface"))))).alias("surface"))
+    hits = _looked_up(tries, lex, doc, None).join(gate, doc)
+    several = F.size(F.split(normalize_name(F.col("surface")), " ")) > 1
+    ids = F.when(F.size("whole") > 0, F.col("whole")).when(several, F.col("ids"))
+    hits = hits.where(~(F.col("gate") & several & ~capitalised(F.col("surface")))).withColumn("ids", ids).where("ids is not null")
+    # The surface as written goes before the trimmed one, which is shorter.
+    hits = hits.groupBy(doc, "at", "width").agg(F.max_by(F.struct("method", "ids", "gate"), F.length("surface")).alias("b")).select(doc, "at", "width", "b.*")
+    sure = (F.size("ids") == 1) & F.col("gate")
+    hits = hits.withColumns({"key": F.when(sure, F.get("ids", F.lit(0))), "candidates": F.when(sure, F.slice("ids", 1, 0)).otherwise(F.col("ids"))})
+    return without_overlaps(hits, doc, "key", "method", "candidates")
+
+
+def link_questions(questions: DataFrame, lex: DataFrame, keywords: DataFrame, formats: DataFrame, doc: str, text: str = "question") -> DataFrame:
+    """(doc, kind, at, width, key, candidates): what questions name, in this order of right: rules, formats, keywords, cards; no word twice.
+
+    Rules have the word that holds them as their place.
+    """
+    words = questions.select(doc, F.posexplode(words_of(F.col(text))).alias("at", "_w"))
+    dotted = words.select(doc, "at", F.lit(1).alias("width"), F.regexp_extract("_w", r"\b([0-9]{3}\.[0-9]+[a-z]?)\b", 1).alias("key")).where("key <> ''")
+    cued = questions.select(doc, F.explode(stated_rules(F.col(text))).alias("r"), F.col(text).alias("_t")).where(~F.col("r.number").contains("."))
+    before = F.size(words_of(F.concat(F.expr("substring(_t, 1, r.start)"), F.lit("x"))))
+    cued = cued.select(doc, (before - 1).alias("at"), F.lit(1).alias("width"), F.col("r.number").alias("key"))
+    none = F.array().cast(lex.select(F.array("id").alias("a")).schema["a"].dataType)
+    rules = dotted.unionByName(cued).select(doc, F.lit("rule").alias("kind"), "at", "width", "key", none.alias("candidates"))
+    out, claimed = rules, rules.select(doc, "at", "width")
+    for kind, names, longest in (("format", formats, 2), ("keyword", keywords, 4)):
+        hits = free_of(link_vocabulary(questions, names, doc, text, kind, longest), claimed, doc).withColumn("candidates", none)
+        out = out.unionByName(hits.select(*out.columns))
+        claimed = claimed.unionByName(hits.select(doc, "at", "width"))
+    cards = link_cards(questions, lex, claimed, doc, text)
+    cards = cards.select(doc, F.lit("card").alias("kind"), "at", "width", F.col("key").cast("string").alias("key"), "candidates")
+    return out.unionByName(cards)
+
+
+def has_graph_seed(entities: DataFrame, with_keywords: DataFrame, doc: str) -> DataFrame:
+    """(doc, seeded): whether a question names a rule, a keyword, or a card (key) that has keywords."""
+    carded = entities.join(with_keywords.select(F.col("key").cast("string").alias("key"), F.lit(True).alias("_has")).distinct(), "key", "left")
+    seed = F.col("kind").isin("rule", "keyword") | (F.col("kind") == "card") & F.coalesce("_has", F.lit(False))
+    return carded.groupBy(doc).agg(F.max(seed).alias("seeded"))
+
+
+def mention_stratum(mentions: DataFrame, cited: DataFrame, docs: DataFrame, doc: str) -> DataFrame:
+    """(doc, stratum): explicit (cites a rule), else homonym (a pending word), else multiword (a longer name), else plain."""
+    flags = mentions.groupBy(doc).agg(F.max(F.col("id").isNull()).alias("_p"), F.max(F.col("width") > 1).alias("_m"))
+    rows = docs.select(doc).distinct().join(flags, doc, "left").join(cited.select(doc).distinct().withColumn("_c", F.lit(True)), doc, "left")
+    return rows.select(doc, F.when(F.col("_c"), "explicit").when(F.col("_p"), "homonym").when(F.col("_m"), "multiword").otherwise("plain").alias("stratum"))
+
+
+def draft(mentions: DataFrame, doc: str) -> DataFrame:
+    """(doc, mentions): resolved and pending mentions of a text together, in order of place."""
+    entry = F.struct("at", "width", "surface", F.col("id").cast("string").alias("id"))
+    return mentions.groupBy(doc).agg(F.array_sort(F.collect_list(entry)).alias("mentions"))
 
 
 def ngram_mentions(docs: DataFrame, lexicon: DataFrame, doc: str, item: str, n: int) -> DataFrame:
     """(doc, item, start_word) wherever the words of a surface of ``n`` words follow one another.
 
-    Windows whose first word begins no surface are dropped before they are built.
-    """
-    words = docs.select(doc, F.split(collapse_spaces(F.col("text")), " ").alias("w")).where(F.size("w") >= n)
-    at = words.select(doc, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("start_word"))
-    first = lexicon.select(F.split_part("surface", F.lit(" "), F.lit(1)).alias("first")).distinct()
-    grams = at.withColumn("first", F.get("w", F.col("start_word"))).join(first, "first", "left_semi")
-    grams = grams.select(doc, "start_word", F.array_join(F.slice("w", F.col("start_word") + 1, n), " ").alias("surface"))
-    return grams.join(lexicon, "surface").select(doc, item, F.col("start_word").cast("long").alias("start_word"))
-
-
-def longest_matches(words: list[str], names: dict[tuple[str, ...], str], longest: int) -> list[tuple[int, int, str]]:
-    """(start, end, id) from the left: at each place the longest name, whose words are then used up."""
-    out, i = [], 0
-    while i < len(words):
-        for n in range(min(longest, len(words) - i), 0, -1):
-            hit = names.get(tuple(words[i : i + n]))
-            if hit is not None:
-                out.append((i, i + n, hit))
-                i += n
-                break
-        else:
-            i += 1
-    return out
-
-
-def greedy_mentions(docs: DataFrame, lexicon: DataFrame, doc: str) -> DataFrame:
-    """(doc, start_word, end_word, id): greedy longest match of lexicon names (name, id) in each text.
-
-    The match consumes words from left to right, so it is a fold over a text: one Arrow-batched function over a lexicon
-    of checked size.  A name of several ids counts as ambiguous and has the id ``?``.
+    Runs are built within the row from the words and exploded alone, never with the whole text.
     """
-    names = lexicon.groupBy("name").agg(F.when(F.count_distinct("id") > 1, "?").otherwise(F.min("id").cast("string")).alias("id"))
-    rows = names.limit(BROADCAST_NAMES + 1).collect()
-    if len(rows) > BROADCAST_NAMES:
-        raise ValueError(f"a lexicon of more than {BROADCAST_NAMES} names needs ngram_mentions, one length at a time")
-    table = {tuple(r["name"].split(" ")): r["id"] for r in rows if r["name"]}
-    held = docs.sparkSession.sparkContext.broadcast((table, max(map(len, table), default=0)))
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, longest = held.value
-        for f in frames:
-            found = [(d, s, e, i) for d, t in zip(f[doc], f["text"], strict=True) for s, e, i in longest_matches((t or "").lower().split(), names, longest)]
-            yield pd.DataFrame(found, columns=[doc, "start_word", "end_word", "id"])
-
-    return docs.select(doc, "text").mapInPandas(scan, f"`{doc}` {dict(docs.dtypes)[doc]}, start_word long, end_word long, id string")
+    w = docs.select(doc, F.split(collapse_spaces(F.col("text")), " ").alias("_w")).where(F.size("_w") >= n)
+    grams = F.transform(F.slice("_w", F.lit(1), F.size("_w") - n + 1), lambda x, i: F.array_join(F.slice(F.col("_w"), i + 1, n), " "))
+    return w.select(doc, F.posexplode(grams).alias("start_word", "surface")).join(lexicon, "surface").select(doc, item, F.col("start_word").cast("long").alias("start_word"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,15 +11,24 @@ from .words import CITATION_BODY, LIGATURES, QUESTION_WORDS, STOPWORDS, TYPOGRAP
 
 #: Rule numbers such as 613, 613.4 or 613.4a.
 RULE_NUMBER = r"[0-9]{3}(?:\.[0-9]+[a-z]?)?"
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _accented() -> dict[str, str]:
+    """Latin letters with marks and the letter each decomposes to; by the compatibility decomposition, where that is one ASCII letter and marks."""
+    out = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        if parts != chr(code) and parts[0].isascii() and all(unicodedata.combining(c) for c in parts[1:]):
+            out[chr(code)] = parts[0]
+    return out
+
+
+ACCENTED, PLAIN = ("".join(x) for x in zip(*_accented().items(), strict=True))
 
 
 def fold(c: Column) -> Column:
-    """Ligatures and typographic marks replaced, accents of Latin letters dropped."""
+    """Ligatures and typographic marks replaced, accents of Latin letters dropped, whether part of the letter or combining marks of their own."""
     for a, b in (*LIGATURES, *TYPOGRAPHY):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.translate(c, ACCENTED, PLAIN)
+    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
 def collapse_spaces(c: Column) -> Column:

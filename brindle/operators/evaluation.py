@@ -26,24 +26,27 @@ def pair_counts(gold: DataFrame, predicted: DataFrame, doc: str, item: str) -> D
     return g.join(p, [doc, item], "full_outer").select(doc, item, F.coalesce("g", F.lit(0)).alias("g"), F.coalesce("p", F.lit(0)).alias("p"))
 
 
+def _tally() -> list[Column]:
+    g, p = F.col("g"), F.col("p")
+    return [F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("tp", g * p), ("fp", (1 - g) * p), ("fn", g * (1 - p)))]
+
+
+def _ratios(tallied: DataFrame, *by: str) -> DataFrame:
+    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
+    tp, fp, fn = (F.col(x) for x in ("tp", "fp", "fn"))
+    return tallied.select(*by, "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def prf(counts: DataFrame, *by: str) -> DataFrame:
     """tp, fp, fn and micro precision, recall and F1 (0 on empty denominators), by the columns given."""
-    c = counts.groupBy(*by).agg(
-        F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum((1 - F.col("g")) * F.col("p")).alias("fp"), F.sum(F.col("g") * (1 - F.col("p"))).alias("fn")
-    )
-    ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
-    tp, fp, fn = (F.coalesce(F.col(x), F.lit(0)) for x in ("tp", "fp", "fn"))
-    return c.select(
-        *by, tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-    )
+    return _ratios(counts.groupBy(*by).agg(*_tally()), *by)
 
 
 def prf_by_stratum(counts: DataFrame, strata: DataFrame, doc: str, stratum: str) -> DataFrame:
     """Overall (stratum ``all``) and each stratum in one pass over grouping sets."""
     rows = counts.join(strata.select(doc, stratum).distinct(), doc, "left").withColumn(stratum, F.coalesce(stratum, F.lit("unstratified")))
-    both = rows.select("*", F.explode(F.array(F.lit("all"), F.col(stratum))).alias("_s")).drop(stratum).withColumnRenamed("_s", stratum)
-    return prf(both, stratum)
+    out = rows.rollup(stratum).agg(*_tally())
+    return _ratios(out.withColumn(stratum, F.coalesce(stratum, F.lit("all"))), stratum)
 
 
 def roll_up(items: DataFrame, doc: str, item: str) -> DataFrame:
@@ -105,24 +108,35 @@ def derangement(rows: DataFrame, group: str, key: str, value: str, seed: int) ->
     return rows.select("*", F.count(F.lit(1)).over(whole).alias("_n"), other.alias("shuffled")).where("_n > 1").drop("_n")
 
 
+#: Upper bounds of a 32-bit draw for Poisson(1) counts of 0, 1, 2, ...
+_POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12))
+
+
+def poisson_weight(*cols: Column) -> Column:
+    """How often a row is drawn in a resample: a Poisson(1) count from a digest, the same on every engine."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("long")
+    return sum(((u >= b).cast("int") for b in _POISSON[1:]), (u >= _POISSON[0]).cast("int"))
+
+
 def bootstrap_ratio(clusters: DataFrame, num: str, den: str, resamples: int = 2000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
-    """(point, low, high): percentile interval of sum(num) / sum(den) over resampled clusters.
+    """(point, low, high): percentile interval of sum(num) / sum(den) over resampled clusters (``cluster``, num, den).
 
-    A draw is a digest modulo the number of clusters; each cluster is its (num, den) sums, so the draws join a small table.
-    Draw -1 holds each cluster once: its ratio is the point.
+    Each cluster counts a Poisson(1) number of times in each resample, so clusters need neither ranks nor joins: a task adds up its own
+    clusters for each resample, and at most ``resamples`` sums leave it.  A resample without any cluster is left out.
     """
-    spark = clusters.sparkSession
-    n = clusters.count()
-    w = Window.partitionBy(F.lit(1)).orderBy("cluster")
-    numbered = clusters.select((F.row_number().over(w) - 1).cast("long").alias("at"), F.col(num).alias("x"), F.col(den).alias("y"))
-    draws = spark.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("i"))
-    at = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "i")), 1, 8), 16, 10).cast("long") % max(n, 1)
-    every = draws.select("b", at.alias("at")).unionByName(spark.range(n).select(F.lit(-1).cast("long").alias("b"), F.col("id").alias("at")))
-    sums = every.join(numbered, "at").groupBy("b").agg((F.sum("x") / F.sum("y")).alias("v"))
-    lo, hi = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))
-    drawn = F.sort_array(F.collect_list(F.when(F.col("b") >= 0, F.col("v"))))  # at most ``resamples`` values
-    out = sums.agg(F.max(F.when(F.col("b") < 0, F.col("v"))).alias("point"), drawn.alias("v"))
-    return out.select(F.round("point", 6).alias("point"), F.round(F.get("v", F.lit(lo)), 6).alias("low"), F.round(F.get("v", F.lit(hi)), 6).alias("high"))
+    drawn = clusters.select("cluster", F.col(num).alias("x"), F.col(den).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    drawn = drawn.withColumn("w", poisson_weight(F.lit(seed), F.col("b"), F.col("cluster"))).where("w > 0")
+    sums = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum(F.col("w") * F.col("y"))).alias("v")).where("v is not null")
+    out = sums.agg(F.array_sort(F.collect_list("v")).alias("v"), F.count(F.lit(1)).alias("n"))
+    at = lambda q: F.round(F.get("v", F.least(F.col("n") - 1, F.floor(q * F.col("n"))).cast("int")), 6)
+    point = clusters.agg((F.sum(num) / F.sum(den)).alias("p")).scalar()
+    return out.select(F.round(point, 6).alias("point"), at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
+
+
+def bootstrap_mean(documents: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
+    """(point, low, high) of a statistic's mean over resampled documents."""
+    rows = documents.select(F.col(key).alias("cluster"), F.col(value).alias("_x"), F.lit(1).alias("_y")).where("_x is not null")
+    return bootstrap_ratio(rows, "_x", "_y", resamples, seed, alpha)
 
 
 def frequency_table(df: DataFrame, col: str, top: int) -> DataFrame:

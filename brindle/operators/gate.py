@@ -32,8 +32,10 @@ def gate(candidates: DataFrame, sources: DataFrame, known_rules: DataFrame, know
     ``sources`` is (source_key, text), ``known_rules`` (number), ``known_cards`` (card_id as text).  Of accepted edges with the same type and
     ends the most confident stays (the first on ties); the others are duplicates.
     """
+    # A source given twice is one source: its candidates stay single.
+    texts = sources.groupBy("source_key").agg(F.min("text").alias("source_text")).withColumn("has_source", F.lit(True))
     c = (
-        candidates.join(sources.select("source_key", F.col("text").alias("source_text")).withColumn("has_source", F.lit(True)), "source_key", "left")
+        candidates.join(texts, "source_key", "left")
         .join(known_rules.select(F.col("number").alias("target_key")).distinct().withColumn("is_rule", F.lit(True)), "target_key", "left")
         .join(known_cards.select(F.col("card_id").cast("string").alias("target_key")).distinct().withColumn("is_card", F.lit(True)), "target_key", "left")
     )

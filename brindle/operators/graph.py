@@ -60,14 +60,15 @@ def undirected(*edges: DataFrame) -> DataFrame:
 
 
 def ball(seeds: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
-    """(seed, node, distance): all nodes within ``hops`` of each seed, seeds included, at their least distance."""
-    reached = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
-    frontier = reached
+    """(seed, node, distance): all nodes within ``hops`` of each seed, seeds included, at their least distance.
+
+    A step goes on from the one before alone, and least distances are taken once at the end, so the plan grows with the hops and not faster.
+    """
+    step = out = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
     for d in range(1, hops + 1):
-        step = frontier.join(adjacency, frontier["node"] == adjacency["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d))
-        reached = reached.unionByName(frontier)
-    return reached
+        step = step.select("seed", F.col("node").alias("src")).join(adjacency, "src").select("seed", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(d))
+        out = out.unionByName(step)
+    return out.groupBy("seed", "node").agg(F.min("distance").alias("distance"))
 
 
 # --- upserts: built-in file sources have no merge, so each returns the next snapshot ------------------------------------

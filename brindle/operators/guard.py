@@ -10,7 +10,22 @@ from pyspark.sql import functions as F
 
 DEFAULT_LIMIT, MAX_LIMIT = 50, 200
 CITABLE = ("key", "text")
-_WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|replace\s+table|load|set|reset|add|cache|uncache|refresh|msck|analyze|grant|revoke|call|use|export|import|copy)\b", re.I)
+#: Verbs that change data, where what follows makes a clause of them and not a name.
+_WRITES = re.compile(
+    r"\b(insert|update|delete|merge|create|drop|alter|truncate|load|cache|refresh|call)\b(?=\s+(?:into|overwrite|from|table|view|data|database|schema|function|temporary|temp|or\s+replace|\w+\s+set\b|\w+\s*\())", re.I
+)
+#: Functions that a query may call; nothing that reaches classes, files or the session.
+FUNCTIONS = frozenset(
+    "abs array array_contains array_distinct array_join array_sort array_union avg cast ceil char_length coalesce collect_list collect_set concat concat_ws contains count count_if date_format "
+    "dense_rank element_at endswith exists explode explode_outer filter first first_value flatten floor format_string greatest if ifnull initcap instr isnull lag last last_value lead least left "
+    "length levenshtein like lower lpad ltrim map max max_by mean median min min_by mod named_struct nullif nvl percentile posexplode power rank range regexp_count regexp_extract regexp_extract_all regexp_like "
+    "regexp_replace replace reverse right rlike round row_number rpad rtrim size sort_array split split_part sqrt startswith string struct substr substring sum to_date to_timestamp transform translate trim upper year month day "
+    "int bigint double float decimal date timestamp boolean".split()
+)
+#: Words that may stand before a bracket without being functions.
+_GRAMMAR = frozenset("select from where in as and or not on over by having when then else case values using join union all any some exists partition within group with except intersect distinct between like lateral view array map limit is end filter rollup cube sets unnest offset order recursive inner left right full cross semi anti tablesample percent rows interval".split())
+_CALL = re.compile(r"([A-Za-z_][\w.]*|`[^`]+`)\s*\(")
+_FILE = re.compile(r"\b(?:parquet|csv|json|orc|text|avro|binaryfile|delta|jdbc|xml)\s*\.\s*[`\"']", re.I)
 
 
 @dataclass(frozen=True)
@@ -41,6 +56,13 @@ def validated(spark: SparkSession, query: str) -> DataFrame:
         raise Refusal("opener")
     if m := _WRITES.search(body):
         raise Refusal(f"write clause {m[1].lower()}")
+    if _FILE.search(_bare(query).replace("''", '"')) or re.search(r"`[^`]*[/:\\\\][^`]*`", query):
+        raise Refusal("direct file")
+    for m in _CALL.finditer(body):
+        name = m[1].strip("`").lower()
+        cte = re.search(rf"\b{re.escape(name)}\s*\([^()]*\)\s+as\s*\(", body, re.I)  # a named subquery with its columns
+        if name not in FUNCTIONS and name not in _GRAMMAR and not cte:
+            raise Refusal(f"function {name}")
     if re.search(r"[$:]\w+|\?", body):
         raise Refusal("unbound parameter")
     try:

@@ -23,7 +23,7 @@ def rules_entities(cards: DataFrame, layout: str = "layout") -> DataFrame:
 
 
 def lexicon(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """(kind, key, id, words, face) from names (name, id): the whole name and each face, by exact, loose and single-word forms.
+    """(kind, key, target, words, face) from names (name, id): the whole name and each face, by exact, loose and single-word forms.
 
     Names of one word are only in ``single``; aliases (alias, id) only in ``loose``, as they are never an exact match.  ``face`` says that the form
     is a part of a longer name.
@@ -37,7 +37,7 @@ def lexicon(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     out = out.unionByName(longer.select(F.lit("loose").alias("kind"), F.col("loose").alias("key"), "id", "face"))
     if aliases is not None:
         out = out.unionByName(aliases.select(F.lit("loose").alias("kind"), loose_name(F.col("alias")).alias("key"), "id", F.lit(False).alias("face")))
-    out = out.where("key <> ''").groupBy("kind", "key", "id").agg(F.min("face").alias("face"))
+    out = out.where("key <> ''").groupBy("kind", "key", F.col("id").alias("target")).agg(F.min("face").alias("face"))
     return out.withColumn("words", F.size(F.split("key", " ")))
 
 
@@ -94,7 +94,7 @@ def _looked_up(found: DataFrame, lex: DataFrame, doc: str, host: DataFrame | Non
         F.struct(F.lit(3).alias("rank"), F.lit("single").alias("kind"), normalize_name(F.col("surface")).alias("key")),
     )).alias("k")).select(doc, "at", "width", "surface", "k.*")
     hits = keys.join(lex.drop("words"), ["kind", "key"])
-    ids, whole = F.sort_array(F.collect_set("id")), F.sort_array(F.collect_set(F.when(~F.col("face"), F.col("id"))))
+    ids, whole = F.sort_array(F.collect_set("target")), F.sort_array(F.collect_set(F.when(~F.col("face"), F.col("target"))))
     by_kind = hits.groupBy(doc, "at", "width", "surface", "rank", "kind").agg(ids.alias("ids"), whole.alias("whole"))
     best = by_kind.groupBy(doc, "at", "width", "surface").agg(F.min_by(F.struct("kind", "ids", "whole"), "rank").alias("b")).select(doc, "at", "width", "surface", F.col("b.kind").alias("method"), "b.ids", "b.whole")
     if host is None:
@@ -137,11 +137,11 @@ def not_within_host(mentions: DataFrame, docs: DataFrame, names: DataFrame, doc:
 
 def link_vocabulary(docs: DataFrame, names: DataFrame, doc: str, text: str, kind: str, longest: int) -> DataFrame:
     """(doc, at, width, kind, key) for a closed vocabulary (name): greedy longest match, as written or without a clause's punctuation."""
-    lex = names.select(normalize_name(F.col("name")).alias("key"), F.col("name").alias("id")).where("key <> ''").groupBy("key").agg(F.min("id").alias("id"))
+    lex = names.select(normalize_name(F.col("name")).alias("key"), F.col("name").alias("target")).where("key <> ''").groupBy("key").agg(F.min("target").alias("target"))
     firsts = first_words(lex.withColumn("words", F.size(F.split("key", " "))), longest)
     found = windows(docs, doc, text, firsts, longest)
     keys = found.select(doc, "at", "width", F.explode(F.array_distinct(F.array(normalize_name(F.col("surface")), normalize_name(trimmed(F.col("surface")))))).alias("key"))
-    hits = keys.join(lex, "key").groupBy(doc, "at", "width").agg(F.min("id").alias("key"))
+    hits = keys.join(lex, "key").groupBy(doc, "at", "width").agg(F.min("target").alias("key"))
     return without_overlaps(hits, doc, "key").select(doc, "at", "width", F.lit(kind).alias("kind"), "key")
 
 
@@ -183,7 +183,7 @@ def link_questions(questions: DataFrame, lex: DataFrame, keywords: DataFrame, fo
     cued = questions.select(doc, F.explode(stated_rules(F.col(text))).alias("r"), F.col(text).alias("_t")).where(~F.col("r.number").contains("."))
     before = F.size(words_of(F.concat(F.expr("substring(_t, 1, r.start)"), F.lit("x"))))
     cued = cued.select(doc, (before - 1).alias("at"), F.lit(1).alias("width"), F.col("r.number").alias("key"))
-    none = F.array().cast(lex.select(F.array("id").alias("a")).schema["a"].dataType)
+    none = F.array().cast(lex.select(F.array("target").alias("a")).schema["a"].dataType)
     rules = dotted.unionByName(cued).select(doc, F.lit("rule").alias("kind"), "at", "width", "key", none.alias("candidates"))
     out, claimed = rules, rules.select(doc, "at", "width")
     for kind, names, longest in (("format", formats, 2), ("keyword", keywords, 4)):

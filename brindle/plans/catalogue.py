@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import annotation_queries, evaluation_queries, graph_queries, report_queries, text_queries  # noqa: F401
+    from . import annotation_queries, evaluation_queries, graph_queries, linking_queries, report_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .graph_queries import keyword_subtrees
 
     t = Tables(spark, sf_dir)
-    rules = F.broadcast(keyword_subtrees(t, t.card_keywords()))
+    rules = keyword_subtrees(t, t.card_keywords())
     rows = t.card_keywords().join(rules, "keyword").withColumn("row_no", F.xxhash64("keyword")).withColumnRenamed("card_id", "question_id")
     emits = [
         {"kind": "keyword", "key": "keyword", "text": "keyword", "path": "concat(number, '/', keyword)"},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
 from ..operators import evaluation as V
+from ..operators import reports as R
 from .binding import Tables
 from .catalogue import register
 
@@ -59,21 +60,32 @@ def prf_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.prf(V.pair_counts(V.roll_up(gold, "doc", "item"), V.roll_up(pred, "doc", "item"), "doc", "item"))
 
 
-_FOUND = "q AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS stratum, substr(text, 1, 25) AS needle FROM benchmark), f AS (SELECT q.item_id, any_value(stratum) AS stratum, count(doc_id) AS n FROM q LEFT JOIN documents ON contains(text, needle) GROUP BY 1)"
+_FOUND = (
+    "q AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS stratum, text FROM benchmark), f AS (SELECT q.item_id, any_value(stratum) AS stratum, count(doc_id) FILTER (WHERE contains(d.text, q.text)) AS n, count(doc_id) AS near "
+    "FROM q LEFT JOIN documents d ON contains(' ' || d.text || ' ', ' ' || split_part(q.text, ' ', 2) || ' ' || split_part(q.text, ' ', 3) || ' ' || split_part(q.text, ' ', 4) || ' ') GROUP BY 1)"
+)
 
 
-@register("hit_rate_by_stratum", f"WITH {_FOUND} SELECT coalesce(stratum, 'all') AS stratum, count(*) AS n, count(*) FILTER (WHERE n > 0) AS hits, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM f GROUP BY GROUPING SETS ((), (stratum))")
+@register("hit_rate_by_stratum", f"WITH {_FOUND} SELECT coalesce(stratum, 'all') AS stratum, count(*) AS n, count(*) FILTER (WHERE n > 0) AS hits, count(*) FILTER (WHERE near > 0) AS family_hits, round(avg(CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END), 6) AS rate, round(avg(CASE WHEN near > 0 THEN 1.0 ELSE 0.0 END), 6) AS family_rate FROM f GROUP BY GROUPING SETS ((), (stratum))")
 def hit_rate_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the items whose first characters stand verbatim in some document; the items are a stated query set, broadcast."""
+    """Share of the items that stand whole in some document, and of those of which a key of three words does (the family).
+
+    Items are a stated query set.  They meet documents by those three words, made within each document's row, so no pair is formed without a shared key
+    and only documents that share one are looked at whole.
+    """
     t = Tables(spark, sf_dir)
-    q = t.t("benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("stratum"), F.substring("text", 1, 25).alias("needle"))
-    # Items meet documents by their second word, so no pair is formed without a shared key.
-    words = t.t("documents").select("doc_id", "text", F.split("text", "[ \n]").alias("w"))
-    first = q.select("item_id", "needle", F.get(F.split("needle", "[ \n]"), F.lit(1)).alias("second"))
-    at = words.select("doc_id", "text", F.explode(F.array_distinct("w")).alias("second")).join(F.broadcast(first), "second").where(F.col("text").contains(F.col("needle")))
-    hit = at.select("item_id").distinct().withColumn("hit", F.lit(1))
-    rows = q.join(hit, "item_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    out = rows.rollup("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.round(F.avg("hit"), 6).alias("rate"))
+    key = F.concat_ws(" ", *[F.split_part("text", F.lit(" "), F.lit(i)) for i in (2, 3, 4)])
+    q = t.t("benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("stratum"), F.col("text").alias("needle"), key.alias("key"))
+    docs = t.t("documents").select("doc_id", "text")
+    keys = q.select("key").distinct()
+    held = docs.select("doc_id", "text", F.split("text", " ").alias("_w"))
+    grams = F.filter(F.transform("_w", lambda w, i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))), lambda g: g != "")
+    found = held.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(keys, "key", "left_semi").distinct()
+    near = found.join(q, "key").join(docs, "doc_id").select("item_id", F.col("text").contains(F.col("needle")).cast("int").alias("hit"), F.lit(1).alias("near"))
+    hit = near.groupBy("item_id").agg(F.max("hit").alias("hit"), F.max("near").alias("near"))
+    rows = q.select("item_id", "stratum").join(hit, "item_id", "left").fillna(0, ["hit", "near"])
+    rate = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    out = rows.rollup("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.sum("near").alias("family_hits"), rate("hit", "rate"), rate("near", "family_rate"))
     return out.withColumn("stratum", F.coalesce("stratum", F.lit("all")))
 
 
@@ -128,20 +140,45 @@ def derangement_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.derangement(c.withColumn("value", F.col("id")), "conv_id", "id", "value", 5).select("conv_id", "id", "shuffled")
 
 
-_DRAW = "CAST('0x' || substr(md5('13|' || b || '|' || i), 1, 8) AS BIGINT)"
+
+
+def _interval_sql(rows: str, seed: int, resamples: int = 500) -> str:
+    """SQL for ``bootstrap_ratio`` over rows (cluster, x, y)."""
+    u = f"CAST('0x' || substr(md5('{seed}|' || b || '|' || cluster), 1, 8) AS BIGINT)"
+    w = " + ".join(f"CAST({u} >= {x} AS BIGINT)" for x in V._POISSON)
+    return (
+        f"cl AS ({rows}), d AS (SELECT b, x, y, {w} AS w FROM cl, (SELECT unnest(range(0, {resamples})) AS b)), v AS (SELECT b, sum(w * x) / sum(w * y) AS v FROM d WHERE w > 0 GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rn, count(*) OVER () AS n FROM v) "
+        "SELECT (SELECT round(sum(x) / sum(y), 6) FROM cl) AS point, round(max(CASE WHEN rn = least(n - 1, CAST(floor(0.025 * n) AS BIGINT)) THEN v END), 6) AS low, round(max(CASE WHEN rn = least(n - 1, CAST(floor(0.975 * n) AS BIGINT)) THEN v END), 6) AS high FROM r"
+    )
+
+
+_BY_SOURCE = "SELECT source AS cluster, sum({0}) AS x, count(*) AS y FROM labels JOIN documents USING (doc_id) GROUP BY 1"
+
+
+def _by_source(t: Tables, what: str) -> DataFrame:
+    rows = t.t("labels").join(t.t("documents").select("doc_id", "source"), "doc_id")
+    return rows.groupBy(F.col("source").alias("cluster")).agg(F.sum(what).alias("x"), F.count(F.lit(1)).alias("y"))
+
+
+@register("cluster_ci", "WITH " + _interval_sql(_BY_SOURCE.format("toxic"), 13))
+def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.bootstrap_ratio(_by_source(Tables(spark, sf_dir), "toxic"), "x", "y", 500)
+
+
+@register("document_mean_ci", "WITH " + _interval_sql("SELECT user_id AS cluster, avg(value) AS x, 1 AS y FROM events GROUP BY 1", 17))
+def document_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = Tables(spark, sf_dir).t("events").groupBy("user_id").agg(F.avg("value").alias("mean"))
+    return V.bootstrap_mean(per, "user_id", "mean", 500, 17)
 
 
 @register(
-    "cluster_ci",
-    "WITH cl AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS pos, sum(toxic) AS x, count(*) AS y FROM labels JOIN documents USING (doc_id) GROUP BY 1), n AS (SELECT count(*) AS n FROM cl), "
-    f"d AS (SELECT b, {_DRAW} % n AS pos FROM (SELECT unnest(range(0, 500)) AS b), n, (SELECT unnest(range(0, (SELECT count(*) FROM cl))) AS i)), v AS (SELECT b, sum(x) / sum(y) AS v FROM d JOIN cl USING (pos) GROUP BY 1), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS rn FROM v) "
-    "SELECT (SELECT round(sum(x) / sum(y), 6) FROM cl) AS point, round(max(CASE WHEN rn = 12 THEN v END), 6) AS low, round(max(CASE WHEN rn = 487 THEN v END), 6) AS high FROM r",
+    "control_comparison",
+    "WITH a AS (WITH " + _interval_sql(_BY_SOURCE.format("quality"), 13) + "), c AS (WITH " + _interval_sql(_BY_SOURCE.format("toxic"), 14)
+    + ") SELECT a.point AS real_point, a.low AS real_low, a.high AS real_high, c.point AS control_point, c.low AS control_low, c.high AS control_high, a.low > c.high AS separated FROM a, c",
 )
-def cluster_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+def control_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    rows = t.t("labels").join(t.t("documents").select("doc_id", "source"), "doc_id")
-    clusters = rows.groupBy(F.col("source").alias("cluster")).agg(F.sum("toxic").alias("x"), F.count(F.lit(1)).alias("y"))
-    return V.bootstrap_ratio(clusters, "x", "y", 500)
+    return R.control_comparison(V.bootstrap_ratio(_by_source(t, "quality"), "x", "y", 500, 13), V.bootstrap_ratio(_by_source(t, "toxic"), "x", "y", 500, 14))
 
 
 @register("freq_table_with_share", "SELECT p_brand AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM part), 6) AS share FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 10")

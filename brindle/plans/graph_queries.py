@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as V
 from ..operators import graph as G
+from ..operators import templates as T
 from .binding import Tables, sql
 from .catalogue import register
 
 
-@register("card_core", sql("cards", "SELECT name, type_line, cmc, count(*) AS n FROM cards WHERE normalized_name LIKE 's%' GROUP BY ALL"))
+@register("card_core", sql("cards", "SELECT normalized_name AS asked, card_id, name, type_line, cmc FROM cards"))
 def card_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = Tables(spark, sf_dir).cards().where(F.col("normalized_name").startswith("s"))
-    return cards.groupBy("name", "type_line", "cmc").agg(F.count(F.lit(1)).alias("n"))
+    """The cards of every asked name; here all names are asked for."""
+    cards = Tables(spark, sf_dir).cards()
+    return T.card_core(cards.select(F.col("normalized_name").alias("asked")).distinct(), cards)
 
 
 def keyword_subtrees(t: Tables, keywords: DataFrame) -> DataFrame:
@@ -32,71 +34,83 @@ _TREE = "tree AS (SELECT parent AS root, number, 1 AS distance FROM rules WHERE
 _SUBS = "SELECT d.keyword, d.number, count(DISTINCT t.number) AS n_sub, coalesce(min(t.number), '') AS first_sub FROM defined_by d LEFT JOIN tree t ON t.root = d.number "
 
 
-@register("keyword_definition", sql("card_keywords defined_by rules", ", " + _TREE.format(d=2) + " " + _SUBS + "GROUP BY 1, 2"))
+_DEFINED = (
+    ", " + _TREE.format(d=3) + ", subs AS (SELECT t.root AS number, count(*) AS n_sub, md5(string_agg(t.number || ':' || r.text, chr(10) ORDER BY t.number || ':' || r.text)) AS subrules FROM tree t JOIN rules r USING (number) GROUP BY 1), "
+    "defined AS (SELECT d.keyword, d.number, r.text, coalesce(n_sub, 0) AS n_sub, coalesce(subrules, md5('')) AS subrules FROM defined_by d JOIN rules r USING (number) LEFT JOIN subs USING (number)) "
+)
+
+
+def definitions(t: Tables) -> DataFrame:
+    """(keyword, number, text, n_sub, subrules): full definitions, with their subrules as a digest of all numbers and texts."""
+    d = T.keyword_definition(t.card_keywords().select("keyword").distinct(), t.defined_by(), t.rules())
+    lines = F.transform("subrules", lambda r: F.concat_ws(":", r["number"], r["text"]))
+    return d.select("keyword", "number", "text", F.size("subrules").cast("long").alias("n_sub"), F.md5(F.array_join(F.array_sort(lines), "\n")).alias("subrules"))
+
+
+@register("keyword_definition", sql("card_keywords defined_by rules", _DEFINED + "SELECT * FROM defined"))
 def keyword_definition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = Tables(spark, sf_dir)
-    return keyword_subtrees(t, t.card_keywords())
+    return definitions(Tables(spark, sf_dir))
 
 
 @register("card_legality", sql("cards legal", "SELECT card_id, name, format, status FROM cards JOIN legal USING (card_id)"))
 def card_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return t.cards().join(t.legalities(), "card_id").select("card_id", "name", "format", "status")
+    return T.card_legality(t.cards(), t.legalities())
 
 
-@register("deck_legality_violations", sql("cards legal", "SELECT card_id, name, status FROM cards JOIN legal USING (card_id) WHERE format = 'R' AND status <> 'legal'"))
-def deck_legality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("card_legality_in_format", sql("cards legal", "SELECT card_id, name, format, status FROM cards JOIN legal USING (card_id) WHERE format = 'A'"))
+def card_legality_in_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    bad = t.legalities().where("format = 'R' and status <> 'legal'")
-    return t.cards().join(bad, "card_id").select("card_id", "name", "status")
+    return T.card_legality(t.cards(), t.legalities(), format="A")
 
 
 @register(
-    "card_keyword_rules",
-    sql("card_keywords defined_by rules", ", " + _TREE.format(d=2) + ", subs AS (" + _SUBS + "GROUP BY 1, 2) SELECT card_id, count(*) AS n_keywords, count(DISTINCT number) AS n_rules, sum(n_sub) AS n_sub FROM card_keywords JOIN subs USING (keyword) GROUP BY 1"),
+    "deck_legality_violations",
+    sql("cards legal", ", decks AS (SELECT DISTINCT l_orderkey AS deck_id, l_partkey AS card_id FROM lineitem) SELECT deck_id, card_id, name, status FROM decks JOIN cards USING (card_id) JOIN legal USING (card_id) WHERE format = 'R' AND status <> 'legal'"),
 )
+def deck_legality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a deck of its parts: the cards in it that a format doesn't allow."""
+    t = Tables(spark, sf_dir)
+    decks = t.order_parts().select(F.col("ruling_id").alias("deck_id"), "card_id")
+    return T.deck_legality(decks, t.cards(), t.legalities(), "R")
+
+
+@register("card_keyword_rules", sql("card_keywords defined_by rules", _DEFINED + "SELECT card_id, keyword, number, text, n_sub, subrules FROM card_keywords JOIN defined USING (keyword)"))
 def card_keyword_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each card and keyword with the keyword's whole definition, which is made once for each keyword."""
     t = Tables(spark, sf_dir)
-    per = keyword_subtrees(t, t.card_keywords())
-    rows = t.card_keywords().join(F.broadcast(per), "keyword")
-    return rows.groupBy("card_id").agg(F.count(F.lit(1)).alias("n_keywords"), F.count_distinct("number").alias("n_rules"), F.sum("n_sub").alias("n_sub"))
+    return t.card_keywords().join(definitions(t), "keyword").select("card_id", "keyword", "number", "text", "n_sub", "subrules")
 
 
 @register(
     "card_rulings",
-    sql("hosts rulings cites", "SELECT card_id, ruling_id, published_at, number FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY published_at DESC, ruling_id) AS rn FROM rulings LEFT JOIN cites USING (ruling_id)) WHERE rn <= 3"),
+    sql("hosts rulings cites", ", c AS (SELECT ruling_id, string_agg(DISTINCT number, ';' ORDER BY number) AS cited FROM cites GROUP BY 1) SELECT card_id, ruling_id, text, published_at, coalesce(cited, '') AS cited FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY published_at DESC, ruling_id) AS rn FROM rulings LEFT JOIN c USING (ruling_id)) WHERE rn <= 3"),
 )
 def card_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest three rulings of each card with the rules that they cite."""
     t = Tables(spark, sf_dir)
-    ranked = G.numbered(t.rulings(), ["card_id"], [F.desc("published_at"), F.col("ruling_id")]).where("rn <= 3")
-    return ranked.join(t.cites(), "ruling_id", "left").select("card_id", "ruling_id", "published_at", "number")
-
-
-def interaction(t: Tables, pairs: DataFrame) -> DataFrame:
-    """(a, b, a_rulings, b_rulings, shared): rulings of each that mention the other, and shared keywords; each side is counted
-    before the sides meet."""
-    m = t.rulings().select("ruling_id", F.col("card_id").alias("host")).join(t.mentions(), "ruling_id").groupBy("host", "card_id").agg(F.count(F.lit(1)).alias("n"))
-    one = m.select(F.col("host").alias("a"), F.col("card_id").alias("b"), F.col("n").alias("a_rulings"))
-    two = m.select(F.col("host").alias("b"), F.col("card_id").alias("a"), F.col("n").alias("b_rulings"))
-    ka, kb = t.card_keywords().withColumnRenamed("card_id", "a"), t.card_keywords().withColumnRenamed("card_id", "b")
-    shared = pairs.join(ka, "a").join(kb, ["b", "keyword"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    out = pairs.join(one, ["a", "b"], "left").join(two, ["a", "b"], "left").join(shared, ["a", "b"], "left")
-    return out.select("a", "b", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("a_rulings", "b_rulings", "shared")])
+    out = T.card_rulings(t.cards().select("card_id"), t.rulings(), t.cites(), limit=3)
+    return out.select("card_id", "ruling_id", "text", "published_at", F.array_join("cited", ";").alias("cited"))
 
 
 @register(
     "card_interaction",
     sql(
-        "card_keywords hosts rulings mentions",
-        ", m AS (SELECT r.card_id AS host, m.card_id, count(*) AS n FROM rulings r JOIN mentions m USING (ruling_id) GROUP BY 1, 2), pairs AS (SELECT DISTINCT host AS a, card_id AS b FROM m), "
-        "sh AS (SELECT a, b, count(*) AS shared FROM pairs JOIN card_keywords x ON x.card_id = a JOIN card_keywords y ON y.card_id = b AND x.keyword = y.keyword GROUP BY 1, 2) "
-        "SELECT a, b, coalesce(m1.n, 0) AS a_rulings, coalesce(m2.n, 0) AS b_rulings, coalesce(shared, 0) AS shared FROM pairs LEFT JOIN m m1 ON m1.host = a AND m1.card_id = b LEFT JOIN m m2 ON m2.host = b AND m2.card_id = a LEFT JOIN sh USING (a, b)",
+        "card_keywords defined_by rules hosts rulings mentions",
+        ", m AS (SELECT r.card_id AS host, m.card_id, string_agg(DISTINCT r.ruling_id || ':' || r.text, ';' ORDER BY r.ruling_id || ':' || r.text) AS said FROM rulings r JOIN mentions m USING (ruling_id) GROUP BY 1, 2), pairs AS (SELECT DISTINCT host AS a, card_id AS b FROM m), "
+        "sh AS (SELECT a, b, string_agg(DISTINCT x.keyword || ':' || d.number, ';' ORDER BY x.keyword || ':' || d.number) AS shared FROM pairs JOIN card_keywords x ON x.card_id = a JOIN card_keywords y ON y.card_id = b AND x.keyword = y.keyword JOIN defined_by d ON d.keyword = x.keyword GROUP BY 1, 2) "
+        "SELECT a, b, coalesce(m1.said, '') AS a_rulings, coalesce(m2.said, '') AS b_rulings, coalesce(shared, '') AS shared FROM pairs LEFT JOIN m m1 ON m1.host = a AND m1.card_id = b LEFT JOIN m m2 ON m2.host = b AND m2.card_id = a LEFT JOIN sh USING (a, b)",
     ),
 )
 def card_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a ruling's host and a card it mentions: the rulings of each about the other, and shared keywords with their rules."""
     t = Tables(spark, sf_dir)
-    pairs = t.rulings().select("ruling_id", F.col("card_id").alias("a")).join(t.mentions().withColumnRenamed("card_id", "b"), "ruling_id").select("a", "b").distinct()
-    return interaction(t, pairs)
+    about = T.rulings_about(t.rulings(), t.mentions())
+    pairs = about.select(F.col("host").alias("a"), F.col("card_id").alias("b"))
+    out = T.card_interaction(pairs, about, t.card_keywords(), t.defined_by())
+    said = lambda c: F.array_join(F.array_sort(F.transform(c, lambda r: F.concat_ws(":", r["ruling_id"].cast("string"), r["text"]))), ";").alias(c)
+    shared = F.array_join(F.array_sort(F.transform("shared", lambda r: F.concat_ws(":", r["keyword"], r["number"]))), ";").alias("shared")
+    return out.select("a", "b", said("a_rulings"), said("b_rulings"), shared)
 
 
 @register("rule_subtree", sql("rules", ", " + _TREE.format(d=3) + " SELECT root, t.number, distance, text FROM tree t JOIN rules USING (number)"))
@@ -107,32 +121,31 @@ def rule_subtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "rule_neighbourhood",
-    sql("rules refs", ", o AS (SELECT src AS number, count(*) AS n_out, min(dst) AS first_out FROM refs GROUP BY 1), i AS (SELECT dst AS number, count(*) AS n_in, min(src) AS first_in FROM refs GROUP BY 1) "
-        "SELECT number, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(first_out, '') AS first_out, coalesce(first_in, '') AS first_in FROM rules LEFT JOIN o USING (number) LEFT JOIN i USING (number) WHERE level = 2"),
+    sql("rules refs", ", o AS (SELECT src AS number, string_agg(dst || ':' || text, ';' ORDER BY dst || ':' || text) AS outgoing FROM refs JOIN rules ON number = dst GROUP BY 1), i AS (SELECT dst AS number, string_agg(src || ':' || text, ';' ORDER BY src || ':' || text) AS incoming FROM refs JOIN rules ON number = src GROUP BY 1) "
+        "SELECT number, text, coalesce(outgoing, '') AS outgoing, coalesce(incoming, '') AS incoming FROM rules LEFT JOIN o USING (number) LEFT JOIN i USING (number)"),
 )
 def rule_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    refs = t.references()
-    side = lambda key, other, tag: refs.groupBy(F.col(key).alias("number")).agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.min(other).alias(f"first_{tag}"))
-    both = t.rules().where("level = 2").join(side("src", "dst", "out"), "number", "left").join(side("dst", "src", "in"), "number", "left")
-    n, first = (lambda c: F.coalesce(c, F.lit(0)).alias(c)), (lambda c: F.coalesce(c, F.lit("")).alias(c))
-    return both.select("number", n("n_out"), n("n_in"), first("first_out"), first("first_in"))
+    out = T.rule_neighbourhood(t.rules(), t.references())
+    said = lambda c: F.array_join(F.array_sort(F.transform(c, lambda r: F.concat_ws(":", r["number"], r["text"]))), ";").alias(c)
+    return out.select("number", "text", said("outgoing"), said("incoming"))
 
 
 def _ball_sql(k: int) -> str:
     return sql(
         "rules refs",
-        ", e AS (SELECT src, dst FROM refs UNION SELECT dst, src FROM refs UNION SELECT number, parent FROM rules WHERE level = 2 UNION SELECT parent, number FROM rules WHERE level = 2), "
+        ", e AS (SELECT src, dst FROM refs UNION SELECT dst, src FROM refs UNION SELECT number, parent FROM rules WHERE parent IS NOT NULL UNION SELECT parent, number FROM rules WHERE parent IS NOT NULL), "
         f"b AS (SELECT number AS seed, number AS node, 0 AS distance FROM rules WHERE level = 2 UNION SELECT seed, dst, distance + 1 FROM b JOIN e ON src = node WHERE distance < {k}) "
         "SELECT seed, node, min(distance) AS distance FROM b GROUP BY 1, 2",
     )
 
 
 def rule_ball(spark: SparkSession, sf_dir: str, hops: int) -> DataFrame:
+    """Balls around the rules of level 2, a stated set of seeds, over all rules."""
     t = Tables(spark, sf_dir)
-    rules = t.rules().where("level = 2")
-    adjacency = G.undirected(t.references(), rules.select(F.col("number").alias("src"), F.col("parent").alias("dst")))
-    return G.ball(rules.select(F.col("number").alias("seed")), adjacency, hops)
+    rules = t.rules()
+    adjacency = G.undirected(t.references(), rules.where("parent is not null").select(F.col("number").alias("src"), F.col("parent").alias("dst")))
+    return G.ball(rules.where("level = 2").select(F.col("number").alias("seed")), adjacency, hops)
 
 
 for _k in (1, 2, 3):

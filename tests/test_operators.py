@@ -9,7 +9,7 @@ from brindle.operators import evaluation as V
 from brindle.operators import evidence as E
 from brindle.operators import gate as gating
 from brindle.operators import graph as G
-from brindle.operators import guard, linking, router, search
+from brindle.operators import extraction, guard, linking, router, search, stores
 
 
 def rows(df, *cols):
@@ -157,12 +157,68 @@ def test_search(spark):
     assert search.significant(hits, 0.99).count() <= 2
 
 
-def test_greedy_linking(spark):
-    names = {("a", "b"): "ab", ("a",): "a", ("b", "c", "d"): "bcd"}
-    assert linking.longest_matches("a b c d a".split(), names, 3) == [(0, 2, "ab"), (4, 5, "a")]
-    docs = spark.createDataFrame([(1, "A b c"), (2, None)], "doc int, text string")
-    lexicon = spark.createDataFrame([("a b", "1"), ("c", "2"), ("c", "3")], "name string, id string")
-    assert rows(linking.greedy_mentions(docs, lexicon, "doc"), "doc", "start_word", "end_word", "id") == [(1, 0, 2, "1"), (1, 2, 3, "?")]
+def test_lexicon_forms(spark):
+    names = spark.createDataFrame([("Fire // Ice", "a"), ("Bolt", "b"), ("Lim-Dul's Vault", "c")], "name string, id string")
+    lex = linking.lexicon(names, spark.createDataFrame([("The Vault", "c")], "alias string, id string"))
+    assert rows(lex, "kind", "key", "target", "face") == [
+        ("exact", "fire // ice", "a", False), ("exact", "lim-dul's vault", "c", False), ("loose", "fire ice", "a", False), ("loose", "limduls vault", "c", False),
+        ("loose", "the vault", "c", False), ("single", "bolt", "b", False), ("single", "fire", "a", True), ("single", "ice", "a", True),
+    ]
+    cards = spark.createDataFrame([(1, "token"), (2, None), (3, "normal")], "id int, layout string")
+    assert rows(linking.rules_entities(cards), "id") == [(2,), (3,)]
+
+
+def greedy(words, names, longest):
+    out, i = [], 0
+    while i < len(words):
+        n = next((n for n in range(min(longest, len(words) - i), 0, -1) if " ".join(words[i : i + n]) in names), 0)
+        if n:
+            out.append((i, n, names[" ".join(words[i : i + n])]))
+        i += n or 1
+    return out
+
+
+def test_greedy_linking_against_brute_force(spark):
+    rng = random.Random(1)
+    word = lambda: rng.choice(["Aa", "Bb", "Cc", "Dd"])
+    names = {" ".join(word() for _ in range(rng.randint(2, 4))): i for i in range(14)}
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 25)))) for i in range(80)] + [(80, None), (81, "")]
+    lex = linking.lexicon(spark.createDataFrame([(n, i) for n, i in names.items()], "name string, id int"))
+    got = linking.link_mentions(spark.createDataFrame(docs, "doc int, text string"), lex, "doc")
+    assert rows(got, "doc", "at", "width", "id") == sorted((d, *m) for d, t in docs for m in greedy((t or "").split(), names, 4))
+
+
+def test_linking_rules(spark):
+    names = [("Small Ring", 1), ("Ring of Fire", 2), ("Card Draw", 3), ("Opt", 4), ("Fire // Ice", 5), ("Twin Name", 6), ("Twin Name", 7), ("Kemba's Legion", 8), ("Legion Rally", 9)]
+    lex = linking.lexicon(spark.createDataFrame(names, "name string, id int"), spark.createDataFrame([("the ring", 1)], "alias string, id int"))
+    texts = [(1, "A small Ring of Fire and card draw, then Opt", 0), (2, "the Ring, opt Twin Name", 0), (3, "Small Ring does it", 1), (4, "Fire burns", 5)]
+    df = spark.createDataFrame(texts, "doc int, text string, host int")
+    got = linking.link_mentions(df, lex, "doc", host=df.select("doc", "host"))
+    assert rows(got, "doc", "surface", "method", "id") == [(1, "Fire", "single", None), (1, "Opt", "single", None), (1, "small Ring", "exact", 1), (2, "the Ring,", "loose", 1)]
+    host = spark.createDataFrame([(1, "The Kemba's Legion Rally came")], "doc int, text string")
+    found = linking.link_mentions(host, lex, "doc")
+    inner = linking.not_within_host(spark.createDataFrame([(1, 2, 1), (1, 1, 2), (1, 4, 1)], "doc int, at int, width int"), host, spark.createDataFrame([(1, "Kemba's Legion")], "doc int, name string"), "doc")
+    assert rows(found, "doc", "surface") == [(1, "Kemba's Legion")] and rows(inner, "doc", "at", "width") == [(1, 1, 2), (1, 4, 1)]
+
+
+def test_question_linking(spark):
+    names = [("Lightning Bolt", 1), ("Emeritus // Lightning Bolt", 2), ("Who // What", 3), ("Opt", 4), ("Twin Name", 5), ("Twin Name", 6), ("Card Draw", 7)]
+    lex = linking.lexicon(spark.createDataFrame(names, "name string, id int"))
+    keywords, formats = spark.createDataFrame([("First strike",), ("Strike",)], "name string"), spark.createDataFrame([("Modern",)], "name string")
+    asked = [
+        (1, "What does Lightning Bolt do with first strike, in Modern?"), (2, "is lightning bolt fine"), (3, "Does rule 613 or 100.2a touch Opt, and Twin Name?"),
+        (4, "Tell me about card draw and Fear"), (5, "I have 100 life"), (6, None),
+    ]
+    df = spark.createDataFrame(asked, "doc int, question string")
+    got = linking.link_questions(df, lex, keywords, formats, "doc")
+    out = sorted((r["doc"], r["kind"], r["key"], tuple(r["candidates"])) for r in got.collect() if r["key"]) 
+    unsure = sorted((r["doc"], tuple(r["candidates"])) for r in got.collect() if not r["key"])
+    assert out == [(1, "card", "1", ()), (1, "format", "Modern", ()), (1, "keyword", "First strike", ()), (3, "card", "4", ()), (3, "rule", "100.2a", ()), (3, "rule", "613", ())]
+    assert unsure == [(2, (1,)), (3, (5, 6))]
+    seeds = linking.has_graph_seed(got, spark.createDataFrame([("1",)], "key string"), "doc")
+    assert rows(seeds, "doc", "seeded") == [(1, True), (2, False), (3, True)]
+    strata = linking.mention_stratum(spark.createDataFrame([(1, 1, None), (2, 2, 5)], "doc int, width int, id int"), df.where("doc = 3"), df.where("doc < 5"), "doc")
+    assert rows(strata, "doc", "stratum") == [(1, "homonym"), (2, "multiword"), (3, "explicit"), (4, "plain")]
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
@@ -258,6 +314,12 @@ def test_answers():
         ("select (1 as key, text", "syntax"),
         ("select key, text from nowhere_at_all", "analysis"),
         ("select 1 as key", "no column text"),
+        ("select reflect('java.lang.System', 'exit', 1) as key, 'x' as text", "function reflect"),
+        ("select java_method('java.lang.Runtime', 'x') as key, 'x' as text", "function java_method"),
+        ("select key, text from parquet.`/tmp/x`", "direct file"),
+        ("select key, text from `parquet`.`/tmp/x`", "direct file"),
+        ("select input_file_name() as key, 'x' as text", "function input_file_name"),
+        ("select key, text from read_files('/tmp/x')", "function read_files"),
     ],
 )
 def test_guard_refuses(spark, query, reason):
@@ -265,11 +327,53 @@ def test_guard_refuses(spark, query, reason):
         guard.validated(spark, query)
 
 
+def test_guard_allows_plain_names(spark):
+    q = "with t(k, v) as (select id, 'a' from range(3)) select k as key, upper(v) as text, 1 as set, 2 as load, 3 as add from t where k in (0, 2)"
+    assert rows(guard.validated(spark, q), "key", "text", "set") == [(0, "A", 1), (2, "A", 1)]
+
+
 def test_guard_limits(spark):
     assert guard.validated(spark, "select id as key, 'drop; --' as text from range(500) limit 900").count() == 200
     assert guard.validated(spark, "select id as key, 'x' as text from range(500);").count() == 50
 
 
+# --- extraction, stores -----------------------------------------------------------------------------------------------
+
+
+def test_extraction_pipeline(spark):
+    rulings = spark.createDataFrame([("r1", "See  rule 613.4a with Small Ring and Opt here", "c9"), ("r2", "Rule 999.1 is gone", None), ("r3", None, None)], "ruling_id string, text string, host string")
+    lex = linking.lexicon(spark.createDataFrame([("Small Ring", "c1"), ("Opt", "c2")], "name string, id string"))
+    rules, cards = spark.createDataFrame([("613.4a",)], "number string"), spark.createDataFrame([("c1",), ("c2",)], "card_id string")
+    gated, report = extraction.extract(rulings, lex, rules, cards)
+    assert rows(gated.accepted(), "edge_type", "source_key", "target_key", "span_text") == [("CITES_RULE", "r1", "613.4a", "613.4a"), ("MENTIONS", "r1", "c1", "Small Ring")]
+    assert rows(report, "edge_type", "outcome", "n") == [("CITES_RULE", "accepted", 1), ("CITES_RULE", "rule_not_in_graph", 1), ("MENTIONS", "accepted", 1), ("MENTIONS", "mention_unresolved", 1)]
+
+
+def test_stores(spark, tmp_path):
+    df = spark.createDataFrame([("b", 2), ("a", None)], "id string, label int")
+    path = str(tmp_path / "lines")
+    stores.write_json_lines(df, path)
+    assert rows(spark.read.schema(df.schema).json(path), "id", "label") == [("a", None), ("b", 2)]
+    full = df.na.fill(0)
+    mark = stores.freeze(full, "id", "label", None)
+    assert stores.freeze(full.orderBy("label"), "id", "label", mark) == mark
+    with pytest.raises(ValueError, match="frozen"):
+        stores.freeze(full.withColumn("label", F.lit(9)), "id", "label", mark)
+    assert "id string" in stores.schema_text({"t": df}) and stores.chapters(spark.createDataFrame([("1", 1, "A"), ("2", 2, "B")], "number string, level int, text string")).count() == 1
+    ev = spark.createDataFrame([("q1", 1, "rule", "1", "t", "x", "p", 0), ("q2", 1, "rule", "1", "t", "x", "p", 0)], "question_id string, arrival long, kind string, key string, text string, template string, path string, distance int")
+    from brindle.operators import evidence as E
+
+    stored = E.fingerprint(ev)
+    assert stores.replay_mismatches(ev, stored).count() == 0
+    assert rows(stores.replay_mismatches(ev.withColumn("text", F.when(F.col("question_id") == "q2", "u").otherwise(F.col("text"))), stored), "question_id") == [("q2",)]
+    assert rows(stores.answerable_rules(spark.createDataFrame([("1", 2, " "), ("2", 2, "x"), ("3", 1, "y")], "number string, level int, text string")), "number") == [("2",)]
+    tagged = spark.createDataFrame([("a", "f"), ("b", None)], "id string, tag string")
+    assert rows(stores.teardown(tagged, "tag", "f"), "id") == [("b",)]
+    with pytest.raises(ValueError, match="already there"):
+        stores.load_tagged(tagged, spark.createDataFrame([("b",)], "id string"), "id", "tag", "g")
+    assert stores.load_tagged(tagged, spark.createDataFrame([("c",)], "id string"), "id", "tag", "g").count() == 3
+
+
 # --- migration, annotations -----------------------------------------------------------------------------------------
 
 

@@ -57,3 +57,23 @@ def test_near_duplicate_stage_with_null_and_repeated_ids(spark):
     out = pipeline.near_duplicate_stage(spark, docs, SF)
     assert out.columns == docs.columns
     assert sorted(str(r["text"]) for r in out.collect()) == sorted(["", "None", text, "other words in this text are here"])
+
+
+def test_stages_with_odd_tables(spark, tmp_path):
+    """Empty tables, null and very long texts, repeated rows and columns with clashing names pass all stages."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row0 string, id string, node string, label string"
+    long = " ".join(f"w{i % 997}x{i % 89}" for i in range(60_000))
+    some = [(1, None), (None, ""), (2, long), (2, long), (None, None), (3, "one two three four five six seven"), (4, "call +1 555 123 4567 now please do")]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in ([], some):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", "b", "c", "d") for i, t in rows], schema)
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(out.collect(), schema)
+        assert out.count() >= len(rows) - 1
+        if rows:
+            assert docs.count() == len(rows) - 1 and any("[PHONE]" in (r["text"] or "") for r in docs.collect())
+            assert {r["row0"] for r in docs.collect()} == {"a"}

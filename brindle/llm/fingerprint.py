@@ -28,8 +28,8 @@ from ._common import parallelism, pick
 from ._words import U64, _table, mix
 
 SIZE = 64
-RANGE_BYTES = 16 << 20
-MOST_RANGES = 4096
+RANGE_BYTES = 1 << 20
+MOST_RANGES = 1024
 _BASE = 0xD6E8FEB86659FD93 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -164,9 +164,9 @@ def edited_fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "
         f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
     )
-    # Ranges of about RANGE_BYTES, whatever the cluster; beyond MOST_RANGES they grow, and their sort spills.
+    # Ranges of about RANGE_BYTES; beyond MOST_RANGES (or what the cluster runs at once) they grow, and their sort spills.
     size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(MOST_RANGES, 1 + size // RANGE_BYTES)
+    n = min(max(MOST_RANGES, parallelism(spark)), 1 + size // RANGE_BYTES)
     keys = base.select("id")
     # Ends of the ranges: a bounded number of quantiles reaches the driver.
     cuts = sorted(set(keys.where("id is not null").approxQuantile("id", [i / n for i in range(1, n)], 1 / (20 * n)))) if n > 1 else []

@@ -258,7 +258,7 @@ def near_duplicates(
     # Ids may repeat, so sets are matched by their own hash; equal ones are one row.
     held = member.join(sets, "node").dropDuplicates(["node"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    small = held.where("blocks = 1").select(
+    few = held.where("blocks = 1").select(
         "cluster", "node", "shingles", F.lit(0).alias("side"), F.pmod(F.xxhash64("cluster"), F.lit(common)).alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j")
     )
     large = held.where("blocks > 1").withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -266,7 +266,7 @@ def near_duplicates(
         "cluster", "node", "shingles", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
         F.xxhash64("cluster").alias("unit"), (F.least("own", "other") + 1).alias("i"), (F.greatest("own", "other") + 1).alias("j"),
     )
-    links = small.unionByName(large).groupBy("unit", "i", "j").applyInArrow(lambda t: _verify(t, percent), "a binary, b binary")
+    links = few.unionByName(large).groupBy("unit", "i", "j").applyInArrow(lambda t: _verify(t, percent), "a binary, b binary")
     found = components(written(links))
 
     named = nodes.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))

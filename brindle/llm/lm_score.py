@@ -241,7 +241,7 @@ def score_language(docs: DataFrame, targets: DataFrame, text_col: str = "text",
     most, bits = CHUNK_BYTES, max(6, (size // SHARD_BYTES).bit_length())
     # Written once: what was asked for a chunk and its texts must come from the same dealing.
     held = written(texts.mapInArrow(lambda it: _dealt(it, most), _CHUNK))
-    parts = lambda groups: max(parallelism(spark), groups // 4)
+    parts = lambda groups: max(parallelism(spark), groups)  # a task for each: its size stays that of a shard or chunk
     asked = held.mapInArrow(lambda it: _ask(it, bits), _ASKED).repartition(parts(1 << bits), "shard")
     answers = written(asked.groupBy("shard").applyInArrow(_answered, _ANSWER))
     s = answers.where("chunk is null").agg(F.sum("words"), *[F.sum(c) for c in _TOTALS]).first()

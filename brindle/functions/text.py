@@ -141,20 +141,36 @@ def fold_term(t: Column) -> Column:
     )
 
 
+def _words(c: Column) -> Column:
+    return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("([a-z][a-z']+)"), F.lit(1)), F.array().cast("array<string>"))
+
+
+def _searched(words: Column) -> Column:
+    return F.transform(F.filter(words, lambda t: (F.length(t) > 2) & ~t.isin(*STOPWORDS)), fold_term)
+
+
 def terms(c: Column) -> Column:
     """Search terms with repeats: folded words of more than two letters that are no stop words."""
-    found = F.regexp_extract_all(F.lower(c), F.lit("([a-z][a-z']+)"), F.lit(1))
-    kept = F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*STOPWORDS))
-    return F.coalesce(F.transform(kept, fold_term), F.array().cast("array<string>"))
+    return _searched(_words(c))
+
+
+def distinct_terms(c: Column) -> Column:
+    """Search terms, each once: repeated words go before they are looked at one by one."""
+    return F.array_distinct(_searched(F.array_distinct(_words(c))))
 
 
 def question_terms(c: Column) -> Column:
-    """A question without its interrogatives; unchanged where nothing would be left."""
-    words = F.regexp_extract_all(F.lower(c), F.lit("([a-z][a-z']+)"), F.lit(1))
-    left = F.filter(words, lambda w: ~w.isin(*QUESTION_WORDS))
+    """A question's words but its interrogatives, as they are written; unchanged where nothing would be left."""
+    words = F.regexp_extract_all(c, F.lit("([A-Za-z][A-Za-z'-]+)"), F.lit(1))
+    left = F.filter(words, lambda w: ~F.lower(w).isin(*QUESTION_WORDS))
     return F.when(F.size(left) > 0, F.array_join(left, " ")).otherwise(c)
 
 
+def known_references(c: Column, known: Column) -> Column:
+    """References of a text that an array of numbers holds, first seen first."""
+    return F.array_intersect(extract_references(c), known)
+
+
 def carries_capitalization(c: Column) -> Column:
     """Whether a word after the first begins with a capital."""
     words = F.split(F.trim(c), r"(?U)\s+")

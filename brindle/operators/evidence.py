@@ -56,13 +56,23 @@ def handles(evidence: DataFrame) -> DataFrame:
     return named.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def serialize(evidence: DataFrame) -> DataFrame:
-    """(question_id, body): one text for each question, kinds in a fixed order, items as they came."""
+def serialize(evidence: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """(question_id, body): one text for each question, a heading for each kind in a fixed order, items as they came, each with the path that it came by.
+
+    ``lost`` (question_id, n) counts what caps and budgets left out: its questions get a notice at the end, so a reader can hedge.
+    """
     rank = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")), F.lit(0))
-    line = F.concat(F.lit("["), "handle", F.lit("] "), "text")
-    entry = F.struct(rank.alias("rank"), F.col("arrival"), line.alias("line"))
+    line = F.concat(F.lit("["), "handle", F.lit("] "), "text", F.lit("\n    via "), "template", F.lit(": "), "path")
+    entry = F.struct("arrival", line.alias("line"))
     lines = F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["line"])
-    return handles(evidence).groupBy("question_id").agg(F.array_join(lines, "\n").alias("body"))
+    parts = handles(evidence).groupBy("question_id", "kind", rank.alias("rank")).agg(F.array_join(lines, "\n").alias("said"))
+    part = F.struct("rank", F.concat(F.lit("## "), "kind", F.lit("\n"), "said").alias("said"))
+    out = parts.groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["said"]), "\n").alias("body"))
+    if lost is None:
+        return out
+    left_out = lost.where("n > 0").groupBy("question_id").agg(F.sum("n").alias("_n"))
+    notice = F.concat(F.lit("\n\nNOTICE: this context is incomplete, "), F.col("_n").cast("string"), F.lit(" items were left out. Say so if the answer depends on what is missing."))
+    return out.join(left_out, "question_id", "left").select("question_id", F.concat("body", F.coalesce(notice, F.lit(""))).alias("body"))
 
 
 def fingerprint(evidence: DataFrame) -> DataFrame:

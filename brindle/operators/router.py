@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import json_block, locate_quote
 from . import evidence as E
 
 RESOLVED, AMBIGUOUS, NO_ENTITIES, NO_MATCH = "resolved", "ambiguous", "no_entities", "no_match"
@@ -26,6 +28,18 @@ def outcomes(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return out.select("question_id", F.when(F.coalesce("n", F.lit(0)) == 0, NO_ENTITIES).when(F.col("amb") == 1, AMBIGUOUS).otherwise(RESOLVED).alias("outcome"))
 
 
+def search_calls(questions: DataFrame, entities: DataFrame, seeded: DataFrame) -> DataFrame:
+    """(question_id, call_no, template, key, other): text searches of the questions that reach no rule by the graph and name no format.
+
+    ``seeded`` is (question_id, seeded); ambiguous questions are to be asked again and aren't searched.
+    """
+    ok = outcomes(questions, entities).where(F.col("outcome") != AMBIGUOUS).select("question_id")
+    named = entities.where("kind = 'format'").select("question_id")
+    bare = ok.join(seeded.where("seeded"), "question_id", "left_anti").join(named, "question_id", "left_anti")
+    none = F.lit(None).cast("string")
+    return bare.select("question_id", F.lit(1 << 20).alias("call_no"), F.lit("text_search").alias("template"), none.alias("key"), none.alias("other"))
+
+
 def plan_calls(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(question_id, call_no, template, key, other): template calls of the resolved questions.
 
@@ -47,12 +61,15 @@ def plan_calls(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return calls.withColumn("call_no", F.row_number().over(w)).select("question_id", "call_no", "template", "key", "other")
 
 
-def retrieve(questions: DataFrame, entities: DataFrame, templates: dict[str, Callable[[DataFrame], DataFrame]], kind_cap: int = E.KIND_CAP, token_budget: int = E.TOKEN_BUDGET) -> tuple[DataFrame, DataFrame]:
+def retrieve(questions: DataFrame, entities: DataFrame, templates: dict[str, Callable[[DataFrame], DataFrame]], kind_cap: int = E.KIND_CAP, token_budget: int = E.TOKEN_BUDGET, seeded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Outcomes and bounded evidence of a batch: each template runs once for all its calls.
 
-    A template takes (question_id, call_no, key, other) and returns evidence rows; one that no plan names isn't run.
+    A template takes (question_id, call_no, key, other) and returns evidence rows; one that no plan names isn't run.  With ``seeded`` (question_id,
+    seeded) questions without a way into the graph are searched by the template ``text_search``; what it finds resolves a question that names nothing.
     """
     calls = plan_calls(questions, entities)
+    if seeded is not None:
+        calls = calls.unionByName(search_calls(questions, entities, seeded))
     asked = {r["template"] for r in calls.select("template").distinct().collect()}
     found = None
     for name in sorted(asked & set(templates)):
@@ -63,16 +80,34 @@ def retrieve(questions: DataFrame, entities: DataFrame, templates: dict[str, Cal
         return before.withColumn("outcome", F.when(F.col("outcome") == RESOLVED, NO_MATCH).otherwise(F.col("outcome"))), None
     kept = E.budget(E.cap(found, kind_cap), token_budget)
     got = kept.select("question_id").distinct().withColumn("some", F.lit(True))
-    after = before.join(got, "question_id", "left").select("question_id", F.when((F.col("outcome") == RESOLVED) & F.col("some").isNull(), NO_MATCH).otherwise(F.col("outcome")).alias("outcome"))
+    outcome = F.when((F.col("outcome") == RESOLVED) & F.col("some").isNull(), NO_MATCH).when((F.col("outcome") == NO_ENTITIES) & F.col("some"), RESOLVED).otherwise(F.col("outcome"))
+    after = before.join(got, "question_id", "left").select("question_id", outcome.alias("outcome"))
     return after, kept
 
 
 REFUSAL_MARK = "CANNOT ANSWER"
 
 
-def answer(outcome: str, body: str, question: str, generate: Callable[[str, str], str]) -> dict:
-    """One question's answer from its evidence text by an injected generator; refused without one where nothing was found."""
+def answer(outcome: str, body: str, question: str, generate: Callable[[str, str], str], known: frozenset[str] | None = None) -> dict:
+    """One question's answer from its evidence text by an injected generator; refused without one where nothing was found.
+
+    With ``known`` handles the ones that the answer cites and nobody gave it are named, first seen first.
+    """
     if outcome != RESOLVED or not body:
-        return {"refused": True, "text": "", "reason": outcome}
+        return {"refused": True, "text": "", "reason": outcome, "unknown": []}
     said = generate(question, body)
-    return {"refused": REFUSAL_MARK in said, "text": said, "reason": "generator" if REFUSAL_MARK in said else ""}
+    cited = [h.strip() for m in re.findall(r"\[([a-z]+:[^\]]+)\]", said) for h in m.split(";")]
+    unknown = [] if known is None else [h for h in dict.fromkeys(cited) if h and h not in known]
+    return {"refused": REFUSAL_MARK in said, "text": said, "reason": "generator" if REFUSAL_MARK in said else "", "unknown": unknown}
+
+
+def parsed_replies(replies: DataFrame) -> DataFrame:
+    """(ruling_id, quote, number, start, end, reason) from model replies (ruling_id, text, reply): an array of {quote, rule} objects.
+
+    A reply without such an array, a quote that doesn't stand in the text and a missing number are dropped with their reason; counts come by a grouping.
+    """
+    item = F.from_json(json_block(F.col("reply")), "array<struct<quote:string,rule:string>>")
+    rows = replies.select("ruling_id", "text", F.explode_outer(F.when(F.size(item) > 0, item)).alias("i"))
+    at = locate_quote(F.col("text"), F.col("i.quote"))
+    reason = F.when(F.col("i").isNull(), "unparsed").when(F.coalesce(F.trim("i.quote"), F.lit("")) == "", "no_quote").when(at.isNull(), "quote_not_in_text").when(F.coalesce("i.rule", F.lit("")) == "", "no_rule")
+    return rows.select("ruling_id", F.col("i.quote").alias("quote"), F.col("i.rule").alias("number"), at["start"].alias("start"), at["end"].alias("end"), reason.alias("reason"))

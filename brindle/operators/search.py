@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import terms
+from ..functions.text import distinct_terms
 
 
 def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct (key, term)."""
-    return corpus.select(F.col(key), F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
+    return corpus.select(F.col(key), F.explode(distinct_terms(F.col(text))).alias("term"))
 
 
 def inverse_frequencies(index: DataFrame, key: str, n_docs: int) -> DataFrame:
@@ -22,15 +22,16 @@ def inverse_frequencies(index: DataFrame, key: str, n_docs: int) -> DataFrame:
 def search(corpus: DataFrame, key: str, text: str, questions: DataFrame, k: int = 8) -> DataFrame:
     """(question_id, key, score, rank): the k best by the sum of idf of shared distinct terms; ties by key.
 
-    Only questions' terms are looked up, so the index side is cut by a semi-join before anything is summed; a term's
-    score is added up before ranks are taken.
+    Only questions' terms are kept of a document, and they are dealt by document once: both the counting of documents for each term and the
+    scoring read that one exchange, so texts are cut into terms once.
     """
-    index = postings(corpus, key, text)
-    n = corpus.count()
     asked = postings(questions.select("question_id", "question"), "question_id", "question")
-    wanted = index.join(asked.select("term").distinct(), "term", "left_semi")
-    scored = wanted.join(inverse_frequencies(wanted, key, n).select("term", "idf"), "term").join(asked, "term")
-    total = scored.groupBy("question_id", key).agg(F.round(F.sum(F.round("idf", 9).cast("decimal(20,9)")).cast("double"), 6).alias("score"))
+    wanted = postings(corpus, key, text).join(asked.select("term").distinct(), "term", "left_semi").repartition(key)
+    df = wanted.groupBy("term").agg(F.count(key).alias("df"))
+    n = corpus.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    idf = df.select("term", F.round(F.log(n / F.col("df")), 9).cast("decimal(20,9)").alias("idf"))
+    scored = wanted.join(asked.join(idf, "term"), "term")
+    total = scored.groupBy("question_id", key).agg(F.round(F.sum("idf").cast("double"), 6).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.col(key))
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -116,7 +116,7 @@ def citation_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).t("orders").select("o_orderkey", F.array_join(T.citation_handles(said), ",").alias("handles"), T.strip_citations(said).alias("plain"))
 
 
-@register("question_terms", f"SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE text END AS terms FROM (SELECT conv_id, turn, text, list_filter(regexp_extract_all(lower(text), '([a-z][a-z'']+)', 1), lambda x: x NOT IN ({_IN(QUESTION_WORDS)})) AS w FROM conversations WHERE role = 'user')")
+@register("question_terms", f"SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE text END AS terms FROM (SELECT conv_id, turn, text, list_filter(regexp_extract_all(text, '([A-Za-z][A-Za-z''-]+)', 1), lambda x: lower(x) NOT IN ({_IN(QUESTION_WORDS)})) AS w FROM conversations WHERE role = 'user')")
 def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Tables(spark, sf_dir).t("conversations").where("role = 'user'")
     return c.select("conv_id", "turn", T.question_terms(F.col("text")).alias("terms"))
@@ -238,18 +238,21 @@ def evidence_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "serialize_subgraph",
-    f"WITH {_EV}, n AS (SELECT *, CASE WHEN kind = 'ruling' THEN 'ruling:' || row_number() OVER (PARTITION BY question_id, kind = 'ruling' ORDER BY arrival) ELSE kind || ':' || key END AS handle FROM ev), f AS (SELECT question_id, handle, arg_min(kind, arrival) AS kind, arg_min(text, arrival) AS text, min(arrival) AS arrival FROM n GROUP BY 1, 2) "
-    "SELECT question_id, string_agg('[' || handle || '] ' || text, chr(10) ORDER BY CASE kind WHEN 'card' THEN 1 WHEN 'rule' THEN 3 ELSE 4 END, arrival) AS body FROM f GROUP BY 1",
+    f"WITH {_EV}, n AS (SELECT *, CASE WHEN kind = 'ruling' THEN 'ruling:' || row_number() OVER (PARTITION BY question_id, kind = 'ruling' ORDER BY arrival) ELSE kind || ':' || key END AS handle FROM ev), f AS (SELECT question_id, handle, arg_min(kind, arrival) AS kind, arg_min(text, arrival) AS text, arg_min(template, arrival) AS template, min(arrival) AS arrival FROM n GROUP BY 1, 2), "
+    "k AS (SELECT question_id, CASE kind WHEN 'card' THEN 1 WHEN 'rule' THEN 3 ELSE 4 END AS rank, '## ' || kind || chr(10) || string_agg('[' || handle || '] ' || text || chr(10) || '    via ' || template || ': p', chr(10) ORDER BY arrival) AS said FROM f GROUP BY question_id, kind), "
+    "l AS (SELECT question_id, count(*) AS n FROM ev WHERE arrival % 5 = 0 GROUP BY 1) "
+    "SELECT question_id, string_agg(said, chr(10) ORDER BY rank, said) || coalesce(any_value(chr(10) || chr(10) || 'NOTICE: this context is incomplete, ' || n || ' items were left out. Say so if the answer depends on what is missing.'), '') AS body FROM k LEFT JOIN l USING (question_id) GROUP BY 1",
 )
 def serialize_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.serialize(evidence_rows(spark, sf_dir))
+    rows = evidence_rows(spark, sf_dir)
+    return E.serialize(rows, rows.where("arrival % 5 = 0").groupBy("question_id").agg(F.count(F.lit(1)).alias("n")))
 
 
 @register("retrieve_evidence", sql("card_keywords defined_by rules", ", e AS (SELECT card_id AS question_id, keyword AS key, number FROM card_keywords JOIN defined_by USING (keyword)) SELECT question_id, 'keyword' AS kind, key, number || '/' || key AS path FROM e UNION ALL SELECT DISTINCT question_id, 'rule', number, number FROM e"))
 def retrieve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and rule evidence of every card, through the emit mapping."""
     t = Tables(spark, sf_dir)
-    rows = t.card_keywords().join(F.broadcast(t.defined_by()), "keyword").withColumn("row_no", F.xxhash64("keyword")).withColumnRenamed("card_id", "question_id")
+    rows = t.card_keywords().join(t.defined_by(), "keyword").withColumn("row_no", F.xxhash64("keyword")).withColumnRenamed("card_id", "question_id")
     emits = [
         {"kind": "keyword", "key": "keyword", "text": "keyword", "path": "concat(number, '/', keyword)"},
         {"kind": "rule", "key": "number", "text": "number", "path": "number", "distance": 1},

@@ -13,7 +13,7 @@ from brindle.operators import extraction, guard, linking, router, search, stores
 
 
 def rows(df, *cols):
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=lambda t: [(x is not None, x) for x in t])
 
 
 # --- evidence rewrites against the sequential rules -------------------------------------------------------------------
@@ -297,6 +297,27 @@ def test_plans(spark):
     assert len(calls) == 9
 
 
+def test_search_fallback(spark):
+    q = spark.createDataFrame([(1,), (2,), (3,), (4,)], "question_id int")
+    e = spark.createDataFrame([(1, 0, "card", "A", False), (2, 0, "card", "C", True), (4, 0, "format", "modern", False)], "question_id int, pos int, kind string, key string, ambiguous boolean")
+    seeded = spark.createDataFrame([(1, True)], "question_id int, seeded boolean")
+    assert rows(router.search_calls(q, e, seeded), "question_id", "template") == [(3, "text_search")]
+    found = lambda calls: calls.select(
+        "question_id", F.lit(1).cast("long").alias("arrival"), F.lit("rule").alias("kind"), F.lit("613.4").alias("key"), F.lit("t").alias("text"), F.lit("text_search").alias("template"), F.lit("p").alias("path"), F.lit(1).alias("distance")
+    )
+    after, kept = router.retrieve(q, e, {"text_search": found}, seeded=seeded)
+    assert rows(after, "question_id", "outcome") == [(1, router.NO_MATCH), (2, router.AMBIGUOUS), (3, router.RESOLVED), (4, router.NO_MATCH)]
+    assert rows(kept, "question_id", "key") == [(3, "613.4")]
+
+
+def test_replies(spark):
+    replies = [("a", "one two three", 'sure: [{"quote": "two", "rule": "613.4"}, {"quote": "six", "rule": "1"}, {"quote": " ", "rule": "1"}, {"quote": "one"}]'), ("b", "x", "no list"), ("c", "x", None)]
+    got = router.parsed_replies(spark.createDataFrame(replies, "ruling_id string, text string, reply string"))
+    assert rows(got, "ruling_id", "start", "end", "reason") == [("a", None, None, "no_quote"), ("a", None, None, "quote_not_in_text"), ("a", 0, 3, "no_rule"), ("a", 4, 7, None), ("b", None, None, "unparsed"), ("c", None, None, "unparsed")]
+    said = router.answer(router.RESOLVED, "b", "q", lambda q, b: "It does [rule:1; ruling:9] and [rule:1].", frozenset({"rule:1"}))
+    assert said["unknown"] == ["ruling:9"]
+
+
 def test_answers():
     assert router.answer(router.NO_MATCH, "", "q", None)["refused"]
     assert router.answer(router.RESOLVED, "b", "q", lambda q, b: "yes")["text"] == "yes"

@@ -94,7 +94,7 @@ def stratified_draw(rows: DataFrame, quotas: DataFrame, stratum: str, key: str,
     """
     order = [draw(seed, key), F.col(key)]
     part = F.pmod(F.xxhash64(key), F.lit(salts))
-    held = rows.join(F.broadcast(quotas), stratum).withColumn("_part", part)
+    held = rows.join(quotas, stratum).withColumn("_part", part)
     for keys in ([stratum, "_part"], [stratum]):
         held = held.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n <= quota").drop("_n")
     return held.drop("_part", "quota")
@@ -142,8 +142,8 @@ def bootstrap_mean(documents: DataFrame, key: str, value: str, resamples: int =
 def frequency_table(df: DataFrame, col: str, top: int) -> DataFrame:
     """(value, n, share) of the most frequent values, ties by value."""
     counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return counts.join(F.broadcast(total)).select("value", "n", F.round(F.col("n") / F.col("total"), 6).alias("share")).orderBy(F.desc("n"), "value").limit(top)
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return counts.select("value", "n", F.round(F.col("n") / total, 6).alias("share")).orderBy(F.desc("n"), "value").limit(top)
 
 
 def quantile_at(q: float) -> Callable[[Column], Column]:

@@ -136,7 +136,7 @@ def mix_with_top_up(rows: DataFrame, mix: DataFrame, status: str, key: str, coun
     every = rows.select(status).distinct().select(status, F.lit(count).alias("quota"))
     held = stratified_draw(rows, every, status, key, seed)
     rank = F.row_number().over(Window.partitionBy(status).orderBy(draw(seed, key), key))
-    held = held.withColumn("_rank", rank).join(F.broadcast(mix), status, "left")
+    held = held.withColumn("_rank", rank).join(mix, status, "left")
     extra = (F.col("_rank") > F.coalesce("quota", F.lit(0))).cast("int")
     return held.orderBy(extra, draw(seed, key), key).limit(count).drop("_rank", "quota")
 

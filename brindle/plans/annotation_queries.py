@@ -19,10 +19,10 @@ def annotation_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.apply_keyed(rows, edits, "k")
 
 
-@register("annotation_unmatched", "SELECT c_custkey AS k, 'row' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'edit' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@register("annotation_unmatched", "SELECT c_custkey AS k, 'row' AS side FROM customer WHERE c_acctbal >= 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT DISTINCT o_custkey, 'edit' FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)")
 def annotation_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    return A.unmatched(t.t("customer").select(F.col("c_custkey").alias("k")), t.t("orders").select(F.col("o_custkey").alias("k")), "k")
+    return A.unmatched(t.t("customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("k")), t.t("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k")
 
 
 @register("pass_comparison", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality AS first, b.toxic AS second, a.quality IS NOT DISTINCT FROM b.toxic AS agree FROM (SELECT * FROM labels WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT * FROM labels WHERE doc_id % 7 <> 0) b ON a.doc_id = b.doc_id")
@@ -86,9 +86,9 @@ def candidate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seed_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     kw, names = t.card_keywords().select("keyword").distinct(), t.cards().select(F.col("normalized_name").alias("name")).distinct()
-    least = kw.agg(F.min("keyword").alias("k")).join(names.agg(F.min("name").alias("c")))
-    said = F.when(F.col("event_id") % 3 == 0, F.col("k")).when(F.col("event_id") % 3 == 1, F.col("c")).otherwise(F.col("event_type"))
-    rows = t.t("events").join(F.broadcast(least)).select(said.alias("said"))
+    first, card = kw.agg(F.min("keyword").alias("k")).scalar(), names.agg(F.min("name").alias("c")).scalar()
+    said = F.when(F.col("event_id") % 3 == 0, first).when(F.col("event_id") % 3 == 1, card).otherwise(F.col("event_type"))
+    rows = t.t("events").select(said.alias("said"))
     out = rows.join(kw, F.col("said") == F.col("keyword"), "left").join(names, F.col("said") == F.col("name"), "left")
     how = F.when(F.col("keyword").isNotNull(), "keyword").when(F.col("name").isNotNull(), "card").otherwise("none")
     return out.groupBy(how.alias("how")).agg(F.count(F.lit(1)).alias("n"))

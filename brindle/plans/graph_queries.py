@@ -186,10 +186,12 @@ def withdrawn_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.version_diff(old, new, "id", "text")
 
 
-@register("merge_last_wins", "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY 1")
+@register("merge_last_wins", "SELECT user_id, coalesce(arg_max(event_type, event_id) FILTER (WHERE value >= 20), 'none') AS event_type, coalesce(max(event_id) FILTER (WHERE value >= 20), -1) AS event_id FROM events WHERE user_id % 2 = 0 OR value >= 20 GROUP BY 1")
 def merge_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Tables(spark, sf_dir).t("events").select("user_id", "event_type", "event_id")
-    return G.merge_last(e.where("false"), e, "user_id", "event_id")
+    """Onto a snapshot of half of the users: some are replaced, some stay, some are new."""
+    e = Tables(spark, sf_dir).t("events").select("user_id", "event_type", "event_id", "value")
+    old = e.where("user_id % 2 = 0").select("user_id").distinct().select("user_id", F.lit("none").alias("event_type"), F.lit(-1).cast("long").alias("event_id"))
+    return G.merge_last(old, e.where("value >= 20").drop("value"), "user_id", "event_id")
 
 
 @register("merge_first_wins", "SELECT user_id, arg_min(event_type, event_id) FILTER (WHERE event_type IS NOT NULL) AS event_type FROM events GROUP BY 1")

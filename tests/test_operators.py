@@ -313,7 +313,7 @@ def test_search_fallback(spark):
 def test_replies(spark):
     replies = [("a", "one two three", 'sure: [{"quote": "two", "rule": "613.4"}, {"quote": "six", "rule": "1"}, {"quote": " ", "rule": "1"}, {"quote": "one"}]'), ("b", "x", "no list"), ("c", "x", None)]
     got = router.parsed_replies(spark.createDataFrame(replies, "ruling_id string, text string, reply string"))
-    assert rows(got, "ruling_id", "start", "end", "reason") == [("a", None, None, "no_quote"), ("a", None, None, "quote_not_in_text"), ("a", 0, 3, "no_rule"), ("a", 4, 7, None), ("b", None, None, "unparsed"), ("c", None, None, "unparsed")]
+    assert rows(got, "ruling_id", "start", "end", "reason") == [("a", None, None, "quote_not_in_text"), ("a", 0, 3, "no_rule"), ("a", 3, 4, "no_quote"), ("a", 4, 7, None), ("b", None, None, "unparsed"), ("c", None, None, "unparsed")]
     said = router.answer(router.RESOLVED, "b", "q", lambda q, b: "It does [rule:1; ruling:9] and [rule:1].", frozenset({"rule:1"}))
     assert said["unknown"] == ["ruling:9"]
 

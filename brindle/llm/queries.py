@@ -84,5 +84,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+#: Exact similarity join by prefix filtering: two sets of similarity 0.8 or more share one of their rarest shingles.
+NEAR_DUPLICATES_SQL = (
+    f"WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents), "
+    "s AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0))), "
+    "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), f AS (SELECT s, count(*) AS df FROM s GROUP BY 1), "
+    "r AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS rn FROM s JOIN f USING (s) JOIN n USING (doc_id)), "
+    "p AS (SELECT * FROM r WHERE rn <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1), "
+    "c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.s = b.s AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)), "
+    "l AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND x.s = y.s GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))), "
+    "e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), reach AS (SELECT a AS doc_id, b AS x FROM e UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.x), "
+    "m AS (SELECT doc_id, min(x) AS x FROM reach GROUP BY 1) "
+    "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.x, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.x, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"
+)
+
+SUBSTRING_DEDUP_SQL = (
+    f"WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents), "
+    "i AS (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35), v AS (SELECT r, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM i), "
+    "g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS at FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)), "
+    "a AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS at FROM w), "
+    "k AS (SELECT a.r, count(g.at) AS n_removed, string_agg(CASE WHEN g.at IS NULL THEN a.x END, ' ' ORDER BY a.at) AS kept FROM a LEFT JOIN g ON g.r = a.r AND g.at = a.at GROUP BY 1) "
+    "SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)"
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it gives a query's whole result: not for tokenizers, trained models, tilings and fingerprints."""
+    return {"op4_near_duplicates": NEAR_DUPLICATES_SQL, "op9_substring_dedup": SUBSTRING_DEDUP_SQL}

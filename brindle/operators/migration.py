@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_spaces
@@ -29,6 +29,21 @@ def with_ratio(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(_ratios, ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes) + ", ratio double")
 
 
+#: Characters that are counted one by one for the bound; all others count as one.
+COUNTED = " etaoinsrhldcumfpgwybvk.,"
+
+
+def character_counts(c: Column) -> Column:
+    """How often a text has each of the counted characters, and how many others."""
+    each = [F.length(c) - F.length(F.translate(c, x, "")) for x in COUNTED]
+    return F.array(*each, F.length(F.translate(c, COUNTED, "")))
+
+
+def _bound(a: str, b: str) -> Column:
+    """No alignment of two texts matches more characters than both have of each kind."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+
 def judge(old: DataFrame, new: DataFrame) -> DataFrame:
     """(number, verdict, target, ratio) for each rule of ``old`` (number, text).
 
@@ -42,12 +57,12 @@ def judge(old: DataFrame, new: DataFrame) -> DataFrame:
     own = with_ratio(o.join(n, "number", "left").select("number", "was", F.coalesce("now", F.lit("")).alias("now")))
     own = own.select("number", "was", F.col("ratio").alias("same"), (F.col("was") == F.col("now")).alias("equal"))
     moved = own.where(F.col("same") < SAME)
-    near = moved.select("number", "was", "same", F.explode(F.sequence(chapter - BAND, chapter + BAND)).alias("chapter"))
-    there = n.select(F.col("number").alias("target"), "now", F.split_part("number", F.lit("."), F.lit(1)).cast("int").alias("chapter"))
+    near = moved.select("number", "was", "same", character_counts(F.col("was")).alias("a"), F.explode(F.sequence(chapter - BAND, chapter + BAND)).alias("chapter"))
+    there = n.select(F.col("number").alias("target"), "now", character_counts(F.col("now")).alias("b"), F.split_part("number", F.lit("."), F.lit(1)).cast("int").alias("chapter"))
     close = near.join(there, "chapter").where("target <> number")
-    # Lengths bound the ratio: 2 * min / (a + b); what can't reach the threshold isn't compared.
+    # Lengths bound the ratio, 2 * min / (a + b), and so do counts of characters; what can't reach the threshold isn't compared.
     la, lb = F.length("was"), F.length("now")
-    close = close.where(2 * F.least(la, lb) >= SAME * (la + lb))
+    close = close.where(2 * F.least(la, lb) >= SAME * (la + lb)).where(2 * _bound("a", "b") >= SAME * (la + lb))
     found = with_ratio(close.select("number", "target", "was", "now", "same")).where((F.col("ratio") >= SAME) & (F.col("ratio") >= F.col("same") + MARGIN))
     w = Window.partitionBy("number").orderBy(F.desc("ratio"), "target")
     best = found.withColumn("n", F.row_number().over(w)).where("n = 1").select("number", "target", "ratio")

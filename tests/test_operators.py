@@ -158,12 +158,12 @@ def test_search(spark):
 
 
 def test_lexicon_forms(spark):
-    names = spark.createDataFrame([("Fire // Ice", "a"), ("Bolt", "b"), ("Lim-Dul's Vault", "c")], "name string, id string")
-    lex = linking.lexicon(names, spark.createDataFrame([("The Vault", "c")], "alias string, id string"))
-    assert rows(lex, "kind", "key", "target", "face") == [
-        ("exact", "fire // ice", "a", False), ("exact", "lim-dul's vault", "c", False), ("loose", "fire ice", "a", False), ("loose", "limduls vault", "c", False),
-        ("loose", "the vault", "c", False), ("single", "bolt", "b", False), ("single", "fire", "a", True), ("single", "ice", "a", True),
-    ]
+    names = spark.createDataFrame([("Wind // Rain", "a"), ("Spark", "b"), ("Ana-Bel's Chest", "c")], "name string, id string")
+    lex = linking.lexicon(names, spark.createDataFrame([("The Chest", "c")], "alias string, id string"))
+    assert rows(lex, "kind", "key", "target", "face") == sorted([
+        ("exact", "wind // rain", "a", False), ("exact", "ana-bel's chest", "c", False), ("loose", "wind rain", "a", False), ("loose", "anabels chest", "c", False),
+        ("loose", "the chest", "c", False), ("single", "spark", "b", False), ("single", "wind", "a", True), ("single", "rain", "a", True),
+    ])
     cards = spark.createDataFrame([(1, "token"), (2, None), (3, "normal")], "id int, layout string")
     assert rows(linking.rules_entities(cards), "id") == [(2,), (3,)]
 
@@ -189,25 +189,25 @@ def test_greedy_linking_against_brute_force(spark):
 
 
 def test_linking_rules(spark):
-    names = [("Small Ring", 1), ("Ring of Fire", 2), ("Card Draw", 3), ("Opt", 4), ("Fire // Ice", 5), ("Twin Name", 6), ("Twin Name", 7), ("Kemba's Legion", 8), ("Legion Rally", 9)]
+    names = [("Small Ring", 1), ("Ring of Wind", 2), ("Paper Fold", 3), ("Nap", 4), ("Wind // Rain", 5), ("Twin Name", 6), ("Twin Name", 7), ("Tala's Guard", 8), ("Guard Duty", 9)]
     lex = linking.lexicon(spark.createDataFrame(names, "name string, id int"), spark.createDataFrame([("the ring", 1)], "alias string, id int"))
-    texts = [(1, "A small Ring of Fire and card draw, then Opt", 0), (2, "the Ring, opt Twin Name", 0), (3, "Small Ring does it", 1), (4, "Fire burns", 5)]
+    texts = [(1, "A small Ring of Wind and paper fold, then Nap", 0), (2, "the Ring, nap Twin Name", 0), (3, "Small Ring does it", 1), (4, "Wind blows", 5)]
     df = spark.createDataFrame(texts, "doc int, text string, host int")
     got = linking.link_mentions(df, lex, "doc", host=df.select("doc", "host"))
-    assert rows(got, "doc", "surface", "method", "id") == [(1, "Fire", "single", None), (1, "Opt", "single", None), (1, "small Ring", "exact", 1), (2, "the Ring,", "loose", 1)]
-    host = spark.createDataFrame([(1, "The Kemba's Legion Rally came")], "doc int, text string")
+    assert rows(got, "doc", "surface", "method", "id") == [(1, "Nap", "single", None), (1, "Wind", "single", None), (1, "small Ring", "exact", 1), (2, "the Ring,", "loose", 1)]
+    host = spark.createDataFrame([(1, "The Tala's Guard Duty came")], "doc int, text string")
     found = linking.link_mentions(host, lex, "doc")
-    inner = linking.not_within_host(spark.createDataFrame([(1, 2, 1), (1, 1, 2), (1, 4, 1)], "doc int, at int, width int"), host, spark.createDataFrame([(1, "Kemba's Legion")], "doc int, name string"), "doc")
-    assert rows(found, "doc", "surface") == [(1, "Kemba's Legion")] and rows(inner, "doc", "at", "width") == [(1, 1, 2), (1, 4, 1)]
+    inner = linking.not_within_host(spark.createDataFrame([(1, 2, 1), (1, 1, 2), (1, 4, 1)], "doc int, at int, width int"), host, spark.createDataFrame([(1, "Tala's Guard")], "doc int, name string"), "doc")
+    assert rows(found, "doc", "surface") == [(1, "Tala's Guard")] and rows(inner, "doc", "at", "width") == [(1, 1, 2), (1, 4, 1)]
 
 
 def test_question_linking(spark):
-    names = [("Lightning Bolt", 1), ("Emeritus // Lightning Bolt", 2), ("Who // What", 3), ("Opt", 4), ("Twin Name", 5), ("Twin Name", 6), ("Card Draw", 7)]
+    names = [("Copper Spark", 1), ("Elder Mage // Copper Spark", 2), ("Here // There", 3), ("Nap", 4), ("Twin Name", 5), ("Twin Name", 6), ("Paper Fold", 7)]
     lex = linking.lexicon(spark.createDataFrame(names, "name string, id int"))
     keywords, formats = spark.createDataFrame([("First strike",), ("Strike",)], "name string"), spark.createDataFrame([("Modern",)], "name string")
     asked = [
-        (1, "What does Lightning Bolt do with first strike, in Modern?"), (2, "is lightning bolt fine"), (3, "Does rule 613 or 100.2a touch Opt, and Twin Name?"),
-        (4, "Tell me about card draw and Fear"), (5, "I have 100 life"), (6, None),
+        (1, "What does Copper Spark do with first strike, in Modern?"), (2, "is copper spark fine"), (3, "Does rule 613 or 100.2a touch Nap, and Twin Name?"),
+        (4, "Tell me about paper fold and Hope"), (5, "I have 100 life"), (6, None),
     ]
     df = spark.createDataFrame(asked, "doc int, question string")
     got = linking.link_questions(df, lex, keywords, formats, "doc")
@@ -362,8 +362,8 @@ def test_guard_limits(spark):
 
 
 def test_extraction_pipeline(spark):
-    rulings = spark.createDataFrame([("r1", "See  rule 613.4a with Small Ring and Opt here", "c9"), ("r2", "Rule 999.1 is gone", None), ("r3", None, None)], "ruling_id string, text string, host string")
-    lex = linking.lexicon(spark.createDataFrame([("Small Ring", "c1"), ("Opt", "c2")], "name string, id string"))
+    rulings = spark.createDataFrame([("r1", "See  rule 613.4a with Small Ring and Nap here", "c9"), ("r2", "Rule 999.1 is gone", None), ("r3", None, None)], "ruling_id string, text string, host string")
+    lex = linking.lexicon(spark.createDataFrame([("Small Ring", "c1"), ("Nap", "c2")], "name string, id string"))
     rules, cards = spark.createDataFrame([("613.4a",)], "number string"), spark.createDataFrame([("c1",), ("c2",)], "card_id string")
     gated, report = extraction.extract(rulings, lex, rules, cards)
     assert rows(gated.accepted(), "edge_type", "source_key", "target_key", "span_text") == [("CITES_RULE", "r1", "613.4a", "613.4a"), ("MENTIONS", "r1", "c1", "Small Ring")]

@@ -92,6 +92,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -122,6 +128,41 @@ SUBSTRING_DEDUP_SQL = (
 )
 
 
+#: CRC-32 of a text's bytes, eight steps a byte.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length({0}) + 1), lambda j: CAST(ascii(substr({0}, CAST(j AS INTEGER), 1)) AS BIGINT))), "
+    "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+)
+
+#: Every conversation's beginnings as rows; a node's subtree is found through the beginnings of its descendants' smallest members.
+PREFIX_TRIE_SQL = (
+    "WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL), "
+    f"h AS (SELECT c, c - c % 100 AS r, {_CRC32.format('CAST(c AS VARCHAR)')} % 6 AS h FROM (SELECT DISTINCT c FROM o)), "
+    "b AS (SELECT h.c, 0 AS part, p, role, text FROM h JOIN o ON o.c = r WHERE p <= h UNION ALL SELECT h.c, 1, p, role, text FROM h JOIN o ON o.c = h.c WHERE p > h), "
+    "l AS (SELECT h.c, coalesce(ts, []) AS ts, coalesce(ns, []) AS ns FROM h LEFT JOIN (SELECT c, list(md5(length(role) || ':' || role || text) ORDER BY part, p) AS ts, list(length(text) ORDER BY part, p) AS ns FROM b GROUP BY 1) USING (c)), "
+    "x AS (SELECT c, d, len(ts) AS n, md5(array_to_string(ts[1:d], '')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(ts[1 : d - 1], '')) END AS up, CASE WHEN d > 0 THEN ns[d] ELSE 0 END AS chars FROM (SELECT c, ts, ns, unnest(range(0, len(ts) + 1)) AS d FROM l)), "
+    "v AS (SELECT d, k, min(up) AS up, min(c) AS lo, count(*) AS n, (count(*) - 1) * min(chars) AS own, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM x GROUP BY 1, 2), "
+    "y AS (SELECT d, up AS k, count(*) AS kids FROM v WHERE up IS NOT NULL GROUP BY 1, 2), "
+    "w AS (SELECT v.*, coalesce(kids, 0) AS kids FROM v LEFT JOIN y ON y.d = v.d + 1 AND y.k = v.k), "
+    "s AS (SELECT a.d, a.k, count(*) FILTER (WHERE w.kids = 0) AS leaves, sum(w.own) AS saved FROM w JOIN x a ON a.c = w.lo AND a.d <= w.d GROUP BY 1, 2) "
+    "SELECT w.lo AS conv_id, w.d AS depth, u.lo AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(w.ends) AS ends_sha256 "
+    "FROM w JOIN s ON s.d = w.d AND s.k = w.k LEFT JOIN w u ON u.d = w.d - 1 AND u.k = w.up"
+)
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED_SEARCH_SQL = (
+    f"WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents), q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS ts FROM benchmark), "
+    "c AS (SELECT count(*) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d WHERE len(ts) > 0), "
+    "p AS (SELECT r, doc_id, n, x, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS x FROM d) GROUP BY ALL), "
+    "w AS (SELECT x, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY x, nn), "
+    "a AS (SELECT q, item_id, x, count(*) AS times FROM (SELECT q, item_id, unnest(ts) AS x FROM q) GROUP BY ALL), "
+    "s AS (SELECT q, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll)))) AS BIGINT) AS score FROM a JOIN p USING (x) JOIN w USING (x), c GROUP BY ALL), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rn FROM s WHERE score > 0) "
+    "SELECT item_id, CAST(rn AS INTEGER) AS rank, doc_id, score FROM k WHERE rn <= 10"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it gives a query's whole result: not for tokenizers, trained models, tilings and fingerprints."""
-    return {"op4_near_duplicates": NEAR_DUPLICATES_SQL, "op9_substring_dedup": SUBSTRING_DEDUP_SQL}
+    return {"op4_near_duplicates": NEAR_DUPLICATES_SQL, "op9_substring_dedup": SUBSTRING_DEDUP_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL, "op13_ranked_search": RANKED_SEARCH_SQL}

@@ -2,16 +2,17 @@
 
 Two smoothed variable-order models (orders 0 to ``ORDER``, interpolated as Witten and Bell do, so a context never seen leaves the
 word to the shorter one) are counted from labelled URLs: accepted ones fit an ``allow`` rule; rejected ones fit a ``block`` rule, or no
-rule and a word of ``seeds`` in the host.  What made a rule fit, the host's suffix and the path's prefix, is left out of a labelled URL's text, so the
-models learn from the rest of it and not the rules once more.  Characters are folded to ``ALPHABET`` (digits to ``0``, others to ``*``): a model
+rule and a word of ``seeds`` in the host.  Training, calibration and judging all see the same text, the whole URL behind its scheme, so what the rules say about
+domains and paths carries over to URLs that no rule fits.  Characters are folded to ``ALPHABET`` (digits to ``0``, others to ``*``): a model
 is a dense table of exactly ``len(ALPHABET) ** (ORDER + 1)`` rows of 12 bytes, whatever the input: the proven bound under which it is broadcast.
 
 A URL's score is the mean over its characters (without the scheme) of log P(accepted) - log P(rejected); repeated texts are scored once.  Every fifth labelled text,
-by its hash, is held out of the counts; the threshold is the highest one at which at most ``loss`` of the held-out accepted URLs are blocked.
+by its hash, is held out of the counts.  The threshold lies where the shares of held-out accepted URLs below it and of held-out rejected URLs above it are least together, in the
+middle of the gap between scores there; with fewer than ``LEAST_HELD_OUT`` held-out URLs of a kind it is 0, where both models are equally likely.
 
 Defined results: a null URL or one without ``://`` has empty host and path, no rule and the score of all its
-characters (a null or empty one scores 0); without labelled URLs of both kinds, or none held out, every verdict without a rule is
-``allow``; of equally long rules the first wins; a score at the threshold is allowed; repeated rows and ids stay repeated; an empty table gives no rows;
+characters (a null or empty one scores 0); without labelled URLs of both kinds every verdict without a rule is
+``allow``; of equally long rules the first wins; a score at the threshold is allowed; of equally good thresholds the lowest is taken; repeated rows and ids stay repeated; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -28,8 +29,8 @@ from ._common import ascii_lower, pick, written
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-*^$"
 ORDER = 3
 SIZE = len(ALPHABET)
-BINS = 4000
 HELD_OUT = 5
+LEAST_HELD_OUT = 5
 
 
 @dataclass(frozen=True)
@@ -49,8 +50,14 @@ DEFAULT_RULES = (
     Rule("example.com", "/de/", "block"),
     Rule("org", "/fr/", "allow"),
 )
-#: Words that mark a host as rejected for training where no rule fits.
-DEFAULT_SEEDS = ("casino", "pills", "bets", "poker", "viagra", "porn", "xxx")
+#: Words that mark a host as rejected for training where no rule fits: gambling, drugs, adult content, piracy and fraud.
+DEFAULT_SEEDS = (
+    "casino", "bets", "betting", "poker", "roulette", "jackpot", "slots", "lotto",
+    "pills", "pharma", "viagra", "cialis", "tramadol", "steroid",
+    "porn", "xxx", "escort", "camgirl", "hookup", "nude",
+    "torrent", "warez", "cracked", "keygen", "serialkey",
+    "payday", "quickloan", "replica", "clickbait", "phish", "malware",
+)
 
 
 def after_scheme(url: Column) -> Column:
@@ -121,7 +128,8 @@ def _ratios(counts: DataFrame) -> DataFrame:
 
 def _scores(texts: DataFrame, ratios: DataFrame) -> DataFrame:
     """(key, score) of folded texts ``s``: a row of a few bytes for each character, taken together again within the task that made it."""
-    rows = texts.select(_key(F.col("s")).alias("key"), F.explode(_grams(_codes(F.col("s")))).alias("g"))
+    # Outer explodes: of an inner one Spark infers a filter on the array's size, which would make the array twice.
+    rows = texts.select(_key(F.col("s")).alias("key"), F.explode_outer(_grams(_codes(F.col("s")))).alias("g")).where("g is not null")
     total = F.sum(F.col("ratio").cast("decimal(28,9)")).cast("double")
     return rows.join(F.broadcast(ratios), "g").groupBy("key").agg(F.round(total / F.count(F.lit(1)), 9).alias("score"))
 
@@ -131,20 +139,36 @@ def _key(s: Column) -> Column:
     return F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit(1), s).alias("b"))
 
 
-def _threshold(held_out: DataFrame, loss: float) -> float | None:
-    """The highest cut at which at most ``loss`` of the accepted URLs score lower; at most ``BINS`` rows reach the driver."""
-    lo, hi = -4.0, 4.0
-    width = (hi - lo) / BINS
-    b = F.floor((F.greatest(F.lit(lo), F.least(F.lit(hi - width / 2), F.col("score"))) - lo) / width).cast("int")
-    rows = held_out.groupBy(b.alias("bin")).agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")).orderBy("bin").collect()
-    accepted, below = sum(r["acc"] for r in rows), 0
-    if not accepted or not sum(r["rej"] for r in rows):
-        return None
-    for r in rows:
-        below += r["acc"]
-        if below > loss * accepted:
-            return lo + width * r["bin"]
-    raise AssertionError("accepted URLs must be found")
+@dataclass(frozen=True)
+class Calibration:
+    """A threshold (null without labelled URLs of both kinds), and the shares of held-out URLs of each kind that it puts on the wrong side."""
+
+    threshold: float | None
+    accepted_blocked: float | None = None
+    rejected_allowed: float | None = None
+
+
+def calibrate(held_out: DataFrame, both: bool) -> Calibration:
+    """From held-out (acc, rej, score); scores are thousandths, so a bounded number of values reaches the driver.  ``both``: there are trained URLs of both kinds."""
+    if not both:
+        return Calibration(None)
+    rows = held_out.groupBy(F.round("score", 3).alias("score")).agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")).orderBy("score").collect()
+    accepted, rejected = sum(r["acc"] for r in rows), sum(r["rej"] for r in rows)
+
+    def wrong(cut: float) -> tuple[float, float]:
+        return sum(r["acc"] for r in rows if r["score"] < cut) / max(accepted, 1), sum(r["rej"] for r in rows if r["score"] >= cut) / max(rejected, 1)
+
+    if min(accepted, rejected) < LEAST_HELD_OUT:
+        return Calibration(0.0, *wrong(0.0))
+    below, above, best = 0, rejected, None
+    for i, r in enumerate(rows):
+        error = below / accepted + above / rejected
+        if best is None or error < best[0]:
+            best = error, (rows[max(i - 1, 0)]["score"] + r["score"]) / 2
+        below, above = below + r["acc"], above - r["rej"]
+    if below / accepted + above / rejected < best[0]:
+        best = 0.0, rows[-1]["score"] + 0.001
+    return Calibration(best[1], *wrong(best[1]))
 
 
 def filter_urls(
@@ -153,9 +177,8 @@ def filter_urls(
     id_col: str = "page_id",
     rules: tuple[Rule, ...] = DEFAULT_RULES,
     seeds: tuple[str, ...] = DEFAULT_SEEDS,
-    loss: float = 0.02,
 ) -> DataFrame:
-    """One row per row of ``pages``: id, host, path, rule, verdict, score and the threshold used (null without one)."""
+    """One row per row of ``pages``: id, host, path, rule, verdict, score, the threshold used (null without one) and its held-out errors of both kinds."""
     base = pick(pages, id=id_col, url=url_col)
     host, path = split_url(F.col("url"))
     base = base.select("id", "url", host.alias("host"), path.alias("path"))
@@ -166,29 +189,24 @@ def filter_urls(
     for w in seeds:
         seeded = seeded | F.col("host").contains(w)
     label = F.when(F.col("ruled") == "allow", "acc").when((F.col("ruled") == "block") | (F.col("k") < 0) & seeded, "rej")
-    rest = after_scheme(F.col("url"))
-    cut_host = F.coalesce(named([len(r.host) for r in rules]), F.lit(0))
-    cut_path = F.coalesce(named([len(r.path) for r in rules]), F.lit(0))
-    masked = F.concat(
-        F.substring("host", F.lit(1), F.length("host") - cut_host), F.lit("/"), F.substring(rest, F.length("host") + cut_path + 1, F.length(rest))
-    )
-    labelled = base.where(label.isNotNull()).select((label == "acc").cast("int").alias("acc"), (label == "rej").cast("int").alias("rej"), _folded(masked).alias("s"))
+    whole = F.when(F.instr("url", "://") > 0, after_scheme(F.col("url"))).otherwise(F.coalesce("url", F.lit("")))
+    base = base.withColumn("s", _folded(whole))
+    labelled = base.where(label.isNotNull() & (F.col("s") != "")).select((label == "acc").cast("int").alias("acc"), (label == "rej").cast("int").alias("rej"), "s")
     # A row for each distinct text: hot texts are counted before the shuffle.
     labelled = written(labelled.groupBy("s").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")))
     held_out = F.pmod(F.xxhash64("s"), F.lit(HELD_OUT)) == 0
-    counts = (
-        labelled.where(~held_out).select("acc", "rej", F.explode(_grams(_codes(F.col("s")))).alias("g")).groupBy("g")
-        .agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
-    )
+    trained = labelled.where(~held_out)
+    counts = trained.select("acc", "rej", F.explode_outer(_grams(_codes(F.col("s")))).alias("g")).where("g is not null").groupBy("g").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej"))
     ratios = written(_ratios(written(counts)))
-    whole = F.when(F.instr("url", "://") > 0, rest).otherwise(F.coalesce("url", F.lit("")))
-    base = base.withColumn("s", _folded(whole))
-    texts = base.select("s").union(labelled.where(held_out).select("s")).where("s <> ''").distinct()
+    texts = base.where("s <> ''").select("s").distinct()
     # Written before it is joined: a text of very many URLs is then one large partition of its side, which Spark can split.
     scores = written(_scores(texts, ratios))
-    cut = _threshold(labelled.where(held_out).select("acc", "rej", _key(F.col("s")).alias("key")).join(scores, "key"), loss)
+    kinds = trained.agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")).first()
+    found = calibrate(labelled.where(held_out).select("acc", "rej", _key(F.col("s")).alias("key")).join(scores, "key"), bool(kinds["acc"] and kinds["rej"]))
     out = base.withColumn("key", _key(F.col("s"))).join(scores, "key", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    cut = found.threshold
     method = F.lit("allow") if cut is None else F.when(F.col("score") >= cut, "allow").otherwise("block")
     return out.select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score", F.lit(cut).cast("double").alias("threshold")
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score", F.lit(cut).cast("double").alias("threshold"),
+        F.lit(found.accepted_blocked).cast("double").alias("accepted_blocked"), F.lit(found.rejected_allowed).cast("double").alias("rejected_allowed"),
     )

@@ -209,28 +209,59 @@ def brute_url_scorer(labelled):
 
 def test_url_scores_against_brute_force(spark):
     rng = random.Random(2)
-    urls = [f"http://{rng.choice('abx')}{rng.choice('cdY')}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['fr', 'de', 'x'])}/{rng.randint(0, 99)}?q=é" for _ in range(150)]
+    name = lambda: "".join(rng.choice("abcdef") for _ in range(3))
+    urls = [f"http://{rng.choice('abx')}{rng.choice('cdY')}.{rng.choice(['net', 'org', 'com'])}/{rng.choice(['fr', 'de', 'x'])}/{name()}?q=é" for _ in range(900)]
     urls += [urls[0], "http://casino.com/q", "no scheme", "", None]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    got = {r["page_id"]: r for r in url_filter.filter_urls(df, loss=0.2).collect()}
-    sizes = {r.name: (len(r.host), len(r.path)) for r in url_filter.DEFAULT_RULES}
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
     labelled = []
     for i, u in enumerate(urls):
         r = got[i]
-        if not r["rule"] and "casino" not in r["host"]:
-            continue
-        a, b = sizes.get(r["rule"], (0, 0))
-        rest = u.split("://", 1)[1]
-        labelled.append((fold_url(r["host"][: len(r["host"]) - a] + "/" + rest[len(r["host"]) + b :]), "acc" if r["verdict"] == "allow" and r["rule"] else "rej"))
+        if r["rule"] or "casino" in r["host"]:
+            labelled.append((fold_url(u.split("://", 1)[1]), "acc" if r["verdict"] == "allow" and r["rule"] else "rej"))
     hashes = {r["s"]: r["h"] for r in spark.createDataFrame([(t,) for t, _ in labelled], "s string").select("s", F.pmod(F.xxhash64("s"), F.lit(5)).alias("h")).collect()}
-    score = brute_url_scorer([x for x in labelled if hashes[x[0]]])
+    plain = brute_url_scorer([x for x in labelled if hashes[x[0]]])
+    known: dict = {}
+    score = lambda t: known[t] if t in known else known.setdefault(t, plain(t))
     for i, u in enumerate(urls):
         assert abs(got[i]["score"] - score(fold_url((u or "").split("://", 1)[-1]))) < 1e-6
         if not got[i]["rule"]:
             assert (got[i]["verdict"] == "allow") == (got[i]["score"] >= got[i]["threshold"])
-    held = sorted(score(t) for t, kind in labelled if kind == "acc" and not hashes[t])
-    assert held and sum(x < got[0]["threshold"] for x in held) <= 0.2 * len(held)
-    assert sum(x < got[0]["threshold"] + 0.003 for x in held) > 0.2 * len(held)
+    held = [(round(score(t), 3), kind) for t, kind in labelled if not hashes[t]]
+    acc, rej = ([s for s, kind in held if kind == k] for k in ("acc", "rej"))
+    wrong = lambda c: (sum(s < c for s in acc) / max(len(acc), 1), sum(s >= c for s in rej) / max(len(rej), 1))
+    assert len(acc) > 10 and len(rej) > 10
+    cut = got[0]["threshold"]
+    enough = min(len(acc), len(rej)) >= url_filter.LEAST_HELD_OUT
+    assert cut == 0.0 if not enough else sum(wrong(cut)) == pytest.approx(min(sum(wrong(c)) for c, _ in held), abs=1e-9)
+    assert (got[0]["accepted_blocked"], got[0]["rejected_allowed"]) == pytest.approx(wrong(cut))
+
+
+def test_url_threshold(spark):
+    held = lambda *rows: url_filter.calibrate(spark.createDataFrame(rows, "acc int, rej int, score double"), True)
+    assert held((40, 0, 1.0), (0, 40, -1.0)) == url_filter.Calibration(0.0, 0.0, 0.0)
+    assert held((40, 0, 1.0), (0, 40, 0.5)) == url_filter.Calibration(0.75, 0.0, 0.0)
+    assert held((40, 40, 0.5)) == url_filter.Calibration(0.5, 0.0, 1.0)  # ties of both kinds
+    assert held((38, 2, 1.0), (2, 38, 0.5)) == url_filter.Calibration(0.75, 0.05, 0.05)
+    assert held((1, 0, 1.0), (0, 40, 0.5)) == url_filter.Calibration(0.0, 0.0, 1.0)  # too few of one kind
+    assert held((40, 0, 1.0)).threshold == 0.0  # one-sided
+    assert url_filter.calibrate(spark.createDataFrame([(40, 0, 1.0)], "acc int, rej int, score double"), False).threshold is None
+
+
+def test_url_filter_learns_what_the_rules_say(spark):
+    """Domains and paths that rules accept or reject elsewhere, and words of bad hosts, decide where no rule fits; both errors are small."""
+    rng = random.Random(9)
+    name = lambda: "".join(rng.choice(["ka", "lo", "mi", "tur", "ben"]) for _ in range(3))
+    hosts = [f"{rng.choice(['www.', 'm.', ''])}{name()}" for _ in range(60)]
+    urls = [f"http://{rng.choice(hosts)}.example.{rng.choice(['net/en', 'net/de', 'com/de', 'com/en', 'org/fr', 'org/en'])}/{rng.randint(1, 99999)}" for _ in range(4000)]
+    urls += [f"http://www.{w}-{name()}.example.{rng.choice(['com', 'org'])}/en/{rng.randint(1, 99999)}" for w in ("casino", "pills") for _ in range(60)]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert got[0]["accepted_blocked"] < 0.05 and got[0]["rejected_allowed"] < 0.05
+    free = [r for r in got if r["rule"] is None]
+    share = lambda rows: sum(r["verdict"] == "allow" for r in rows) / len(rows)
+    assert share([r for r in free if "casino" in r["host"] or "pills" in r["host"]]) < 0.1
+    assert 0.1 < share(free) < 0.9
+    assert share([r for r in got if r["rule"] == "org/fr/"]) == 1.0 and sum(r["score"] >= r["threshold"] for r in got if r["rule"] in ("org/fr/", "example.net/en/")) > 0.95 * sum(r["rule"] in ("org/fr/", "example.net/en/") for r in got)
 
 
 def test_long_and_repeated_urls(spark):

@@ -263,7 +263,7 @@ def fit(examples: list[tuple[str, list[Span]]], epochs: int = 8, size: int = 64,
     return m
 
 
-def labelled_examples(n: int = 1200, seed: int = 23) -> list[tuple[str, list[Span]]]:
+def labelled_examples(n: int = 2400, seed: int = 23) -> list[tuple[str, list[Span]]]:
     """Made-up text with labelled spans: plain and unusual forms of each kind, and numbers that are none."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("bcdfghlmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4)))[: rng.randint(2, 8)]

@@ -77,14 +77,30 @@ def test_base_spans_of_long_runs():
         pii.base_spans(t)
 
 
-def test_tagger_on_held_out_spans():
-    examples = pii.labelled_examples(300, 99)
+@pytest.mark.parametrize("seed", [99, 100, 101])
+def test_tagger_on_held_out_spans(seed):
+    examples = pii.labelled_examples(300, seed)
     got = pii.add_spans([t for t, _ in examples], [[] for _ in examples], pii.default_tagger())
     gold = sum(len(s) for _, s in examples)
     hit = sum(len({tuple(x) for x in s} & set(g)) for (_, s), g in zip(examples, got, strict=True))
     assert hit / gold > 0.8 and hit / sum(map(len, got)) > 0.95
 
 
+def test_tagger_adds_spans_that_no_pattern_has(spark):
+    """The method's own part through the operator: forms that the base patterns miss, and numbers that are none."""
+    rng = random.Random(1)
+    forms = [("call {} now", "phone", "(269) 555-3296"), ("write to kim [at] home, or to {} today", "email", "mora.lu [@] tapo.example.com"), ("from {} again", "ip", "10[.]2[.]33[.]4"), ("version v1.22.3 of 2024-03-05", "", "")]
+    leads = [" ".join("".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(3)) for _ in range(8)) + " " for _ in range(20)]
+    texts = [(lead + forms[i % 4][0].format(forms[i % 4][2]), *forms[i % 4][1:]) for i, lead in enumerate(leads)]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id long, text string")).collect()}
+    hits = 0
+    for i, (t, kind, said) in enumerate(texts):
+        at = t.find(said)
+        hits += got[i]["spans"] == (f"{kind}:{at}:{at + len(said)}" if kind else "")
+        assert got[i]["n_added"] == (1 if got[i]["spans"] else 0) and not got[i]["base"]
+    assert hits >= 18
+
+
 def test_tagger_gradients():
     """The hand-written backward passes agree with finite differences."""
     m = pii.new_tagger(4, 1)

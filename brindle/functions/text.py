@@ -174,7 +174,7 @@ def known_references(c: Column, known: Column) -> Column:
 def carries_capitalization(c: Column) -> Column:
     """Whether a word after the first begins with a capital."""
     words = F.split(F.trim(c), r"(?U)\s+")
-    return F.exists(F.slice(words, 2, 1_000_000), lambda w: w.rlike(r"^\p{Lu}"))
+    return F.exists(F.slice(words, F.lit(2), F.size(words)), lambda w: w.rlike(r"^\p{Lu}"))
 
 
 def surface_variants(c: Column) -> Column:

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import json_block, locate_quote
-from . import evidence as E
 
-RESOLVED, AMBIGUOUS, NO_ENTITIES, NO_MATCH = "resolved", "ambiguous", "no_entities", "no_match"
+RESOLVED, AMBIGUOUS, NO_ENTITIES, NO_MATCH, NO_SEED = "resolved", "ambiguous", "no_entities", "no_match", "no_seed"
 #: What each kind of entity asks for, in order.
 CALLS = {
     "rule": ("rule_subtree", "rule_neighbourhood"),
@@ -22,19 +21,19 @@ CALLS = {
 
 
 def outcomes(questions: DataFrame, entities: DataFrame) -> DataFrame:
-    """(question_id, outcome) before any traversal: ambiguous names stop a question, as no entities do."""
-    per = entities.groupBy("question_id").agg(F.max(F.col("ambiguous").cast("int")).alias("amb"), F.count(F.lit(1)).alias("n"))
+    """(question_id, outcome) before any traversal: a question with one sure entity is resolved; ambiguous names stop one that has no other."""
+    per = entities.groupBy("question_id").agg(F.count_if("ambiguous").alias("amb"), F.count_if(~F.col("ambiguous")).alias("sure"))
     out = questions.select("question_id").join(per, "question_id", "left")
-    return out.select("question_id", F.when(F.coalesce("n", F.lit(0)) == 0, NO_ENTITIES).when(F.col("amb") == 1, AMBIGUOUS).otherwise(RESOLVED).alias("outcome"))
+    return out.select("question_id", F.when(F.col("sure") > 0, RESOLVED).when(F.col("amb") > 0, AMBIGUOUS).otherwise(NO_ENTITIES).alias("outcome"))
 
 
 def search_calls(questions: DataFrame, entities: DataFrame, seeded: DataFrame) -> DataFrame:
-    """(question_id, call_no, template, key, other): text searches of the questions that reach no rule by the graph and name no format.
+    """(question_id, call_no, template, key, other): text searches of the resolved questions that reach no rule by the graph and name no format.
 
-    ``seeded`` is (question_id, seeded); ambiguous questions are to be asked again and aren't searched.
+    ``seeded`` is (question_id, seeded).
     """
-    ok = outcomes(questions, entities).where(F.col("outcome") != AMBIGUOUS).select("question_id")
-    named = entities.where("kind = 'format'").select("question_id")
+    ok = outcomes(questions, entities).where(F.col("outcome") == RESOLVED).select("question_id")
+    named = entities.where("kind = 'format' and not ambiguous").select("question_id")
     bare = ok.join(seeded.where("seeded"), "question_id", "left_anti").join(named, "question_id", "left_anti")
     none = F.lit(None).cast("string")
     return bare.select("question_id", F.lit(1 << 20).alias("call_no"), F.lit("text_search").alias("template"), none.alias("key"), none.alias("other"))
@@ -43,11 +42,11 @@ def search_calls(questions: DataFrame, entities: DataFrame, seeded: DataFrame) -
 def plan_calls(questions: DataFrame, entities: DataFrame) -> DataFrame:
     """(question_id, call_no, template, key, other): template calls of the resolved questions.
 
-    ``entities`` is (question_id, pos, kind, key, ambiguous).  A card asks for its legality in each format named; the first two cards of a
-    question also for their interaction.
+    ``entities`` is (question_id, pos, kind, key, ambiguous); only sure ones are asked for, one named again once.  A card asks for its legality in
+    each format named; the first two cards of a question also for their interaction.
     """
-    ok = outcomes(questions, entities).where(F.col("outcome") == RESOLVED)
-    e = entities.join(ok.select("question_id"), "question_id", "left_semi")
+    e = entities.where("not ambiguous").join(questions.select("question_id"), "question_id", "left_semi")
+    e = e.groupBy("question_id", "kind", "key").agg(F.min("pos").alias("pos"))
     names = F.create_map(*[x for k, v in CALLS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]).cast("array<string>"))])
     plain = e.select("question_id", "pos", "kind", "key", F.posexplode(F.element_at(names, F.col("kind"))).alias("i", "template"), F.lit(None).cast("string").alias("other"))
     cards, formats = e.where("kind = 'card'"), e.where("kind = 'format'").select("question_id", F.col("key").alias("other"))
@@ -61,30 +60,6 @@ def plan_calls(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return calls.withColumn("call_no", F.row_number().over(w)).select("question_id", "call_no", "template", "key", "other")
 
 
-def retrieve(questions: DataFrame, entities: DataFrame, templates: dict[str, Callable[[DataFrame], DataFrame]], kind_cap: int = E.KIND_CAP, token_budget: int = E.TOKEN_BUDGET, seeded: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Outcomes and bounded evidence of a batch: each template runs once for all its calls.
-
-    A template takes (question_id, call_no, key, other) and returns evidence rows; one that no plan names isn't run.  With ``seeded`` (question_id,
-    seeded) questions without a way into the graph are searched by the template ``text_search``; what it finds resolves a question that names nothing.
-    """
-    calls = plan_calls(questions, entities)
-    if seeded is not None:
-        calls = calls.unionByName(search_calls(questions, entities, seeded))
-    asked = {r["template"] for r in calls.select("template").distinct().collect()}
-    found = None
-    for name in sorted(asked & set(templates)):
-        rows = templates[name](calls.where(F.col("template") == name).drop("template"))
-        found = rows if found is None else found.unionByName(rows)
-    before = outcomes(questions, entities)
-    if found is None:
-        return before.withColumn("outcome", F.when(F.col("outcome") == RESOLVED, NO_MATCH).otherwise(F.col("outcome"))), None
-    kept = E.budget(E.cap(found, kind_cap), token_budget)
-    got = kept.select("question_id").distinct().withColumn("some", F.lit(True))
-    outcome = F.when((F.col("outcome") == RESOLVED) & F.col("some").isNull(), NO_MATCH).when((F.col("outcome") == NO_ENTITIES) & F.col("some"), RESOLVED).otherwise(F.col("outcome"))
-    after = before.join(got, "question_id", "left").select("question_id", outcome.alias("outcome"))
-    return after, kept
-
-
 REFUSAL_MARK = "CANNOT ANSWER"
 
 

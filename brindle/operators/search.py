@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import distinct_terms
+from ..functions.text import distinct_terms, question_terms
 
 
 def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,3 +40,27 @@ def significant(hits: DataFrame, ratio: float = 0.25) -> DataFrame:
     """Hits of at least ``ratio`` of their question's best score."""
     top = F.max("score").over(Window.partitionBy("question_id"))
     return hits.withColumn("_top", top).where(F.col("score") >= ratio * F.col("_top")).drop("_top")
+
+
+def expanded(questions: DataFrame, expansions: DataFrame | None = None) -> DataFrame:
+    """(question_id, question) to search with: a question without its interrogatives, then the texts (question_id, text) that widen it.
+
+    A question is written in names, and a corpus of rules has none of them: the texts of what it names share words with the rules.
+    """
+    topic = F.concat_ws(" ", question_terms(F.col("question")), "_more") if expansions is not None else question_terms(F.col("question"))
+    if expansions is None:
+        return questions.select("question_id", topic.alias("question"))
+    # Words alone count, each once, so the order of the texts doesn't.
+    more = expansions.groupBy("question_id").agg(F.array_join(F.sort_array(F.collect_set("text")), " ").alias("_more"))
+    return questions.join(more, "question_id", "left").select("question_id", topic.alias("question"))
+
+
+def search_evidence(corpus: DataFrame, key: str, text: str, questions: DataFrame, expansions: DataFrame | None = None, k: int = 8, ratio: float = 0.25, snippet: int = 160, distance: int = 1) -> DataFrame:
+    """(question_id, rank, kind, key, text, path, distance): the significant hits of the expanded questions as evidence rows with snippets.
+
+    Nothing that is found this way was named, so it stands at a distance and loses against what was.
+    """
+    hits = significant(search(corpus, key, text, expanded(questions, expansions), k), ratio)
+    rows = hits.join(corpus.select(key, F.substring(text, 1, snippet).alias("_snippet")), key)
+    path = F.format_string("words shared with the question, score %.1f", "score")
+    return rows.select("question_id", "rank", F.lit("rule").alias("kind"), F.col(key).cast("string").alias("key"), F.col("_snippet").alias("text"), path.alias("path"), F.lit(distance).alias("distance"))

@@ -298,16 +298,13 @@ def test_plans(spark):
 
 
 def test_search_fallback(spark):
-    q = spark.createDataFrame([(1,), (2,), (3,), (4,)], "question_id int")
-    e = spark.createDataFrame([(1, 0, "card", "A", False), (2, 0, "card", "C", True), (4, 0, "format", "modern", False)], "question_id int, pos int, kind string, key string, ambiguous boolean")
+    """Only resolved questions that reach no rule and name no format are searched for; an ambiguous name beside a sure one stops nothing."""
+    q = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "question_id int")
+    e = spark.createDataFrame([(1, 0, "card", "A", False), (2, 0, "card", "C", True), (4, 0, "format", "modern", False), (5, 0, "card", "C", True), (5, 4, "card", "B", False), (5, 9, "card", "B", False)], "question_id int, pos int, kind string, key string, ambiguous boolean")
     seeded = spark.createDataFrame([(1, True)], "question_id int, seeded boolean")
-    assert rows(router.search_calls(q, e, seeded), "question_id", "template") == [(3, "text_search")]
-    found = lambda calls: calls.select(
-        "question_id", F.lit(1).cast("long").alias("arrival"), F.lit("rule").alias("kind"), F.lit("613.4").alias("key"), F.lit("t").alias("text"), F.lit("text_search").alias("template"), F.lit("p").alias("path"), F.lit(1).alias("distance")
-    )
-    after, kept = router.retrieve(q, e, {"text_search": found}, seeded=seeded)
-    assert rows(after, "question_id", "outcome") == [(1, router.NO_MATCH), (2, router.AMBIGUOUS), (3, router.RESOLVED), (4, router.NO_MATCH)]
-    assert rows(kept, "question_id", "key") == [(3, "613.4")]
+    assert rows(router.outcomes(q, e), "question_id", "outcome") == [(1, router.RESOLVED), (2, router.AMBIGUOUS), (3, router.NO_ENTITIES), (4, router.RESOLVED), (5, router.RESOLVED)]
+    assert rows(router.search_calls(q, e, seeded), "question_id", "template") == [(5, "text_search")]
+    assert rows(router.plan_calls(q, e).where("question_id = 5"), "template", "key") == [("card_core", "B"), ("card_keyword_rules", "B"), ("card_rulings", "B")]
 
 
 def test_replies(spark):

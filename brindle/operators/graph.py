@@ -11,6 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
+from .scan import running
+
 MAX_TREE_DEPTH = 3
 
 
@@ -50,6 +53,54 @@ def descendants(rules: DataFrame, depth: int = MAX_TREE_DEPTH) -> DataFrame:
     return out
 
 
+def _to_the_top(nodes: DataFrame, up: str, sums: tuple[str, ...], below: bool) -> DataFrame:
+    """``nodes`` (number, up, values) with values summed over what is below each node, or over the way up, itself included: pointers double in each round, so rounds follow the logarithm of the depth."""
+    now, seen = cut(nodes), 0
+    rounds = now.count().bit_length() + 1
+    while not now.where(F.col(up).isNotNull()).isEmpty():
+        seen += 1
+        if seen > rounds:
+            raise ValueError("the tree has a cycle")
+        above = now.select(F.col("number").alias(up), F.col(up).alias("_next"), *[F.col(c).alias(f"_a_{c}") for c in sums])
+        step = now.join(above, up, "left")
+        if below:
+            more = now.where(F.col(up).isNotNull()).groupBy(F.col(up).alias("number")).agg(*[F.sum(c).alias(f"_m_{c}") for c in sums])
+            step = step.join(more, "number", "left")
+        add = "_m_" if below else "_a_"
+        values = [(F.col(c) + F.coalesce(f"{add}{c}", F.lit(0))).alias(c) for c in sums]
+        kept = [c for c in nodes.columns if c not in (up, *sums)]
+        now = cut(step.select(*kept, F.col("_next").alias(up), *values))
+    return now
+
+
+def interval_labels(rules: DataFrame) -> DataFrame:
+    """(number, enter, leave, depth) of a forest (number, parent, pos): places in document order, a parent before what is below it and siblings by ``pos``, then number.
+
+    The nodes from ``enter`` to ``leave`` are a node's subtree, itself first.  A parent that is no node makes a root; a cycle fails.  Sizes of subtrees come from below, places from above, both by pointer doubling; what stands before a node
+    among its siblings is a running sum in ranges, so neither depth nor many children of one node are held by a task.
+    """
+    known = rules.select(F.col("number").alias("parent")).distinct().withColumn("_known", F.lit(True))
+    nodes = rules.select("number", "parent", "pos").join(known, "parent", "left").select("number", F.when(F.col("_known"), F.col("parent")).alias("parent"), "pos")
+    nodes = cut(assert_unique(nodes, "number"))
+    sizes = _to_the_top(nodes.select("number", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "up", ("size",), below=True).select("number", "size")
+    placed = running(nodes.join(sizes, "number"), ["parent"], ["pos", "number"], sums={"upto": F.col("size")})
+    own = placed.select("number", F.col("parent").alias("up"), "size", (F.col("upto") - F.col("size") + F.col("parent").isNotNull().cast("long")).alias("enter"), F.lit(1).cast("long").alias("depth"))
+    out = _to_the_top(own, "up", ("enter", "depth"), below=False)
+    return out.select("number", "enter", (F.col("enter") + F.col("size") - 1).alias("leave"), "depth")
+
+
+def subtrees_by_label(labels: DataFrame, roots: DataFrame, width: int = 4096) -> DataFrame:
+    """(root, number, distance, place) of the asked roots (number): all below each, itself first, ``place`` in document order.
+
+    A range join without comparing all with all: both sides meet on stretches of ``width`` labels, of which a root has as many as its subtree fills.
+    """
+    asked = labels.join(roots.select("number").distinct(), "number", "left_semi").select(F.col("number").alias("root"), F.col("enter").alias("_from"), "leave", F.col("depth").alias("_depth"))
+    asked = asked.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("leave") / width))))
+    rows = labels.select("number", "enter", "depth", F.floor(F.col("enter") / width).alias("_b"))
+    met = asked.join(rows, "_b").where(F.col("enter").between(F.col("_from"), F.col("leave")))
+    return met.select("root", "number", (F.col("depth") - F.col("_depth")).alias("distance"), (F.col("enter") - F.col("_from")).alias("place"))
+
+
 def undirected(*edges: DataFrame) -> DataFrame:
     """Distinct (src, dst) in both directions, without loops."""
     out = None

@@ -5,13 +5,20 @@ Random draws are ranks of MD5 digests of a seed and an id: the same on every eng
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..functions.special import paired_sign_test
 from ..functions.text import rule_family
+from .cuts import cut
 
 
 def draw(seed: int, *cols: str) -> Column:
@@ -54,21 +61,18 @@ def roll_up(items: DataFrame, doc: str, item: str) -> DataFrame:
     return items.select(doc, rule_family(F.col(item)).alias(item)).distinct()
 
 
-def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(only_a, only_b, p): exact two-sided test on the discordant pairs; p = 1 without any.
+@F.pandas_udf(DoubleType())
+def _sign_test(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([paired_sign_test(int(x), int(y)) for x, y in zip(a, b, strict=True)])
 
-    The binomial tail is summed from products of ratios, so no factorial overflows.
+
+def mcnemar(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
+    """(by..., only_a, only_b, p_value): exact two-sided test on the discordant pairs; p = 1 without any.
+
+    Pairs are counted in each task; the test sees one row for each group, and its memory doesn't grow with the pairs.
     """
-    n = pairs.agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(~F.col(a) & F.col(b)).alias("only_b"))
-    total, least = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    ln_half = math.log(0.5)
-    tail = F.expr(
-        "aggregate(sequence(0L, least(only_a, only_b)), named_struct('c', 0D, 's', 0D), (acc, k) -> named_struct("
-        "'c', if(k = 0, 0D, acc.c + ln((only_a + only_b - k + 1) / k)), "
-        f"'s', acc.s + exp(if(k = 0, 0D, acc.c + ln((only_a + only_b - k + 1) / k)) + (only_a + only_b) * {ln_half})), acc -> acc.s)"
-    )
-    p = F.when(total == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
-    return n.select("only_a", "only_b", F.round(p, 6).alias("p_value"), least.alias("least")).drop("least")
+    n = pairs.groupBy(*by).agg(F.count_if(F.col(a) & ~F.col(b)).alias("only_a"), F.count_if(~F.col(a) & F.col(b)).alias("only_b"))
+    return n.select(*by, "only_a", "only_b", F.round(_sign_test("only_a", "only_b"), 6).alias("p_value"))
 
 
 def rule_of_three(n: int) -> float:
@@ -112,25 +116,56 @@ def derangement(rows: DataFrame, group: str, key: str, value: str, seed: int) ->
 _POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12))
 
 
-def poisson_weight(*cols: Column) -> Column:
-    """How often a row is drawn in a resample: a Poisson(1) count from a digest, the same on every engine."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in cols])), 1, 8), 16, 10).cast("long")
-    return sum(((u >= b).cast("int") for b in _POISSON[1:]), (u >= _POISSON[0]).cast("int"))
+def _resampled(seed: int, resamples: int):
+    """Rows (cluster, x) as one row (v) for each task: for every resample the sums of the clusters' ``x`` weighted by their Poisson(1) counts, and the number of clusters drawn.
 
+    A count comes from the first 32 bits of the MD5 digest of seed, resample and cluster, the same on every engine.
+    """
 
-def bootstrap_ratio(clusters: DataFrame, num: str, den: str, resamples: int = 2000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
-    """(point, low, high): percentile interval of sum(num) / sum(den) over resampled clusters (``cluster``, num, den).
-
-    Each cluster counts a Poisson(1) number of times in each resample, so clusters need neither ranks nor joins: a task adds up its own
-    clusters for each resample, and at most ``resamples`` sums leave it.  A resample without any cluster is left out.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, total = np.array(_POISSON, np.uint64), None
+        leads = [hashlib.md5(f"{seed}|{b}|".encode()) for b in range(resamples)]
+        for batch in batches:
+            x = np.stack([np.ones(batch.num_rows), *(c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:])], 1)
+            total = np.zeros((resamples, x.shape[1])) if total is None else total
+            draws = np.empty(resamples, ">u4")
+            for i, cluster in enumerate(batch.column(0).to_pylist()):
+                own, parts = cluster.encode(), []
+                for lead in leads:
+                    h = lead.copy()
+                    h.update(own)
+                    parts.append(h.digest()[:4])
+                draws[:] = np.frombuffer(b"".join(parts), ">u4")
+                total += np.searchsorted(bounds, draws.astype(np.uint64), side="right")[:, None] * x[i]
+        if total is not None:
+            yield pa.record_batch([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    return run
+
+
+def bootstrap(clusters: DataFrame, key: str, sums: dict[str, Column], statistic: Callable[[dict[str, Column]], Column], resamples: int = 2000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
+    """(point, low, high): percentile interval of a statistic over resampled clusters, documents for example.
+
+    ``statistic`` makes a column from the ``sums`` of columns over the clusters drawn: a mean, a ratio, an F1, a variance from moments.  Each cluster counts a Poisson(1) number of times in each resample, so clusters need neither ranks
+    nor joins.  A task goes over its clusters once and sends on one vector of sums; vectors are added up by place, so no row is made for a cluster and a resample.  A resample without any cluster, or without a value, is left out.
     """
-    drawn = clusters.select("cluster", F.col(num).alias("x"), F.col(den).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
-    drawn = drawn.withColumn("w", poisson_weight(F.lit(seed), F.col("b"), F.col("cluster"))).where("w > 0")
-    sums = drawn.groupBy("b").agg((F.sum(F.col("w") * F.col("x")) / F.sum(F.col("w") * F.col("y"))).alias("v")).where("v is not null")
-    out = sums.agg(F.array_sort(F.collect_list("v")).alias("v"), F.count(F.lit(1)).alias("n"))
+    names = list(sums)
+    rows = clusters.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("cluster"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()])
+    vectors = rows.mapInArrow(_resampled(seed, resamples), "v array<double>")
+    width = len(names) + 1
+    cells = vectors.select(F.posexplode("v").alias("i", "x")).groupBy(F.floor(F.col("i") / width).alias("b"), (F.col("i") % width).alias("c")).agg(F.sum("x").alias("x"))
+    each = cells.groupBy("b").agg(*[F.sum(F.when(F.col("c") == j, F.col("x"))).alias(n) for j, n in enumerate(["_drawn", *names])]).where("_drawn > 0")
+    values = each.select(statistic({n: F.col(n) for n in names}).alias("v")).where("v is not null and not isnan(v)")
+    out = values.agg(F.array_sort(F.collect_list("v")).alias("v"), F.count(F.lit(1)).alias("n"))
     at = lambda q: F.round(F.get("v", F.least(F.col("n") - 1, F.floor(q * F.col("n"))).cast("int")), 6)
-    point = clusters.agg((F.sum(num) / F.sum(den)).alias("p")).scalar()
-    return out.select(F.round(point, 6).alias("point"), at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
+    whole = clusters.agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    point = whole.select(F.round(statistic({n: F.col(n) for n in names}), 6).alias("point"))
+    return out.select(point.scalar().alias("point"), at(alpha / 2).alias("low"), at(1 - alpha / 2).alias("high"))
+
+
+def bootstrap_ratio(clusters: DataFrame, num: str, den: str, resamples: int = 2000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
+    """(point, low, high): percentile interval of sum(num) / sum(den) over resampled clusters (``cluster``, num, den)."""
+    return bootstrap(clusters, "cluster", {"x": F.col(num), "y": F.col(den)}, lambda s: F.when(s["y"] != 0, s["x"] / s["y"]), resamples, seed, alpha)
 
 
 def bootstrap_mean(documents: DataFrame, key: str, value: str, resamples: int = 2000, seed: int = 13, alpha: float = 0.05) -> DataFrame:
@@ -154,25 +189,37 @@ def quantile_at(q: float) -> Callable[[Column], Column]:
 def order_statistics(rows: DataFrame, by: str, value: str, places: dict[str, Callable[[Column], Column]], bins: int = 4096) -> DataFrame:
     """(by, n, and for each name the element at its place, from 0, of the group's sorted non-null values), exactly.
 
-    Values are counted into ``bins`` equal ranges of their group; only the ranges that hold a wanted place are ranked, each on its own,
-    so no task sorts or holds a whole group.
+    Equal values become one row with their count, within each task first, so a value that most rows have is a sum and not a bin.  A wanted place is then found by refinement: the values between its bounds are counted into ``bins`` equal ranges, the range that holds the
+    place gives the next bounds (the least and greatest value in it), until at most ``bins`` distinct values are left, whose counts are added up in order.  No task sorts more than ``bins`` rows of a group; rounds follow the logarithm of how unevenly values are spread.
     """
-    key, v = F.col(by).alias("_g"), F.col(value).alias("_v")
-    base = rows.select(key, v).where("_v is not null")
-    ends = base.groupBy(F.col("_g").alias("_e")).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_total"))
-    width = F.col("_hi").cast("double") - F.col("_lo")
-    at = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v").cast("double") - F.col("_lo")) / width * bins))).otherwise(F.lit(0)).cast("int")
-    binned = base.join(ends, F.col("_g").eqNullSafe(F.col("_e"))).select("_g", "_v", "_total", at.alias("_bin"))
-    counts = binned.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total"))
-    w = Window.partitionBy("_g").orderBy("_bin")
-    upto = counts.withColumn("_before", F.sum("_n").over(w) - F.col("_n"))
+    bins = max(bins, 64)  # with few of them rounds would be many
+    base = cut(rows.select(F.col(by).alias("_g"), F.col(value).alias("_v")).where("_v is not null").groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    ends = base.groupBy("_g").agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_d"))
     wanted = F.array(*[F.struct(F.lit(k).alias("name"), f(F.col("_total")).cast("long").alias("place")) for k, f in places.items()])
-    hit = upto.withColumn("_w", F.explode(wanted)).where("_w.place >= _before and _w.place < _before + _n")
-    hit = hit.groupBy(F.col("_g").alias("_hg"), F.col("_bin").alias("_hb")).agg(F.first("_before").alias("_before"), F.collect_list("_w").alias("_w"))
-    near = binned.join(hit, F.col("_g").eqNullSafe(F.col("_hg")) & (F.col("_bin") == F.col("_hb")))
-    ranked = near.withColumn("_at", F.row_number().over(Window.partitionBy("_g", "_bin").orderBy("_v")) - 1 + F.col("_before"))
-    found = ranked.select("_g", "_v", "_at", "_total", F.explode("_w").alias("_w")).where("_w.place = _at")
-    return found.groupBy(F.col("_g").alias(by)).agg(F.first("_total").alias("n"), *[F.max(F.when(F.col("_w.name") == k, F.col("_v"))).alias(k) for k in places])
+    cols = [F.col("_g").alias("_k"), "_name", "_place", "_before", "_lo", "_hi", "_d", "_total"]
+    state = ends.withColumn("_w", F.explode(wanted)).withColumns({"_name": F.col("_w.name"), "_place": F.col("_w.place"), "_before": F.lit(0).cast("long")}).select(*cols)
+
+    def between(s: DataFrame) -> DataFrame:
+        return base.join(s, F.col("_g").eqNullSafe(F.col("_k")) & F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+    state, even = cut(state), False
+    while not state.where(F.col("_d") > bins).isEmpty():
+        wide = state.where(F.col("_d") > bins)
+        # Equal ranges part the least from the greatest value in each round; every other round goes by magnitude, so a tail over many of them is cut as fast.
+        even, scale = not even, (lambda c: F.col(c).cast("double")) if not even else (lambda c: F.asinh(F.col(c).cast("double")))
+        spread = scale("_hi") - scale("_lo")
+        part = F.when(spread > 0, (scale("_v") - scale("_lo")) / spread).otherwise(F.lit(0.0))
+        at = F.least(F.lit(bins - 1), F.floor(part * bins)).cast("int").alias("_bin")
+        own = ["_g", "_name", "_place", "_before", "_total"]
+        counts = between(wide).groupBy(*own, at).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_d"))
+        upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_name").orderBy("_bin"))
+        hit = counts.withColumn("_upto", upto).where((F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_n")))
+        hit = hit.withColumn("_before", F.col("_upto") - F.col("_n")).select(*cols)
+        state = cut(state.where(F.col("_d") <= bins).unionByName(hit))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_g", "_name").orderBy("_v"))
+    found = between(state).withColumn("_upto", upto).where(F.col("_upto") > F.col("_place"))
+    found = found.groupBy("_g", "_name").agg(F.min("_v").alias("_v"), F.first("_total").alias("_total"))
+    return found.groupBy(F.col("_g").alias(by)).agg(F.first("_total").alias("n"), *[F.max(F.when(F.col("_name") == k, F.col("_v"))).alias(k) for k in places])
 
 
 def set_hash(key: Column, value: Column) -> Column:

@@ -171,6 +171,34 @@ def document_mean_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.bootstrap_mean(per, "user_id", "mean", 500, 17)
 
 
+_SPREAD = "sqrt(sum(w * q) / sum(w * n) - (sum(w * s) / sum(w * n)) * (sum(w * s) / sum(w * n)))"
+
+
+@register(
+    "deviation_ci",
+    "WITH " + _interval_sql("SELECT user_id AS cluster, count(*) AS n, sum(value) AS s, sum(value * value) AS q, 0 AS x, 0 AS y FROM events GROUP BY 1", 19)
+    .replace("SELECT b, x, y, ", "SELECT b, n, s, q, ").replace("sum(w * x) / sum(w * y)", _SPREAD).replace("round(sum(x) / sum(y), 6)", "round(" + _SPREAD.replace("w * ", "") + ", 6)"),
+)
+def deviation_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard deviation of all values with its interval over resampled users: a statistic that is no ratio, from three sums."""
+    value = F.col("value")
+    per = Tables(spark, sf_dir).t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("s"), F.sum(value * value).alias("q"))
+    spread = lambda m: F.sqrt(m["q"] / m["n"] - (m["s"] / m["n"]) * (m["s"] / m["n"]))
+    return V.bootstrap(per, "user_id", {c: F.col(c) for c in ("n", "s", "q")}, spread, 500, 19)
+
+
+@register(
+    "mcnemar_by_language",
+    "WITH n AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS only_b FROM labels JOIN documents USING (doc_id) GROUP BY 1), "
+    "k AS (SELECT *, unnest(range(0, least(only_a, only_b) + 1)) AS k FROM n), t AS (SELECT lang, only_a, only_b, sum(exp(lgamma(only_a + only_b + 1) - lgamma(k + 1) - lgamma(only_a + only_b - k + 1) + (only_a + only_b) * ln(0.5))) AS tail FROM k GROUP BY 1, 2, 3) "
+    "SELECT lang, only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1 ELSE least(1, 2 * tail) END, 6) AS p_value FROM t",
+)
+def mcnemar_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    pairs = t.t("labels").join(t.t("documents").select("doc_id", "lang"), "doc_id").select("lang", (F.col("quality") == 1).alias("a"), (F.col("toxic") == 1).alias("b"))
+    return V.mcnemar(pairs, "a", "b", "lang")
+
+
 @register(
     "control_comparison",
     "WITH a AS (WITH " + _interval_sql(_BY_SOURCE.format("quality"), 13) + "), c AS (WITH " + _interval_sql(_BY_SOURCE.format("toxic"), 14)

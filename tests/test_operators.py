@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import hashlib
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
+from brindle.functions import special
 from brindle.operators import evaluation as V
 from brindle.operators import evidence as E
 from brindle.operators import gate as gating
@@ -238,6 +242,22 @@ def test_mcnemar(spark):
     assert V.rule_of_three(0) == 1.0 and V.rule_of_three(30) == 0.1
 
 
+def test_sign_test_against_exact_sums(spark):
+    for n in (1, 2, 7, 31, 120, 701):
+        for k in {0, 1, n // 7, n // 3, n // 2 - 1, n // 2} - {-1}:
+            want = min(1.0, float(2 * Fraction(sum(math.comb(n, i) for i in range(k + 1)), 2**n))) if 2 * k != n else 1.0
+            assert special.paired_sign_test(k, n - k) == pytest.approx(want, rel=1e-11)
+            assert special.paired_sign_test(n - k, k) == special.paired_sign_test(k, n - k)
+    # A billion pairs: near the normal's tails, with the correction for continuity.
+    for z in (1.0, 2.5, 6.0):
+        n = 10**9
+        k = int(n / 2 - z * math.sqrt(n) / 2)
+        assert special.paired_sign_test(k, n - k) == pytest.approx(math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 2)), rel=1e-6)
+    assert special.paired_sign_test(0, 5000) == 0.0 and special.paired_sign_test(5, 5) == special.paired_sign_test(0, 0) == 1.0
+    df = spark.createDataFrame([("x", True, False), ("x", True, False), ("y", True, True)], "g string, a boolean, b boolean")
+    assert rows(V.mcnemar(df, "a", "b", "g"), "g", "only_a", "only_b", "p_value") == [("x", 2, 0, 0.5), ("y", 0, 0, 1.0)]
+
+
 def test_allocation(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 3), ("c", 2)], "s string, n_rows long")
     assert rows(V.allocate(counts, "s", 4), "s", "quota") == [("a", 2), ("b", 1), ("c", 1)]
@@ -256,6 +276,37 @@ def test_bootstrap_brackets_the_point(spark):
     assert r["low"] <= r["point"] <= r["high"]
 
 
+def test_bootstrap_of_any_statistic(spark):
+    """Against the same draws one by one; the plan has no row for a cluster and a resample."""
+    data = [(str(i), float(i % 5), float(i * i % 11)) for i in range(25)] + [("n", None, 2.0)]
+    df = spark.createDataFrame(data, "k string, x double, y double").repartition(3)
+    got = V.bootstrap(df, "k", {"x": F.col("x"), "y": F.col("y"), "n": F.lit(1)}, lambda s: s["x"] * s["y"] / (s["n"] * s["n"]), 300, 7)
+    said = got.first()
+    values = []
+    for b in range(300):
+        w = [sum(int(hashlib.md5(f"7|{b}|{k}".encode()).hexdigest()[:8], 16) >= bound for bound in V._POISSON) for k, _, _ in data]
+        if sum(w):
+            values.append(sum(c * (x or 0) for c, (_, x, _) in zip(w, data, strict=True)) * sum(c * y for c, (_, _, y) in zip(w, data, strict=True)) / sum(w) ** 2)
+    values.sort()
+    want = (sum(x or 0 for _, x, _ in data) * sum(y for _, _, y in data) / len(data) ** 2, values[int(0.025 * len(values))], values[min(len(values) - 1, int(0.975 * len(values)))])
+    assert tuple(said) == pytest.approx(want, abs=1e-6)
+    assert V.bootstrap(df.where("false"), "k", {"x": F.col("x")}, lambda s: s["x"], 20).first()["low"] is None
+
+
+def test_order_statistics_of_uneven_values(spark):
+    """One value with nearly all rows, a tail over hundreds of magnitudes, negative values, two distinct values, whole numbers."""
+    data = [("one", 3.5)] * 5000 + [("one", float(i)) for i in range(50)] + [("tail", 10.0**e) for e in range(-150, 150)] + [("two", -1.0)] * 7 + [("two", 2.0)] * 6
+    df = spark.createDataFrame(data, "g string, v double")
+    places = {"low": lambda n: F.floor((n - 1) / 2), "p95": V.quantile_at(0.95), "last": lambda n: n - 1}
+    for bins in (64, 4096):
+        got = {r["g"]: tuple(r)[1:] for r in V.order_statistics(df, "g", "v", places, bins).collect()}
+        for g in ("one", "tail", "two"):
+            v = sorted(x for k, x in data if k == g)
+            assert got[g] == (len(v), v[(len(v) - 1) // 2], v[min(len(v) - 1, int(len(v) * 0.95))], v[-1])
+    whole = V.order_statistics(spark.range(1000).select(F.lit("w").alias("g"), (F.col("id") % 37).alias("v")), "g", "v", places, 8).first()
+    assert tuple(whole)[1:] == (1000, *(sorted(i % 37 for i in range(1000))[k] for k in (499, 950, 999)))
+
+
 def test_order_statistics(spark):
     rng = random.Random(5)
     data = [(g, v) for g in ("a", "b", None) for v in [rng.gauss(0, 1) ** 3 for _ in range(501)] + [0.25] * 200] + [("one", 7.0), ("none", None)]

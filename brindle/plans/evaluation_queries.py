@@ -82,20 +82,16 @@ def hit_rate_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = F.filter(F.transform("_w", lambda w, i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))), lambda g: g != "")
     found = held.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(keys, "key", "left_semi").distinct()
     near = found.join(q, "key").join(docs, "doc_id").select("item_id", F.col("text").contains(F.col("needle")).cast("int").alias("hit"), F.lit(1).alias("near"))
-    hit = near.groupBy("item_id").agg(F.max("hit").alias("hit"), F.max("near").alias("near"))
-    rows = q.select("item_id", "stratum").join(hit, "item_id", "left").fillna(0, ["hit", "near"])
-    rate = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    out = rows.rollup("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.sum("near").alias("family_hits"), rate("hit", "rate"), rate("near", "family_rate"))
-    return out.withColumn("stratum", F.coalesce("stratum", F.lit("all")))
+    out = V.hit_rates(q, near.withColumnRenamed("near", "family"), "item_id", "stratum", "hit", "family")
+    return out.withColumnsRenamed({"hit_hits": "hits", "hit_rate": "rate"})
 
 
 @register("recall_by_stratum", "WITH gold AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS item FROM lineitem), r AS (SELECT doc, count(*) AS n, count(*) FILTER (WHERE item % 3 <> 0) AS found FROM gold GROUP BY 1) SELECT o_orderpriority AS stratum, count(*) AS n, round(avg(found / n), 6) AS recall FROM r JOIN orders ON o_orderkey = doc GROUP BY 1")
 def recall_by_stratum(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    gold = t.t("lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("item")).distinct()
-    per = gold.groupBy("doc").agg((F.count_if(F.col("item") % 3 != 0) / F.count(F.lit(1))).alias("recall"))
-    rows = per.join(t.t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("stratum")), "doc")
-    return rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("recall"), 6).alias("recall"))
+    gold = t.t("lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("item"))
+    rows = V.retrieval_recall(gold, gold.where("item % 3 <> 0"), "doc", "item").join(t.t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("stratum")), "doc")
+    return V.mean_by_stratum(rows, "stratum", "recall")
 
 
 @register(
@@ -245,7 +241,7 @@ def refusal_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("failure_histogram", "SELECT l_returnflag || l_linestatus AS code, count(*) AS n FROM lineitem WHERE l_discount > 0.05 GROUP BY 1 ORDER BY n DESC, code")
 def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = Tables(spark, sf_dir).t("lineitem").where("l_discount > 0.05")
-    return line.groupBy(F.concat("l_returnflag", "l_linestatus").alias("code")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code")
+    return V.histogram(line.select(F.concat("l_returnflag", "l_linestatus").alias("code")), "code")
 
 
 @register(
@@ -255,11 +251,7 @@ def failure_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def claim_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Tables(spark, sf_dir).t("conversations").where("role = 'assistant'").select("conv_id", F.col("text").like("% the %").alias("c"), (F.length("text") >= 40).alias("f"))
-    cited, factual, n = F.count_if(F.col("f") & F.col("c")), F.count_if("f"), F.count(F.lit(1))
-    return s.agg(
-        cited.alias("cited"), factual.alias("factual"), F.count_if(~F.col("f")).alias("excluded"), n.alias("segmented"), F.count_distinct(F.when(F.col("f"), F.col("conv_id"))).alias("clusters"),
-        F.count_distinct("conv_id").alias("answers"), F.round(cited / F.nullif(factual, F.lit(0)), 6).alias("rate"), (F.count_if(~F.col("f")) / n > 0.20).alias("void"),
-    )
+    return V.coverage(s, "conv_id", "c", "f")
 
 
 @register("cost_projection", "SELECT source, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, round(sum(greatest(1, length(text) // 4)) * 0.15 / 1000000, 9) AS usd FROM documents GROUP BY 1")
@@ -276,9 +268,7 @@ def legality_map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("counts_with_zeros", "SELECT s.v AS stratum, count(doc_id) AS n FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'it', 'pt']) AS v) s LEFT JOIN documents ON lang = v GROUP BY 1")
 def counts_with_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = spark.createDataFrame([(v,) for v in ("de", "en", "es", "fr", "it", "pt")], "stratum string")
-    counts = Tables(spark, sf_dir).t("documents").groupBy(F.col("lang").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
-    return every.join(counts, "stratum", "left").select("stratum", F.coalesce("n", F.lit(0)).alias("n"))
+    return V.counts_of(Tables(spark, sf_dir).t("documents").withColumnRenamed("lang", "stratum"), "stratum", ("de", "en", "es", "fr", "it", "pt"))
 
 
 @register("annotator_agreement", "SELECT lang, count(*) AS n, round(avg(CASE WHEN quality = toxic THEN 1.0 ELSE 0.0 END), 6) AS exact FROM labels JOIN documents USING (doc_id) GROUP BY 1")

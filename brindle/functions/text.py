@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .words import CITATION_BODY, LIGATURES, QUESTION_WORDS, STOPWORDS, TYPOGRAPHY
 
 #: Rule numbers such as 613, 613.4 or 613.4a.
 RULE_NUMBER = r"[0-9]{3}(?:\.[0-9]+[a-z]?)?"
+
+
 def _accented() -> dict[str, str]:
     """Latin letters with marks and the letter each decomposes to; by the compatibility decomposition, where that is one ASCII letter and marks."""
     out = {}
@@ -31,6 +35,26 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
 
 
+@F.pandas_udf(StringType())
+def _decomposed(s: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)) for x in s], dtype=object)
+
+
+def fold_any(c: Column) -> Column:
+    """``fold`` for any script: compatibility decomposition without combining marks, as the standard library has it (full-width letters, ligatures, syllables).
+
+    Spark SQL has no such function, so this runs on Arrow batches; texts of ASCII alone, nearly all names, reach Python as nulls.  Unlike ``fold`` it can't stand within a function over an array's elements.
+    """
+    for a, b in (*LIGATURES, *TYPOGRAPHY):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, c).otherwise(_decomposed(F.when(~plain, c)))
+
+
+def normalize_any(c: Column) -> Column:
+    return collapse_spaces(F.lower(fold_any(c)))
+
+
 def collapse_spaces(c: Column) -> Column:
     """Runs of white space (any in Unicode) become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

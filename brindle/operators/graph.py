@@ -113,13 +113,16 @@ def undirected(*edges: DataFrame) -> DataFrame:
 def ball(seeds: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
     """(seed, node, distance): all nodes within ``hops`` of each seed, seeds included, at their least distance.
 
-    A step goes on from the one before alone, and least distances are taken once at the end, so the plan grows with the hops and not faster.
+    A step goes on from the nodes that the one before reached first, and what is reached already is taken out, so no walk is gone twice.  Each frontier is kept (a job of its own); where it is empty the ball ends early.
     """
-    step = out = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct()
+    step = seen = cut(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct())
     for d in range(1, hops + 1):
-        step = step.select("seed", F.col("node").alias("src")).join(adjacency, "src").select("seed", F.col("dst").alias("node")).distinct().withColumn("distance", F.lit(d))
-        out = out.unionByName(step)
-    return out.groupBy("seed", "node").agg(F.min("distance").alias("distance"))
+        near = step.select("seed", F.col("node").alias("src")).join(adjacency, "src").select("seed", F.col("dst").alias("node")).distinct()
+        step = cut(near.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d)))
+        if step.isEmpty():
+            break
+        seen = seen.unionByName(step)
+    return seen
 
 
 # --- upserts: built-in file sources have no merge, so each returns the next snapshot ------------------------------------

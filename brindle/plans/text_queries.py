@@ -29,6 +29,12 @@ def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).t("benchmark").select("item_id", T.normalize_name(F.col("text")).alias("name"))
 
 
+@register("normalize_any_name", f"SELECT doc_id, md5(trim(regexp_replace(lower({_fold_sql('text')}), '\\s+', ' ', 'g'))) AS name FROM documents")
+def normalize_any_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents folded by the decomposition for any script; the tables' languages have Latin letters alone, so the other fold must agree."""
+    return Tables(spark, sf_dir).t("documents").select("doc_id", F.md5(T.normalize_any(F.col("text"))).alias("name"))
+
+
 @register("loose_name", f"SELECT item_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(lower({_fold_sql('text')}), '\\s+', ' ', 'g')), '[^a-z0-9 ]+', '', 'g'), '\\s+', ' ', 'g')) AS name FROM benchmark")
 def loose_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).t("benchmark").select("item_id", T.loose_name(F.col("text")).alias("name"))

@@ -65,3 +65,15 @@ def test_replies(spark):
     prices = [("small-mini", 0.1, 0.2), ("small", 1.0, 2.0), ("large", 9.0, 9.5)]
     got = values(spark, ["small-mini-2", "small-3", "other"], lambda c: T.price_for_model(c, prices))
     assert [tuple(r) for r in got] == [(0.1, 0.2), (1.0, 2.0), (9.0, 9.5)]
+
+
+def test_fold_for_any_script(spark):
+    """Equal to the standard library on code points of all planes, and on texts of ASCII alone, empty and null ones."""
+    import unicodedata
+
+    codes = [c for c in (*range(0x20, 0x3000, 7), *range(0x3000, 0x10000, 53), *range(0xAC00, 0xD7A4, 97), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF60), *range(0x10000, 0x2FFFF, 4099)) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{chr(c)}b" for c in codes] + ["plain", "", None, "ＡＢＣ ﬁ 각 é e\u0301", "Æther ‘x’"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.fold_any(F.col("t")).alias("f")).collect()
+    table = str.maketrans(dict(T.LIGATURES + T.TYPOGRAPHY))
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.translate(table)) if not unicodedata.combining(c))
+    assert {r["i"]: r["f"] for r in got} == {i: None if t is None else fold(t) for i, t in enumerate(texts)}

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.words import CITATION_BODY
+from . import stores
+
 
 def apply_keyed(rows: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """Rows with the non-null values of the edit of their key."""
@@ -21,7 +24,7 @@ def unmatched(rows: DataFrame, edits: DataFrame, key: str) -> DataFrame:
 
 
 def add_citation(rows: DataFrame, key: str, at, column: str, number: str, known: DataFrame) -> DataFrame:
-    """The row at a key with one more citation; an unknown number fails."""
+    """The row at a key with one more citation; an unknown number fails (a job of its own looks it up)."""
     if not known.where(F.col("number") == number).limit(1).count():
         raise ValueError(f"{number} is no known rule")
     return rows.withColumn(column, F.when(F.col(key) == at, F.array_union(column, F.array(F.lit(number)))).otherwise(F.col(column)))
@@ -85,7 +88,7 @@ def vocabulary_overlap(items: DataFrame, group: str, item: str) -> DataFrame:
 
 # --- answers --------------------------------------------------------------------------------------------------------
 
-_MARK = r"\[([a-z_]+:[^\]]+)\]"
+_MARK = CITATION_BODY
 
 
 def segment_answer(answer: Column) -> Column:
@@ -117,11 +120,8 @@ def expand_citations(answers: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def load_tagged(nodes: DataFrame, fixture: DataFrame, key: str, tag: str) -> DataFrame:
     """Nodes with a fixture's rows added under a tag; a key that is taken fails, for adopting a node would later delete it."""
-    taken = [r[key] for r in fixture.select(key).join(nodes.select(key), key, "left_semi").limit(5).collect()]
-    if taken:
-        raise ValueError(f"keys already taken: {taken}")
-    return nodes.unionByName(fixture.withColumn("tag", F.lit(tag)))
+    return stores.load_tagged(nodes, fixture, key, "tag", tag)
 
 
 def teardown(nodes: DataFrame, tag: str) -> DataFrame:
-    return nodes.where(~F.coalesce(F.col("tag") == tag, F.lit(False)))
+    return stores.teardown(nodes, "tag", tag)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
 
+# The bounds that results depend on, and the order of kinds in a context.
 KIND_CAP = 25
 TOKEN_BUDGET = 6000
 KIND_ORDER = ("card", "keyword", "rule", "ruling", "legality")
@@ -71,7 +72,7 @@ def serialize(evidence: DataFrame, lost: DataFrame | None = None) -> DataFrame:
     if lost is None:
         return out
     left_out = lost.where("n > 0").groupBy("question_id").agg(F.sum("n").alias("_n"))
-    notice = F.concat(F.lit("\n\nNOTICE: this context is incomplete, "), F.col("_n").cast("string"), F.lit(" items were left out. Say so if the answer depends on what is missing."))
+    notice = F.concat(F.lit("\n\nNOTICE: "), F.col("_n").cast("string"), F.lit(" further items did not fit here; name the gap where an answer rests on them."))
     return out.join(left_out, "question_id", "left").select("question_id", F.concat("body", F.coalesce(notice, F.lit(""))).alias("body"))
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The types of edges, the ways in which candidates are found, and the least confidence.
 EDGE_TYPES = ("MENTIONS", "CITES_RULE", "REFERENCES")
 METHODS = ("exact", "loose", "surface", "explicit", "llm")
 DETERMINISTIC = ("exact", "loose", "explicit")

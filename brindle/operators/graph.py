@@ -111,11 +111,12 @@ def undirected(*edges: DataFrame) -> DataFrame:
 
 
 def ball(seeds: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
-    """(seed, node, distance): all nodes within ``hops`` of each seed, seeds included, at their least distance.
+    """(seed, node, distance): all nodes within ``hops`` of each seed, seeds included, at their least distance; ``seeds`` may name the nodes (seed, node) that each begins at.
 
     A step goes on from the nodes that the one before reached first, and what is reached already is taken out, so no walk is gone twice.  Each frontier is kept (a job of its own); where it is empty the ball ends early.
     """
-    step = seen = cut(seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("distance")).distinct())
+    start = F.col("node") if "node" in seeds.columns else F.col("seed")
+    step = seen = cut(seeds.select(F.col("seed"), start.alias("node"), F.lit(0).alias("distance")).distinct())
     for d in range(1, hops + 1):
         near = step.select("seed", F.col("node").alias("src")).join(adjacency, "src").select("seed", F.col("dst").alias("node")).distinct()
         step = cut(near.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(d)))

@@ -129,6 +129,7 @@ class Template:
         return out
 
 
+# Names of the templates and of the kinds of questions that each serves.
 TEMPLATES = (
     Template("card_core", card_core, ("legality_1hop", "rulings_2hop", "interaction_multihop"), ("asked", "card_id", "name")),
     Template("keyword_definition", keyword_definition, ("definition_1hop", "keyword_rule_2hop"), ("keyword", "number", "text", "subrules")),

@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import annotation_queries, answer_queries, evaluation_queries, extraction_queries, graph_queries, linking_queries, loader_queries, payload_queries, report_queries, retrieval_queries, rules_queries, text_queries  # noqa: F401
+    from . import annotation_queries, answer_queries, evaluation_queries, extraction_queries, graph_queries, linking_queries, loader_queries, payload_queries, reach_queries, report_queries, retrieval_queries, rules_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

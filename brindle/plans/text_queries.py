@@ -247,7 +247,7 @@ def evidence_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_EV}, n AS (SELECT *, CASE WHEN kind = 'ruling' THEN 'ruling:' || row_number() OVER (PARTITION BY question_id, kind = 'ruling' ORDER BY arrival) ELSE kind || ':' || key END AS handle FROM ev), f AS (SELECT question_id, handle, arg_min(kind, arrival) AS kind, arg_min(text, arrival) AS text, arg_min(template, arrival) AS template, min(arrival) AS arrival FROM n GROUP BY 1, 2), "
     "k AS (SELECT question_id, CASE kind WHEN 'card' THEN 1 WHEN 'rule' THEN 3 ELSE 4 END AS rank, '## ' || kind || chr(10) || string_agg('[' || handle || '] ' || text || chr(10) || '    via ' || template || ': p', chr(10) ORDER BY arrival) AS said FROM f GROUP BY question_id, kind), "
     "l AS (SELECT question_id, count(*) AS n FROM ev WHERE arrival % 5 = 0 GROUP BY 1) "
-    "SELECT question_id, string_agg(said, chr(10) ORDER BY rank, said) || coalesce(any_value(chr(10) || chr(10) || 'NOTICE: this context is incomplete, ' || n || ' items were left out. Say so if the answer depends on what is missing.'), '') AS body FROM k LEFT JOIN l USING (question_id) GROUP BY 1",
+    "SELECT question_id, string_agg(said, chr(10) ORDER BY rank, said) || coalesce(any_value(chr(10) || chr(10) || 'NOTICE: ' || n || ' further items did not fit here; name the gap where an answer rests on them.'), '') AS body FROM k LEFT JOIN l USING (question_id) GROUP BY 1",
 )
 def serialize_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence_rows(spark, sf_dir)

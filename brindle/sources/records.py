@@ -38,7 +38,7 @@ def resolve(spark: SparkSession, folder: str, stem: str) -> str:
 def read_json(spark: SparkSession, path: str, schema: str | StructType, strict: bool = False) -> DataFrame:
     """JSON rows of a file: an array if its first character says so, else a value on each line; gzip by suffix.
 
-    Blank lines give no rows.  With ``strict`` a malformed record fails the read.
+    Blank lines give no rows.  With ``strict`` a malformed record fails the read.  The first line is read at once, by a job of its own.
     """
     mode = "FAILFAST" if strict else "PERMISSIVE"
     head = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").limit(1).collect()

@@ -20,7 +20,7 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else the warehouse.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, else the warehouse, if it isn't a local path.
 
     Only on a local master, where there are no other machines, an unset one is a new temporary folder.
     """
@@ -30,12 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     if not root and not current.isEmpty():
         root = current.get()
     if not root:
-        root = tempfile.mkdtemp(prefix="brindle-checkpoint-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir")
+        root = tempfile.mkdtemp(prefix="brindle-checkpoint-") if sc.master.startswith("local") else shared_warehouse(spark.conf.get("spark.sql.warehouse.dir"))
     if current.isEmpty():
         sc.setCheckpointDir(root)
     return root
 
 
+def shared_warehouse(path: str) -> str:
+    """The warehouse's path, or an error where it is a folder of the driver's own machine, which executors would each write to on theirs."""
+    if path.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share; the warehouse is a local path")
+    return path
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a job in this block are removed on all executors when the job ends; a lost one is then made anew from its input."""

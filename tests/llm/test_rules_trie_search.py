@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 
 from brindle.llm import prefix_trie, quality_rules, ranked_search
+from brindle.llm._common import shared_warehouse
 
 xxhash = pytest.importorskip("xxhash")
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -288,3 +289,10 @@ def test_equal_impacts_stay_shallow():
         depth, level = depth + 1, np.concatenate((t.left[level], t.right[level]))
         level = level[level >= 0]
     assert depth < 80
+
+
+def test_a_local_warehouse_is_no_shared_folder():
+    assert shared_warehouse("hdfs://x/warehouse") == "hdfs://x/warehouse" and shared_warehouse("s3a://b/w") == "s3a://b/w"
+    for path in ("file:/root/spark-warehouse", "/tmp/w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_warehouse(path)

@@ -30,7 +30,7 @@ def load_tagged(nodes: DataFrame, rows: DataFrame, key: str, tag: str, name: str
     """``nodes`` with the rows of a fixture, tagged; an error where a key is there already."""
     clash = rows.join(nodes.select(key), key, "left_semi").select(key).limit(5).collect()
     if clash:
-        raise ValueError(f"already there: {[r[key] for r in clash]}")
+        raise ValueError(f"already there, keys are taken: {[r[key] for r in clash]}")
     return nodes.unionByName(rows.withColumn(tag, F.lit(name)), allowMissingColumns=True)
 
 

@@ -215,11 +215,24 @@ def draft(mentions: DataFrame, doc: str) -> DataFrame:
     return mentions.groupBy(doc).agg(F.array_sort(F.collect_list(entry)).alias("mentions"))
 
 
+#: First words of a lexicon that are looked up within a text's row; a lexicon with more is joined by whole runs alone.
+MOST_FIRST_WORDS = 10_000
+
+
 def ngram_mentions(docs: DataFrame, lexicon: DataFrame, doc: str, item: str, n: int) -> DataFrame:
     """(doc, item, start_word) wherever the words of a surface of ``n`` words follow one another.
 
-    Runs are built within the row from the words and exploded alone, never with the whole text.
+    A run is built where a surface's first word stands, from the few words behind it, so only likely places leave the row and meet the lexicon.  The first words are a set within the plan where they are few (a job of its own finds that out);
+    otherwise every run is built.
     """
     w = docs.select(doc, F.split(collapse_spaces(F.col("text")), " ").alias("_w")).where(F.size("_w") >= n)
-    grams = F.transform(F.slice("_w", F.lit(1), F.size("_w") - n + 1), lambda x, i: F.array_join(F.slice(F.col("_w"), i + 1, n), " "))
-    return w.select(doc, F.posexplode(grams).alias("start_word", "surface")).join(lexicon, "surface").select(doc, item, F.col("start_word").cast("long").alias("start_word"))
+    firsts = [r["f"] for r in lexicon.select(F.split_part("surface", F.lit(" "), F.lit(1)).alias("f")).distinct().limit(MOST_FIRST_WORDS + 1).collect()]
+    starts = F.slice("_w", F.lit(1), F.size("_w") - n + 1)
+    run = lambda x, i: F.struct(i.alias("start_word"), F.array_join(F.slice(F.col("_w"), i + 1, n), " ").alias("surface"))
+    if len(firsts) <= MOST_FIRST_WORDS:
+        places = F.filter(F.transform(starts, lambda x, i: F.when(x.isin(*firsts), run(x, i))), lambda r: r.isNotNull())
+    else:
+        places = F.transform(starts, run)
+    # An outer explode: of an inner one Spark infers a filter on the array's size, which would build it twice.
+    found = w.select(doc, F.explode_outer(places).alias("_r")).where("_r is not null").select(doc, "_r.start_word", "_r.surface")
+    return found.join(lexicon, "surface").select(doc, item, F.col("start_word").cast("long").alias("start_word"))

@@ -514,3 +514,11 @@ def test_annotations(spark):
     with pytest.raises(ValueError, match="taken"):
         A.load_tagged(more, spark.createDataFrame([("a",)], "k string"), "k", "t1")
     assert [r[0] for r in df.select(A.canonical(F.array(F.lit("1.1."), F.lit(" 1.1")))).collect()] == [["1.1"], ["1.1"]]
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_runs_of_words_by_first_words_and_without(spark, monkeypatch, most):
+    monkeypatch.setattr(linking, "MOST_FIRST_WORDS", most)
+    docs = spark.createDataFrame([(1, "a b c a b  c d"), (2, "a b"), (3, None), (4, ""), (5, "x y z\na\tb c")], "doc int, text string")
+    lex = spark.createDataFrame([("p", "a b c"), ("q", "b c d"), ("r", "y z a"), ("p", "x y q")], "item string, surface string")
+    assert rows(linking.ngram_mentions(docs, lex, "doc", "item", 3), "doc", "item", "start_word") == [(1, "p", 0), (1, "p", 3), (1, "q", 4), (5, "p", 3), (5, "r", 1)]

@@ -1,11 +1,14 @@
 """Dictionary linking over DataFrames: a lexicon of name forms, n-gram candidates by joins, and greedy longest matches without overlaps.
 
 A text's words are numbered; runs of words that begin with a known first word are looked up by a hash join, so neither the lexicon nor the texts
-are held in one place.  Only hits are sent on, and one fold over a text's few hits keeps the greedy ones.
+are held in one place.  Only hits are sent on, and a text's hits pass by in order to keep the greedy ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,19 +74,27 @@ def first_words(lex: DataFrame, longest: int) -> DataFrame:
     return lex.groupBy(first.alias("first")).agg(F.least(F.max("words"), F.lit(longest)).alias("longest")).where("first <> ''")
 
 
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (document, at, width, ...) in order, without those that begin within the last one kept of their document."""
+    document, free, first = None, 0, True
+    for batch in batches:
+        keep = []
+        for d, at, width in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if first or d != document:
+                document, free, first = d, 0, False
+            keep.append(at >= free)
+            if at >= free:
+                free = at + width
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def without_overlaps(hits: DataFrame, doc: str, *cols: str) -> DataFrame:
     """Greedy longest matches: from the left, at each place the widest hit, whose words are then used up.
 
-    ``hits`` (doc, at, width, ...) has one row for each place and width.  One fold over a document's sorted hits.
+    ``hits`` (doc, at, width, ...) has one row for each place and width.  A document's hits pass by in order, and only the end of the last one kept is remembered: linear, however many hits a document has.
     """
-    entry = F.struct("at", (-F.col("width")).alias("_w"), "width", *cols)
-    hits = hits.groupBy(doc).agg(F.array_sort(F.collect_list(entry)).alias("_h"))
-    kept = F.aggregate(
-        "_h", F.struct(F.lit(0).alias("free"), F.slice("_h", 1, 0).alias("kept")),
-        lambda s, h: F.when(h["at"] >= s["free"], F.struct((h["at"] + h["width"]).alias("free"), F.concat(s["kept"], F.array(h)).alias("kept"))).otherwise(s),
-        lambda s: s["kept"],
-    )
-    return hits.select(doc, F.explode(kept).alias("_k")).select(doc, "_k.at", "_k.width", *[F.col(f"_k.{c}") for c in cols])
+    rows = hits.select(doc, "at", "width", *cols)
+    return rows.repartition(doc).sortWithinPartitions(doc, "at", F.desc("width")).mapInArrow(_greedy, rows.schema)
 
 
 def _looked_up(found: DataFrame, lex: DataFrame, doc: str, host: DataFrame | None) -> DataFrame:

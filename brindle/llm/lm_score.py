@@ -172,7 +172,7 @@ def _answered(rows: pa.Table) -> pa.Table:
     pack = lambda x: pa.array([_packed(x[lo:hi], "<u8" if wide else "<u4") for lo, hi in cuts] + [None], pa.binary())
     none = pa.nulls(len(cuts), pa.int64()).to_pylist()
     shard = rows.column("shard").to_pylist()
-    return pa.table(
+    out = pa.table(
         {
             "chunk": pa.array(rows.column("chunk").to_pylist() + [None], pa.int64()),
             "shard": pa.array(shard + shard[:1], pa.int64()),
@@ -183,6 +183,9 @@ def _answered(rows: pa.Table) -> pa.Table:
             **{k: pa.array(none + [pc.sum(rows.column(k)).as_py()], pa.int64()) for k in _TOTALS},
         }
     )
+    del keys, t, b, all_t, all_b
+    trim_memory()
+    return out
 
 
 _ANSWER = "chunk long, shard long, words long, wide boolean, t binary, b binary, " + ", ".join(f"{c} long" for c in _TOTALS)
@@ -219,7 +222,7 @@ def _scored(held: pa.Table, answers: pa.Table, totals: Totals) -> pa.Table:
     lt, lb = losses[0], losses[-1]
     doc = c.words.doc_of()
     mean = lambda x: np.round(np.bincount(doc, weights=x, minlength=len(n)) / np.maximum(n, 1), 9)
-    return pa.table(
+    out = pa.table(
         {
             "id": docs.column("id"),
             "n_tokens": pa.array(n, pa.int64()),
@@ -228,6 +231,9 @@ def _scored(held: pa.Table, answers: pa.Table, totals: Totals) -> pa.Table:
             "score": pa.array(mean(lt - lb), pa.float64()),
         }
     )
+    del c, texts, losses, lt, lb, doc
+    trim_memory()
+    return out
 
 
 def score_language(docs: DataFrame, targets: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import parallelism, pick
-from ._words import U64, _table, mix
+from ._words import U64, _table, mix, trim_memory
 
 SIZE = 64
 RANGE_BYTES = 1 << 20
@@ -151,6 +151,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(out) >= 256:
                 yield _batch(out, id_type)
                 out.clear()
+        trim_memory()
     if id_type is not None:
         yield _batch(out, id_type)
 

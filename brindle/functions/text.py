@@ -29,10 +29,14 @@ ACCENTED, PLAIN = ("".join(x) for x in zip(*_accented().items(), strict=True))
 
 
 def fold(c: Column) -> Column:
-    """Ligatures and typographic marks replaced, accents of Latin letters dropped, whether part of the letter or combining marks of their own."""
+    """Ligatures and typographic marks replaced, accents of Latin letters dropped, whether part of the letter or combining marks of their own.
+
+    Texts of ASCII alone, nearly all, stay as they are and pass none of the steps.
+    """
+    plain, text = c.rlike(r"^[\x00-\x7F]*$"), c
     for a, b in (*LIGATURES, *TYPOGRAPHY):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", "")
+    return F.when(plain, text).otherwise(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}+", ""))
 
 
 @F.pandas_udf(StringType())

@@ -9,13 +9,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import carries_capitalization, collapse_spaces, loose_name, normalize_name, split_faces, stated_rules
+from ..functions.text import carries_capitalization, collapse_spaces, fold, loose_name, normalize_name, split_faces, stated_rules
+from .cuts import cut
 
 MAX_NAME_WORDS = 12
 MAX_QUERY_WORDS = 8
+#: Kinds of a name's forms, in order of right.
+KINDS = ("exact", "loose", "single")
+#: First words of a lexicon that are looked up within a text's row; a lexicon with more is joined by whole runs alone.
+MOST_FIRST_WORDS = 10_000
 #: Layouts that are no rules entities (fixed values of the card data).
 NON_RULES_LAYOUTS = ("art_series", "token", "double_faced_token", "emblem")
 
@@ -54,83 +59,118 @@ def trimmed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"^[,.;:!?]+", ""), r"[,.;:!?]+$", ""))
 
 
-def windows(docs: DataFrame, doc: str, text: str, firsts: DataFrame, longest: int) -> DataFrame:
-    """(doc, at, width, surface): runs of words whose first word, folded and bare of marks, begins a name; no longer than its longest name.
+def folded_words(c: Column) -> Column:
+    """A text's words as (s, n, l): as they stand, normalised, and without all but letters and digits.
+
+    Each word is folded once, and has no space to collapse; a run's folded form is its words' forms in a row.
+    """
+    folded = F.transform(words_of(c), lambda w: F.struct(w.alias("s"), F.lower(fold(w)).alias("n")))
+    return F.transform(folded, lambda w: F.struct(w["s"].alias("s"), w["n"].alias("n"), F.regexp_replace(w["n"], "[^a-z0-9]+", "").alias("l")))
+
+
+def joined(words: Column, field: str) -> Column:
+    """A field of a run's words in a row; words that folding leaves empty are none."""
+    said = F.transform(words, lambda x: x[field])
+    return F.array_join(said if field == "s" else F.filter(said, lambda x: x != ""), " ")
 
-    Words are exploded with the few that follow, not with the whole text.
+
+def windows(words: DataFrame, doc: str, firsts: DataFrame, longest: int, *carried: str) -> DataFrame:
+    """(doc, carried, at, width, run): runs of ``words`` (doc, _w as :func:`folded_words`) that may be names by their first word and the number of their words, no longer than the longest name with that first word.
+
+    A run whose loose form has fewer words than stand there may be a name of any number in between.  Words are exploded with the few that follow, not with the whole text.
     """
-    w = docs.select(doc, words_of(F.col(text)).alias("_w"))
     around = F.transform("_w", lambda x, i: F.slice(F.col("_w"), i + 1, longest)) if longest > 1 else F.transform("_w", lambda x: F.array(x))
-    near = w.select(doc, F.posexplode(around).alias("at", "_next"))
-    first = F.regexp_replace(normalize_name(F.get("_next", F.lit(0))), "[^a-z0-9]", "")
-    near = near.withColumn("first", first).join(firsts, "first")
-    widths = F.sequence(F.lit(1), F.least("longest", F.size("_next")))
-    return near.select(doc, "at", F.explode(widths).alias("width"), "_next").select(doc, "at", "width", F.array_join(F.slice("_next", F.lit(1), F.col("width")), " ").alias("surface"))
+    near = words.select(doc, *carried, F.posexplode(around).alias("at", "_next"))
+    near = near.withColumn("first", F.get("_next", F.lit(0))["l"]).where("first <> ''").join(_at_hand(firsts), "first")
+    bare = lambda w: F.size(F.filter(F.slice(F.col("_next"), F.lit(1), w), lambda x: x["l"] != ""))
+    fits = lambda w: F.array_contains("counts", w) | F.exists("counts", lambda k: (k < w) & (k >= bare(w)))
+    widths = F.filter(F.sequence(F.lit(1), F.least("longest", F.size("_next"))), fits)
+    return near.select(doc, *carried, "at", F.explode(widths).alias("width"), "_next").select(doc, *carried, "at", "width", F.slice("_next", F.lit(1), F.col("width")).alias("run"))
 
 
 def first_words(lex: DataFrame, longest: int) -> DataFrame:
-    """(first, longest): how many words the longest name has that begins with a word."""
+    """(first, longest, counts): of the names that begin with a word, how many words the longest has, and all numbers of words."""
     first = F.regexp_replace(F.split_part("key", F.lit(" "), F.lit(1)), "[^a-z0-9]", "")
-    return lex.groupBy(first.alias("first")).agg(F.least(F.max("words"), F.lit(longest)).alias("longest")).where("first <> ''")
+    return lex.groupBy(first.alias("first")).agg(F.least(F.max("words"), F.lit(longest)).alias("longest"), F.collect_set("words").alias("counts")).where("first <> ''")
+
+
+def _at_hand(firsts: DataFrame) -> DataFrame:
+    """First words as a broadcast table where they are few (a job of its own finds that out), so that texts aren't shuffled by words that nearly all hold."""
+    rows = firsts.limit(MOST_FIRST_WORDS + 1).collect()
+    return F.broadcast(firsts.sparkSession.createDataFrame(rows, firsts.schema)) if len(rows) <= MOST_FIRST_WORDS else firsts
 
 
 def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (document, at, width, ...) in order, without those that begin within the last one kept of their document."""
-    document, free, first = None, 0, True
+    """Rows (document, at, width, fits, ...) in order, without those that begin within the last one kept of their document; of several rows for one place and width only the first counts, whether it fits or not."""
+    document, free, first, place = None, 0, True, None
     for batch in batches:
         keep = []
-        for d, at, width in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for d, at, width, fits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if first or d != document:
-                document, free, first = d, 0, False
-            keep.append(at >= free)
-            if at >= free:
+                document, free, first, place = d, 0, False, None
+            kept = fits and at >= free and place != (at, width)
+            place = (at, width)
+            keep.append(kept)
+            if kept:
                 free = at + width
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def without_overlaps(hits: DataFrame, doc: str, *cols: str) -> DataFrame:
-    """Greedy longest matches: from the left, at each place the widest hit, whose words are then used up.
+def without_overlaps(hits: DataFrame, doc: str, *cols: str, fits: Column | None = None, rank: Column | None = None) -> DataFrame:
+    """Greedy longest matches: from the left, at each place the widest hit that fits, whose words are then used up.
+
+    Of the hits (doc, at, width, ...) for one place and width only the one of the least ``rank`` counts.  A document's hits pass by in order, and only the end of the last one kept is remembered: linear, however many hits a document has.
+    """
+    rows = hits.select(doc, "at", "width", (F.lit(True) if fits is None else F.coalesce(fits, F.lit(False))).alias("_fits"), *cols, (F.lit(0) if rank is None else rank).alias("_rank"))
+    return rows.repartition(doc).sortWithinPartitions(doc, "at", F.desc("width"), "_rank").mapInArrow(_greedy, rows.schema).drop("_fits", "_rank")
+
+
+def _by_key(lex: DataFrame) -> DataFrame:
+    """(key, and for each kind its ids and whole): one row for a key, so a run meets one row however many targets it has."""
+    cols = []
+    for kind in KINDS:
+        own = F.col("kind") == kind
+        cols += [F.sort_array(F.collect_set(F.when(own, F.col("target")))).alias(f"{kind}_ids"), F.sort_array(F.collect_set(F.when(own & ~F.col("face"), F.col("target")))).alias(f"{kind}_whole")]
+    return lex.groupBy("key").agg(*cols)
+
 
-    ``hits`` (doc, at, width, ...) has one row for each place and width.  A document's hits pass by in order, and only the end of the last one kept is remembered: linear, however many hits a document has.
+def _looked_up(found: DataFrame, lex: DataFrame, *carried: str) -> DataFrame:
+    """(carried, rank, method, ids, whole): targets of each run (carried, norm, loose), exact before loose before single.
+
+    A run whose two forms differ is looked up by both and may have two rows, of which the one of lesser rank is meant; most have one form and go through one exchange in one row.
     """
-    rows = hits.select(doc, "at", "width", *cols)
-    return rows.repartition(doc).sortWithinPartitions(doc, "at", F.desc("width")).mapInArrow(_greedy, rows.schema)
-
-
-def _looked_up(found: DataFrame, lex: DataFrame, doc: str, host: DataFrame | None) -> DataFrame:
-    """(doc, at, width, surface, method, ids, whole): targets of each run, exact before loose before single, the host's own left out."""
-    keys = found.select(doc, "at", "width", "surface", F.explode(F.array(
-        F.struct(F.lit(1).alias("rank"), F.lit("exact").alias("kind"), normalize_name(F.col("surface")).alias("key")),
-        F.struct(F.lit(2).alias("rank"), F.lit("loose").alias("kind"), loose_name(F.col("surface")).alias("key")),
-        F.struct(F.lit(3).alias("rank"), F.lit("single").alias("kind"), normalize_name(F.col("surface")).alias("key")),
-    )).alias("k")).select(doc, "at", "width", "surface", "k.*")
-    hits = keys.join(lex.drop("words"), ["kind", "key"])
-    ids, whole = F.sort_array(F.collect_set("target")), F.sort_array(F.collect_set(F.when(~F.col("face"), F.col("target"))))
-    by_kind = hits.groupBy(doc, "at", "width", "surface", "rank", "kind").agg(ids.alias("ids"), whole.alias("whole"))
-    best = by_kind.groupBy(doc, "at", "width", "surface").agg(F.min_by(F.struct("kind", "ids", "whole"), "rank").alias("b")).select(doc, "at", "width", "surface", F.col("b.kind").alias("method"), "b.ids", "b.whole")
-    if host is None:
-        return best
-    drop = lambda c: F.when(F.col("host").isNull(), F.col(c)).otherwise(F.filter(F.col(c), lambda x: x != F.col("host")))
-    return best.join(host, doc, "left").withColumns({"ids": drop("ids"), "whole": drop("whole")}).drop("host")
+    either = F.when(F.col("norm") == F.col("loose"), F.array(F.struct(F.col("norm").alias("key"), F.lit("exact loose single").alias("by"))))
+    either = either.otherwise(F.array(F.struct(F.col("norm").alias("key"), F.lit("exact single").alias("by")), F.struct(F.col("loose").alias("key"), F.lit("loose").alias("by"))))
+    hits = found.select(*carried, F.explode(either).alias("_k")).select(*carried, "_k.*").where("key <> ''").join(_by_key(lex), "key")
+    best = F.coalesce(*[
+        F.when(F.col("by").contains(kind) & (F.size(f"{kind}_ids") > 0), F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("method"), F.col(f"{kind}_ids").alias("ids"), F.col(f"{kind}_whole").alias("whole")))
+        for i, kind in enumerate(KINDS)
+    ])
+    return hits.select(*carried, best.alias("_b")).where("_b is not null").select(*carried, "_b.*")
 
 
 def capitalised(c: Column) -> Column:
     return F.exists(F.split(c, " "), lambda w: w.rlike(r"^\W*\p{Lu}"))
 
 
-def link_mentions(docs: DataFrame, lex: DataFrame, doc: str, text: str = "text", host: DataFrame | None = None, longest: int = MAX_NAME_WORDS) -> DataFrame:
+def link_mentions(docs: DataFrame, lex: DataFrame, doc: str, text: str = "text", host: DataFrame | str | None = None, longest: int = MAX_NAME_WORDS) -> DataFrame:
     """(doc, at, width, surface, method, id, candidates): names that texts mention, by greedy longest match.
 
     A name of several words needs a capital in it and exactly one target, or else a shorter run is tried; a single word needs a capital and stays
-    pending (null id) with its candidates.  ``host`` (doc, host) is the card that a text belongs to: it is never its own mention, and a
+    pending (null id) with its candidates.  ``host``, a table (doc, host) or a column of ``docs``, is the card that a text belongs to: it is never its own mention, and a
     match within the host's name as the text has it is none either (give ``host_names`` to :func:`not_within_host`).
     """
-    found = windows(docs, doc, text, first_words(lex, longest), longest)
-    hits = _looked_up(found.where(capitalised(F.col("surface"))), lex, doc, host)
+    texts = docs if host is None else docs.drop("host").join(host, doc, "left") if isinstance(host, DataFrame) else docs.withColumnRenamed(host, "host")
+    own = [doc, "at", "width", "surface", *(() if host is None else ("host",))]
+    words = texts.select(doc, *own[4:], folded_words(F.col(text)).alias("_w"))
+    found = windows(words, doc, first_words(lex, longest), longest, *own[4:]).withColumn("surface", joined(F.col("run"), "s")).where(capitalised(F.col("surface")))
+    hits = _looked_up(found.withColumns({"norm": joined(F.col("run"), "n"), "loose": joined(F.col("run"), "l")}), lex, *own)
+    if host is not None:
+        hits = hits.withColumn("ids", F.when(F.col("host").isNull(), F.col("ids")).otherwise(F.filter("ids", lambda x: x != F.col("host"))))
     one = (F.col("width") > 1) & F.col("method").isin("exact", "loose") & (F.size("ids") == 1)
     pending = (F.col("width") == 1) & (F.col("method") == "single") & (F.size("ids") > 0)
-    hits = hits.where(one | pending).withColumns({"id": F.when(one, F.get("ids", F.lit(0))), "candidates": F.when(one, F.slice("ids", 1, 0)).otherwise(F.col("ids"))})
-    return without_overlaps(hits, doc, "surface", "method", "id", "candidates")
+    hits = hits.withColumns({"id": F.when(one, F.get("ids", F.lit(0))), "candidates": F.when(one, F.slice("ids", 1, 0)).otherwise(F.col("ids"))})
+    return without_overlaps(hits, doc, "surface", "method", "id", "candidates", fits=one | pending, rank=F.col("rank"))
 
 
 def not_within_host(mentions: DataFrame, docs: DataFrame, names: DataFrame, doc: str, text: str = "text") -> DataFrame:
@@ -146,37 +186,52 @@ def not_within_host(mentions: DataFrame, docs: DataFrame, names: DataFrame, doc:
     return mentions.join(lost, [doc, "at"], "left_anti")
 
 
-def link_vocabulary(docs: DataFrame, names: DataFrame, doc: str, text: str, kind: str, longest: int) -> DataFrame:
-    """(doc, at, width, kind, key) for a closed vocabulary (name): greedy longest match, as written or without a clause's punctuation."""
+def asked_words(questions: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, text, _w) of questions, dealt by question: a table of many short texts is one file's split, and all that follows would be one task."""
+    return questions.select(doc, text).repartition(doc).select(doc, text, folded_words(F.col(text)).alias("_w"))
+
+
+def link_vocabulary(words: DataFrame, names: DataFrame, doc: str, kind: str, longest: int) -> DataFrame:
+    """(doc, at, width, kind, key) for a closed vocabulary (name) in :func:`asked_words`: greedy longest match, as written or without a clause's punctuation."""
     lex = names.select(normalize_name(F.col("name")).alias("key"), F.col("name").alias("target")).where("key <> ''").groupBy("key").agg(F.min("target").alias("target"))
     firsts = first_words(lex.withColumn("words", F.size(F.split("key", " "))), longest)
-    found = windows(docs, doc, text, firsts, longest)
-    keys = found.select(doc, "at", "width", F.explode(F.array_distinct(F.array(normalize_name(F.col("surface")), normalize_name(trimmed(F.col("surface")))))).alias("key"))
-    hits = keys.join(lex, "key").groupBy(doc, "at", "width").agg(F.min("target").alias("key"))
-    return without_overlaps(hits, doc, "key").select(doc, "at", "width", F.lit(kind).alias("kind"), "key")
+    found = windows(words, doc, firsts, longest)
+    forms = F.array_distinct(F.array(joined(F.col("run"), "n"), normalize_name(trimmed(joined(F.col("run"), "s")))))
+    hits = found.select(doc, "at", "width", F.explode(forms).alias("key")).join(lex, "key")
+    return without_overlaps(hits.select(doc, "at", "width", F.col("target").alias("key")), doc, "key", rank=F.col("key")).select(doc, "at", "width", F.lit(kind).alias("kind"), "key")
 
 
 def free_of(hits: DataFrame, claimed: DataFrame, doc: str) -> DataFrame:
     """Hits that share no word with claimed spans (doc, at, width)."""
-    cover = lambda df: F.explode(F.sequence(df["at"], df["at"] + df["width"] - 1)).alias("_word")
-    taken = claimed.select(doc, cover(claimed)).distinct()
-    lost = hits.select(doc, "at", "width", cover(hits)).join(taken, [doc, "_word"]).select(doc, "at", "width").distinct()
-    return hits.join(lost, [doc, "at", "width"], "left_anti")
+    taken = _taken(claimed, doc)
+    rows = hits.join(taken, doc, "left")
+    return rows.where(~F.coalesce(F.arrays_overlap(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1), "_taken"), F.lit(False))).drop("_taken")
 
 
-def link_cards(questions: DataFrame, lex: DataFrame, claimed: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, at, width, key, method, candidates): cards that questions name, where nothing else is claimed.
+def _taken(claimed: DataFrame, doc: str) -> DataFrame:
+    """(doc, _taken): the words that a question's claimed spans cover."""
+    cover = claimed.select(doc, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("width") - 1)).alias("_word"))
+    return cover.groupBy(doc).agg(F.collect_set("_word").alias("_taken"))
+
+
+def link_cards(words: DataFrame, lex: DataFrame, claimed: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, at, width, key, method, candidates): cards that questions (:func:`asked_words`) name, where nothing else is claimed.
 
     Where a question uses capitals a name of several words needs one; where it uses none, nothing is asserted and all matches are ambiguous.  A
     whole name outranks a face; a single word that is only a face doesn't count.  Several targets are ambiguous: no key, but candidates.
     """
-    found = free_of(windows(questions, doc, text, first_words(lex, MAX_QUERY_WORDS), MAX_QUERY_WORDS), claimed, doc)
-    gate = questions.select(doc, carries_capitalization(F.col(text)).alias("gate"))
-    tries = found.select(doc, "at", "width", F.explode(F.array_distinct(F.array(F.col("surface"), trimmed(F.col("surface"))))).alias("surface"))
-    hits = _looked_up(tries, lex, doc, None).join(gate, doc)
+    gated = words.select(doc, "_w", carries_capitalization(F.col(text)).alias("gate")).join(_taken(claimed, doc), doc, "left")
+    flagged = F.transform("_w", lambda x, i: F.struct(x["s"].alias("s"), x["n"].alias("n"), x["l"].alias("l"), F.coalesce(F.array_contains("_taken", i), F.lit(False)).alias("taken")))
+    found = windows(gated.select(doc, "gate", flagged.alias("_w")), doc, first_words(lex, MAX_QUERY_WORDS), MAX_QUERY_WORDS, "gate").where(~F.exists("run", lambda x: x["taken"]))
+    said = joined(F.col("run"), "s")
+    tries = found.select(doc, "gate", "at", "width", F.explode(F.array_distinct(F.array(said, trimmed(said)))).alias("surface"))
     several = F.size(F.split(normalize_name(F.col("surface")), " ")) > 1
+    tries = tries.where(~(F.col("gate") & several & ~capitalised(F.col("surface")))).withColumns({"norm": normalize_name(F.col("surface")), "loose": loose_name(F.col("surface"))})
+    own = [doc, "gate", "at", "width", "surface"]
+    # Dealt by question once: the choices among a place's rows and the pass over a question's hits need no exchange of their own.
+    hits = _looked_up(tries, lex, *own).repartition(doc).groupBy(*own).agg(F.min_by(F.struct("method", "ids", "whole"), "rank").alias("b")).select(*own, "b.*")
     ids = F.when(F.size("whole") > 0, F.col("whole")).when(several, F.col("ids"))
-    hits = hits.where(~(F.col("gate") & several & ~capitalised(F.col("surface")))).withColumn("ids", ids).where("ids is not null")
+    hits = hits.withColumn("ids", ids).where("ids is not null")
     # The surface as written goes before the trimmed one, which is shorter.
     hits = hits.groupBy(doc, "at", "width").agg(F.max_by(F.struct("method", "ids", "gate"), F.length("surface")).alias("b")).select(doc, "at", "width", "b.*")
     sure = (F.size("ids") == 1) & F.col("gate")
@@ -187,23 +242,22 @@ def link_cards(questions: DataFrame, lex: DataFrame, claimed: DataFrame, doc: st
 def link_questions(questions: DataFrame, lex: DataFrame, keywords: DataFrame, formats: DataFrame, doc: str, text: str = "question") -> DataFrame:
     """(doc, kind, at, width, key, candidates): what questions name, in this order of right: rules, formats, keywords, cards; no word twice.
 
-    Rules have the word that holds them as their place.
+    Rules have the word that holds them as their place.  Questions are folded once, and what a kind claims is kept before the next is looked for (jobs of their own).
     """
-    words = questions.select(doc, F.posexplode(words_of(F.col(text))).alias("at", "_w"))
+    asked = cut(asked_words(questions, doc, text))
+    words = asked.select(doc, F.posexplode(F.transform("_w", lambda x: x["s"])).alias("at", "_w"))
     dotted = words.select(doc, "at", F.lit(1).alias("width"), F.regexp_extract("_w", r"\b([0-9]{3}\.[0-9]+[a-z]?)\b", 1).alias("key")).where("key <> ''")
-    cued = questions.select(doc, F.explode(stated_rules(F.col(text))).alias("r"), F.col(text).alias("_t")).where(~F.col("r.number").contains("."))
+    cued = asked.select(doc, F.explode(stated_rules(F.col(text))).alias("r"), F.col(text).alias("_t")).where(~F.col("r.number").contains("."))
     before = F.size(words_of(F.concat(F.expr("substring(_t, 1, r.start)"), F.lit("x"))))
     cued = cued.select(doc, (before - 1).alias("at"), F.lit(1).alias("width"), F.col("r.number").alias("key"))
     none = F.array().cast(lex.select(F.array("target").alias("a")).schema["a"].dataType)
-    rules = dotted.unionByName(cued).select(doc, F.lit("rule").alias("kind"), "at", "width", "key", none.alias("candidates"))
-    out, claimed = rules, rules.select(doc, "at", "width")
+    found = cut(dotted.unionByName(cued).select(doc, F.lit("rule").alias("kind"), "at", "width", "key"))
     for kind, names, longest in (("format", formats, 2), ("keyword", keywords, 4)):
-        hits = free_of(link_vocabulary(questions, names, doc, text, kind, longest), claimed, doc).withColumn("candidates", none)
-        out = out.unionByName(hits.select(*out.columns))
-        claimed = claimed.unionByName(hits.select(doc, "at", "width"))
-    cards = link_cards(questions, lex, claimed, doc, text)
+        hits = free_of(link_vocabulary(asked, names, doc, kind, longest), found, doc)
+        found = found.unionByName(cut(hits.select(*found.columns)))
+    cards = link_cards(asked, lex, found, doc, text)
     cards = cards.select(doc, F.lit("card").alias("kind"), "at", "width", F.col("key").cast("string").alias("key"), "candidates")
-    return out.unionByName(cards)
+    return found.withColumn("candidates", none).unionByName(cards)
 
 
 def has_graph_seed(entities: DataFrame, with_keywords: DataFrame, doc: str) -> DataFrame:
@@ -226,10 +280,6 @@ def draft(mentions: DataFrame, doc: str) -> DataFrame:
     return mentions.groupBy(doc).agg(F.array_sort(F.collect_list(entry)).alias("mentions"))
 
 
-#: First words of a lexicon that are looked up within a text's row; a lexicon with more is joined by whole runs alone.
-MOST_FIRST_WORDS = 10_000
-
-
 def ngram_mentions(docs: DataFrame, lexicon: DataFrame, doc: str, item: str, n: int) -> DataFrame:
     """(doc, item, start_word) wherever the words of a surface of ``n`` words follow one another.
 

@@ -225,6 +225,35 @@ def test_question_linking(spark):
     assert rows(strata, "doc", "stratum") == [(1, "homonym"), (2, "multiword"), (3, "explicit"), (4, "plain")]
 
 
+def test_questions_of_one_split_are_dealt_over_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which puts so few rows together again
+    df = spark.createDataFrame([(i, f"Does Small Ring {i} work in Modern?") for i in range(400)], "doc int, question string").coalesce(1)
+    words = linking.asked_words(df, "doc", "question").select("doc", F.spark_partition_id().alias("p"))
+    assert words.distinct().select("p").distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_runs_are_built_only_of_widths_that_names_have(spark):
+    lex = linking.lexicon(spark.createDataFrame([("Small Ring 17", 1), ("Small Red Fox of Wind", 2)], "name string, id int"), spark.createDataFrame([("Small & Fox", 3)], "alias string, id int"))
+    df = spark.createDataFrame([(1, "the Small Ring 17 and Small & Fox, and Small Red Fox of Wind")], "doc int, text string")
+    words = df.select("doc", linking.folded_words(F.col("text")).alias("_w"))
+    found = linking.windows(words, "doc", linking.first_words(lex, 12), 12)
+    # Names that begin with "small" have two, three and five words; "Small & Fox, and" may be one of three.
+    assert sorted((r["at"], r["width"]) for r in found.collect()) == [(1, 2), (1, 3), (1, 5), (5, 2), (5, 3), (5, 4), (5, 5), (9, 2), (9, 3), (9, 5)]
+    got = linking.link_mentions(df, lex, "doc")
+    assert rows(got, "at", "width", "method", "id") == [(1, 3, "exact", 1), (5, 3, "loose", 3), (9, 5, "exact", 2)]
+
+
+def test_a_run_meets_a_key_of_many_targets_once(spark):
+    lex = linking.lexicon(spark.createDataFrame([("Twin Name", i) for i in range(50)] + [("Twin-Name Sir", 60), ("Twinname Sir", 61)], "name string, id int"))
+    found = spark.createDataFrame([(1, "twin name", "twin name"), (2, "twin-name sir", "twinname sir")], "doc int, norm string, loose string")
+    got = linking._looked_up(found, lex, "doc")
+    assert sorted((r["doc"], r["rank"], r["method"], len(r["ids"])) for r in got.collect()) == [(1, 0, "exact", 50), (2, 0, "exact", 1), (2, 1, "loose", 2)]
+    # A run that is exact for two cards isn't saved by its loose form.
+    hits = spark.createDataFrame([(1, 0, 2, False, 0), (1, 0, 2, True, 1), (1, 0, 1, True, 2)], "doc int, at int, width int, ok boolean, rank int")
+    assert rows(linking.without_overlaps(hits, "doc", fits=F.col("ok"), rank=F.col("rank")), "doc", "at", "width") == [(1, 0, 1)]
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------
 
 

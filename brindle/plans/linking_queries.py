@@ -42,7 +42,7 @@ def link_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([("Tapping", -1), ("tapping", -2), ("does", -3)], "name string, id long")
     aliases = names.select(F.expr("substring(name, instr(name, ' ') + 1)").alias("alias"), "id")
     docs = _texts(t)
-    out = L.link_mentions(docs, L.lexicon(names.select("name", "id").unionByName(more), aliases), "doc", host=docs.select("doc", "host"))
+    out = L.link_mentions(docs, L.lexicon(names.select("name", "id").unionByName(more), aliases), "doc", host="host")
     out = out.where("not (method = 'single' and array_contains(candidates, -3L))")
     return out.select("doc", F.col("at").cast("long").alias("pos"), F.col("width").cast("long").alias("width"), "method", "id", F.array_join("candidates", ";").alias("candidates"))
 

@@ -12,18 +12,15 @@ from .gate import GatedFrame, gate
 _COLUMNS = ("edge_type", "source_key", "target_key", "span_start", "span_end", "span_text", "method", "confidence")
 
 
-def mention_candidates(rulings: DataFrame, lex: DataFrame, host: DataFrame | None = None) -> DataFrame:
+def mention_candidates(rulings: DataFrame, lex: DataFrame, host: DataFrame | str | None = None) -> DataFrame:
     """Candidates from links; a pending single word has no target and confidence 0.  Spans count characters of the text with single spaces."""
-    found = linking.link_mentions(rulings, lex, "ruling_id", host=host)
-    at = found.join(rulings.select("ruling_id", linking.words_of(F.col("text")).alias("_w")), "ruling_id")
-    before = F.array_join(F.slice("_w", F.lit(1), F.col("at")), " ")
-    start = F.when(F.col("at") > 0, F.length(before) + 1).otherwise(F.lit(0)).cast("int")
+    at = linking.link_mentions(rulings, lex, "ruling_id", host=host)
     # A clause's punctuation behind the last word is no part of the name as it is said.
     said = F.regexp_replace("surface", r"[,.;:!?]+$", "")
     method = F.when(F.col("method") == "single", "surface").otherwise(F.col("method"))
     return at.select(
-        F.lit("MENTIONS").alias("edge_type"), F.col("ruling_id").cast("string").alias("source_key"), F.col("id").cast("string").alias("target_key"), start.alias("span_start"),
-        (start + F.length(said)).cast("int").alias("span_end"), said.alias("span_text"), method.alias("method"), F.when(F.col("id").isNull(), 0.0).otherwise(1.0).alias("confidence"),
+        F.lit("MENTIONS").alias("edge_type"), F.col("ruling_id").cast("string").alias("source_key"), F.col("id").cast("string").alias("target_key"), F.col("start").alias("span_start"),
+        (F.col("start") + F.length(said)).cast("int").alias("span_end"), said.alias("span_text"), method.alias("method"), F.when(F.col("id").isNull(), 0.0).otherwise(1.0).alias("confidence"),
     )
 
 
@@ -41,8 +38,8 @@ def extract(rulings: DataFrame, lex: DataFrame, rules: DataFrame, cards: DataFra
 
     ``more`` are candidates of other streams, such as a model's, in the gate's columns.
     """
-    one = rulings.select("ruling_id", collapse_spaces(F.col("text")).alias("text"))
-    candidates = mention_candidates(one, lex, rulings.select("ruling_id", "host")).unionByName(citation_candidates(one))
+    one = rulings.select("ruling_id", collapse_spaces(F.col("text")).alias("text"), "host")
+    candidates = mention_candidates(one, lex, "host").unionByName(citation_candidates(one))
     if more is not None:
         candidates = candidates.unionByName(more.select(*_COLUMNS))
     # Order within a ruling is all the gate needs to choose among equals.

@@ -68,6 +68,12 @@ def folded_words(c: Column) -> Column:
     return F.transform(folded, lambda w: F.struct(w["s"].alias("s"), w["n"].alias("n"), F.regexp_replace(w["n"], "[^a-z0-9]+", "").alias("l")))
 
 
+def starts(words: Column) -> Column:
+    """Where each of a text's words begins, in characters of the text with single spaces."""
+    first = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("p"))
+    return F.aggregate(words, first, lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["p"])).alias("a"), (acc["p"] + F.length(x["s"]) + 1).alias("p")), lambda acc: acc["a"])
+
+
 def joined(words: Column, field: str) -> Column:
     """A field of a run's words in a row; words that folding leaves empty are none."""
     said = F.transform(words, lambda x: x[field])
@@ -154,23 +160,24 @@ def capitalised(c: Column) -> Column:
 
 
 def link_mentions(docs: DataFrame, lex: DataFrame, doc: str, text: str = "text", host: DataFrame | str | None = None, longest: int = MAX_NAME_WORDS) -> DataFrame:
-    """(doc, at, width, surface, method, id, candidates): names that texts mention, by greedy longest match.
+    """(doc, at, width, start, surface, method, id, candidates): names that texts mention, by greedy longest match; ``start`` counts characters of the text with single spaces.
 
     A name of several words needs a capital in it and exactly one target, or else a shorter run is tried; a single word needs a capital and stays
     pending (null id) with its candidates.  ``host``, a table (doc, host) or a column of ``docs``, is the card that a text belongs to: it is never its own mention, and a
     match within the host's name as the text has it is none either (give ``host_names`` to :func:`not_within_host`).
     """
     texts = docs if host is None else docs.drop("host").join(host, doc, "left") if isinstance(host, DataFrame) else docs.withColumnRenamed(host, "host")
-    own = [doc, "at", "width", "surface", *(() if host is None else ("host",))]
-    words = texts.select(doc, *own[4:], folded_words(F.col(text)).alias("_w"))
-    found = windows(words, doc, first_words(lex, longest), longest, *own[4:]).withColumn("surface", joined(F.col("run"), "s")).where(capitalised(F.col("surface")))
+    own = [doc, "at", "width", "start", "surface", *(() if host is None else ("host",))]
+    words = texts.select(doc, *own[5:], folded_words(F.col(text)).alias("_w")).withColumn("_starts", starts(F.col("_w")))
+    words = words.withColumn("_w", F.transform("_w", lambda x, i: F.struct(x["s"].alias("s"), x["n"].alias("n"), x["l"].alias("l"), F.get("_starts", i).alias("start"))))
+    found = windows(words, doc, first_words(lex, longest), longest, *own[5:]).withColumns({"start": F.get("run", F.lit(0))["start"], "surface": joined(F.col("run"), "s")}).where(capitalised(F.col("surface")))
     hits = _looked_up(found.withColumns({"norm": joined(F.col("run"), "n"), "loose": joined(F.col("run"), "l")}), lex, *own)
     if host is not None:
         hits = hits.withColumn("ids", F.when(F.col("host").isNull(), F.col("ids")).otherwise(F.filter("ids", lambda x: x != F.col("host"))))
     one = (F.col("width") > 1) & F.col("method").isin("exact", "loose") & (F.size("ids") == 1)
     pending = (F.col("width") == 1) & (F.col("method") == "single") & (F.size("ids") > 0)
     hits = hits.withColumns({"id": F.when(one, F.get("ids", F.lit(0))), "candidates": F.when(one, F.slice("ids", 1, 0)).otherwise(F.col("ids"))})
-    return without_overlaps(hits, doc, "surface", "method", "id", "candidates", fits=one | pending, rank=F.col("rank"))
+    return without_overlaps(hits, doc, "start", "surface", "method", "id", "candidates", fits=one | pending, rank=F.col("rank"))
 
 
 def not_within_host(mentions: DataFrame, docs: DataFrame, names: DataFrame, doc: str, text: str = "text") -> DataFrame:

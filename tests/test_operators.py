@@ -244,6 +244,26 @@ def test_runs_are_built_only_of_widths_that_names_have(spark):
     assert rows(got, "at", "width", "method", "id") == [(1, 3, "exact", 1), (5, 3, "loose", 3), (9, 5, "exact", 2)]
 
 
+def test_mentions_know_where_they_start_without_a_second_look_at_the_text(spark):
+    lex = linking.lexicon(spark.createDataFrame([("Small Ring", 1)], "name string, id int"))
+    df = spark.createDataFrame([(1, "Small Ring"), (2, "a  bc, Small  Ring; and Small Ring")], "ruling_id int, text string")
+    got = extraction.mention_candidates(df, lex)
+    assert rows(got, "source_key", "span_start", "span_end", "span_text") == [("1", 0, 10, "Small Ring"), ("2", 6, 16, "Small Ring"), ("2", 22, 32, "Small Ring")]
+    assert " Join Inner, (ruling_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gate_candidates_without_target_join_by_their_source(spark):
+    cols = "ord long, edge_type string, source_key string, target_key string, span_start int, span_end int, span_text string, method string, confidence double"
+    cand = [(i, "MENTIONS", str(i), None if i % 2 else "7", 0, 2, "ab", "exact", 1.0) for i in range(40)] + [(50, "CITES_RULE", "0", "100.1", 0, 2, "ab", "llm", 1.0), (51, "MENTIONS", "0", "100.1", 0, 2, "ab", "llm", 1.0)]
+    sources = spark.createDataFrame([(str(i), "abc") for i in range(40)], "source_key string, text string")
+    got = gating.gate(spark.createDataFrame(cand, cols), sources, spark.createDataFrame([("100.1",), (None,)], "number string"), spark.createDataFrame([("7",), (None,)], "card_id string")).rows
+    said = {(r["ord"]): r["reject_reason"] for r in got.collect()}
+    assert said == {i: "mention_unresolved" if i % 2 else None for i in range(40)} | {50: None, 51: "card_not_in_graph"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # One join for rules and cards, on a key that is never null, and one for sources.
+    assert plan.count("Join LeftOuter") == 2 and "coalesce(target_key" in plan
+
+
 def test_a_run_meets_a_key_of_many_targets_once(spark):
     lex = linking.lexicon(spark.createDataFrame([("Twin Name", i) for i in range(50)] + [("Twin-Name Sir", 60), ("Twinname Sir", 61)], "name string, id int"))
     found = spark.createDataFrame([(1, "twin name", "twin name"), (2, "twin-name sir", "twinname sir")], "doc int, norm string, loose string")

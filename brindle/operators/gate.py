@@ -35,11 +35,15 @@ def gate(candidates: DataFrame, sources: DataFrame, known_rules: DataFrame, know
     """
     # A source given twice is one source: its candidates stay single.
     texts = sources.groupBy("source_key").agg(F.min("text").alias("source_text")).withColumn("has_source", F.lit(True))
-    c = (
-        candidates.join(texts, "source_key", "left")
-        .join(known_rules.select(F.col("number").alias("target_key")).distinct().withColumn("is_rule", F.lit(True)), "target_key", "left")
-        .join(known_cards.select(F.col("card_id").cast("string").alias("target_key")).distinct().withColumn("is_card", F.lit(True)), "target_key", "left")
-    )
+    # Both kinds of targets are one table and one join.  Candidates without a target would all meet in one task: they go by their source, under a mark that no key has.
+    known = known_rules.select(F.col("number").alias("_target"), F.lit(True).alias("is_rule"), F.lit(False).alias("is_card"))
+    known = known.unionByName(known_cards.select(F.col("card_id").cast("string").alias("_target"), F.lit(False).alias("is_rule"), F.lit(True).alias("is_card")))
+    known = known.where("_target is not null").groupBy("_target").agg(F.max("is_rule").alias("is_rule"), F.max("is_card").alias("is_card"))
+    meant = F.coalesce("target_key", F.concat(F.lit("\0"), F.coalesce("source_key", F.lit("")))).alias("_target")
+    c = candidates.select("*", meant).join(known, "_target", "left").drop("_target")
+    c = c.withColumns({k: F.col(k) & F.col("target_key").isNotNull() for k in ("is_rule", "is_card")})
+    # By source last: the duplicates' order below is within a source, and needs no exchange after this one.
+    c = c.join(texts, "source_key", "left")
     no = lambda x: F.coalesce(x, F.lit(False)) == F.lit(False)
     verbatim = F.expr("substring(source_text, span_start + 1, span_end - span_start)") == F.col("span_text")
     number = F.regexp_extract("span_text", r"([0-9]{3}\.[0-9]+[a-z]?)", 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_name
+from .cuts import cut
 from .evaluation import order_statistics
 from .graph import ball
 
@@ -37,17 +38,33 @@ def class_counts(resolved: DataFrame) -> DataFrame:
     return every.join(resolved.groupBy("how").agg(F.count(F.lit(1)).alias("n")), "how", "left").fillna(0, ["n"])
 
 
+def seed_sets(seeds: DataFrame) -> DataFrame:
+    """(question_id, _seeds): each question's seeds (question_id, number) as one sorted set."""
+    return seeds.groupBy("question_id").agg(F.array_sort(F.collect_set("number")).alias("_seeds"))
+
+
+def reached_from(sets: DataFrame, balls: DataFrame) -> DataFrame:
+    """(_seeds, number): what lies in the balls (seed, node) of each distinct set, however many questions have it."""
+    one = sets.select("_seeds").distinct()
+    return one.select("_seeds", F.explode("_seeds").alias("seed")).join(balls.select("seed", "node"), "seed").select("_seeds", F.col("node").alias("number")).distinct()
+
+
 def reachability(questions: DataFrame, gold: DataFrame, seeds: DataFrame, adjacency: DataFrame, hops: int) -> DataFrame:
     """(stratum, n, hit, total, no_seed, median_ball) of questions (question_id, stratum): how many of their gold rules (question_id, number) lie within ``hops`` of their seeds, and the upper median of what lies there.
 
-    Balls are made once for each rule that is a seed, whatever the number of questions that land on it.  A question without a seed reaches nothing and counts in every column.
+    Balls are made once for each rule that is a seed, and put together once for each set of seeds, whatever the number of questions that land on it.  A question without a seed reaches nothing and counts in every column.
     """
     balls = ball(seeds.select(F.col("number").alias("seed")).distinct(), adjacency, hops)
-    reached = seeds.join(balls.select(F.col("seed").alias("number"), "node"), "number").select("question_id", F.col("node").alias("number")).distinct()
-    sizes = reached.groupBy("question_id").agg(F.count(F.lit(1)).alias("size"))
-    hits = gold.select("question_id", "number").distinct().join(reached.withColumn("_hit", F.lit(1)), ["question_id", "number"], "left").groupBy("question_id").agg(F.count("_hit").alias("hit"), F.count(F.lit(1)).alias("total"))
-    has = seeds.select("question_id").distinct().withColumn("_seeded", F.lit(True))
-    rows = questions.select("question_id", "stratum").join(sizes, "question_id", "left").join(hits, "question_id", "left").join(has, "question_id", "left").fillna(0, ["size", "hit", "total"])
+    sets = seed_sets(seeds)
+    reached = reached_from(sets, balls)
+    sizes = reached.groupBy("_seeds").agg(F.count(F.lit(1)).alias("size"))
+    seeded = sets.join(sizes, "_seeds").select("question_id", "size", F.lit(True).alias("_seeded"))
+    wanted = gold.select("question_id", "number").distinct()
+    # Inner joins: questions without seeds would all meet under one null.
+    hits = wanted.join(sets, "question_id").join(reached, ["_seeds", "number"]).groupBy("question_id").agg(F.count(F.lit(1)).alias("hit"))
+    totals = wanted.groupBy("question_id").agg(F.count(F.lit(1)).alias("total"))
+    rows = questions.select("question_id", "stratum").join(seeded, "question_id", "left").join(hits, "question_id", "left").join(totals, "question_id", "left").fillna(0, ["size", "hit", "total"])
+    rows = cut(rows.drop("question_id"))
     out = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hit"), F.sum("total").alias("total"), F.count_if(F.col("_seeded").isNull()).alias("no_seed"))
     middle = order_statistics(rows, "stratum", "size", {"median_ball": lambda n: F.floor(n / 2)}).select("stratum", "median_ball")
     return out.join(middle, out["stratum"].eqNullSafe(middle["stratum"])).select(out["stratum"], "n", "hit", "total", "no_seed", "median_ball")

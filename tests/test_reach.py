@@ -66,3 +66,11 @@ def test_generated_questions(spark):
     words = spark.createDataFrame([("First  Strike", "702.7", "It hits first."), ("Gone", "999.1", "x"), (" ", "702.7", "x")], "keyword string, number string, answer string")
     said = N.definition_questions(words, spark.createDataFrame([("702.7",)], "number string")).select("id", "question", "gold_entities", F.col("gold_cr_rules")[0]).collect()
     assert [tuple(r) for r in said] == [("define-first-strike", "What does first strike do?", ["First  Strike"], "702.7")]
+
+
+def test_balls_are_put_together_once_for_a_set_of_seeds(spark):
+    seeds = spark.createDataFrame([(q, n) for q in range(100) for n in ("b", "a")] + [(200, "a")], "question_id int, number string")
+    balls = spark.createDataFrame([("a", "a"), ("a", "x"), ("b", "b"), ("b", "x")], "seed string, node string")
+    sets = R.seed_sets(seeds)
+    got = sorted((tuple(r["_seeds"]), r["number"]) for r in R.reached_from(sets, balls).collect())
+    assert sets.count() == 101 and got == [(("a",), "a"), (("a",), "x"), (("a", "b"), "a"), (("a", "b"), "b"), (("a", "b"), "x")]

@@ -40,19 +40,18 @@ def gate(candidates: DataFrame, sources: DataFrame, known_rules: DataFrame, know
     known = known.unionByName(known_cards.select(F.col("card_id").cast("string").alias("_target"), F.lit(False).alias("is_rule"), F.lit(True).alias("is_card")))
     known = known.where("_target is not null").groupBy("_target").agg(F.max("is_rule").alias("is_rule"), F.max("is_card").alias("is_card"))
     meant = F.coalesce("target_key", F.concat(F.lit("\0"), F.coalesce("source_key", F.lit("")))).alias("_target")
-    c = candidates.select("*", meant).join(known, "_target", "left").drop("_target")
-    c = c.withColumns({k: F.col(k) & F.col("target_key").isNotNull() for k in ("is_rule", "is_card")})
-    # By source last: the duplicates' order below is within a source, and needs no exchange after this one.
-    c = c.join(texts, "source_key", "left")
     no = lambda x: F.coalesce(x, F.lit(False)) == F.lit(False)
+    # Texts stay behind here: what follows exchanges only what was found in them.
     verbatim = F.expr("substring(source_text, span_start + 1, span_end - span_start)") == F.col("span_text")
+    c = candidates.join(texts, "source_key", "left").select(*candidates.columns, "has_source", verbatim.alias("_verbatim"), meant).join(known, "_target", "left")
+    c = c.withColumns({k: F.col(k) & F.col("target_key").isNotNull() for k in ("is_rule", "is_card")})
     number = F.regexp_extract("span_text", r"([0-9]{3}\.[0-9]+[a-z]?)", 1)
     mention, cite, ref = (F.col("edge_type") == t for t in EDGE_TYPES)
     in_schema = F.col("edge_type").isin(*EDGE_TYPES) & F.col("method").isin(*METHODS) & F.col("confidence").between(0, 1) & (F.col("span_start") >= 0) & (F.col("span_end") > F.col("span_start"))
     reason = F.coalesce(
         F.when(no(in_schema), "schema_invalid"),
         F.when(no(F.col("has_source")), "source_not_in_graph"),
-        F.when(no(verbatim), "span_not_verbatim"),
+        F.when(no(F.col("_verbatim")), "span_not_verbatim"),
         F.when(mention & F.col("target_key").isNull(), "mention_unresolved"),
         F.when(mention & no(F.col("is_card")), "card_not_in_graph"),
         F.when((cite | ref) & no(F.col("is_rule")), "rule_not_in_graph"),

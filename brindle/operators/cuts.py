@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -26,3 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the checkpoint folder (a job of its own)."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def at_hand(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` computed once as :func:`cut` does, and broadcast where it has at most ``most`` rows (counted), so what meets it isn't shuffled."""
+    kept = cut(df)
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept

@@ -7,7 +7,7 @@ so evidence grows with the questions and not with the hubs they ask about.  Outc
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from . import evidence as E
 from . import linking as L
 from . import router as R
 from . import search as S
-from .cuts import cut
+from .cuts import at_hand, cut
 from .graph import MAX_TREE_DEPTH, descendants
 
 ROW_LIMIT = 50
@@ -191,6 +191,11 @@ RUNS: dict[str, Callable[[DataFrame, Knowledge, int], DataFrame]] = {
 }
 
 
+def held(k: Knowledge) -> Knowledge:
+    """The same tables, with those that most templates read (rules and what leads to them) computed once and at hand of every task where they are few."""
+    return replace(k, rules=at_hand(k.rules), references=at_hand(k.references), keywords=at_hand(k.keywords), defined_by=at_hand(k.defined_by), formats=at_hand(k.formats))
+
+
 def linked(questions: DataFrame, k: Knowledge) -> DataFrame:
     """(question_id, pos, kind, key, ambiguous): what the questions (question_id, question) name."""
     keywords = k.keywords.select(F.col("keyword").alias("name"))
@@ -206,8 +211,9 @@ def retrieve(
 
     A question with a sure entity is resolved: its entities are asked for by templates; where none of them reaches the rules and no format is named, rules come from a text search with the question and the texts of its cards (without
     ``text_search`` such a question ends as ``no_seed``).  Resolved questions without evidence end as ``no_match``.  ``last_resort`` takes the failed ones (question_id, question, outcome) and returns rows (question_id, item_no, kind, key, text, path, distance);
-    what it finds resolves them and is bounded like the rest.  Entities and calls are each computed once (a job of their own); which templates are asked for is the only thing that reaches the driver.
+    what it finds resolves them and is bounded like the rest.  Questions, rules, entities and calls are each computed once (jobs of their own); which templates are asked for is the only thing that reaches the driver.
     """
+    questions, k = cut(questions), held(k)
     entities = cut(linked(questions, k))
     sure = entities.where("not ambiguous")
     seeded = L.has_graph_seed(sure, k.card_keywords.select(F.col("card_id").alias("key")), "question_id")

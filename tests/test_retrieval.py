@@ -106,3 +106,16 @@ def test_expanded_search(spark, known):
     hits = S.search_evidence(known.rules.where("level > 1"), "number", "text", q, more, snippet=9).collect()
     assert hits[0]["key"] == "613.4" and hits[0]["text"] == "An object" and {r["question_id"] for r in hits} == {1}
     assert S.search_evidence(known.rules, "number", "text", q).count() == 0
+
+
+def test_questions_are_made_once(spark, known):
+    made = spark.sparkContext.accumulator(0)
+
+    def said(q):
+        made.add(1)
+        return q
+
+    asked = table(spark, ASKED, "question_id long, question string").withColumn("question", F.udf(said).asNondeterministic()("question"))
+    got = retrieval.retrieve(asked, known)
+    assert got.outcomes.count() == len(ASKED) and got.evidence.count() > 0
+    assert made.value == len(ASKED)

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import distinct_terms, question_terms
+from .cuts import cut
+
+#: Terms of questions, repeats over questions included, up to which they are sent to every task.
+MOST_ASKED = 100_000
+#: Pairs of a question and a document that one task makes at most, about.
+MOST_PAIRS = 1_000_000
 
 
 def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct (key, term)."""
-    return corpus.select(F.col(key), F.explode(distinct_terms(F.col(text))).alias("term"))
+    # An outer explode: of an inner one Spark infers a filter on the array's size, which would cut texts into terms twice.
+    return corpus.select(F.col(key), F.explode_outer(distinct_terms(F.col(text))).alias("term")).where("term is not null")
 
 
 def inverse_frequencies(index: DataFrame, key: str, n_docs: int) -> DataFrame:
@@ -22,15 +31,23 @@ def inverse_frequencies(index: DataFrame, key: str, n_docs: int) -> DataFrame:
 def search(corpus: DataFrame, key: str, text: str, questions: DataFrame, k: int = 8) -> DataFrame:
     """(question_id, key, score, rank): the k best by the sum of idf of shared distinct terms; ties by key.
 
-    Only questions' terms are kept of a document, and they are dealt by document once: both the counting of documents for each term and the
-    scoring read that one exchange, so texts are cut into terms once.
+    Questions' terms are computed once (a job of its own).  Only they are kept of a document, and they are dealt by document once: both the counting of documents for each term and the
+    scoring read that one exchange, so texts are cut into terms once.  A frequent term makes a pair of nearly each document and question; where questions have few terms (counted), they are at hand of
+    each task, documents are dealt so that a task makes at most about ``MOST_PAIRS`` pairs, and pairs are summed and cut to the best where they are made.
     """
-    asked = postings(questions.select("question_id", "question"), "question_id", "question")
-    wanted = postings(corpus, key, text).join(asked.select("term").distinct(), "term", "left_semi").repartition(key)
+    asked = cut(postings(questions.select("question_id", "question"), "question_id", "question"))
+    few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
+    near = F.broadcast if few else lambda df: df
+    n = corpus.count()
+    wanted = postings(corpus, key, text).join(near(asked.select("term").distinct()), "term", "left_semi")
+    if few:
+        pairs = n * asked.select("question_id").distinct().count()
+        wanted = wanted.repartition(max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / MOST_PAIRS)), key)
+    else:
+        wanted = wanted.repartition(key)
     df = wanted.groupBy("term").agg(F.count(key).alias("df"))
-    n = corpus.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    idf = df.select("term", F.round(F.log(n / F.col("df")), 9).cast("decimal(20,9)").alias("idf"))
-    scored = wanted.join(asked.join(idf, "term"), "term")
+    idf = df.select("term", F.round(F.log(F.lit(float(n)) / F.col("df")), 9).cast("decimal(20,9)").alias("idf"))
+    scored = wanted.join(near(asked.join(idf, "term")), "term")
     total = scored.groupBy("question_id", key).agg(F.round(F.sum("idf").cast("double"), 6).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), F.col(key))
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

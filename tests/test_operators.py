@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from fractions import Fraction
 
 import pytest
@@ -571,3 +572,20 @@ def test_runs_of_words_by_first_words_and_without(spark, monkeypatch, most):
     docs = spark.createDataFrame([(1, "a b c a b  c d"), (2, "a b"), (3, None), (4, ""), (5, "x y z\na\tb c")], "doc int, text string")
     lex = spark.createDataFrame([("p", "a b c"), ("q", "b c d"), ("r", "y z a"), ("p", "x y q")], "item string, surface string")
     assert rows(linking.ngram_mentions(docs, lex, "doc", "item", 3), "doc", "item", "start_word") == [(1, "p", 0), (1, "p", 3), (1, "q", 4), (5, "p", 3), (5, "r", 1)]
+
+
+def test_search_sums_pairs_where_they_are_made(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id as doc_id", "concat('common words of tale', id % 7, ' a', repeat('b', cast(id % 11 as int))) as text")
+    questions = spark.createDataFrame([(1, "common tales"), (2, "abbb words"), (3, "")], "question_id long, question string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = search.search(docs, "doc_id", "text", questions)
+        got = sorted(map(tuple, near.collect()))
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(search, "MOST_ASKED", 0, raising=False)
+        assert got == sorted(map(tuple, search.search(docs, "doc_id", "text", questions).collect())) and len(got) == 16
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # Pairs are never dealt out, and texts aren't cut into terms once more by a filter on their number.
+    assert not re.search(r"hashpartitioning\(question_id#\d+L?, doc_id", plan) and "size(array_distinct" not in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from .binding import Tables
 from .catalogue import register
 
 
+#: Events that one task makes payloads of and reads, about: a row's work is far more than its bytes, by which files are split.
+PER_TASK = 20_000
+
+
 def event_payloads(t: Tables) -> DataFrame:
     """(payload): an event's kind and props as JSON; cited rules are a text, objects under three names, a number, an empty object and a null."""
     k = F.get_json_object("props", "$.k")
@@ -18,7 +24,9 @@ def event_payloads(t: Tables) -> DataFrame:
         '"citedRules": ["1%s.1", {"ruleNumber": "2%s.2", "number": "no"}, {"ruleNumber": "", "number": 3%s}, 7, {}, null, {"id": "%sb"}, {"number": ["no"]}], "answer": null}'
     )
     id_ = F.col("event_id").cast("string")
-    return t.t("events").select(F.format_string(said, id_, id_, "event_type", "event_type", "props", "user_id", k, k, k, k).alias("payload"))
+    events = t.t("events").select("event_id", "event_type", "props", "user_id")
+    events = events.repartition(math.ceil(events.count() / PER_TASK) or 1, "event_id")
+    return events.select(F.format_string(said, id_, id_, "event_type", "event_type", "props", "user_id", k, k, k, k).alias("payload"))
 
 
 @register(

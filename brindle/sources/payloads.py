@@ -20,14 +20,14 @@ def _is(v: Column, kind: str) -> Column:
 
 def _text(v: Column, path: str) -> Column:
     """The scalar at a path as text; null for none, an empty one, an object or a list."""
-    at = F.try_variant_get(v, path, "variant")
+    at = F.to_json(F.try_variant_get(v, path, "variant"))
     said = F.try_variant_get(v, path, "string")
-    return F.when(_is(at, "OBJECT") | _is(at, "ARRAY"), F.lit(None)).otherwise(F.nullif(said, F.lit("")))
+    return F.when(at.startswith("{") | at.startswith("["), F.lit(None)).otherwise(F.nullif(said, F.lit("")))
 
 
 def names_of(v: Column, path: str, field: str = "name") -> Column:
     """A field of a list's objects, in order; elements without it are left out."""
-    return F.filter(F.transform(F.filter(elements(v, path), lambda x: _is(x, "OBJECT")), lambda x: _text(x, f"$.{field}")), lambda n: n.isNotNull())
+    return F.filter(F.transform(elements(v, path), lambda x: _text(x, f"$.{field}")), lambda n: n.isNotNull())
 
 
 def numbers_of(v: Column, path: str, fields: tuple[str, ...] = NUMBER_FIELDS) -> Column:
@@ -41,7 +41,8 @@ def skeletons(payloads: DataFrame, payload: str, source: str = "rg", content: tu
 
     The snapshot's hash is over the ``content`` fields as canonical JSON (a variant's objects have their keys in order), so the order of keys and white space in a payload don't count.
     """
-    v = payloads.select(F.try_parse_json(F.col(payload)).alias("_v")).where("_v is not null")
+    # An exploded array of one: a filter on a plain column would be moved below it, and below any exchange, and parse each payload once more there.
+    v = payloads.select(F.explode(F.array(F.try_parse_json(F.col(payload)))).alias("_v")).where("_v is not null")
     parts = [F.coalesce(F.to_json(F.try_variant_get("_v", f"$.{c}", "variant")), F.lit("null")) for c in content]
     key = _text(F.col("_v"), "$.id")
     rows = v.select(

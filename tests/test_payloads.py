@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from brindle.plans import payload_queries
+from brindle.plans.binding import Tables
 from brindle.sources import payloads as P
 
 
@@ -18,3 +20,16 @@ def test_skeletons(spark):
     assert got["rg-8"]["gold_entities"] == [] and got["rg-8"]["url"] is None
     assert got["rg-8"]["snapshot_sha256"] == got["rg-8b"]["snapshot_sha256"] != got["rg-7"]["snapshot_sha256"]
     assert P.skeletons(spark.createDataFrame([], "payload string"), "payload").count() == 0
+
+
+def test_payloads_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    spark.range(1000).selectExpr("id as event_id", "'view' as event_type", "'{\"k\": 1}' as props", "id % 7 as user_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(payload_queries, "PER_TASK", 100, raising=False)
+    rows = payload_queries.event_payloads(Tables(spark, str(tmp_path)))
+    assert rows.count() == 1000 and rows.rdd.getNumPartitions() == 10
+
+
+def test_payloads_are_parsed_once(spark):
+    rows = P.skeletons(spark.range(3).selectExpr("concat('{\"id\": ', id, '}') as payload").repartition(2), "payload")
+    assert rows.count() == 3
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1

@@ -20,6 +20,9 @@ from ..functions.special import paired_sign_test
 from ..functions.text import rule_family
 from .cuts import cut
 
+#: Rows that one task groups, about, where they are dealt by their number.
+MOST_ROWS = 500_000
+
 
 def draw(seed: int, *cols: str) -> Column:
     """A repeatable random rank of a row."""
@@ -76,10 +79,15 @@ def mcnemar(pairs: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 
 
 def retrieval_recall(gold: DataFrame, found: DataFrame, doc: str, item: str) -> DataFrame:
-    """(doc, recall): the share of each document's gold items that was found; documents without gold have none to find and no row."""
-    hit = found.select(doc, item).distinct().withColumn("_hit", F.lit(1))
-    rows = gold.select(doc, item).distinct().join(hit, [doc, item], "left")
-    return rows.groupBy(doc).agg((F.count("_hit") / F.count(F.lit(1))).alias("recall"))
+    """(doc, recall): the share of each document's gold items that was found; documents without gold have none to find and no row.
+
+    Rows of both sides meet in one grouping instead of a join, and are dealt by their number (counted), so that a task holds about ``MOST_ROWS`` of them at any size.
+    """
+    named = F.col(doc).isNotNull() & F.col(item).isNotNull()
+    both = gold.select(doc, item, F.lit(True).alias("_gold"), F.lit(False).alias("_hit")).unionByName(found.where(named).select(doc, item, F.lit(False).alias("_gold"), F.lit(True).alias("_hit")))
+    parts = max(gold.sparkSession.sparkContext.defaultParallelism, math.ceil(both.count() / MOST_ROWS))
+    rows = both.repartition(parts, doc, item).groupBy(doc, item).agg(F.max("_gold").alias("_gold"), F.max("_hit").alias("_hit")).where("_gold")
+    return rows.select(doc, "_hit").repartition(parts, doc).groupBy(doc).agg((F.count_if("_hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def mean_by_stratum(rows: DataFrame, stratum: str, value: str) -> DataFrame:

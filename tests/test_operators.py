@@ -589,3 +589,13 @@ def test_search_sums_pairs_where_they_are_made(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     # Pairs are never dealt out, and texts aren't cut into terms once more by a filter on their number.
     assert not re.search(r"hashpartitioning\(question_id#\d+L?, doc_id", plan) and "size(array_distinct" not in plan
+
+
+def test_recall_groups_rows_by_their_number(spark, monkeypatch):
+    gold = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (1, None), (2, 5), (None, 1)], "doc long, item long")
+    found = spark.createDataFrame([(1, 1), (1, 1), (1, None), (1, 9), (2, 5), (3, 1), (None, 1)], "doc long, item long")
+    monkeypatch.setattr(V, "MOST_ROWS", 1, raising=False)
+    got = V.retrieval_recall(gold, found, "doc", "item")
+    assert {r["doc"]: round(r["recall"], 6) for r in got.collect()} == {1: 0.333333, 2: 1.0, None: 0.0}
+    # As many tasks as rows with both columns named, and no join of both sides, which would sort them.
+    assert got.rdd.getNumPartitions() == 11 and "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

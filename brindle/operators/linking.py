@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ MAX_QUERY_WORDS = 8
 KINDS = ("exact", "loose", "single")
 #: First words of a lexicon that are looked up within a text's row; a lexicon with more is joined by whole runs alone.
 MOST_FIRST_WORDS = 10_000
+#: Words of a text that are one row at a time.
+STRETCH = 256
 #: Layouts that are no rules entities (fixed values of the card data).
 NON_RULES_LAYOUTS = ("art_series", "token", "double_faced_token", "emblem")
 
@@ -37,12 +41,11 @@ def lexicon(names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     is a part of a longer name.
     """
     forms = names.select("id", "name", F.explode(F.array_union(F.array("name"), split_faces(F.col("name")))).alias("form"))
-    forms = forms.select("id", normalize_name(F.col("form")).alias("norm"), loose_name(F.col("form")).alias("loose"), (F.col("form") != F.col("name")).alias("face"))
-    words = F.size(F.split("norm", " "))
-    single = forms.where((words == 1) & (F.col("norm") != "")).select(F.lit("single").alias("kind"), F.col("norm").alias("key"), "id", "face")
-    longer = forms.where(words > 1)
-    out = single.unionByName(longer.select(F.lit("exact").alias("kind"), F.col("norm").alias("key"), "id", "face"))
-    out = out.unionByName(longer.select(F.lit("loose").alias("kind"), F.col("loose").alias("key"), "id", "face"))
+    forms = forms.select("id", normalize_name(F.col("form")).alias("norm"), (F.col("form") != F.col("name")).alias("face"))
+    keyed = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    longer = F.array(keyed("exact", F.col("norm")), keyed("loose", collapse_spaces(F.regexp_replace("norm", "[^a-z0-9 ]+", ""))))
+    # One pass over the names, whatever kinds their forms are of.
+    out = forms.select("id", "face", F.explode(F.when(F.col("norm").contains(" "), longer).otherwise(F.array(keyed("single", F.col("norm"))))).alias("k")).select("k.kind", "k.key", "id", "face")
     if aliases is not None:
         out = out.unionByName(aliases.select(F.lit("loose").alias("kind"), loose_name(F.col("alias")).alias("key"), "id", F.lit(False).alias("face")))
     out = out.where("key <> ''").groupBy("kind", "key", F.col("id").alias("target")).agg(F.min("face").alias("face"))
@@ -68,10 +71,40 @@ def folded_words(c: Column) -> Column:
     return F.transform(folded, lambda w: F.struct(w["s"].alias("s"), w["n"].alias("n"), F.regexp_replace(w["n"], "[^a-z0-9]+", "").alias("l")))
 
 
-def starts(words: Column) -> Column:
-    """Where each of a text's words begins, in characters of the text with single spaces."""
-    first = F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("p"))
-    return F.aggregate(words, first, lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["p"])).alias("a"), (acc["p"] + F.length(x["s"]) + 1).alias("p")), lambda acc: acc["a"])
+def word_forms(c: Column) -> list[Column]:
+    """A text's words as they stand (s), normalised (n) and without all but letters and digits (l), as three arrays of one length: the text is folded as a whole, which neither makes nor takes a blank."""
+    one = collapse_spaces(c)
+    norm = F.lower(fold(one))
+    return [F.split(x, " ").alias(a) for a, x in (("s", one), ("n", norm), ("l", F.regexp_replace(norm, "[^a-z0-9 ]+", "")))]
+
+
+def stretches(longest: int) -> Column:
+    """Columns s, n, l of a text's words in stretches of at most ``STRETCH``: (base, from, s, n, l) with the number of words before, where the first one begins in characters of the text with single spaces, and the words with those that a run may go on to."""
+    at = lambda base, start, of: F.struct(base.alias("base"), start.alias("from"), *[of(F.col(x)).alias(x) for x in "snl"])
+    some = lambda b: lambda c: F.slice(c, b * STRETCH + 1, F.lit(STRETCH + longest - 1))
+    size = lambda b: F.length(F.array_join(F.slice("s", b * STRETCH + 1, F.lit(STRETCH)), " ")) + 1
+    none = F.array().cast("array<struct<base:int,from:int,s:array<string>,n:array<string>,l:array<string>>>")
+    add = lambda acc, b: F.struct(F.concat(acc["a"], F.array(at(b * STRETCH, acc["p"], some(b)))).alias("a"), (acc["p"] + size(b)).alias("p"))
+    several = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / STRETCH).cast("int")), F.struct(none.alias("a"), F.lit(0).alias("p")), add, lambda acc: acc["a"])
+    return F.when(F.size("s") <= STRETCH, F.array(at(F.lit(0), F.lit(0), lambda c: c))).otherwise(several)
+
+
+def runs(texts: DataFrame, doc: str, text: str, firsts: DataFrame, longest: int, *carried: str) -> DataFrame:
+    """(doc, carried, at, width, start, surface, norm, loose): runs as of :func:`windows` that hold a capital, with where they begin in characters of the text with single spaces.
+
+    Only a word that names begin with meets those behind it.  After the stretches no step has a function over an array's elements, so they are one compiled loop that copies
+    no words; explodes are outer ones, as of others Spark infers a filter that would build the array twice.
+    """
+    words = texts.select(doc, *carried, *word_forms(F.col(text))).select(doc, *carried, F.explode_outer(stretches(longest)).alias("_s")).select(doc, *carried, "_s.*")
+    near = words.select(doc, *carried, "base", "from", "s", "n", "l", F.posexplode_outer(F.slice("l", 1, STRETCH)).alias("_i", "first")).where("first <> ''")
+    behind = F.length(F.array_join(F.slice("s", F.lit(1), F.col("_i")), " ")) + (F.col("_i") > 0).cast("int")
+    near = near.select(doc, *carried, "first", (F.col("base") + F.col("_i")).alias("at"), (F.col("from") + behind).alias("start"), *[F.slice(x, F.col("_i") + 1, F.lit(longest)).alias(x) for x in "snl"])
+    near = near.join(_at_hand(firsts), "first").select(doc, *carried, "at", "start", "s", "n", "l", "counts", F.explode_outer(F.sequence(F.lit(1), F.least("longest", F.size("s")))).alias("width"))
+    said = lambda x: F.slice(x, F.lit(1), F.col("width"))
+    bare = F.size(F.array_remove(said("l"), ""))
+    fits = F.array_contains("counts", F.col("width")) | (bare < F.col("width")) & F.arrays_overlap("counts", F.sequence(bare, F.greatest(bare, F.col("width") - 1)))
+    found = near.where(fits).select(doc, *carried, "at", "width", "start", "n", "l", F.array_join(said("s"), " ").alias("surface")).where(capitalised(F.col("surface")))
+    return found.select(doc, *carried, "at", "width", "start", "surface", *[F.array_join(F.array_remove(said(x), ""), " ").alias(name) for x, name in (("n", "norm"), ("l", "loose"))])
 
 
 def joined(words: Column, field: str) -> Column:
@@ -107,19 +140,48 @@ def _at_hand(firsts: DataFrame) -> DataFrame:
 
 
 def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (document, at, width, fits, ...) in order, without those that begin within the last one kept of their document; of several rows for one place and width only the first counts, whether it fits or not."""
-    document, free, first, place = None, 0, True, None
+    """Rows (document, at, width, fits, ...) in order, without those that begin within the last one kept of their document; of several rows for one place and width only the first counts, whether it fits or not.
+
+    A row that begins behind the ends of all before it is kept; one by one are looked at only those that begin within another.
+    """
+    last, free, place = None, 0, None  # of the batches before: the last document, as an array of one, where its last kept row ends, and the last place and width
     for batch in batches:
-        keep = []
-        for d, at, width, fits in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if first or d != document:
-                document, free, first, place = d, 0, False, None
-            kept = fits and at >= free and place != (at, width)
-            place = (at, width)
-            keep.append(kept)
-            if kept:
-                free = at + width
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        if not batch.num_rows:
+            continue
+        docs = batch.column(0)
+        at, width = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+        new = np.ones(len(at), bool)
+        new[1:] = _differ(docs[1:], docs[:-1])
+        new[0] = last is None or _differ(docs[:1], last)[0]
+        again = ~new
+        again[1:] &= (at[1:] == at[:-1]) & (width[1:] == width[:-1])
+        again[0] &= place == (at[0], width[0])
+        number = np.cumsum(new)  # 0 is the document of the batch before
+        rows = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False).astype(bool) & ~again)
+        begin = (number[rows] << 32) + at[rows]
+        end = begin + width[rows]
+        taken = np.maximum.accumulate(np.concatenate([[free], end]))[:-1]
+        within = begin < taken
+        kept = ~within
+        before = -2
+        for i in np.flatnonzero(within).tolist():
+            if i != before + 1:
+                free = end[i - 1] if i else free
+            if begin[i] >= free:
+                kept[i], free = True, end[i]
+            before = i
+        keep = np.zeros(len(at), bool)
+        keep[rows[kept]] = True
+        ends = end[kept & (number[rows] == number[-1])]
+        free = int(ends[-1] - (number[-1] << 32)) if len(ends) else int(free) if number[-1] == 0 else 0
+        last, place = docs[-1:], (at[-1], width[-1])
+        yield batch.filter(pa.array(keep))
+
+
+def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Where two arrays differ; null is like null alone."""
+    either = pc.xor(pc.is_null(a), pc.is_null(b))
+    return pc.or_(pc.fill_null(pc.not_equal(a, b), False), either).to_numpy(zero_copy_only=False)
 
 
 def without_overlaps(hits: DataFrame, doc: str, *cols: str, fits: Column | None = None, rank: Column | None = None) -> DataFrame:
@@ -141,22 +203,23 @@ def _by_key(lex: DataFrame) -> DataFrame:
 
 
 def _looked_up(found: DataFrame, lex: DataFrame, *carried: str) -> DataFrame:
-    """(carried, rank, method, ids, whole): targets of each run (carried, norm, loose), exact before loose before single.
+    """(carried, rank, method, ids, whole, only): targets of each run (carried, norm, loose), exact before loose before single; ``only`` says that the run has no other row.
 
     A run whose two forms differ is looked up by both and may have two rows, of which the one of lesser rank is meant; most have one form and go through one exchange in one row.
     """
-    either = F.when(F.col("norm") == F.col("loose"), F.array(F.struct(F.col("norm").alias("key"), F.lit("exact loose single").alias("by"))))
-    either = either.otherwise(F.array(F.struct(F.col("norm").alias("key"), F.lit("exact single").alias("by")), F.struct(F.col("loose").alias("key"), F.lit("loose").alias("by"))))
+    by = lambda key, *kinds: F.struct(F.col(key).alias("key"), F.lit(sum(1 << KINDS.index(k) for k in kinds)).alias("by"))
+    either = F.when(F.col("norm") == F.col("loose"), F.array(by("norm", *KINDS))).otherwise(F.array(by("norm", "exact", "single"), by("loose", "loose")))
     hits = found.select(*carried, F.explode(either).alias("_k")).select(*carried, "_k.*").where("key <> ''").join(_by_key(lex), "key")
     best = F.coalesce(*[
-        F.when(F.col("by").contains(kind) & (F.size(f"{kind}_ids") > 0), F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("method"), F.col(f"{kind}_ids").alias("ids"), F.col(f"{kind}_whole").alias("whole")))
+        F.when((F.col("by").bitwiseAND(1 << i) > 0) & (F.size(f"{kind}_ids") > 0), F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("method"), F.col(f"{kind}_ids").alias("ids"), F.col(f"{kind}_whole").alias("whole")))
         for i, kind in enumerate(KINDS)
     ])
-    return hits.select(*carried, best.alias("_b")).where("_b is not null").select(*carried, "_b.*")
+    return hits.select(*carried, best.alias("_b"), (F.col("by") == sum(1 << i for i in range(len(KINDS)))).alias("only")).where("_b is not null").select(*carried, "_b.*", "only")
 
 
 def capitalised(c: Column) -> Column:
-    return F.exists(F.split(c, " "), lambda w: w.rlike(r"^\W*\p{Lu}"))
+    """Whether a word has a capital before any other letter or digit; a blank is no letter, so a match that begins at an earlier word ends at one that has its own."""
+    return c.rlike(r"(^| )\W*\p{Lu}")
 
 
 def link_mentions(docs: DataFrame, lex: DataFrame, doc: str, text: str = "text", host: DataFrame | str | None = None, longest: int = MAX_NAME_WORDS) -> DataFrame:
@@ -168,15 +231,14 @@ def link_mentions(docs: DataFrame, lex: DataFrame, doc: str, text: str = "text",
     """
     texts = docs if host is None else docs.drop("host").join(host, doc, "left") if isinstance(host, DataFrame) else docs.withColumnRenamed(host, "host")
     own = [doc, "at", "width", "start", "surface", *(() if host is None else ("host",))]
-    words = texts.select(doc, *own[5:], folded_words(F.col(text)).alias("_w")).withColumn("_starts", starts(F.col("_w")))
-    words = words.withColumn("_w", F.transform("_w", lambda x, i: F.struct(x["s"].alias("s"), x["n"].alias("n"), x["l"].alias("l"), F.get("_starts", i).alias("start"))))
-    found = windows(words, doc, first_words(lex, longest), longest, *own[5:]).withColumns({"start": F.get("run", F.lit(0))["start"], "surface": joined(F.col("run"), "s")}).where(capitalised(F.col("surface")))
-    hits = _looked_up(found.withColumns({"norm": joined(F.col("run"), "n"), "loose": joined(F.col("run"), "l")}), lex, *own)
+    lex = cut(lex)
+    hits = _looked_up(runs(texts, doc, text, first_words(lex, longest), longest, *own[5:]), lex, *own)
     if host is not None:
         hits = hits.withColumn("ids", F.when(F.col("host").isNull(), F.col("ids")).otherwise(F.filter("ids", lambda x: x != F.col("host"))))
     one = (F.col("width") > 1) & F.col("method").isin("exact", "loose") & (F.size("ids") == 1)
     pending = (F.col("width") == 1) & (F.col("method") == "single") & (F.size("ids") > 0)
-    hits = hits.withColumns({"id": F.when(one, F.get("ids", F.lit(0))), "candidates": F.when(one, F.slice("ids", 1, 0)).otherwise(F.col("ids"))})
+    # What doesn't fit counts only against another row of its run.
+    hits = hits.where(one | pending | ~F.col("only")).withColumns({"id": F.when(one, F.get("ids", F.lit(0))), "candidates": F.when(one, F.slice("ids", 1, 0)).otherwise(F.col("ids"))})
     return without_overlaps(hits, doc, "start", "surface", "method", "id", "candidates", fits=one | pending, rank=F.col("rank"))
 
 

@@ -23,9 +23,9 @@ def _names(t: Tables) -> DataFrame:
 
 def _texts(t: Tables) -> DataFrame:
     """(doc, text, host): an order's part names in a sentence; the first part is the host."""
-    parts = t.t("lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("id")).distinct().join(_names(t), "id")
-    per = parts.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("id", "name"))).alias("p"), F.min("id").alias("host"))
-    said = F.array_join(F.transform("p", lambda x: x["name"]), " and the ")
+    parts = t.t("lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("id")).join(_names(t).select("id", "name"), "id")
+    per = parts.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("id", "name"))).alias("p"), F.min("id").alias("host"))
+    said = F.array_join("p.name", " and the ")
     return per.select("doc", F.concat(F.lit("Does "), said, F.lit(", or does Tapping matter?")).alias("text"), "host")
 
 

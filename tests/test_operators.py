@@ -6,6 +6,7 @@ import random
 import re
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,42 @@ def test_runs_are_built_only_of_widths_that_names_have(spark):
     assert rows(got, "at", "width", "method", "id") == [(1, 3, "exact", 1), (5, 3, "loose", 3), (9, 5, "exact", 2)]
 
 
+def test_places_in_a_text_are_counted_once_not_for_each_word(spark, monkeypatch):
+    monkeypatch.setattr(linking, "STRETCH", 5, raising=False)
+    rng = random.Random(2)
+    names = {"Aa Bb": 1, "Aa Bb Cc": 2, "Dé & Ee": 3, "Cc": 4}
+    lex = linking.lexicon(spark.createDataFrame([(n, i) for n, i in names.items()], "name string, id int"))
+    docs = [(i, "  ".join(rng.choice(["Aa Bb", "Aa Bb Cc,", "Dé & Ee", "aa", "Cc", "-", "x"]) for _ in range(i))) for i in range(40)]
+    got = linking.link_mentions(spark.createDataFrame(docs, "doc int, text string"), lex, "doc")
+    texts = {d: " ".join(t.split()) for d, t in docs}
+    found = rows(got, "doc", "at", "width", "start", "surface")
+    assert all(texts[d][start:].startswith(said) and len(texts[d][:start].split()) == at and len(said.split()) == width for d, at, width, start, said in found)
+    want = sum(len(re.findall(r"Aa Bb Cc|Aa Bb|Dé & Ee|Cc", t)) for t in texts.values())
+    assert len(found) == want
+    # A function over words that holds a pass over all of them is quadratic; texts now have none but that of their stretches.
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_greedy_pass_against_one_by_one_over_batches():
+    rng = random.Random(3)
+    given = []
+    for d in [None, None, 3, 4, 4, 5, *range(6, 60)]:
+        given += sorted((d, rng.randint(0, 12), -rng.randint(1, 4), rng.random() < 0.7) for _ in range(rng.randint(0, 9))) if d != 4 else [(4, 0, -9, True), (4, 3, -2, True), (4, 9, -1, True)]
+    given.sort(key=lambda r: (-1 if r[0] is None else r[0], r[1], r[2]))
+    want, document, free, place = [], 0, 0, None
+    for i, (d, at, minus, fits) in enumerate(given):
+        if i == 0 or d != document:
+            document, free, place = d, 0, None
+        if fits and at >= free and place != (at, -minus):
+            want.append(i)
+            free = at - minus
+        place = (at, -minus)
+    for size in (1, 2, 7, 1000):
+        parts = [given[i : i + size] for i in range(0, len(given), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p], pa.int64()), pa.array([r[1] for r in p], pa.int32()), pa.array([-r[2] for r in p], pa.int32()), pa.array([r[3] for r in p]), pa.array(range(k * size, k * size + len(p)))], list("dawfi")) for k, p in enumerate(parts)]
+        assert [i for b in linking._greedy(iter(batches)) for i in b.column(4).to_pylist()] == want
+
+
 def test_mentions_know_where_they_start_without_a_second_look_at_the_text(spark):
     lex = linking.lexicon(spark.createDataFrame([("Small Ring", 1)], "name string, id int"))
     df = spark.createDataFrame([(1, "Small Ring"), (2, "a  bc, Small  Ring; and Small Ring")], "ruling_id int, text string")

@@ -13,6 +13,7 @@ from .words import CITATION_BODY, LIGATURES, QUESTION_WORDS, STOPWORDS, TYPOGRAP
 
 #: Rule numbers such as 613, 613.4 or 613.4a.
 RULE_NUMBER = r"[0-9]{3}(?:\.[0-9]+[a-z]?)?"
+_DOTTED = r"\b([0-9]{3}\.[0-9]+[a-z]?)\b"
 
 
 def _accented() -> dict[str, str]:
@@ -126,8 +127,8 @@ def explicit_citations(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\b([0-9]{3}\.[0-9]+[a-z]?)\b"), F.lit(1))
 
 
-def located(c: Column, pattern: str, width: int = 60) -> Column:
-    """(number, start, end, context) of each match of a pattern with one group around all of it; context reaches ``width`` characters to both sides.
+def spans(c: Column, pattern: str) -> Column:
+    """(number, start, end) of each match of a pattern with one group around all of it.
 
     Matches and what stands between them add up to offsets, so the text is passed over a fixed number of times.
     """
@@ -138,15 +139,24 @@ def located(c: Column, pattern: str, width: int = 60) -> Column:
         (s["at"] + p["gap"] + F.length(p["number"])).cast("int").alias("at"),
         F.concat(s["out"], F.array(F.struct(p["number"].alias("number"), (s["at"] + p["gap"]).cast("int").alias("start"), (s["at"] + p["gap"] + F.length(p["number"])).cast("int").alias("end")))).alias("out"),
     )
-    spans = F.aggregate(F.filter(pairs, lambda p: p["number"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    return F.aggregate(F.filter(pairs, lambda p: p["number"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+
+
+def located(c: Column, pattern: str, width: int = 60) -> Column:
+    """(number, start, end, context) of each match as of :func:`spans`; context reaches ``width`` characters to both sides."""
     lead = lambda m: F.greatest(m["start"] - width, F.lit(0))
     around = lambda m: collapse_spaces(F.substring(c, lead(m) + 1, m["end"] + width - lead(m)))
-    return F.transform(spans, lambda m: F.struct(m["number"].alias("number"), m["start"].alias("start"), m["end"].alias("end"), around(m).alias("context")))
+    return F.transform(spans(c, pattern), lambda m: F.struct(m["number"].alias("number"), m["start"].alias("start"), m["end"].alias("end"), around(m).alias("context")))
 
 
 def located_citations(c: Column) -> Column:
     """Dotted rule numbers with their offsets and the text around them."""
-    return located(c, r"\b([0-9]{3}\.[0-9]+[a-z]?)\b")
+    return located(c, _DOTTED)
+
+
+def citation_spans(c: Column) -> Column:
+    """Dotted rule numbers with their offsets."""
+    return spans(c, _DOTTED)
 
 
 def stated_rules(c: Column) -> Column:

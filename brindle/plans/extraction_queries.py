@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extraction
+from ..operators.cuts import cut
 from .binding import Tables, sql
 from .catalogue import register
 from .retrieval_queries import knowledge
@@ -13,9 +14,9 @@ from .retrieval_queries import knowledge
 
 def _rulings(t: Tables, k) -> DataFrame:
     """(ruling_id, text, host, number, status): an order's parts by name, the host first, between the rule that it cites and one that isn't there."""
-    parts = t.order_parts().select("ruling_id", F.col("card_id").alias("p")).join(k.cards.select(F.col("card_id").cast("long").alias("p"), "name"), "p")
-    per = parts.groupBy("ruling_id").agg(F.array_sort(F.collect_list(F.struct("p", "name"))).alias("l"))
-    said = F.array_join(F.transform("l", lambda x: x["name"]), " and the ")
+    parts = t.t("lineitem").select(F.col("l_orderkey").alias("ruling_id"), F.col("l_partkey").alias("p")).join(k.cards.select(F.col("card_id").cast("long").alias("p"), "name"), "p")
+    per = parts.groupBy("ruling_id").agg(F.array_sort(F.collect_set(F.struct("p", "name"))).alias("l"))
+    said = F.array_join("l.name", " and the ")
     rows = per.join(k.cites, "ruling_id").join(t.t("orders").select(F.col("o_orderkey").alias("ruling_id"), F.col("o_orderstatus").alias("status")), "ruling_id")
     text = F.concat(F.lit("By rule "), "number", F.lit("  the "), said, F.lit(" meet, not by rule 999.1."))
     return rows.select("ruling_id", text.alias("text"), F.get("l", F.lit(0))["p"].cast("string").alias("host"), "number", "status")
@@ -46,6 +47,6 @@ def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of every candidate: links and stated numbers accepted, and each of the gate's reasons for citations."""
     t = Tables(spark, sf_dir)
     k = knowledge(t)
-    rulings = _rulings(t, k)
+    rulings = cut(_rulings(t, k))
     _, report = extraction.extract(rulings.select("ruling_id", "text", "host"), k.lexicon, k.rules, k.cards, _modelled(rulings))
     return report

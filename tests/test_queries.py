@@ -56,3 +56,9 @@ def test_entry_module():
     import __spark_entry__ as e
 
     assert set(catalogue.queries()) <= set(e.queries())
+
+
+def test_rulings_of_the_extraction_report_are_made_once(spark):
+    plan = catalogue.queries()["extraction_report"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Links, citations, a model's candidates and the gate read kept rulings; the tables that they are made of, and contexts that nobody reads, are in no plan that follows.
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan and "context" not in plan

@@ -77,3 +77,12 @@ def test_fold_for_any_script(spark):
     table = str.maketrans(dict(T.LIGATURES + T.TYPOGRAPHY))
     fold = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t.translate(table)) if not unicodedata.combining(c))
     assert {r["i"]: r["f"] for r in got} == {i: None if t is None else fold(t) for i, t in enumerate(texts)}
+
+
+def test_spans_are_those_of_located_matches(spark):
+    texts = ["by 100.1, not 702.19b or 12.3", "", None, "é 100.2 é", "100.1100.2 100.3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = df.select("i", T.citation_spans(F.col("t")).alias("s"), T.located_citations(F.col("t")).alias("l")).collect()
+    plain = lambda c: None if c is None else [(x["number"], x["start"], x["end"]) for x in c]
+    assert [plain(r["s"]) for r in sorted(got)] == [plain(r["l"]) for r in sorted(got)]
+    assert plain(min(got)["s"]) == [("100.1", 3, 8), ("702.19b", 14, 21)]

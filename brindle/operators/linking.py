@@ -25,6 +25,8 @@ KINDS = ("exact", "loose", "single")
 MOST_FIRST_WORDS = 10_000
 #: Words of a text that are one row at a time.
 STRETCH = 256
+#: Tasks over which the texts that hold a name of one word are dealt: it can be a word of nearly every text.
+DEALT = 32
 #: Layouts that are no rules entities (fixed values of the card data).
 NON_RULES_LAYOUTS = ("art_series", "token", "double_faced_token", "emblem")
 
@@ -206,10 +208,14 @@ def _looked_up(found: DataFrame, lex: DataFrame, *carried: str) -> DataFrame:
     """(carried, rank, method, ids, whole, only): targets of each run (carried, norm, loose), exact before loose before single; ``only`` says that the run has no other row.
 
     A run whose two forms differ is looked up by both and may have two rows, of which the one of lesser rank is meant; most have one form and go through one exchange in one row.
+    Runs of one word are dealt over ``DEALT`` copies of its targets, by the first of ``carried``.
     """
     by = lambda key, *kinds: F.struct(F.col(key).alias("key"), F.lit(sum(1 << KINDS.index(k) for k in kinds)).alias("by"))
     either = F.when(F.col("norm") == F.col("loose"), F.array(by("norm", *KINDS))).otherwise(F.array(by("norm", "exact", "single"), by("loose", "loose")))
-    hits = found.select(*carried, F.explode(either).alias("_k")).select(*carried, "_k.*").where("key <> ''").join(_by_key(lex), "key")
+    hits = found.select(*carried, F.explode(either).alias("_k")).select(*carried, "_k.*").where("key <> ''")
+    several = F.col("key").contains(" ")
+    hits = hits.withColumn("deal", F.when(several, 0).otherwise(F.pmod(F.xxhash64(carried[0]), F.lit(DEALT)).cast("int")))
+    hits = hits.join(_by_key(lex).withColumn("deal", F.explode(F.when(several, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(DEALT - 1))))), ["key", "deal"])
     best = F.coalesce(*[
         F.when((F.col("by").bitwiseAND(1 << i) > 0) & (F.size(f"{kind}_ids") > 0), F.struct(F.lit(i).alias("rank"), F.lit(kind).alias("method"), F.col(f"{kind}_ids").alias("ids"), F.col(f"{kind}_whole").alias("whole")))
         for i, kind in enumerate(KINDS)

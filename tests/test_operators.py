@@ -262,6 +262,19 @@ def test_places_in_a_text_are_counted_once_not_for_each_word(spark, monkeypatch)
     assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_word_of_every_text_is_looked_up_by_several_tasks(spark):
+    lex = linking.lexicon(spark.createDataFrame([("Nap", 1), ("Small Ring", 2)], "name string, id int"))
+    found = spark.createDataFrame([(i, "nap", "nap") for i in range(300)] + [(300, "small ring", "small ring")], "doc int, norm string, loose string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = linking._looked_up(found, lex, "doc").select("doc", "method", F.spark_partition_id().alias("p")).collect()
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+    assert sorted((r["doc"], r["method"]) for r in got) == [*((i, "single") for i in range(300)), (300, "exact")]
+    assert len({r["p"] for r in got if r["doc"] < 300}) > 1
+
+
 def test_greedy_pass_against_one_by_one_over_batches():
     rng = random.Random(3)
     given = []

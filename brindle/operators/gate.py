@@ -12,6 +12,8 @@ EDGE_TYPES = ("MENTIONS", "CITES_RULE", "REFERENCES")
 METHODS = ("exact", "loose", "surface", "explicit", "llm")
 DETERMINISTIC = ("exact", "loose", "explicit")
 MIN_CONFIDENCE = 0.7
+#: Tasks over which the citations of one rule are dealt, and how many rules there may be for that.
+DEALT, MOST_RULES = 32, 10_000
 
 
 @dataclass(frozen=True)
@@ -36,14 +38,17 @@ def gate(candidates: DataFrame, sources: DataFrame, known_rules: DataFrame, know
     # A source given twice is one source: its candidates stay single.
     texts = sources.groupBy("source_key").agg(F.min("text").alias("source_text")).withColumn("has_source", F.lit(True))
     # Both kinds of targets are one table and one join.  Candidates without a target would all meet in one task: they go by their source, under a mark that no key has.
-    known = known_rules.select(F.col("number").alias("_target"), F.lit(True).alias("is_rule"), F.lit(False).alias("is_card"))
-    known = known.unionByName(known_cards.select(F.col("card_id").cast("string").alias("_target"), F.lit(False).alias("is_rule"), F.lit(True).alias("is_card")))
-    known = known.where("_target is not null").groupBy("_target").agg(F.max("is_rule").alias("is_rule"), F.max("is_card").alias("is_card"))
+    # Few rules (a job of its own counts them) are cited by very many: all but mentions, which need cards alone, are dealt by their source over copies of the rules.
+    copies = DEALT if known_rules.limit(MOST_RULES + 1).count() <= MOST_RULES else 1
+    known = known_rules.select(F.col("number").alias("_target"), F.lit(True).alias("is_rule"), F.lit(False).alias("is_card"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_deal"))
+    known = known.unionByName(known_cards.select(F.col("card_id").cast("string").alias("_target"), F.lit(False).alias("is_rule"), F.lit(True).alias("is_card"), F.lit(0).alias("_deal")))
+    deal = F.when(F.col("edge_type") == EDGE_TYPES[0], 0).otherwise(F.pmod(F.xxhash64("source_key"), F.lit(copies)).cast("int")).alias("_deal")
+    known = known.where("_target is not null").groupBy("_target", "_deal").agg(F.max("is_rule").alias("is_rule"), F.max("is_card").alias("is_card"))
     meant = F.coalesce("target_key", F.concat(F.lit("\0"), F.coalesce("source_key", F.lit("")))).alias("_target")
     no = lambda x: F.coalesce(x, F.lit(False)) == F.lit(False)
     # Texts stay behind here: what follows exchanges only what was found in them.
     verbatim = F.expr("substring(source_text, span_start + 1, span_end - span_start)") == F.col("span_text")
-    c = candidates.join(texts, "source_key", "left").select(*candidates.columns, "has_source", verbatim.alias("_verbatim"), meant).join(known, "_target", "left")
+    c = candidates.join(texts, "source_key", "left").select(*candidates.columns, "has_source", verbatim.alias("_verbatim"), meant, deal).join(known, ["_target", "_deal"], "left")
     c = c.withColumns({k: F.col(k) & F.col("target_key").isNotNull() for k in ("is_rule", "is_card")})
     number = F.regexp_extract("span_text", r"([0-9]{3}\.[0-9]+[a-z]?)", 1)
     mention, cite, ref = (F.col("edge_type") == t for t in EDGE_TYPES)

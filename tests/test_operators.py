@@ -315,6 +315,19 @@ def test_gate_candidates_without_target_join_by_their_source(spark):
     assert plan.count("Join LeftOuter") == 2 and "coalesce(target_key" in plan
 
 
+def test_citations_of_one_rule_are_judged_by_several_tasks(spark, monkeypatch):
+    cols = "ord long, edge_type string, source_key string, target_key string, span_start int, span_end int, span_text string, method string, confidence double"
+    cand = [(i, "CITES_RULE", str(i), ("100.1", "999.1")[i % 2], 0, 2, "ab", "llm", 1.0) for i in range(200)] + [(200, "MENTIONS", "0", "7", 0, 2, "ab", "llm", 1.0), (201, "REFERENCES", "0", "7", 0, 2, "ab", "llm", 1.0)]
+    given = [spark.createDataFrame(cand, cols), spark.createDataFrame([(str(i), "abc") for i in range(200)], "source_key string, text string")]
+    given += [spark.createDataFrame([("100.1",)], "number string"), spark.createDataFrame([("7",)], "card_id string")]
+    want = {i: "rule_not_in_graph" if i % 2 else None for i in range(200)} | {200: None, 201: "rule_not_in_graph"}
+    for most in (10_000, 0):
+        monkeypatch.setattr(gating, "MOST_RULES", most, raising=False)
+        got = gating.gate(*given).rows
+        assert {r["ord"]: r["reject_reason"] for r in got.collect()} == want
+    assert "_deal" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_run_meets_a_key_of_many_targets_once(spark):
     lex = linking.lexicon(spark.createDataFrame([("Twin Name", i) for i in range(50)] + [("Twin-Name Sir", 60), ("Twinname Sir", 61)], "name string, id int"))
     found = spark.createDataFrame([(1, "twin name", "twin name"), (2, "twin-name sir", "twinname sir")], "doc int, norm string, loose string")
